@@ -4,10 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, mixing, simhash
+from . import chat, decontam, html_text, mixing, quality, simhash, toxicity
 from .common import table
 
 
+def op3_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = quality.held_out("doc_id", 4, 2)
+    s = quality.score(docs, quality.train(docs, labels, ~out))
+    return s.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = quality.held_out("doc_id", 5, 0)
+    s = toxicity.score(docs, toxicity.train(docs, labels, ~out))
+    return s.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_simhash(spark, sf_dir):
     x = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return x.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -17,6 +35,10 @@ def op8_mix_sources(spark, sf_dir):
     return mixing.query(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_chat_format(spark, sf_dir):
     ok = "<|im_end|><|im_start|>assistant ok"
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -25,8 +47,12 @@ def op10_chat_format(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_quality": op3_quality,
+    "op5_toxicity": op5_toxicity,
+    "op6_html_text": op6_html_text,
     "op7_simhash": op7_simhash,
     "op8_mix_sources": op8_mix_sources,
+    "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
 }
 
