@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_text, mixing, quality, simhash, toxicity
+from . import chat, decontam, html_text, mixing, pii, quality, simhash, toxicity
 from .common import table
 
 
+def op1_private_data(spark, sf_dir):
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = quality.held_out("doc_id", 4, 2)
@@ -47,6 +51,7 @@ def op10_chat_format(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_private_data": op1_private_data,
     "op3_quality": op3_quality,
     "op5_toxicity": op5_toxicity,
     "op6_html_text": op6_html_text,
