@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_sample
 
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 DISCOUNT = 0.9
 PREFIXES = (3, 4, 5, 6, 8)
 LEVELS = len(PREFIXES) + 2
@@ -146,22 +146,28 @@ def count_units(marked: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"slot": key // (SLOTS + 1), "parent": key % (SLOTS + 1) - 1, "toxic": tox, "plain": np.bincount(inv, minlength=len(key)) - tox})
 
     rows = marked.select("text", "y").mapInPandas(run, "slot int, parent int, toxic long, plain long")
-    return rows.groupBy("slot", "parent").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-
-
-def ratios(pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Slot log-likelihood ratios from (slot, parent, toxic, plain), and the two word counts."""
-    s = pairs.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"), F.max("parent").alias("parent")).toPandas()
-    k = pairs.groupBy("parent").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"), F.count(F.when(F.col("toxic") > 0, 1)).alias("t_toxic"), F.count(F.when(F.col("plain") > 0, 1)).alias("t_plain")).toPandas()
-    table = np.zeros((4, SLOTS + 1))
-    at = k["parent"].to_numpy(np.int64)  # -1, the root, is the last column
-    for i, name in enumerate(("toxic", "plain", "t_toxic", "t_plain")):
-        table[i, at] = k[name]
-    n = table[:2, -1].copy()
-    slot, parent = s["slot"].to_numpy(np.int64), s["parent"].to_numpy(np.int64)
-    c = s[["toxic", "plain"]].to_numpy(float).T
-    below, kinds = table[:2, parent], table[2:, parent]
-    pooled = np.minimum(1.0, c.sum(axis=0) / np.maximum(1, below.sum(axis=0)))
+    return summed(rows)
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """One row per slot: at most SLOTS. Slots that collide share the larger parent."""
+    return rows.groupBy("slot").agg(F.max("parent").alias("parent"), F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+
+
+def ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Slot log-likelihood ratios from (slot, parent, toxic, plain), and the two word counts.
+
+    At most SLOTS rows of 16 bytes reach the driver.
+    """
+    rows = counts.select("slot", "parent", F.col("toxic").cast("float"), F.col("plain").cast("float")).toArrow()
+    slot, parent = (rows.column(c).to_numpy().astype(np.int64) for c in ("slot", "parent"))
+    c = np.stack([rows.column(x).to_numpy().astype(np.float64) for x in ("toxic", "plain")])
+    del rows
+    up = np.where(parent < 0, SLOTS, parent)
+    table = np.stack([np.bincount(up, weights=w, minlength=SLOTS + 1) for w in (*c, c[0] > 0, c[1] > 0)])
+    n = table[:2, SLOTS].copy()
+    below, kinds = table[:2, up], table[2:, up]
+    pooled = c.sum(axis=0) / np.maximum(1, below.sum(axis=0))
     with np.errstate(divide="ignore", invalid="ignore"):
         p = (np.maximum(c - DISCOUNT, 0) + DISCOUNT * kinds * pooled) / below
         p = np.where(below > 0, p, pooled)
@@ -212,8 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
 
     rows = src.join(aside, id_col).select("text", "y").mapInPandas(run, "x array<double>, y int").toPandas()
     fitted = calibrate(np.array(rows["x"].tolist(), float).reshape(-1, N_SHAPE), rows["y"].to_numpy(float))
-    both = first.unionByName(second).groupBy("slot", "parent").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    model = Model(*ratios(both), *fitted)
+    model = Model(*ratios(summed(first.unionByName(second))), *fitted)
     shared.destroy()
     scratch.drop(marks, first, second)
     return model
