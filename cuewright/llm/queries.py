@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_text, mixing, pii, quality, simhash, toxicity
+from . import chat, decontam, html_text, mixing, passages, pii, quality, simhash, toxicity, vectors
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_private_data(spark, sf_dir):
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_repeated_passages(spark, sf_dir):
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = quality.held_out("doc_id", 4, 2)
@@ -19,6 +23,10 @@ def op3_quality(spark, sf_dir):
     return s.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+def op4_near_vectors(spark, sf_dir):
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = quality.held_out("doc_id", 5, 0)
@@ -52,7 +60,9 @@ def op10_chat_format(spark, sf_dir):
 
 QUERIES = {
     "op1_private_data": op1_private_data,
+    "op2_repeated_passages": op2_repeated_passages,
     "op3_quality": op3_quality,
+    "op4_near_vectors": op4_near_vectors,
     "op5_toxicity": op5_toxicity,
     "op6_html_text": op6_html_text,
     "op7_simhash": op7_simhash,
@@ -75,4 +85,4 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
-ORACLES = {"op8_mix_sources": mixing.ORACLE_SQL, "op10_chat_format": CHAT_SQL}
+ORACLES = {"op4_near_vectors": vectors.ORACLE_SQL, "op8_mix_sources": mixing.ORACLE_SQL, "op10_chat_format": CHAT_SQL}
