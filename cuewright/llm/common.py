@@ -65,3 +65,11 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
         return df
     share = int(most / n * (1 << 30))
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < share)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with underscores after it until no column has it, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import fresh, partitions
 
 #: Bits of a hash used for a uniform number; a double holds them exactly.
 BITS = 52
@@ -64,19 +64,19 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, id_col
     ``copy_no`` counts a row's copies from 0; ``shuffle_key`` (md5 of seed, id and copy) is the
     global order: partitions are ranges of it and sorted by it. Null ids hash as the text "null",
     null sources are one source. Rows repeated with one id get the same draw. An empty table gives
-    an empty one. Columns named like the helpers (__rate and so on) are refused.
+    an empty one. Columns of ``docs`` named copy_no or shuffle_key are replaced.
     """
-    if bad := {"__u", "__cdf", "__source", "copy_no", "shuffle_key"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(bad)} clash")
+    docs = docs.drop("copy_no", "shuffle_key")
+    u, cdf, src = (fresh(c, docs.columns) for c in ("__u", "__cdf", "__source"))
     rates = source_rates(docs, weights, source_col, size, temperature)
-    table = rates.select(F.col("source").alias("__source"), poisson_cdf(F.col("rate")).alias("__cdf"))
+    table = rates.select(F.col("source").alias(src), poisson_cdf(F.col("rate")).alias(cdf))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    x = docs.withColumn("__u", uniform(key, seed)).join(table, F.col(source_col).eqNullSafe(F.col("__source")))
-    copies = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
+    x = docs.withColumn(u, uniform(key, seed)).join(table, F.col(source_col).eqNullSafe(F.col(src)))
+    copies = F.size(F.filter(cdf, lambda c: c <= F.col(u)))
     x = x.withColumn("copy_no", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
-    x = x.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}/"), key, F.lit("/"), F.col("copy_no").cast("string")))).drop("__u", "__cdf", "__source")
+    x = x.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}/"), key, F.lit("/"), F.col("copy_no").cast("string")))).drop(u, cdf, src)
     return x.repartitionByRange(partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
 
 

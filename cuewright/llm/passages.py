@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, fresh, partitions
 from .components import connected_components
 from .simhash import spanning
 
@@ -261,13 +261,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the passages that an earlier document holds, all columns kept; null texts stay null."""
-    gone = repeated_passages(docs, id_col, text_col).where("removed").groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__gone"))
-    x = docs.join(gone.withColumnRenamed(id_col, "__id"), F.col(id_col) == F.col("__id"), "left")
+    gone = repeated_passages(docs, id_col, text_col).where("removed").groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone"))
+    key, cuts_ = fresh("__id", docs.columns), fresh("__gone", docs.columns)
+    gone = gone.select(F.col(id_col).alias(key), F.col("gone").alias(cuts_))
+    x = docs.join(gone, F.col(id_col) == F.col(key), "left")
     t = F.col(text_col)
     cut = F.aggregate(
-        "__gone",
+        cuts_,
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda s, g: F.struct(F.concat(s["out"], F.substring(t, s["at"] + 1, g["start"] - s["at"])).alias("out"), g["end"].alias("at")),
         lambda s: F.concat(s["out"], F.substring(t, s["at"] + 1, F.length(t))),
     )
-    return x.withColumn(text_col, F.when(F.col("__gone").isNull(), t).otherwise(cut)).select(*docs.columns)
+    return x.withColumn(text_col, F.when(F.col(cuts_).isNull(), t).otherwise(cut)).select(*docs.columns)
