@@ -73,3 +73,15 @@ def fresh(name: str, columns: list[str]) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def slices(texts: list, chars: int):
+    """(first index, texts): runs of whole texts of about ``chars`` characters, one longer text alone."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= chars:
+            yield start, texts[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, texts[start:]

@@ -22,18 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, partitions
+from .common import Scratch, fresh, partitions, slices
 from .components import connected_components
 from .simhash import spanning
 
 WORD = re.compile(r"\w+")
+NEWLINE = re.compile("\n")
 SHINGLE = 5
 JACCARD = 0.8
 MIN_WORDS = 15
-REACH = 5
+REACH = 4
 #: 1 - (1 - 0.8**2)**6: a pair of lines at the threshold shares a band 99.8 times in 100.
 BANDS, ROWS = 6, 2
 BUCKET = 256
+SLICE_CHARS = 1_000_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = np.random.default_rng(2024).integers(1, 2**63, BANDS * ROWS).astype(np.uint64)
@@ -85,42 +87,55 @@ def cuts(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(low)
 
 
-def paragraphs(text: str | None) -> tuple[np.ndarray, ...] | None:
-    """Lines and pieces of a whole text: (is_line, first word, words, start, end, hash, bands).
+def paragraphs(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """Lines and pieces of whole texts: (text number, is_line, first word, words, start, end, hash, bands).
 
-    Offsets are code points. Bands are zeros for pieces. None for texts without words.
+    Offsets are code points. ``bands`` has a row for each line, in order. Texts without words give
+    nothing. Texts lie side by side, REACH empty places apart, so none sees its neighbours.
     """
-    text = text or ""
-    at = [m.span() for m in WORD.finditer(text)]
-    if not at:
-        return None
-    spans = np.array(at, dtype=np.int64)
-    h = _word_hashes([text[a:b].lower() for a, b in at])
-    piece = cuts(h)
-    piece_end = np.r_[piece[1:], len(h)]
-    breaks = np.array([i for i, c in enumerate(text) if c == "\n"], dtype=np.int64) if "\n" in text else np.zeros(0, np.int64)
-    line = np.unique(np.r_[0, np.searchsorted(spans[:, 0], breaks)])
+    spans, words, count, breaks = [], [], [], []
+    seen = 0
+    for t in texts:
+        t = t or ""
+        at = [m.span() for m in WORD.finditer(t)]
+        spans += at
+        words += [t[a:b].lower() for a, b in at]
+        count.append(len(at))
+        nl = [m.start() for m in NEWLINE.finditer(t)]
+        if at and nl:
+            breaks.append(seen + np.searchsorted(np.array(at)[:, 0], nl))
+        seen += len(at)
+    n = np.array(count, dtype=np.int64)
+    first = np.cumsum(n) - n
+    span = np.array(spans, dtype=np.int64).reshape(-1, 2)
+    h = _word_hashes(words)
+    doc = np.repeat(np.arange(len(n)), n)
+    spread = np.full(len(h) + len(n) * REACH, np.uint64(2**64 - 1))
+    place = np.arange(len(h)) + doc * REACH
+    spread[place] = h
+    low = np.zeros(len(spread), bool)
+    low[cuts(spread)] = True
+    own = first[n > 0]
+    ends = np.r_[own, len(h)]
+    piece = np.union1d(np.flatnonzero(low[place]), own)
+    line = np.unique(np.concatenate([own, *breaks])) if len(own) else own
     line = line[line < len(h)]
-    line_end = np.r_[line[1:], len(h)]
+    piece_end, line_end = np.r_[piece[1:], len(h)][: len(piece)], np.r_[line[1:], len(h)][: len(line)]
     long = line_end - line >= MIN_WORDS
     line, line_end = line[long], line_end[long]
     start, end = np.r_[line, piece], np.r_[line_end, piece_end]
     is_line = np.r_[np.ones(len(line), bool), np.zeros(len(piece), bool)]
     keys = np.r_[_run_hash(h, line, line_end, 1), _run_hash(h, piece, piece_end, 2)]
-    bands = np.zeros((len(start), BANDS), dtype=np.int64)
+    bands = np.zeros((len(line), BANDS), np.uint64)
     if len(line):
         s = _shingle_hashes(h)
-        low = np.empty((len(line), BANDS * ROWS), dtype=np.uint64)
         edge = np.c_[line, line_end - SHINGLE + 1].ravel()
         for k, seed in enumerate(_SEEDS):
             m = np.r_[_mix(s ^ seed), np.uint64(0)]
-            low[:, k] = np.minimum.reduceat(m, edge)[::2]
-        low = low.reshape(len(line), BANDS, ROWS)
-        b = np.zeros((len(line), BANDS), np.uint64)
-        for r in range(ROWS):
-            b = _mix(b * _M1 + low[:, :, r])
-        bands[: len(line)] = _mix(b + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
-    return is_line, start, end - start, spans[start, 0], spans[end - 1, 1], keys.view(np.int64), bands
+            bands[:, k // ROWS] = _mix(bands[:, k // ROWS] * _M1 + np.minimum.reduceat(m, edge)[::2])
+        bands = _mix(bands + np.arange(1, BANDS + 1, dtype=np.uint64))
+    at = doc[start] if len(start) else start
+    return at, is_line, start - first[at], end - start, span[start, 0], span[end - 1, 1], keys.view(np.int64), bands.view(np.int64)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -134,17 +149,12 @@ UNIT = "doc_id long, is_line boolean, word int, n_words int, start int, end int,
 def units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for b in batches:
-            parts = []
-            for d, t in zip(b["id"], b["text"]):
-                p = paragraphs(t)
-                if p is not None:
-                    lines = int(p[0].sum())
-                    parts.append(pd.DataFrame({"doc_id": d, "is_line": p[0], "word": p[1].astype(np.int32), "n_words": p[2].astype(np.int32), "start": p[3].astype(np.int32), "end": p[4].astype(np.int32), "h": p[5], "bands": [*p[6][:lines]] + [None] * (len(p[1]) - lines)}))
-                if len(parts) >= 500:
-                    yield pd.concat(parts)
-                    parts = []
-            if parts:
-                yield pd.concat(parts)
+            ids = b["id"].to_numpy()
+            for at, part in slices(b["text"].tolist(), SLICE_CHARS):
+                doc, line, word, n, start, end, h, bands = paragraphs(part)
+                if len(doc):
+                    nums = {k: v.astype(np.int32) for k, v in (("word", word), ("n_words", n), ("start", start), ("end", end))}
+                    yield pd.DataFrame({"doc_id": ids[at : at + len(part)][doc], "is_line": line} | nums | {"h": h, "bands": [*bands] + [None] * (len(doc) - len(bands))})
 
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInPandas(run, UNIT)

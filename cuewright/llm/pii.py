@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, slices
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = len(KINDS) + 1
@@ -395,17 +395,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_doc
     return train([(t, [tuple(map(int, s[i : i + 3])) for i in range(0, len(s), 3)]) for t, s in zip(rows["text"], rows["spans"])])
 
 
-def _slices(texts: list, chars: int = 600_000):
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= chars:
-            yield start, texts[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, texts[start:]
-
-
 SPAN = "array<struct<kind:string,start:int,end:int,added:boolean>>"
 
 
@@ -423,7 +412,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         for b in batches:
             ids = b["id"]
-            for start, part in _slices(b["text"].tolist()):
+            for start, part in slices(b["text"].tolist(), 600_000):
                 found = [sorted([(*s, False) for s in base] + [(*s, True) for s in more]) for base, more in all_spans(part, shared.value)]
                 rows = [[{"kind": KINDS[k], "start": a, "end": z, "added": m} for k, a, z, m in f] for f in found]
                 yield pd.DataFrame({"id": ids.iloc[start : start + len(part)].to_numpy(dtype=object), "spans": rows})
@@ -450,7 +439,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", net:
     @F.pandas_udf("string")
     def run(t: pd.Series) -> pd.Series:
         out = []
-        for _, part in _slices(t.tolist()):
+        for _, part in slices(t.tolist(), 600_000):
             out += [None if x is None else clean(x, base + more) for x, (base, more) in zip(part, all_spans(part, shared.value))]
         return pd.Series(out, dtype=object)
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_sample
+from .common import Scratch, bounded_sample, slices
 
 SLOTS = 1 << 21
 DISCOUNT = 0.9
@@ -85,18 +85,6 @@ def units(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return d, slot, parent
 
 
-def _slices(texts: list[str | None]):
-    """Runs of texts of about SLICE_CHARS characters (one longer text stands alone)."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= SLICE_CHARS:
-            yield start, texts[start : i + 1]
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, texts[start:]
-
-
 @dataclass
 class Model:
     """Log-likelihood ratio of each slot, the class word counts, and the calibration."""
@@ -110,7 +98,7 @@ class Model:
     def shapes(self, texts: list[str | None]) -> np.ndarray:
         """Per text: mean ratio, sum over root length, largest, and per cut the strong words' sum a word and in all."""
         out = np.zeros((len(texts), N_SHAPE))
-        for start, part in _slices(texts):
+        for start, part in slices(texts, SLICE_CHARS):
             d, slot, _ = units(part)
             if len(d):
                 r = self.ratio[slot].sum(axis=1)
@@ -136,7 +124,7 @@ def count_units(marked: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             y, texts = b["y"].to_numpy(), b["text"].tolist()
-            for start, part in _slices(texts):
+            for start, part in slices(texts, SLICE_CHARS):
                 d, slot, parent = units(part)
                 if not len(d):
                     continue
