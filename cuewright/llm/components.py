@@ -52,4 +52,5 @@ def connected_components(edges: DataFrame, a: str, b: str, scratch: Scratch, max
         e = nxt
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -28,7 +28,7 @@ TREES = 4
 CELL = 48
 CHUNK = 64
 ROUNDS = 6
-RECALL = 0.99
+RECALL = 1.0
 AUDIT = 200
 BLOCK = 1024
 
