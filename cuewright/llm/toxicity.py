@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,39 +116,54 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z @ self.coef[:-1] + self.coef[-1], -40, 40)))
 
 
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, z): whole texts compressed, so that the one shuffle of texts moves a third of them."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        c = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "z": [c.compress((t or "").encode("utf-8", "surrogatepass")) for t in b["text"]]})
+
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInPandas(run, f"id {kind}, z binary").withColumnsRenamed({"id": id_col})
+
+
+COUNTS = ("toxic", "plain", "side_toxic", "side_plain")
+
+
 def count_units(marked: DataFrame) -> DataFrame:
-    """Rows (slot, parent, toxic, plain): unit counts by class over all rows of (text, y).
+    """Rows (slot, parent, four counts): units by class and side over all rows of (z, y, side).
 
-    Each map partition sums its own units first, in blocks, so a hot word costs one row a block.
+    Each map task sums the units of a slice of texts first, so a hot word costs it one row a
+    slice; Spark sums again before the shuffle. At most SLOTS rows come out: slots that collide
+    share the larger parent.
     """
 
     def run(batches):
+        d_ = zstandard.ZstdDecompressor()
         for b in batches:
-            y, texts = b["y"].to_numpy(), b["text"].tolist()
-            for start, part in slices(texts, SLICE_CHARS):
+            kind = (1 - b["y"].to_numpy().astype(np.int64)) + 2 * b["side"].to_numpy().astype(np.int64)  # place in COUNTS
+            for start, part in slices([d_.decompress(z).decode("utf-8", "surrogatepass") for z in b["z"]], SLICE_CHARS):
                 d, slot, parent = units(part)
                 if not len(d):
                     continue
-                t = np.repeat(y[start : start + len(part)][d].astype(np.int64), LEVELS)
                 key, inv = np.unique(slot.ravel() * np.int64(SLOTS + 1) + parent.ravel() + 1, return_inverse=True)
-                tox = np.bincount(inv, weights=t, minlength=len(key)).astype(np.int64)
-                yield pd.DataFrame({"slot": key // (SLOTS + 1), "parent": key % (SLOTS + 1) - 1, "toxic": tox, "plain": np.bincount(inv, minlength=len(key)) - tox})
-
-    rows = marked.select("text", "y").mapInPandas(run, "slot int, parent int, toxic long, plain long")
-    return summed(rows)
-
+                at = inv * 4 + np.repeat(kind[start : start + len(part)][d], LEVELS)
+                n = np.bincount(at, minlength=4 * len(key)).reshape(-1, 4)
+                yield pd.DataFrame({"slot": key // (SLOTS + 1), "parent": key % (SLOTS + 1) - 1} | {c: n[:, i] for i, c in enumerate(COUNTS)})
 
-def summed(rows: DataFrame) -> DataFrame:
-    """One row per slot: at most SLOTS. Slots that collide share the larger parent."""
-    return rows.groupBy("slot").agg(F.max("parent").alias("parent"), F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+    rows = marked.select("z", "y", "side").mapInPandas(run, "slot int, parent int, toxic int, plain int, side_toxic int, side_plain int")
+    return rows.groupBy("slot").agg(F.max("parent").alias("parent"), *(F.sum(c).alias(c) for c in COUNTS))
 
 
-def ratios(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Slot log-likelihood ratios from (slot, parent, toxic, plain), and the two word counts.
+def ratios(counts: DataFrame, without: str = "side") -> tuple[np.ndarray, np.ndarray]:
+    """Slot log-likelihood ratios and the two word counts, from all counts or from those off the side.
 
     At most SLOTS rows of 16 bytes reach the driver.
     """
-    rows = counts.select("slot", "parent", F.col("toxic").cast("float"), F.col("plain").cast("float")).toArrow()
+    take = (lambda k: F.col(k)) if without else (lambda k: F.col(k) + F.col(f"side_{k}"))
+    rows = counts.select("slot", "parent", take("toxic").cast("float").alias("toxic"), take("plain").cast("float").alias("plain")).toArrow()
     slot, parent = (rows.column(c).to_numpy().astype(np.int64) for c in ("slot", "parent"))
     c = np.stack([rows.column(x).to_numpy().astype(np.float64) for x in ("toxic", "plain")])
     del rows
@@ -188,27 +204,27 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     ids are toxic if any label says so. Only slot tables and a few numbers a calibration row reach
     the driver.
     """
-    scratch = Scratch(docs.sparkSession, "toxicity")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
     marks = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
-    src = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
     marks = scratch.keep(marks.withColumn("side", F.pmod(F.xxhash64(F.lit("calibrate"), F.col(id_col)), F.lit(4)) == 0))
-    first = scratch.keep(count_units(src.join(marks.where(~F.col("side")), id_col)))
-    aside = bounded_sample(marks.where("side"), id_col, calibrate_rows)
-    second = scratch.keep(count_units(src.join(marks.where("side"), id_col)))
-    r, n = ratios(first)
+    counts = scratch.keep(count_units(packed(docs, id_col, text_col).join(marks, id_col)))
+    r, n = ratios(counts)
     none = np.zeros(N_SHAPE), np.ones(N_SHAPE), np.zeros(N_SHAPE + 1)
-    shared = docs.sparkSession.sparkContext.broadcast(Model(r, n, *none))
+    shared = spark.sparkContext.broadcast(Model(r, n, *none))
 
     def run(batches):
         for b in batches:
             if len(b):
                 yield pd.DataFrame({"x": shared.value.shapes(b["text"].tolist()).tolist(), "y": b["y"]})
 
-    rows = src.join(aside, id_col).select("text", "y").mapInPandas(run, "x array<double>, y int").toPandas()
+    aside = F.broadcast(bounded_sample(marks.where("side"), id_col, calibrate_rows))  # its size is bounded
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(aside, id_col)
+    rows = rows.select("text", "y").mapInPandas(run, "x array<double>, y int").toPandas()
     fitted = calibrate(np.array(rows["x"].tolist(), float).reshape(-1, N_SHAPE), rows["y"].to_numpy(float))
-    model = Model(*ratios(summed(first.unionByName(second))), *fitted)
+    model = Model(*ratios(counts, ""), *fitted)
     shared.destroy()
-    scratch.drop(marks, first, second)
+    scratch.drop(marks, counts)
     return model
 
 
