@@ -44,10 +44,10 @@ def p19_bursts(spark, d):
 
 @query(f"""WITH {ACTIONS_SQL} SELECT event_id, CASE kind WHEN 'CLICK' THEN 'POINTER_BUTTON' WHEN 'TYPE' THEN 'TEXT_INPUT' ELSE kind END AS control,
   CASE WHEN kind = 'CLICK' THEN round((tokens[2] - 12) / 255.0::DOUBLE, 6) END AS x, CASE WHEN kind = 'CLICK' THEN round((tokens[3] - 12) / 255.0::DOUBLE, 6) END AS y,
-  CASE WHEN kind = 'WAIT' THEN round_even((tokens[2] - 524) / 127.0::DOUBLE * 10000, 0)::INT END AS duration_ms, CASE WHEN kind = 'TYPE' THEN props END AS text FROM tokens""")
+  CASE WHEN kind = 'WAIT' THEN round_even((tokens[2] - 524) / 127.0::DOUBLE * 10000, 0)::DOUBLE END AS duration_ms, CASE WHEN kind = 'TYPE' THEN props END AS text FROM tokens""")
 def p20_controls(spark, d):
     x = tokens(spark, d).select(F.col("event_id").alias("e"), F.explode(actions.controls(F.col("tokens"), F.col("event_id").cast("string"))).alias("c"))
-    return x.select(F.col("e").alias("event_id"), "c.control", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"), "c.duration_ms", "c.text")
+    return x.select(F.col("e").alias("event_id"), "c.control", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"), F.col("c.duration_ms").cast("double").alias("duration_ms"), "c.text")
 
 
 @query(f"""WITH {ACTIONS_SQL}, k AS (SELECT *, count(*) OVER (PARTITION BY user_id, event_id // 3) AS n FROM tokens) SELECT event_id, CASE WHEN n > 1 THEN 'two actions in a tick' WHEN len(tokens) > 16 THEN 'too long' END AS reason FROM k WHERE n > 1 OR len(tokens) > 16""")

@@ -49,9 +49,9 @@ def a14_shard_summary(spark, d):
     return source_items(spark, d).groupBy("split").agg(F.count("*").alias("episodes"), F.sum(F.floor(F.col("n_chars") / 80)).alias("units"))
 
 
-@query("SELECT user_id, count(*) AS units, (epoch_ms(max(ts)) - epoch_ms(min(ts)))::BIGINT AS duration_ms FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS units, (epoch_us(max(ts)) - epoch_us(min(ts)))::BIGINT AS duration_us FROM events GROUP BY user_id")
 def a15_episode_stats(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("units"), (F.unix_millis(F.max("ts").cast("timestamp")) - F.unix_millis(F.min("ts").cast("timestamp"))).alias("duration_ms"))
+    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("units"), (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).alias("duration_us"))
 
 
 @query("SELECT source, bool_or(doc_id % 97 = 0) AS old_version, bool_or(lang IS NULL) AS no_identity, count(*) FILTER (doc_id % 97 = 0) AS n_old FROM documents GROUP BY source")
