@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, bounded_sample, slices
 
 SLOTS = 1 << 21
+#: Word pairs share this part of the slots, so that they can't outnumber the rest in a shuffle.
+PAIR_SLOTS = 1 << 18
 DISCOUNT = 0.9
 PREFIXES = (3, 4, 5, 6, 8)
 LEVELS = len(PREFIXES) + 2
@@ -79,7 +81,7 @@ def units(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.r_[np.uint64(5), keys[:-1, -1]]
     before[np.r_[True, d[1:] != d[:-1]]] = np.uint64(5)
     pair = _mix(before * _M1 + keys[:, -1]) + np.uint64(7)
-    slot = (np.concatenate([keys, pair[:, None]], axis=1) % np.uint64(SLOTS)).astype(np.int64)
+    slot = np.concatenate([keys % np.uint64(SLOTS - PAIR_SLOTS), (pair % np.uint64(PAIR_SLOTS) + np.uint64(SLOTS - PAIR_SLOTS))[:, None]], axis=1).astype(np.int64)
     parent = np.empty_like(slot)
     parent[:, 0] = -1
     parent[:, 1:] = slot[:, :-1]
@@ -121,7 +123,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        c = zstandard.ZstdCompressor(level=1)
+        c = zstandard.ZstdCompressor(level=3)
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "z": [c.compress((t or "").encode("utf-8", "surrogatepass")) for t in b["text"]]})
 
