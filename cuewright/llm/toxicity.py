@@ -34,7 +34,7 @@ LEVELS = len(PREFIXES) + 2
 #: Most labelled rows that fit the last, calibration over a few numbers a row.
 CALIBRATE_ROWS = 20_000
 SLICE_CHARS = 4_000_000
-STRONG = (1.0, 2.0, 3.5)
+STRONG = (1.0, 2.0, 3.5, 6.0)
 N_SHAPE = 3 + 2 * len(STRONG)
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
