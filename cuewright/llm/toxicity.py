@@ -33,7 +33,7 @@ PREFIXES = (3, 4, 5, 6, 8)
 LEVELS = len(PREFIXES) + 2
 #: Most labelled rows that fit the last, calibration over a few numbers a row.
 CALIBRATE_ROWS = 20_000
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_500_000
 STRONG = (1.0, 2.0, 3.5, 6.0)
 N_SHAPE = 3 + 2 * len(STRONG)
 
