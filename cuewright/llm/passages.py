@@ -193,49 +193,59 @@ def line_links(u: DataFrame, docs: DataFrame, id_col: str, text_col: str, s: Scr
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     x = x.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "h", "shingles")
 
-    def links(g):
-        i, j = g["i"].iloc[0], g["j"].iloc[0]
-        hs, own = g["h"].to_numpy(), g["own"].to_numpy()
-        sets = [np.asarray(v, dtype=np.int64) for v in g["shingles"]]
-        size = np.array([len(v) for v in sets])
-        order = np.argsort(size, kind="stable")
-        left, right = [], []
-        for p, a in enumerate(order):
-            for b in order[p + 1 :]:
-                if size[a] < JACCARD * size[b]:
-                    break
-                if (i == j or own[a] != own[b]) and jaccard(sets[a], sets[b]) >= JACCARD:
-                    left.append(hs[a])
-                    right.append(hs[b])
-        if not left:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        a, b = spanning(np.array(left), np.array(right))
-        return pd.DataFrame({"a": a, "b": b})
-
     keys = ["band", "i", "j"]
     dealt = x.repartition(partitions(u.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.mapInPandas(_whole(links, keys), "a long, b long")
-
-
-def _whole(run, keys):
-    """Hand whole groups of a partition sorted by ``keys`` to ``run``, one at a time."""
-
-    def body(batches):
-        rest = None
-        for b in batches:
+    return dealt.mapInPandas(_linked, "a long, b long")
+
+
+def block_links(hs: list[int], own: list[int], sets: list[np.ndarray], one: bool) -> tuple[list[int], list[int]]:
+    """Pairs of a block (``one``) or across two blocks whose shingle sets reach the Jaccard threshold."""
+    left, right = [], []
+    order = sorted(range(len(hs)), key=lambda k: len(sets[k]))
+    for p, a in enumerate(order):
+        for b in order[p + 1 :]:
+            if len(sets[a]) < JACCARD * len(sets[b]):
+                break
+            if (one or own[a] != own[b]) and jaccard(sets[a], sets[b]) >= JACCARD:
+                left.append(hs[a])
+                right.append(hs[b])
+    return left, right
+
+
+def _linked(batches):
+    """Spanning edges of whole (band, i, j) groups of a sorted partition; one open group is carried on."""
+    rest = None
+    for b in _and_end(batches):
+        last = b is None
+        if not last:
             rest = b if rest is None or not len(rest) else pd.concat([rest, b], ignore_index=True)
-            if not len(rest):
-                continue
-            last = np.ones(len(rest), bool)
-            for k in keys:
-                last &= (rest[k] == rest[k].iloc[-1]).to_numpy()
-            done, rest = rest[~last], rest[last]
-            for _, g in done.groupby(keys, sort=False) if len(done) else ():
-                yield run(g)
-        if rest is not None and len(rest):
-            yield run(rest)
-
-    return body
+        if rest is None or not len(rest):
+            continue
+        k = rest[["band", "i", "j"]].to_numpy()
+        cut = np.r_[0, np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, len(k)]
+        done = len(cut) - 1 if last else len(cut) - 2
+        hs, own, sets = rest["h"].tolist(), rest["own"].tolist(), [np.asarray(v, dtype=np.int64) for v in rest["shingles"][: cut[done]]]
+        left, right = [], []
+        for lo, hi in zip(cut[:done].tolist(), cut[1 : done + 1].tolist()):
+            one = k[lo, 1] == k[lo, 2]
+            if hi - lo == 2 and one:  # most groups are pairs
+                x, y = sets[lo], sets[lo + 1]
+                if min(len(x), len(y)) >= JACCARD * max(len(x), len(y)) and jaccard(x, y) >= JACCARD:
+                    left.append(hs[lo])
+                    right.append(hs[lo + 1])
+            elif hi - lo >= 2:
+                p, q = block_links(hs[lo:hi], own[lo:hi], sets[lo:hi], one)
+                if p:
+                    p, q = spanning(np.array(p), np.array(q))
+                    left += p.tolist()
+                    right += q.tolist()
+        rest = rest.iloc[cut[done] :]
+        yield pd.DataFrame({"a": np.array(left, np.int64), "b": np.array(right, np.int64)})
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
