@@ -33,7 +33,7 @@ PREFIXES = (3, 4, 5, 6, 8)
 LEVELS = len(PREFIXES) + 2
 #: Most labelled rows that fit the last, calibration over a few numbers a row.
 CALIBRATE_ROWS = 20_000
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 300_000
 STRONG = (1.0, 2.0, 3.5, 6.0)
 N_SHAPE = 3 + 2 * len(STRONG)
 
@@ -153,7 +153,9 @@ def count_units(marked: DataFrame) -> DataFrame:
                 key, inv = np.unique(slot.ravel() * np.int64(SLOTS + 1) + parent.ravel() + 1, return_inverse=True)
                 at = inv * 4 + np.repeat(kind[start : start + len(part)][d], LEVELS)
                 n = np.bincount(at, minlength=4 * len(key)).reshape(-1, 4)
-                yield pd.DataFrame({"slot": key // (SLOTS + 1), "parent": key % (SLOTS + 1) - 1} | {c: n[:, i] for i, c in enumerate(COUNTS)})
+                del slot, parent, at, inv
+                cols = {"slot": key // (SLOTS + 1), "parent": key % (SLOTS + 1) - 1} | {c: n[:, i] for i, c in enumerate(COUNTS)}
+                yield pd.DataFrame({c: v.astype(np.int32) for c, v in cols.items()})
 
     rows = marked.select("z", "y", "side").mapInPandas(run, "slot int, parent int, toxic int, plain int, side_toxic int, side_plain int")
     return rows.groupBy("slot").agg(F.max("parent").alias("parent"), *(F.sum(c).alias(c) for c in COUNTS))
