@@ -7,21 +7,31 @@ from pyspark.sql import functions as F
 
 
 def ascii_json(c: Column) -> Column:
-    """Escape characters above ASCII as JSON's lower-case unicode escapes (pairs above the plane)."""
+    """Escape the delete character and all above ASCII as JSON's lower-case unicode escapes (pairs above the plane)."""
     parts = F.split(c, "")
 
     def one(ch):
         units = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
         said = F.concat(F.lit("\\u"), F.substring(units, 1, 4), F.when(F.length(units) > 4, F.concat(F.lit("\\u"), F.substring(units, 5, 4))).otherwise(""))
-        return F.when(F.length(F.encode(ch, "UTF-8")) > 1, said).otherwise(ch)
+        return F.when((F.octet_length(ch) > 1) | (ch == "\x7f"), said).otherwise(ch)
 
-    return F.when(c.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(parts, one), "")).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-\x7e]"), F.array_join(F.transform(parts, one), "")).otherwise(c)
 
 
 def canonical_json(**fields: Column) -> Column:
     """Compact JSON with sorted keys, ASCII only, nulls kept. Use strings, longs and booleans."""
     s = F.struct(*(fields[k].alias(k) for k in sorted(fields)))
-    return ascii_json(F.to_json(s, {"ignoreNullFields": "false"}))
+    return json_text(s)
+
+
+def json_text(s: Column) -> Column:
+    """A struct as compact ASCII JSON; Spark's upper-case control escapes become lower-case ones."""
+    text = F.to_json(s, {"ignoreNullFields": "false"})
+    low = text
+    for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
+        # an even run of backslashes before it: a real escape, not the text of one
+        low = F.regexp_replace(low, rf"(?<=(?<!\\)(?:\\\\){{0,99}})\\u{code:04X}", rf"\\u{code:04x}")
+    return ascii_json(F.when(text.contains("\\u0"), low).otherwise(text))
 
 
 def stable_hash(**fields: Column) -> Column:

@@ -49,10 +49,10 @@ def a22_reference_kl(spark, d):
     return _objective(spark, d).groupBy("head_kind").agg(F.round(F.sum(F.col("kl") * m) / n, 6).alias("kl"), F.round(F.sum((0.1 * F.col("kl") - F.col("obj")) * m) / n, 6).alias("loss"))
 
 
-@query(f"WITH {ROLLOUTS_SQL}, g AS (SELECT group_id, min(update_id) AS update_id, avg({TOTAL_SQL}) AS m, stddev_pop({TOTAL_SQL}) AS s, count(*) AS n FROM rollouts GROUP BY group_id) SELECT update_id, round(sum(m * n) / sum(n), 4) AS mean_reward, count(*) AS groups, count(*) FILTER (s <= 1e-6) AS skipped FROM g GROUP BY update_id")
+@query(f"WITH {ROLLOUTS_SQL}, g AS (SELECT group_id, min(update_id) AS update_id, avg({TOTAL_SQL}) AS m, stddev_pop({TOTAL_SQL}) AS s, count(*) AS n FROM rollouts GROUP BY group_id) SELECT update_id, round(sum(m * n) / sum(n), 9) AS mean_reward, count(*) AS groups, count(*) FILTER (s <= 1e-6) AS skipped FROM g GROUP BY update_id")
 def a23_reward_summary(spark, d):
     g = rewarded(spark, d).groupBy("group_id").agg(F.min("update_id").alias("update_id"), F.avg("reward").alias("m"), F.stddev_pop("reward").alias("s"), F.count("*").alias("n"))
-    return g.groupBy("update_id").agg(F.round(F.sum(F.col("m") * F.col("n")) / F.sum("n"), 4).alias("mean_reward"), F.count("*").alias("groups"), F.count_if(F.col("s") <= 1e-6).alias("skipped"))
+    return g.groupBy("update_id").agg(F.round(F.sum(F.col("m") * F.col("n")) / F.sum("n"), 9).alias("mean_reward"), F.count("*").alias("groups"), F.count_if(F.col("s") <= 1e-6).alias("skipped"))
 
 
 @query("SELECT l_linenumber AS head, count(*) FILTER (l_linestatus = 'O' AND l_returnflag = 'N') AS hits, count(*) FILTER (l_linestatus = 'O') AS total, count(*) FILTER (l_linestatus = 'O' AND l_returnflag = 'N') / greatest(count(*) FILTER (l_linestatus = 'O'), 1)::DOUBLE AS accuracy FROM lineitem GROUP BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuewright.functions.hashing import ascii_json
+from cuewright.functions.hashing import json_text
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
@@ -28,7 +28,7 @@ def read_document(spark: SparkSession, path: str, schema: T.StructType, items: s
 
 def canonical_lines(df: DataFrame) -> Column:
     """Each row as compact JSON with sorted keys, ASCII only, nulls kept."""
-    return ascii_json(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
+    return json_text(F.struct(*sorted(df.columns)))
 
 
 def write_jsonl(df: DataFrame, path: str, split: str | None = None) -> None:

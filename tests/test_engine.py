@@ -58,7 +58,7 @@ def test_entry(spark):
 
 
 def test_canonical_hash_equals_json(spark):
-    rows = [("a", 1, None), ("é中\U0001f600\"\\\n", 2, "x"), ("", -5, "\x7f\x1f")]
+    rows = [("a", 1, None), ("é中\U0001f600\"\\\n", 2, "x"), ("", -5, "\x7f\x1f"), ("\\u001F \\\\\x1f", 0, "\x0b\x0a")]
     got = spark.createDataFrame(rows, "b string, a long, c string").select(hashing.stable_hash(a=F.col("a"), b=F.col("b"), c=F.col("c")).alias("h")).collect()
     want = [hashlib.sha256(json.dumps({"a": a, "b": b, "c": c}, sort_keys=True, separators=(",", ":")).encode()).hexdigest() for b, a, c in rows]
     assert [r.h for r in got] == want
