@@ -401,3 +401,50 @@ def g1_quota_fit(spark, d):
     want = x.groupBy("lang").agg(F.floor(F.sum("ticks") / 4).alias("target"))
     got = quotas.fit_buckets(x, want, "lang", "ticks", "doc_id").groupBy("lang").agg(F.sum("ticks").alias("chosen")).join(want, "lang")
     return got.where(F.abs(F.col("chosen") - F.col("target")) <= 0.02 * F.col("target")).agg(F.count("*").alias("buckets"))
+
+
+INTENTS = {"greet": 30, "plan": 25, "fix": 20, "read": 15, "stop": 7}
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM documents), w(intent, pct, rank) AS (VALUES ('greet', 30, 0), ('plan', 25, 1), ('fix', 20, 2), ('read', 15, 3), ('stop', 7, 4)),
+b AS (SELECT intent, rank, n * pct // 100 AS k FROM w, n), s AS (SELECT sum(k) AS have FROM b),
+p AS (SELECT (have + i) % 5 AS rank, count(*) AS extra FROM s, n, (SELECT unnest(range(2000)) AS i) WHERE have + i < n GROUP BY 1)
+SELECT intent, (k + coalesce(extra, 0))::BIGINT AS n FROM b LEFT JOIN p USING (rank)""")
+def p14_intent_expansion(spark, d):
+    """Shares of the plan count by intent, rounded down; the rest goes round the intents from where the list stands."""
+    n = table(spark, d, "documents").agg(F.count("*").alias("n"))
+    w = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(INTENTS.items())], "intent string, pct int, rank int")
+    x = w.crossJoin(F.broadcast(n)).withColumn("k", F.floor(F.col("n") * F.col("pct") / 100))
+    x = x.crossJoin(F.broadcast(x.agg(F.sum("k").alias("have"))))
+    first, left = F.pmod(F.col("rank") - F.col("have"), F.lit(5)), F.col("n") - F.col("have")
+    extra = F.when(first < left, F.floor((left - first - 1) / 5) + 1).otherwise(0)
+    return x.select("intent", (F.col("k") + extra).alias("n"))
+
+
+@query(f"""WITH {LAYOUT_SQL}, n AS (SELECT plan_id, (max(end_sample) + 1919) // 1920 AS ticks FROM laid GROUP BY plan_id), s AS (SELECT plan_id, unnest(range(ticks)) AS tick FROM n),
+f AS (SELECT plan_id, start_sample // 1920 AS tick, turn FROM laid WHERE role = 'user')
+SELECT s.plan_id, count(*) AS ticks, count(f.turn) AS shown, max(f.turn)::DOUBLE AS last_turn FROM s LEFT JOIN f USING (plan_id, tick) GROUP BY s.plan_id""")
+def j13_sparse_screens(spark, d):
+    x = laid(spark, d)
+    n = x.groupBy("plan_id").agg(F.ceil(F.max("end_sample") / 1920).alias("ticks"))
+    frames = x.where("role = 'user'").select("plan_id", F.floor(F.col("start_sample") / 1920).alias("tick"), "turn")
+    y = joins.tick_spine(n, "ticks").join(frames, ["plan_id", "tick"], "left")
+    return y.groupBy("plan_id").agg(F.count("*").alias("ticks"), F.count("turn").alias("shown"), F.max("turn").cast("double").alias("last_turn"))
+
+
+@query("""WITH m AS (SELECT source, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS h FROM documents GROUP BY source), r AS (SELECT source, CASE WHEN source = 'src3' THEN 'stale' ELSE h END AS h FROM m WHERE source <> 'src5')
+SELECT source, CASE WHEN r.h IS NULL THEN 'missing' ELSE 'different' END AS status FROM m LEFT JOIN r USING (source) WHERE m.h IS DISTINCT FROM r.h""")
+def j17_report_coverage(spark, d):
+    ids = table(spark, d, "documents").groupBy("source").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda i: i.cast("string")), ",")).alias("h"))
+    report = ids.where("source <> 'src5'").withColumn("h", F.when(F.col("source") == "src3", "stale").otherwise(F.col("h")))
+    return joins.compare_keyed(ids, report, "source", ["h"])
+
+
+@query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN source <> 'src1' AND doc_id % 6 = 0 THEN 'license' END, CASE WHEN doc_id % 50 < 2 THEN 'duplicate' END], lambda x: x IS NOT NULL), ',') AS faults
+FROM documents WHERE (source <> 'src1' AND doc_id % 6 = 0) OR doc_id % 50 < 2""")
+def s6_manifest_checks(spark, d):
+    x = table(spark, d, "documents").select("doc_id", F.when(F.col("source") == "src1", "synthetic").otherwise(F.col("source")).alias("source"), (F.col("doc_id") % 6 != 0).alias("redistribution_allowed"), F.lit("cc").alias("source_license"), F.when(F.col("doc_id") % 50 < 2, F.floor(F.col("doc_id") / 50)).otherwise(F.col("doc_id") + 1_000_000).alias("episode"))
+    twice = aggregates.duplicate_keys(x, "episode").select("episode", F.lit(True).alias("twice"))
+    y = x.join(twice, "episode", "left")
+    why = checks.failed(license=checks.licensed(y), duplicate=F.col("twice").isNull())
+    return y.select("doc_id", F.array_join(why, ",").alias("faults")).where("faults <> ''")
