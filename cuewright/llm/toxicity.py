@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_sample, slices
+from .common import Scratch, bounded_sample, partitions, slices
 
 SLOTS = 1 << 21
 #: Word pairs share this part of the slots, so that they can't outnumber the rest in a shuffle.
@@ -212,7 +212,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     scratch = Scratch(spark, "toxicity")
     marks = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     marks = scratch.keep(marks.withColumn("side", F.pmod(F.xxhash64(F.lit("calibrate"), F.col(id_col)), F.lit(4)) == 0))
-    counts = scratch.keep(count_units(packed(docs, id_col, text_col).join(marks, id_col)))
+    # one kind of join at every size; wider tasks meet more of the same units before the next shuffle
+    marked = packed(docs, id_col, text_col).hint("merge").join(marks, id_col).coalesce(max(1, partitions(spark) // 4))
+    counts = scratch.keep(count_units(marked))
     r, n = ratios(counts)
     none = np.zeros(N_SHAPE), np.ones(N_SHAPE), np.zeros(N_SHAPE + 1)
     shared = spark.sparkContext.broadcast(Model(r, n, *none))
