@@ -1,14 +1,16 @@
 """Toxicity scores from class-conditional Kneser-Ney models that share their backoff counts.
 
-A word is a path of units: its prefixes of three to six letters, the word, then the word after
+A word is a path of units: its prefixes of three to eight letters, the word, then the word after
 its predecessor. For each class k a unit's probability below its parent is
 (max(c_k(u) - D, 0) + D T_k(parent) P(u | parent)) / c_k(parent), where T_k counts the parent's
-distinct children in the class and P is the pooled, class-free share: rare expressions lean on
-counts that both classes share, and units new to a parent say nothing. The score rests on the
-length-normalised difference of the two log-likelihoods.
-
-Counts come from every labelled text by a Spark aggregation. Units are hashed to a fixed number of
-slots, so a model is at most SLOTS numbers a table however large the corpus is.
+distinct children in the class and P is the class-free share: between the first prefix and the
+word by continuation counts (distinct predecessors of the words below a unit), at both ends by
+pooled counts. Rare expressions lean on what both classes share, and units new to a parent say
+nothing. The score rests on the length-normalised difference of the two log-likelihoods.
+
+Counts and ratios are Spark tables by the full 64-bit unit and grow with the input; documents are
+scored by joining their words and word pairs with them. Only class totals and calibration rows
+reach the driver.
 """
 
 from __future__ import annotations
@@ -19,18 +21,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_sample, partitions, slices
 
-SLOTS = 1 << 21
-#: Word pairs share this part of the slots, so that they can't outnumber the rest in a shuffle.
-PAIR_SLOTS = 1 << 18
 DISCOUNT = 0.9
 PREFIXES = (3, 4, 5, 6, 8)
 LEVELS = len(PREFIXES) + 2
+PAIR = LEVELS - 1
 #: Most labelled rows that fit the last, calibration over a few numbers a row.
 CALIBRATE_ROWS = 20_000
 SLICE_CHARS = 300_000
@@ -56,13 +57,13 @@ def _hash_words(words: list[str]) -> np.ndarray:
         h = _mix(h * _M1 + x[:, i] + np.uint64(1))
         if i + 1 in PREFIXES:
             out[:, PREFIXES.index(i + 1)] = h + np.uint64(i + 1)
-    tail = np.fromiter((int.from_bytes(w[width:].encode("utf-8", "surrogatepass")[:4096], "little") % 0xFFFFFFFFFFFFFFC5 for w in words), dtype=np.uint64, count=n)
+    tail = np.fromiter((xxhash.xxh3_64_intdigest(w[width:].encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=n)
     out[:, -1] = _mix(h * _M1 ^ tail) + np.uint64(99)
     return out
 
 
 def units(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, slots, parents) of all words of whole texts; slots and parents by word and level.
+    """(text number, units, parents) of all words of whole texts; 64-bit keys by word and level.
 
     Words are lower-cased runs of letters, digits and underscores. A first word has no predecessor:
     its last level is the word after nothing.
@@ -81,43 +82,89 @@ def units(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before = np.r_[np.uint64(5), keys[:-1, -1]]
     before[np.r_[True, d[1:] != d[:-1]]] = np.uint64(5)
     pair = _mix(before * _M1 + keys[:, -1]) + np.uint64(7)
-    slot = np.concatenate([keys % np.uint64(SLOTS - PAIR_SLOTS), (pair % np.uint64(PAIR_SLOTS) + np.uint64(SLOTS - PAIR_SLOTS))[:, None]], axis=1).astype(np.int64)
+    slot = np.concatenate([keys, pair[:, None]], axis=1).view(np.int64)
     parent = np.empty_like(slot)
     parent[:, 0] = -1
     parent[:, 1:] = slot[:, :-1]
     return d, slot, parent
 
 
+@dataclass
+class Ratios:
+    """Table (unit, ratio): the log-likelihood ratio of every counted unit that has one."""
+
+    table: DataFrame
+
+    def __getitem__(self, unit) -> float:
+        row = self.table.where(F.col("unit") == int(unit)).first()
+        return row.ratio if row else 0.0
+
+
 @dataclass
 class Model:
-    """Log-likelihood ratio of each slot, the class word counts, and the calibration."""
+    """Ratios of units, the class word counts, and the calibration."""
 
-    ratio: np.ndarray
+    ratio: Ratios
     words: np.ndarray
     shape: np.ndarray
     scale: np.ndarray
     coef: np.ndarray
 
-    def shapes(self, texts: list[str | None]) -> np.ndarray:
-        """Per text: mean ratio, sum over root length, largest, and per cut the strong words' sum a word and in all."""
-        out = np.zeros((len(texts), N_SHAPE))
-        for start, part in slices(texts, SLICE_CHARS):
-            d, slot, _ = units(part)
-            if len(d):
-                r = self.ratio[slot].sum(axis=1)
-                n = np.bincount(d, minlength=len(part)).astype(float)
-                s, m = np.bincount(d, weights=r, minlength=len(part)), np.maximum(n, 1)
-                strong = [np.bincount(d, weights=np.where(r > cut, r, 0.0), minlength=len(part)) for cut in STRONG]
-                top = np.zeros(len(part))
-                np.maximum.at(top, d, r)
-                out[start : start + len(part)] = np.c_[s / m, s / np.sqrt(m), top, *(x / m for x in strong), *(np.log1p(x) for x in strong)]
-        return out
-
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        z = np.clip((self.shapes(texts) - self.shape) / self.scale, -8, 8)
+    def calibrated(self, x: np.ndarray) -> np.ndarray:
+        z = np.clip((x - self.shape) / self.scale, -8, 8)
         return 1 / (1 + np.exp(-np.clip(z @ self.coef[:-1] + self.coef[-1], -40, 40)))
 
 
+def shapes(docs: DataFrame, ratio: Ratios, id_col: str, text_col: str) -> DataFrame:
+    """(id, x), one row per input row: mean ratio, sum over root length, largest, and per cut the
+    strong words' sum a word and in all.
+
+    A word's ratio is the sum over its path. Paths of distinct words are summed once, then each
+    row's distinct word pairs are joined with them and with the pairs' own ratios.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def pairs(batches):
+        for b in batches:
+            row, ids = b["row"].to_numpy(), b["id"]
+            for start, part in slices(b["text"].tolist(), SLICE_CHARS):
+                d, slot, _ = units(part)
+                code, at, inv = np.unique(slot[:, PAIR], return_index=True, return_inverse=True)
+                key, n = np.unique(d.astype(np.int64) * max(1, len(code)) + inv, return_counts=True)
+                # a text without words has one row of none
+                none = np.setdiff1d(np.arange(len(part)), d)
+                doc, u = np.r_[key // max(1, len(code)), none] + start, at[key % max(1, len(code))]
+                pad = np.zeros(len(none), np.int64)
+                yield pd.DataFrame({"row": row[doc], "id": ids.iloc[doc].array, "word": np.r_[slot[u, PAIR - 1], row[none + start]], "pair": np.r_[slot[u, PAIR], row[none + start]], "n": np.r_[n, pad].astype(np.int32)})
+
+    def paths(batches):
+        seen: set[int] = set()  # of this task; emptied when large, since rows are made distinct later
+        for b in batches:
+            for _, part in slices(b["text"].tolist(), SLICE_CHARS):
+                _, slot, _ = units(part)
+                word, at = np.unique(slot[:, PAIR - 1], return_index=True)
+                new = np.fromiter((w not in seen for w in word.tolist()), dtype=bool, count=len(word))
+                seen = seen if len(seen) < 1_000_000 else set()
+                seen.update(word[new].tolist())
+                yield pd.DataFrame({f"u{k}": slot[at[new], k] for k in range(PAIR)})
+
+    levels = [f"u{k}" for k in range(PAIR)]
+    path = src.select("text").mapInPandas(paths, ", ".join(f"{c} long" for c in levels)).distinct()
+    path = path.select(F.col(levels[-1]).alias("word"), F.explode(F.array(*levels)).alias("unit"))
+    words = path.join(ratio.table, "unit").groupBy("word").agg(F.sum("ratio").alias("below"))
+    x = src.mapInPandas(pairs, f"row long, id {kind}, word long, pair long, n int")
+    x = x.join(words, "word", "left").select("row", "id", "pair", "n", F.coalesce("below", F.lit(0.0)).alias("below"))
+    x = x.join(ratio.table.withColumnRenamed("unit", "pair"), "pair", "left")
+    x = x.select("row", "id", "n", (F.col("below") + F.coalesce("ratio", F.lit(0.0))).alias("r"))
+    top = F.max(F.when(F.col("n") > 0, F.greatest("r", F.lit(0.0))))
+    strong = [F.sum(F.when(F.col("r") > cut, F.col("r") * F.col("n")).otherwise(0.0)).alias(f"s{i}") for i, cut in enumerate(STRONG)]
+    g = x.groupBy("row", "id").agg(F.sum(F.col("r") * F.col("n")).alias("s"), F.sum("n").alias("n"), F.coalesce(top, F.lit(0.0)).alias("top"), *strong)
+    m = F.greatest("n", F.lit(1)).cast("double")
+    cuts = [f"s{i}" for i in range(len(STRONG))]
+    return g.select("id", F.array(F.col("s") / m, F.col("s") / F.sqrt(m), "top", *(F.col(c) / m for c in cuts), *(F.log1p(c) for c in cuts)).alias("x"))
+
+
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, z): whole texts compressed, so that the one shuffle of texts moves a third of them."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -135,11 +182,10 @@ COUNTS = ("toxic", "plain", "side_toxic", "side_plain")
 
 
 def count_units(marked: DataFrame) -> DataFrame:
-    """Rows (slot, parent, four counts): units by class and side over all rows of (z, y, side).
+    """Rows (unit, parent, level, four counts): units by class and side over all rows of (z, y, side).
 
     Each map task sums the units of a slice of texts first, so a hot word costs it one row a
-    slice; Spark sums again before the shuffle. At most SLOTS rows come out: slots that collide
-    share the larger parent.
+    slice; Spark sums again before the shuffle.
     """
 
     def run(batches):
@@ -150,39 +196,48 @@ def count_units(marked: DataFrame) -> DataFrame:
                 d, slot, parent = units(part)
                 if not len(d):
                     continue
-                key, inv = np.unique(slot.ravel() * np.int64(SLOTS + 1) + parent.ravel() + 1, return_inverse=True)
+                key, first, inv = np.unique(slot.ravel(), return_index=True, return_inverse=True)
                 at = inv * 4 + np.repeat(kind[start : start + len(part)][d], LEVELS)
                 n = np.bincount(at, minlength=4 * len(key)).reshape(-1, 4)
+                cols = {"unit": key, "parent": parent.ravel()[first], "level": (first % LEVELS).astype(np.int8)} | {c: n[:, i].astype(np.int32) for i, c in enumerate(COUNTS)}
                 del slot, parent, at, inv
-                cols = {"slot": key // (SLOTS + 1), "parent": key % (SLOTS + 1) - 1} | {c: n[:, i] for i, c in enumerate(COUNTS)}
-                yield pd.DataFrame({c: v.astype(np.int32) for c, v in cols.items()})
+                yield pd.DataFrame(cols)
+
+    rows = marked.select("z", "y", "side").mapInPandas(run, "unit long, parent long, level byte, toxic int, plain int, side_toxic int, side_plain int")
+    return rows.groupBy("unit", "parent", "level").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
-    rows = marked.select("z", "y", "side").mapInPandas(run, "slot int, parent int, toxic int, plain int, side_toxic int, side_plain int")
-    return rows.groupBy("slot").agg(F.max("parent").alias("parent"), *(F.sum(c).alias(c) for c in COUNTS))
+
+def continuations(counts: DataFrame) -> DataFrame:
+    """(unit, cont): distinct predecessors of the words below each unit from the second level to the word."""
+    up = counts.where(F.col("level") == PAIR).groupBy(F.col("parent").alias("unit")).agg(F.count("*").alias("cont"))
+    out = up
+    for level in range(PAIR - 1, 1, -1):
+        rows = counts.where(F.col("level") == level).select("unit", "parent")
+        up = rows.join(up, "unit").groupBy(F.col("parent").alias("unit")).agg(F.sum("cont").alias("cont"))
+        out = out.unionByName(up)
+    return out
 
 
-def ratios(counts: DataFrame, without: str = "side") -> tuple[np.ndarray, np.ndarray]:
-    """Slot log-likelihood ratios and the two word counts, from all counts or from those off the side.
+def ratios(counts: DataFrame, without: str = "side") -> tuple[Ratios, np.ndarray]:
+    """Unit log-likelihood ratios and the two word counts, from all counts or from those off the side.
 
-    At most SLOTS rows of 16 bytes reach the driver.
+    Two numbers reach the driver.
     """
     take = (lambda k: F.col(k)) if without else (lambda k: F.col(k) + F.col(f"side_{k}"))
-    rows = counts.select("slot", "parent", take("toxic").cast("float").alias("toxic"), take("plain").cast("float").alias("plain")).toArrow()
-    slot, parent = (rows.column(c).to_numpy().astype(np.int64) for c in ("slot", "parent"))
-    c = np.stack([rows.column(x).to_numpy().astype(np.float64) for x in ("toxic", "plain")])
-    del rows
-    up = np.where(parent < 0, SLOTS, parent)
-    table = np.stack([np.bincount(up, weights=w, minlength=SLOTS + 1) for w in (*c, c[0] > 0, c[1] > 0)])
-    n = table[:2, SLOTS].copy()
-    below, kinds = table[:2, up], table[2:, up]
-    pooled = c.sum(axis=0) / np.maximum(1, below.sum(axis=0))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = (np.maximum(c - DISCOUNT, 0) + DISCOUNT * kinds * pooled) / below
-        p = np.where(below > 0, p, pooled)
-        r = np.log(p[0] / p[1])
-    out = np.zeros(SLOTS, dtype=np.float32)
-    out[slot] = np.where(np.isfinite(r), np.clip(r, -8, 8), 0.0)
-    return out, n
+    c = counts.select("unit", "parent", "level", *(take(k).cast("double").alias(k) for k in ("toxic", "plain"))).where(F.col("toxic") + F.col("plain") > 0)
+    inner = F.col("level").between(1, PAIR - 1)
+    m = c.where(inner).join(continuations(c), "unit").unionByName(c.where(~inner).withColumn("cont", F.col("toxic") + F.col("plain")))
+    sums = [F.sum(k).alias(f"{k}_n") for k in ("toxic", "plain")] + [F.sum((F.col(k) > 0).cast("int")).alias(f"{k}_kinds") for k in ("toxic", "plain")]
+    below = m.groupBy("parent").agg(*sums, F.sum("cont").alias("cont_n"))
+    root = c.where(F.col("level") == 0).agg(F.sum("toxic"), F.sum("plain")).first()
+    share = F.col("cont") / F.col("cont_n")
+
+    def p(k):
+        held = F.greatest(F.col(k) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"{k}_kinds") * share
+        return F.when(F.col(f"{k}_n") > 0, held / F.col(f"{k}_n")).otherwise(share)
+
+    r = F.least(F.greatest(F.log(p("toxic") / p("plain")), F.lit(-8.0)), F.lit(8.0))
+    return Ratios(m.join(below, "parent").select("unit", r.alias("ratio"))), np.array([x or 0.0 for x in root])
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
 
     A quarter of them by id hash is left out of first counts and scored to fit the calibration (at
     most about ``calibrate_rows`` of that quarter, by hash); the final counts take all. Repeated
-    ids are toxic if any label says so. Only slot tables and a few numbers a calibration row reach
+    ids are toxic if any label says so. Only class totals and a few numbers a calibration row reach
     the driver.
     """
     spark = docs.sparkSession
@@ -215,33 +270,26 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     # one kind of join at every size; wider tasks meet more of the same units before the next shuffle
     marked = packed(docs, id_col, text_col).hint("merge").join(marks, id_col).coalesce(max(1, partitions(spark) // 4))
     counts = scratch.keep(count_units(marked))
-    r, n = ratios(counts)
-    none = np.zeros(N_SHAPE), np.ones(N_SHAPE), np.zeros(N_SHAPE + 1)
-    shared = spark.sparkContext.broadcast(Model(r, n, *none))
-
-    def run(batches):
-        for b in batches:
-            if len(b):
-                yield pd.DataFrame({"x": shared.value.shapes(b["text"].tolist()).tolist(), "y": b["y"]})
-
+    first, last = (ratios(counts, w) for w in ("side", ""))
+    r = Ratios(scratch.keep(first[0].table))
     aside = F.broadcast(bounded_sample(marks.where("side"), id_col, calibrate_rows))  # its size is bounded
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(aside, id_col)
-    rows = rows.select("text", "y").mapInPandas(run, "x array<double>, y int").toPandas()
-    fitted = calibrate(np.array(rows["x"].tolist(), float).reshape(-1, N_SHAPE), rows["y"].to_numpy(float))
-    model = Model(*ratios(counts, ""), *fitted)
-    shared.destroy()
-    scratch.drop(marks, counts)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(aside.withColumnRenamed(id_col, "id"), "id")
+    rows = rows.select("y", "text")
+    rows = shapes(rows, r, "y", "text").toPandas()
+    fitted = calibrate(np.array(rows["x"].tolist(), float).reshape(-1, N_SHAPE), rows["id"].to_numpy(float))
+    model = Model(Ratios(scratch.keep(last[0].table)), last[1], *fitted)
+    scratch.drop(marks, counts, r.table)
     return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score), one row per input row; null and empty texts get the score of no evidence."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
+    fit = Model(None, model.words, model.shape, model.scale, model.coef)
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "score": shared.value.score(b["text"].tolist())})
+            if len(b):
+                yield pd.DataFrame({"id": b["id"], "score": fit.calibrated(np.array(b["x"].tolist(), float))})
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInPandas(run, f"id {kind}, score double").withColumnsRenamed({"id": id_col})
+    return shapes(docs, model.ratio, id_col, text_col).mapInPandas(run, f"id {kind}, score double").withColumnsRenamed({"id": id_col})

@@ -340,6 +340,30 @@ def test_unit_ratios_by_hand(spark):
     assert r[slot[0, 0]] > 0 > r[slot[1, 0]] and abs(r[slot[2, 0]]) < 0.5
 
 
+def test_units_never_share_counts(spark):
+    long = "x" * 20_000
+    _, unit, _ = toxicity.units([long + "a " + long + "b"])
+    assert unit[0, toxicity.PAIR - 1] != unit[1, toxicity.PAIR - 1]
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 1200) + " " + " ".join(f"{rng.random():.12f}"[2:] for _ in range(30_000)), i % 2) for i in range(10)]
+    packed = toxicity.packed(spark.createDataFrame(rows, "id long, text string, y int"), "id", "text")
+    counts = toxicity.count_units(packed.join(spark.createDataFrame([(i, y, False) for i, _, y in rows], "id long, y int, side boolean"), "id"))
+    words = [re.findall(r"\w+", t) for _, t, _ in rows]
+    n = {r.level: r["count"] for r in counts.groupBy("level").count().collect()}
+    assert n[toxicity.PAIR] == len({p for w in words for p in zip([None, *w], w)}) > 1 << 18
+    assert n[toxicity.PAIR - 1] == len({x for w in words for x in w})
+
+
+def test_continuations_by_hand(spark):
+    rows = [(0, "abcd xy abcd xy abce", 1), (1, "pq abcd xy abcf", 0)]
+    packed = toxicity.packed(spark.createDataFrame(rows, "id long, text string, y int"), "id", "text")
+    counts = toxicity.count_units(packed.join(spark.createDataFrame([(i, y, False) for i, _, y in rows], "id long, y int, side boolean"), "id"))
+    cont = {r.unit: r.cont for r in toxicity.continuations(counts).collect()}
+    _, unit, _ = toxicity.units(["abcd abce abcf"])
+    for level in range(1, toxicity.PAIR):  # abcd follows nothing, xy and pq; abce and abcf follow xy
+        assert [cont[u] for u in unit[:, level].tolist()] == [3, 1, 1]
+
+
 @pytest.mark.parametrize("which", [quality, toxicity])
 def test_scores_on_odd_and_empty_tables(spark, which):
     rng = random.Random(2)
