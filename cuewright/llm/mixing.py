@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Poisson replication, in DataFrame functions only.
 
 Each document gets a uniform number from a hash of its id and the seed; the inverse of the Poisson
-distribution with its source's mean repetition rate turns it into a number of copies. The draw of
-a document depends on nothing but its id, source rate and seed.
+distribution with its source's mean repetition rate turns it into a number of copies. A rate above
+MAX_RATE is split evenly over several such draws, each with its own hash, which are summed. The
+draw of a document depends on nothing but its id, source rate and seed.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from .common import fresh, partitions
 BITS = 52
 #: Above this many sources the rates are joined by shuffle, not broadcast (a row is under 1 KB).
 BROADCAST_SOURCES = 10_000
+#: Higher rates are drawn as sums of draws of at most this rate.
 MAX_RATE = 200.0
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """A double in [0, 1) from the first 52 bits of md5("seed:key")."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, BITS // 4), 16, 10).cast("double") / F.lit(float(1 << BITS))
+def uniform(key: Column, seed: int, draw: Column | None = None) -> Column:
+    """A double in [0, 1) from the first 52 bits of md5("seed:key"), or md5("seed.draw:key")."""
+    head = F.lit(f"{seed}:") if draw is None else F.concat(F.lit(f"{seed}."), draw.cast("string"), F.lit(":"))
+    return F.conv(F.substring(F.md5(F.concat(head, key)), 1, BITS // 4), 16, 10).cast("double") / F.lit(float(1 << BITS))
 
 
 def poisson_cdf(rate: Column) -> Column:
@@ -40,8 +43,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, sourc
 
     ``weights`` names target shares; sources it leaves out get 0, and shares are scaled to sum to 1
     over the sources that are there. Without it a source's share is its row count to the power
-    ``temperature``. The mixture has ``size`` times as many rows as ``docs`` in expectation. Rates
-    above MAX_RATE are refused: such a source can't fill its share without that many copies.
+    ``temperature``. The mixture has ``size`` times as many rows as ``docs`` in expectation.
     """
     n = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
@@ -54,8 +56,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, sourc
     total = n.agg(F.sum("n").alias("all_n"), F.sum("raw").alias("all_raw"))
     rate = F.lit(size) * F.col("weight") * F.col("all_n") / F.col("n")
     r = n.crossJoin(F.broadcast(total)).withColumn("weight", F.coalesce(F.col("raw") / F.nullif("all_raw", F.lit(0.0)), F.lit(0.0)))
-    r = r.withColumn("rate", rate)
-    return r.select("source", "n", "weight", F.when(F.col("rate") > MAX_RATE, F.raise_error(F.lit("a source's rate is above MAX_RATE"))).otherwise(F.col("rate")).alias("rate"))
+    return r.withColumn("rate", rate).select("source", "n", "weight", "rate")
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", size: float = 1.0, temperature: float = 0.5, seed: int = 17) -> DataFrame:
@@ -67,16 +68,19 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, id_col
     an empty one. Columns of ``docs`` named copy_no or shuffle_key are replaced.
     """
     docs = docs.drop("copy_no", "shuffle_key")
-    u, cdf, src = (fresh(c, docs.columns) for c in ("__u", "__cdf", "__source"))
+    u, cdf, src, draws = (fresh(c, docs.columns) for c in ("__u", "__cdf", "__source", "__draws"))
     rates = source_rates(docs, weights, source_col, size, temperature)
-    table = rates.select(F.col("source").alias(src), poisson_cdf(F.col("rate")).alias(cdf))
+    # a sum of Poisson draws is a Poisson draw of the summed rate
+    times = F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int")
+    table = rates.select(F.col("source").alias(src), times.alias(draws), poisson_cdf(F.col("rate") / times).alias(cdf))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     x = docs.withColumn(u, uniform(key, seed)).join(table, F.col(source_col).eqNullSafe(F.col(src)))
-    copies = F.size(F.filter(cdf, lambda c: c <= F.col(u)))
+    more = F.aggregate(F.sequence(F.lit(1), F.col(draws) - 1), F.lit(0), lambda n, k: n + F.size(F.filter(cdf, lambda c: c <= uniform(key, seed, k))))
+    copies = F.size(F.filter(cdf, lambda c: c <= F.col(u))) + F.when(F.col(draws) > 1, more).otherwise(0)
     x = x.withColumn("copy_no", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
-    x = x.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}/"), key, F.lit("/"), F.col("copy_no").cast("string")))).drop(u, cdf, src)
+    x = x.withColumn("shuffle_key", F.md5(F.concat(F.lit(f"{seed}/"), key, F.lit("/"), F.col("copy_no").cast("string")))).drop(u, cdf, src, draws)
     return x.repartitionByRange(partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
 
 

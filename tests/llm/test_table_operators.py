@@ -171,6 +171,32 @@ def test_mixing_is_sorted_and_whole(spark):
     assert mixing.mix_sources(odd.limit(0)).count() == 0
 
 
+def test_mixing_rates_above_one_draw(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 40, "rare").otherwise("common").alias("source"))
+    weights = {"rare": 9.0, "common": 1.0}
+    rate = {r.source: r.rate for r in mixing.source_rates(docs, weights).collect()}["rare"]
+    assert abs(rate - 90) < 1e-9
+    x = mixing.mix_sources(docs, weights, size=7.0)  # rate 630, four draws
+    n = {r.doc_id: r["count"] for r in x.where("source = 'rare'").groupBy("doc_id").count().collect()}
+
+    def plain(key, rate=157.5):
+        total = 0
+        for j in range(4):
+            seed = "17" if j == 0 else f"17.{j}"
+            u = int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:13], 16) / 2**52
+            p = c = float(np.exp(-rate))
+            k = 0
+            while c <= u:
+                k += 1
+                p *= rate / k
+                c += p
+            total += k
+        return total
+
+    assert n == {d: plain(d) for d in range(40)}
+    assert abs(sum(n.values()) / 40 - 630) < 5 * np.sqrt(630 / 40)
+
+
 # ---- chat
 
 
