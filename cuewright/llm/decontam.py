@@ -51,6 +51,16 @@ def split_item(text: str | None) -> tuple[list[str], list[str]]:
     return words("\n".join(lines[:-1])), words(lines[-1])
 
 
+def part_overlap(part: list[str], have: list[str], have_shingles: set[tuple[str, ...]]) -> float:
+    """Share of a part's shingles in a window; a part under five words stands there as a whole or not."""
+    if not part:
+        return 0.0
+    if len(part) < SHINGLE:
+        return float(any(have[i : i + len(part)] == part for i in range(len(have) - len(part) + 1)))
+    s = shingles(part)
+    return len(s & have_shingles) / len(s)
+
+
 class Index:
     """Inverted index of one slice of items: impacts by term and item, block maxima, thresholds."""
 
@@ -58,7 +68,7 @@ class Index:
         rows = sorted(((i, words(t), t) for i, t in items if words(t)), key=lambda x: len(x[1]))
         self.ids = [i for i, _, _ in rows]
         self.shingles = [shingles(w) for _, w, _ in rows]
-        self.parts = [tuple(map(shingles, split_item(t))) for _, _, t in rows]
+        self.parts = [split_item(t) for _, _, t in rows]
         self.longest = max((len(w) for _, w, _ in rows), default=1)
         mean = sum(len(w) for _, w, _ in rows) / max(1, len(rows))
         df: dict[str, int] = {}
@@ -125,10 +135,11 @@ class Index:
                         continue
                     if sh is None:
                         first = int(win[s] - base[d]) * step
-                        sh = shingles(all_words[d][first : first + 3 * step])
+                        have = all_words[d][first : first + 3 * step]
+                        sh = shingles(have)
                     over = len(self.shingles[k] & sh) / len(self.shingles[k])
                     if over >= share and over > found.get((d, k), (0, 0))[1]:
-                        qa = [len(y & sh) / len(y) if y else 0.0 for y in self.parts[k]]
+                        qa = [part_overlap(y, have, sh) for y in self.parts[k]]
                         found[d, k] = (score, over, *qa)
         return [(d, self.ids[k], *v) for (d, k), v in sorted(found.items())]
 
@@ -148,7 +159,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     One row per document row and test item of which at least ``share`` of the five-word shingles
     stand in one passage; the values are those of the best passage. Words are lower-cased runs of
-    letters, digits and underscores. Null and empty texts match nothing; null ids stay null;
+    letters, digits and underscores. Questions and answers under five words overlap by 1 where they
+    stand in the passage as a whole, else by 0. Null and empty texts match nothing; null ids stay null;
     repeated rows and items give repeated matches. Items are read to the driver in slices of a
     checked size, each broadcast once and run over all documents.
     """

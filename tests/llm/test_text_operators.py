@@ -296,6 +296,16 @@ def test_decontamination_slices_and_empty_benchmark(spark, monkeypatch):
     assert decontam.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_short_questions_and_answers_overlap(spark):
+    rng = random.Random(12)
+    q = prose(rng, 30)
+    items = [(1, f"{q}\nforty two"), (2, f"why so\n{q}"), (3, f"{q}\nnot there")]
+    texts = [(1, f"{prose(rng, 40)} why so {q} forty two {prose(rng, 40)}"), (2, f"{q} two forty not")]
+    got = decontam.contaminated(docs_frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    have = {(r.doc_id, r.item_id): (r.question_overlap, r.answer_overlap) for r in got.collect()}
+    assert have == {(1, 1): (1.0, 1.0), (1, 2): (1.0, 1.0), (1, 3): (1.0, 0.0), (2, 1): (1.0, 0.0), (2, 2): (0.0, 1.0), (2, 3): (1.0, 0.0)}
+
+
 # ---- learned scores
 
 
