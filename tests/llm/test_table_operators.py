@@ -78,6 +78,13 @@ def test_host_boilerplate_without_articles(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_one_page(spark):
+    own, other = (" ".join(f"{w}{i}" for i in range(20)) for w in "ab")
+    rows = [(i, f"http://h.example/{i % 2}", f"<p>{own}</p>") for i in range(12)] + [(20, "http://h.example/x", f"<p>{other}</p>")]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: own for i in range(12)} | {20: other}
+
+
 # ---- vectors
 
 
