@@ -78,6 +78,16 @@ def test_host_boilerplate_without_articles(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_runs_are_counted_over_a_whole_host(spark):
+    line = " ".join(f"notice{i}" for i in range(10))
+    rows, want = [], {}
+    for i in range(1200):
+        want[i] = " ".join(f"own{i}x{j}" for j in range(12))
+        rows.append((i, f"http://h.example/{i}", (f"<div>{line}</div>" if i % 400 == 0 else "") + f"<p>{want[i]}</p>"))
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_copies_of_a_page_are_one_page(spark):
     own, other = (" ".join(f"{w}{i}" for i in range(20)) for w in "ab")
     rows = [(i, f"http://h.example/{i % 2}", f"<p>{own}</p>") for i in range(12)] + [(20, "http://h.example/x", f"<p>{other}</p>")]
