@@ -135,6 +135,17 @@ def test_vectors_against_brute_force(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_between_saturated_groups(spark):
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(24):
+        base = np.zeros(16)
+        base[:2] = (1.0, 0.0) if i < 12 else (0.985, np.sqrt(1 - 0.985**2))
+        rows.append((i, [float(x) for x in base + r.normal(size=16) * 0.002], 0))
+    got = sorted(map(tuple, vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).select("vec_id", "n_links", "component_id", "kept").collect()))
+    assert got == sorted(plain_vectors(rows)) and {(n, c) for _, n, c, _ in got} == {(23, 0)}
+
+
 def test_recall_of_the_graph(spark):
     df = table(spark, "/root/testdata/sf0.1", "embeddings")
     rows = [(r.vec_id, r.embedding, r.label) for r in df.collect()]
