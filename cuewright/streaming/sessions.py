@@ -1,15 +1,26 @@
-"""Ordered sessions: a gate that refuses without moving on, mode resets, bursts; batch and stream alike."""
+"""Ordered sessions: a gate that refuses without moving on, mode resets, bursts; batch and stream alike.
+
+Streams keep a small state per session. With a time column its watermark bounds that state: rows
+later than it are dropped by Spark, and a session without rows for ``KEEP_MS`` of event time
+starts anew. Without a time column state is kept for as long as the stream runs.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 GATE = "session_id long, unit_index long, revision long, event_id long, accepted boolean"
 STATE = "next long, revision long"
 BURSTS = "session_id long, tokens array<int>"
+#: Event time after which a silent session's state goes.
+KEEP_MS = 24 * 3600 * 1000
 
 
 def gate_rows(g: pd.DataFrame, at: int, revision: int) -> tuple[pd.DataFrame, int, int]:
@@ -25,72 +36,95 @@ def gate_rows(g: pd.DataFrame, at: int, revision: int) -> tuple[pd.DataFrame, in
     return out, at, revision
 
 
+def _gated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The gate over a sorted partition; (session, next, revision) are carried from batch to batch."""
+    session, at, revision = None, 0, 0
+    for b in batches:
+        s = b["session_id"].to_numpy()
+        cut = np.r_[0, np.flatnonzero(s[1:] != s[:-1]) + 1, len(s)] if len(s) else [0]
+        for lo, hi in zip(cut, cut[1:]):
+            if s[lo] != session:
+                session, at, revision = s[lo], 0, 0
+            out, at, revision = gate_rows(b.iloc[lo:hi], at, revision)
+            yield out
+
+
 def gate_batch(units: DataFrame) -> DataFrame:
-    """The gate over a table, each session in the order of event_id. A session is read by one task."""
+    """The gate over a table, each session in the order of event_id.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return gate_rows(g.sort_values("event_id"), 0, 0)[0]
+    Sessions are dealt by hash and sorted by Spark, so a long session is read batch by batch and
+    only two numbers are held. Units whose revision or index is null are refused.
+    """
+    x = units.select("session_id", "unit_index", "revision", "event_id")
+    return x.repartition("session_id").sortWithinPartitions("session_id", "event_id").mapInPandas(_gated, GATE)
 
-    return units.select("session_id", "unit_index", "revision", "event_id").groupBy("session_id").applyInPandas(run, GATE)
 
+def _by_session(rows: DataFrame, cols: list[str], step, first: tuple, out: str, state: str, time_col: str | None, late: str) -> DataFrame:
+    """State per session over a stream: ``step(session, sorted rows, state)`` gives (rows out, next state).
 
-def gate_stream(units: DataFrame) -> DataFrame:
-    """The gate over a stream; state per session is two numbers, dropped after a day of silence."""
+    Rows of a micro-batch are taken by event_id. State expires by event time where there is a time column.
+    """
 
-    def run(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
+    def run(key, batches, s: GroupState):
+        if s.hasTimedOut:
+            s.remove()
             return
-        at, revision = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(batches)).sort_values("event_id")
-        out, at, revision = gate_rows(rows, at, revision)
-        state.update((at, revision))
-        state.setTimeoutDuration(24 * 3600 * 1000)
-        yield out
+        part = pd.concat(list(batches)).sort_values("event_id")
+        got, nxt = step(key[0], part, s.get if s.exists else first)
+        s.update(nxt)
+        if time_col:
+            newest = int(part["at_ms"].max())
+            s.setTimeoutTimestamp(max(newest, s.getCurrentWatermarkMs()) + KEEP_MS)
+        yield got
 
-    x = units.select("session_id", "unit_index", "revision", "event_id")
-    return x.groupBy("session_id").applyInPandasWithState(run, GATE, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    x = rows
+    if time_col:
+        x = x.withWatermark(time_col, late).select(*cols, F.unix_millis(F.col(time_col)).alias("at_ms"), time_col)
+    else:
+        x = x.select(*cols)
+    mode = GroupStateTimeout.EventTimeTimeout if time_col else GroupStateTimeout.NoTimeout
+    return x.groupBy("session_id").applyInPandasWithState(run, out, state, "append", mode)
 
 
-def mode_stream(units: DataFrame) -> DataFrame:
+def gate_stream(units: DataFrame, time_col: str | None = None, late: str = "1 hour") -> DataFrame:
+    """The gate over a stream; state per session is two numbers."""
+
+    def step(session, rows, state):
+        out, at, revision = gate_rows(rows, *state)
+        return out, (at, revision)
+
+    return _by_session(units, ["session_id", "unit_index", "revision", "event_id"], step, (0, 0), GATE, STATE, time_col, late)
+
+
+def mode_stream(units: DataFrame, time_col: str | None = None, late: str = "1 hour") -> DataFrame:
     """Decoder resets: (session_id, event_id) where silence turns to speech; state is the last mode."""
 
-    def run(key, batches, state: GroupState):
-        was = state.get[0] if state.exists else False
-        rows = pd.concat(list(batches)).sort_values("event_id")
-        hit = []
-        for e, s in zip(rows["event_id"].tolist(), rows["speech"].tolist()):
-            if s and not was:
-                hit.append(e)
-            was = bool(s)
-        state.update((was,))
-        yield pd.DataFrame({"session_id": [key[0]] * len(hit), "event_id": hit}).astype({"session_id": "int64", "event_id": "int64"})
+    def step(session, rows, state):
+        speech = rows["speech"].fillna(False).to_numpy(dtype=bool)
+        was = np.r_[state[0], speech[:-1]]
+        hit = rows["event_id"].to_numpy()[speech & ~was]
+        return pd.DataFrame({"session_id": np.full(len(hit), session), "event_id": hit}).astype({"session_id": "int64", "event_id": "int64"}), (bool(speech[-1]),)
 
-    x = units.select("session_id", "event_id", "speech")
-    return x.groupBy("session_id").applyInPandasWithState(run, "session_id long, event_id long", "active boolean", "append", GroupStateTimeout.NoTimeout)
+    return _by_session(units, ["session_id", "event_id", "speech"], step, (False,), "session_id long, event_id long", "active boolean", time_col, late)
 
 
-def burst_stream(bursts: DataFrame, end: int = 1, most: int = 4096) -> DataFrame:
-    """Whole events from token bursts (session_id, event_id, tokens); state is what has no end yet.
+def burst_stream(bursts: DataFrame, end: int = 1, time_col: str | None = None, late: str = "1 hour") -> DataFrame:
+    """Whole events from token bursts (session_id, event_id, tokens), of any length; state is what has no end yet.
 
-    An unfinished event of more than ``most`` tokens is no event of the vocabulary and is dropped.
+    Tokens whose end never comes go with the session's state, as they give no row in the batch form.
     """
 
-    def run(key, batches, state: GroupState):
-        pending = list(state.get[0]) if state.exists else []
-        done = []
-        for tokens in pd.concat(list(batches)).sort_values("event_id")["tokens"]:
-            for t in tokens:
+    def step(session, rows, state):
+        pending, done = list(state[0]), []
+        for tokens in rows["tokens"]:
+            for t in tokens if tokens is not None else ():
                 pending.append(int(t))
                 if t == end:
                     done.append(pending)
                     pending = []
-                elif len(pending) > most:
-                    pending = []
-        state.update((pending,))
-        yield pd.DataFrame({"session_id": pd.Series([key[0]] * len(done), dtype="int64"), "tokens": done})
+        return pd.DataFrame({"session_id": pd.Series([session] * len(done), dtype="int64"), "tokens": done}), (pending,)
 
-    return bursts.select("session_id", "event_id", "tokens").groupBy("session_id").applyInPandasWithState(run, BURSTS, "pending array<int>", "append", GroupStateTimeout.NoTimeout)
+    return _by_session(bursts, ["session_id", "event_id", "tokens"], step, ([],), BURSTS, "pending array<int>", time_col, late)
 
 
 def first_units(units: DataFrame, time_col: str, keys: list[str], late: str = "1 hour") -> DataFrame:
@@ -98,6 +132,12 @@ def first_units(units: DataFrame, time_col: str, keys: list[str], late: str = "1
     return units.withWatermark(time_col, late).dropDuplicatesWithinWatermark(keys)
 
 
+def unit_receipt_rows(units: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Every unit with ``accepted``: the first row of its keys by ``order``; later ones are refused as duplicates."""
+    n = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return units.withColumn("accepted", n == 1)
+
+
 def clock_buckets(units: DataFrame, time_col: str, tick: str, late: str, *keys: str) -> DataFrame:
     x = units.withWatermark(time_col, late).groupBy(F.window(time_col, tick).alias("w"), *keys).agg(F.count("*").alias("n"))
     return x.select(F.col("w.start").alias("tick"), *keys, "n")

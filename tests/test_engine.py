@@ -365,3 +365,42 @@ def test_migration(spark):
     good, bad = adapters.migrate_metadata(df, {"environment_id": "env", "protocol_version": "v"})
     r = good.first()
     assert (r.schema_version, r.environment_id, r.runtime_identity.protocol_version) == (5, "env", "p") and bad.count() == 2
+
+
+def _two_files(rows, schema, spark, tmp_path):
+    """The rows as a stream of one file a micro-batch, in the order of the list of lists."""
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, schema).withColumn("t", F.to_timestamp("t")).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+    kind = spark.read.parquet(str(tmp_path / "in" / "p0")).schema
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+
+
+def test_long_bursts_pass_whole(spark, tmp_path):
+    rows = [[(1, 0, [8] * 5000, "2024-01-01 00:00:00")], [(1, 1, [9, 1, 7], "2024-01-01 00:00:01"), (2, 2, [2, 1], "2024-01-01 00:00:01")]]
+    stream = _two_files(rows, "session_id long, event_id long, tokens array<int>, t string", spark, tmp_path)
+    got = drain(sessions.burst_stream(stream, time_col="t").writeStream.format("memory").queryName("t_long").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start(), spark, "t_long")
+    assert sorted((r.session_id, len(r.tokens)) for r in got.collect()) == [(1, 5002), (2, 2)]
+    flat = spark.createDataFrame([x[:3] for part in rows for x in part], "session_id long, event_id long, tokens array<int>").select("session_id", "event_id", F.posexplode("tokens").alias("pos", "tok"))
+    want = layout.assemble_bursts(flat, "session_id", ["event_id", "pos"], "tok")
+    assert sorted((r.session_id, len(r.tokens)) for r in want.collect()) == [(1, 5002), (2, 2)]
+
+
+def test_gate_state_expires_by_event_time(spark, tmp_path):
+    day = lambda d: f"2024-01-{d:02d} 00:00:00"
+    rows = [
+        [(1, 0, 0, 0, day(1))],
+        [(1, 1, 1, 1, day(1)), (2, 0, 0, 2, day(1))],
+        [(9, 0, 0, 3, day(9))],  # moves the watermark a week on
+        [(9, 1, 1, 4, day(9))],
+        [(1, 2, 2, 5, day(1)), (1, 0, 0, 6, day(10))],  # a late row is dropped; the silent session starts anew
+    ]
+    stream = _two_files(rows, "session_id long, unit_index long, revision long, event_id long, t string", spark, tmp_path)
+    got = drain(sessions.gate_stream(stream, "t").writeStream.format("memory").queryName("t_expire").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start(), spark, "t_expire")
+    assert {r.event_id: r.accepted for r in got.collect()} == {0: True, 1: True, 2: True, 3: True, 4: True, 6: True}
+
+
+def test_gate_over_batches_of_one_session(spark):
+    df = spark.range(25_000).select((F.col("id") % 2).alias("session_id"), F.floor(F.col("id") / 2).alias("unit_index"), F.floor(F.col("id") / 2).alias("revision"), F.col("id").alias("event_id"))
+    df = df.withColumn("unit_index", F.when(F.col("event_id") == 20_001, 0).otherwise(F.col("unit_index")))
+    got = sessions.gate_batch(df).groupBy("session_id", "accepted").count().collect()
+    assert {(r.session_id, r.accepted): r["count"] for r in got} == {(0, True): 12_500, (1, True): 10_000, (1, False): 2_500}
