@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -388,3 +389,36 @@ def test_scores_on_odd_and_empty_tables(spark, which):
 
 def test_digest_of_nothing():
     assert pii.digest_of(None) == hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("text,want", [("1" * 1_000_000, []), ("1.2.3." + "0" * 5000 + "4", [(1, 0, 5007)]), ("+1" + "(" * 1_000_000, []), ("1.1 " * 250_000, []), ("a@" * 500_000, [])])
+def test_rules_on_very_long_runs(text, want):
+    start = time.monotonic()
+    assert pii.rule_spans(text) == want
+    assert time.monotonic() - start < 2
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="012.a ", max_size=40))
+def test_address_pattern_equals_the_plain_one(text):
+    assert [m.span() for m in pii.IP.finditer(text)] == [m.span() for m in re.finditer(PLAIN[1], text)]
+
+
+def test_model_adds_disguised_spans_in_real_texts(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    net = pii.fit(docs)
+    rng, made, planted = random.Random(6), np.random.default_rng(21), []
+    texts = [r.text for r in docs.where("lang = 'en' and n_chars between 300 and 3000").orderBy("doc_id").limit(300).collect()]
+    for t in texts:
+        while True:
+            k, s = pii.generated(made)
+            if not pii.rule_spans(s):
+                break
+        gaps = [i for i, c in enumerate(t) if c == " "]
+        at = rng.choice(gaps) + 1
+        planted.append((t[:at] + s + " " + t[at:], k, at, at + len(s)))
+    found = [set(more) for _, more in pii.all_spans([p[0] for p in planted], net)]
+    hit = sum((k, a, b) in f for (_, k, a, b), f in zip(planted, found))
+    plain = sum(len(more) for _, more in pii.all_spans(texts, net))
+    print("disguised spans added:", hit, "of", len(planted), "; spans added to the texts as they are:", plain)
+    assert hit >= 0.6 * len(planted) and plain <= 3
