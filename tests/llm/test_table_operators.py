@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -322,3 +323,91 @@ def test_queries_equal_their_sql(spark, name):
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     assert Counter(map(str, got[cols].values.tolist())) == Counter(map(str, want[cols].values.tolist()))
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<article><div class='share-price'>a</div><p id='notice-period'>b</p><p class='header-note'>c</p></article>", "a\n\nb\n\nc"),
+        ("<article class=comment>reader</article><article><p>x</p></article>", "x"),
+        ("<article><p>x</p><section class='post-comments'><article class='comment'><p>y<article><p>z</article></article></section></article>", "x"),
+        ("<article><p>one <span class=ad>x</span> two</p></article>", "one two"),
+        ("<article><p>one <span class=ad>x<span>y</span>z</span> two<script>q</script> three</p></article>", "one two three"),
+        ("<article><p data-role='navigation' data-id=nav title='hidden ad'>kept</p><p style='display: none'>gone</p></article>", "kept"),
+        ("<article><p>a</p><a class=ad>b<p>c</p></a><p>d</p></article>", "a\n\nd"),
+        ("<article><div class='cookie-bar'>a</div><div class='site-footer main'>b</div><div class='adaptive'>c</div></article>", "c"),
+    ],
+)
+def test_names_inline_parts_and_nested_comments(page, want):
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "</b>" * 100_000, "<div>" * 8000 + "</p>" * 8000, "<span class=ad>" * 50_000, "<p>" * 100_000, "<" * 100_000])
+def test_deep_and_broken_nesting_is_linear(page):
+    start = time.monotonic()
+    html_text.main_text(page)
+    assert time.monotonic() - start < 3
+
+
+def test_suffix_array_and_common_prefixes():
+    r = random.Random(5)
+    for _ in range(200):
+        t = [r.randrange(3) for _ in range(r.randrange(1, 30))]
+        order, lcp = html_text.suffix_array(np.array(t, dtype=np.int64))
+        want = sorted(range(len(t)), key=lambda i: t[i:])
+        assert order.tolist() == want and lcp[0] == 0
+        for a, b, n in zip(want, want[1:], lcp[1:].tolist()):
+            k = 0
+            while max(a, b) + k < len(t) and t[a + k] == t[b + k]:
+                k += 1
+            assert n == k
+
+
+def test_stretches_send_equal_runs_to_one_place():
+    r = np.random.default_rng(3)
+    for _ in range(100):
+        t = r.integers(0, 4, int(r.integers(0, 60))).astype(np.uint32)
+        parts = html_text.stretches(t, 8)
+        runs = {}
+        for a, z, shard in parts:
+            assert z - a - 8 < 64
+            for i in range(a, z - 7):
+                assert i not in runs
+                runs[i] = (t[i : i + 8].tobytes(), shard)
+        assert sorted(runs) == list(range(len(t) - 7))
+        assert len(set(runs.values())) == len({g for g, _ in runs.values()})
+
+
+def test_open_pages_against_brute_force(spark):
+    """Blocks of pages without an article, judged by all 8-token runs of each host."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(30)]
+    pool = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 14))) for _ in range(25)]
+    rows = []
+    for i in range(120):
+        parts = [rng.choice(pool) if rng.random() < 0.5 else " ".join(rng.choice(vocabulary) + str(rng.randrange(9)) for _ in range(rng.randint(1, 20))) for _ in range(rng.randint(1, 6))]
+        rows.append((i, f"http://h{i % 3}.example/{i}", "".join(f"<p>{x}</p>" for x in parts)))
+    rows += [(200, rows[0][1], rows[0][2]), (201, rows[0][1], rows[0][2])]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    texts = {}
+    for host in range(3):
+        pages = sorted({h for _, u, h in rows if f"//h{host}." in u})
+        split = [[x.split() for x in re.findall("<p>(.*?)</p>", h)] for h in pages]
+        flat = [[w for b in p for w in b] for p in split]
+        where = {}
+        for k, p in enumerate(flat):
+            for i in range(len(p) - 7):
+                where.setdefault(tuple(p[i : i + 8]), set()).add(k)
+        for h, p, bs in zip(pages, flat, split):
+            hit = [False] * len(p)
+            for i in range(len(p) - 7):
+                if len(where[tuple(p[i : i + 8])]) >= 3:
+                    hit[i : i + 8] = [True] * 8
+            kept, at = [], 0
+            for b in bs:
+                if sum(hit[at : at + len(b)]) < 0.5 * len(b):
+                    kept.append(" ".join(b))
+                at += len(b)
+            texts[host, h] = "\n\n".join(kept)
+    assert got == {i: texts[int(u[8]), h] for i, u, h in rows}
+    assert any(texts[int(u[8]), h].count("\n\n") + 1 < h.count("<p>") for _, u, h in rows)
