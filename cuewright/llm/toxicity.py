@@ -6,11 +6,17 @@ its predecessor. For each class k a unit's probability below its parent is
 distinct children in the class and P is the class-free share: between the first prefix and the
 word by continuation counts (distinct predecessors of the words below a unit), at both ends by
 pooled counts. Rare expressions lean on what both classes share, and units new to a parent say
-nothing. The score rests on the length-normalised difference of the two log-likelihoods.
+nothing.
 
-Counts and ratios are Spark tables by the full 64-bit unit and grow with the input; documents are
-scored by joining their words and word pairs with them. Only class totals and calibration rows
-reach the driver.
+A toxic text is ordinary but for some expressions at places not known. So its likelihood against
+the ordinary one is normalised by length as the mean over its words of the ratio of the two
+models, and the score is the logarithm of that mean under a calibration of two numbers. The mean
+of logarithms instead dilutes a few strong words in a long text until nothing is left of them.
+
+Counts and ratios are Spark tables by the full 64-bit unit and grow with the input. To score,
+texts are read in windows: a window asks the ratio table once for each of its different units, and
+the answers meet the window's words, sent as numbers into its word list. Only class totals and
+calibration rows reach the driver.
 """
 
 from __future__ import annotations
@@ -23,10 +29,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_sample, partitions, slices
+from .common import Scratch, bounded_sample, slices
 
 DISCOUNT = 0.9
 PREFIXES = (3, 4, 5, 6, 8)
@@ -34,9 +41,8 @@ LEVELS = len(PREFIXES) + 2
 PAIR = LEVELS - 1
 #: Most labelled rows that fit the last, calibration over a few numbers a row.
 CALIBRATE_ROWS = 20_000
-SLICE_CHARS = 300_000
-STRONG = (1.0, 2.0, 3.5, 6.0)
-N_SHAPE = 3 + 2 * len(STRONG)
+#: Characters whose units are summed at once, and that a window of texts to score holds; a longer text stands alone.
+COUNT_CHARS, WINDOW_CHARS = 1_000_000, 4_000_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -62,11 +68,10 @@ def _hash_words(words: list[str]) -> np.ndarray:
     return out
 
 
-def units(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, units, parents) of all words of whole texts; 64-bit keys by word and level.
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(text number, place in the list, list of different words) of all words of whole texts.
 
-    Words are lower-cased runs of letters, digits and underscores. A first word has no predecessor:
-    its last level is the word after nothing.
+    Words are lower-cased runs of letters, digits and underscores.
     """
     arr = pc.utf8_lower(pa.array([t or "" for t in texts], pa.string()))
     parts = pc.split_pattern_regex(arr, r"[^\pL\pM\pN_]+")
@@ -75,14 +80,25 @@ def units(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep = pc.not_equal(pc.binary_length(flat), 0)
     flat, d = flat.filter(keep), d[keep.to_numpy(zero_copy_only=False)]
     if not len(flat):
-        return d, np.zeros((0, LEVELS), np.int64), np.zeros((0, LEVELS), np.int64)
+        return d, np.zeros(0, np.int64), []
     coded = flat.dictionary_encode()
-    code = coded.indices.to_numpy()
-    keys = _hash_words(coded.dictionary.to_pylist())[code]
-    before = np.r_[np.uint64(5), keys[:-1, -1]]
+    return d, coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
+def pair_units(d: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The units of words after their predecessors. A first word has none: its unit is the word after nothing."""
+    before = np.r_[np.uint64(5), word[:-1]]
     before[np.r_[True, d[1:] != d[:-1]]] = np.uint64(5)
-    pair = _mix(before * _M1 + keys[:, -1]) + np.uint64(7)
-    slot = np.concatenate([keys, pair[:, None]], axis=1).view(np.int64)
+    return _mix(before * _M1 + word) + np.uint64(7)
+
+
+def units(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, units, parents) of all words of whole texts; 64-bit keys by word and level."""
+    d, code, listed = words_of(texts)
+    if not listed:
+        return d, np.zeros((0, LEVELS), np.int64), np.zeros((0, LEVELS), np.int64)
+    keys = _hash_words(listed)[code]
+    slot = np.concatenate([keys, pair_units(d, keys[:, -1])[:, None]], axis=1).view(np.int64)
     parent = np.empty_like(slot)
     parent[:, 0] = -1
     parent[:, 1:] = slot[:, :-1]
@@ -102,67 +118,96 @@ class Ratios:
 
 @dataclass
 class Model:
-    """Ratios of units, the class word counts, and the calibration."""
+    """Ratios of units, the class word counts, and the calibration: factor and constant."""
 
     ratio: Ratios
     words: np.ndarray
-    shape: np.ndarray
-    scale: np.ndarray
     coef: np.ndarray
 
     def calibrated(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.shape) / self.scale, -8, 8)
-        return 1 / (1 + np.exp(-np.clip(z @ self.coef[:-1] + self.coef[-1], -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(x * self.coef[0] + self.coef[1], -40, 40)))
 
 
-def shapes(docs: DataFrame, ratio: Ratios, id_col: str, text_col: str) -> DataFrame:
-    """(id, x), one row per input row: mean ratio, sum over root length, largest, and per cut the
-    strong words' sum a word and in all.
+def windows(batches, chars: int):
+    """(window, ids, texts): runs of whole texts of a task of about ``chars`` characters, numbered over all tasks."""
+    no = TaskContext.get().partitionId() << 32
+    ids, texts, size = [], [], 0
+    for b in batches:
+        for i, t in zip(b["id"].tolist(), b["text"]):
+            ids.append(i)
+            texts.append(t)
+            size += len(t or "")
+            if size >= chars:
+                yield no, ids, texts
+                no, ids, texts, size = no + 1, [], [], 0
+    if ids:
+        yield no, ids, texts
 
-    A word's ratio is the sum over its path. Paths of distinct words are summed once, then each
-    row's distinct word pairs are joined with them and with the pairs' own ratios.
-    """
+
+def log_mean_ratio(r: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """Per text the logarithm of its words' mean likelihood ratio; 0 without words."""
+    size = np.bincount(d, minlength=n)
+    return np.where(size > 0, np.log(np.maximum(np.bincount(d, weights=np.exp(r), minlength=n), 1e-300) / np.maximum(size, 1)), 0.0)
+
+
+def evidence(docs: DataFrame, ratio: Ratios, id_col: str, text_col: str) -> DataFrame:
+    """(id, x), one row per input row: the log of the mean over the text's words of toxic over ordinary likelihood."""
     kind = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    def pairs(batches):
-        for b in batches:
-            row, ids = b["row"].to_numpy(), b["id"]
-            for start, part in slices(b["text"].tolist(), SLICE_CHARS):
-                d, slot, _ = units(part)
-                code, at, inv = np.unique(slot[:, PAIR], return_index=True, return_inverse=True)
-                key, n = np.unique(d.astype(np.int64) * max(1, len(code)) + inv, return_counts=True)
-                # a text without words has one row of none
-                none = np.setdiff1d(np.arange(len(part)), d)
-                doc, u = np.r_[key // max(1, len(code)), none] + start, at[key % max(1, len(code))]
-                pad = np.zeros(len(none), np.int64)
-                yield pd.DataFrame({"row": row[doc], "id": ids.iloc[doc].array, "word": np.r_[slot[u, PAIR - 1], row[none + start]], "pair": np.r_[slot[u, PAIR], row[none + start]], "n": np.r_[n, pad].astype(np.int32)})
-
-    def paths(batches):
-        seen: set[int] = set()  # of this task; emptied when large, since rows are made distinct later
-        for b in batches:
-            for _, part in slices(b["text"].tolist(), SLICE_CHARS):
-                _, slot, _ = units(part)
-                word, at = np.unique(slot[:, PAIR - 1], return_index=True)
-                new = np.fromiter((w not in seen for w in word.tolist()), dtype=bool, count=len(word))
-                seen = seen if len(seen) < 1_000_000 else set()
-                seen.update(word[new].tolist())
-                yield pd.DataFrame({f"u{k}": slot[at[new], k] for k in range(PAIR)})
-
-    levels = [f"u{k}" for k in range(PAIR)]
-    path = src.select("text").mapInPandas(paths, ", ".join(f"{c} long" for c in levels)).distinct()
-    path = path.select(F.col(levels[-1]).alias("word"), F.explode(F.array(*levels)).alias("unit"))
-    words = path.join(ratio.table, "unit").groupBy("word").agg(F.sum("ratio").alias("below"))
-    x = src.mapInPandas(pairs, f"row long, id {kind}, word long, pair long, n int")
-    x = x.join(words, "word", "left").select("row", "id", "pair", "n", F.coalesce("below", F.lit(0.0)).alias("below"))
-    x = x.join(ratio.table.withColumnRenamed("unit", "pair"), "pair", "left")
-    x = x.select("row", "id", "n", (F.col("below") + F.coalesce("ratio", F.lit(0.0))).alias("r"))
-    top = F.max(F.when(F.col("n") > 0, F.greatest("r", F.lit(0.0))))
-    strong = [F.sum(F.when(F.col("r") > cut, F.col("r") * F.col("n")).otherwise(0.0)).alias(f"s{i}") for i, cut in enumerate(STRONG)]
-    g = x.groupBy("row", "id").agg(F.sum(F.col("r") * F.col("n")).alias("s"), F.sum("n").alias("n"), F.coalesce(top, F.lit(0.0)).alias("top"), *strong)
-    m = F.greatest("n", F.lit(1)).cast("double")
-    cuts = [f"s{i}" for i in range(len(STRONG))]
-    return g.select("id", F.array(F.col("s") / m, F.col("s") / F.sqrt(m), "top", *(F.col(c) / m for c in cuts), *(F.log1p(c) for c in cuts)).alias("x"))
+    def asked(batches):
+        for no, _, texts in windows(batches, WINDOW_CHARS):
+            d, code, listed = words_of(texts)
+            if listed:
+                key = _hash_words(listed)
+                unit = np.unique(np.r_[key.ravel(), pair_units(d, key[code, -1])])
+                yield pd.DataFrame({"window": no, "unit": unit.view(np.int64)})
+
+    def sent(batches):
+        z = zstandard.ZstdCompressor(level=3)
+        for no, ids, texts in windows(batches, WINDOW_CHARS):
+            d, code, listed = words_of(texts)
+            wide = np.uint16 if len(listed) <= 1 << 16 else np.uint32
+            cut = np.searchsorted(d, np.arange(len(texts) + 1))
+            body = [z.compress(code[a:e].astype(wide).tobytes()) for a, e in zip(cut, cut[1:])]
+            names = z.compress("\n".join(listed).encode("utf-8", "surrogatepass"))
+            yield pd.DataFrame({"window": no, "n": len(listed), "id": pd.Series([None, *ids], dtype=object), "body": [names, *body]})
+
+    def answered(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        u = zstandard.ZstdDecompressor()
+        if not len(texts):
+            return pd.DataFrame({"id": [], "x": []})
+        n = int(texts["n"].iloc[0])
+        names = texts["n"].index[texts["first"]][0]
+        listed = u.decompress(texts["body"][names]).decode("utf-8", "surrogatepass").split("\n") if n else []
+        rows = texts[~texts["first"]]
+        seq = [np.frombuffer(u.decompress(z), np.uint16 if n <= 1 << 16 else np.uint32) for z in rows["body"]]
+        d = np.repeat(np.arange(len(seq)), [len(s) for s in seq])
+        if n and len(d):
+            order = np.argsort(answers["unit"].to_numpy())
+            unit, value = answers["unit"].to_numpy()[order], answers["ratio"].to_numpy()[order]
+
+            def get(k):
+                at = np.minimum(np.searchsorted(unit, k), max(0, len(unit) - 1))
+                return np.where(unit[at] == k, value[at], 0.0) if len(unit) else np.zeros(len(k))
+
+            key, code = _hash_words(listed), np.concatenate(seq).astype(np.int64)
+            path = sum(get(key[:, j].view(np.int64)) for j in range(PAIR))
+            r = path[code] + get(pair_units(d, key[code, -1]).view(np.int64))
+        else:
+            r = np.zeros(len(d))
+        return pd.DataFrame({"id": rows["id"].to_numpy(dtype=object), "x": log_mean_ratio(r, d, len(seq))})
+
+    ask = src.select("text", F.lit(0).alias("id")).mapInPandas(asked, "window long, unit long")
+    answers = ask.join(ratio.table, "unit").select("window", "unit", F.col("ratio").cast("float").alias("ratio"))
+    texts = src.mapInPandas(lambda b: _marked(sent(b)), f"window long, n int, first boolean, id {kind}, body binary")
+    return texts.groupBy("window").cogroup(answers.groupBy("window")).applyInPandas(answered, f"id {kind}, x double")
+
+
+def _marked(frames):
+    """The first row of each frame holds the window's word list."""
+    for f in frames:
+        yield f.assign(first=np.arange(len(f)) == 0)[["window", "n", "first", "id", "body"]]
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -192,7 +237,7 @@ def count_units(marked: DataFrame) -> DataFrame:
         d_ = zstandard.ZstdDecompressor()
         for b in batches:
             kind = (1 - b["y"].to_numpy().astype(np.int64)) + 2 * b["side"].to_numpy().astype(np.int64)  # place in COUNTS
-            for start, part in slices([d_.decompress(z).decode("utf-8", "surrogatepass") for z in b["z"]], SLICE_CHARS):
+            for start, part in slices([d_.decompress(z).decode("utf-8", "surrogatepass") for z in b["z"]], COUNT_CHARS):
                 d, slot, parent = units(part)
                 if not len(d):
                     continue
@@ -240,19 +285,22 @@ def ratios(counts: DataFrame, without: str = "side") -> tuple[Ratios, np.ndarray
     return Ratios(m.join(below, "parent").select("unit", r.alias("ratio"))), np.array([x or 0.0 for x in root])
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton steps on standardised shapes; one class or none: its share."""
-    mean, scale = (x.mean(axis=0), x.std(axis=0) + 1e-9) if len(x) else (np.zeros(N_SHAPE), np.ones(N_SHAPE))
-    coef = np.zeros(N_SHAPE + 1)
+def calibrate(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:
+    """Factor and constant of a logistic curve by Newton steps; of one class or none, its share.
+
+    The rarer class weighs more, by the root of the classes' ratio: half way between the classes'
+    own odds and even ones.
+    """
+    coef = np.zeros(2)
     if len(set(y.tolist())) < 2:
-        coef[-1] = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
-        return mean, scale, coef
-    z = np.c_[np.clip((x - mean) / scale, -8, 8), np.ones(len(x))]
+        coef[1] = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
+        return coef
+    z, w = np.c_[x, np.ones(len(x))], np.where(y > 0, np.sqrt((y == 0).sum() / (y > 0).sum()), 1.0)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ coef, -40, 40)))
-        h = (z * (p * (1 - p))[:, None]).T @ z / len(z) + l2 * np.eye(N_SHAPE + 1)
-        coef = coef - np.linalg.solve(h, z.T @ (p - y) / len(z) + l2 * coef)
-    return mean, scale, coef
+        h = (z * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z / len(z) + l2 * np.eye(2)
+        coef = coef - np.clip(np.linalg.solve(h, z.T @ (w * (p - y)) / len(z) + l2 * coef), -2, 2)
+    return coef
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", calibrate_rows: int = CALIBRATE_ROWS) -> Model:
@@ -267,29 +315,24 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     scratch = Scratch(spark, "toxicity")
     marks = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     marks = scratch.keep(marks.withColumn("side", F.pmod(F.xxhash64(F.lit("calibrate"), F.col(id_col)), F.lit(4)) == 0))
-    # one kind of join at every size; wider tasks meet more of the same units before the next shuffle
-    marked = packed(docs, id_col, text_col).hint("merge").join(marks, id_col).coalesce(max(1, partitions(spark) // 4))
+    marked = packed(docs, id_col, text_col).join(marks, id_col)
     counts = scratch.keep(count_units(marked))
     first, last = (ratios(counts, w) for w in ("side", ""))
     r = Ratios(scratch.keep(first[0].table))
     aside = F.broadcast(bounded_sample(marks.where("side"), id_col, calibrate_rows))  # its size is bounded
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(aside.withColumnRenamed(id_col, "id"), "id")
-    rows = rows.select("y", "text")
-    rows = shapes(rows, r, "y", "text").toPandas()
-    fitted = calibrate(np.array(rows["x"].tolist(), float).reshape(-1, N_SHAPE), rows["id"].to_numpy(float))
-    model = Model(Ratios(scratch.keep(last[0].table)), last[1], *fitted)
+    rows = evidence(rows.select("y", "text"), r, "y", "text").toPandas()
+    model = Model(Ratios(scratch.keep(last[0].table)), last[1], calibrate(rows["x"].to_numpy(float), rows["id"].to_numpy(float)))
     scratch.drop(marks, counts, r.table)
     return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score), one row per input row; null and empty texts get the score of no evidence."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    fit = Model(None, model.words, model.shape, model.scale, model.coef)
+    fit, kind = Model(None, model.words, model.coef), docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            if len(b):
-                yield pd.DataFrame({"id": b["id"], "score": fit.calibrated(np.array(b["x"].tolist(), float))})
+            yield pd.DataFrame({"id": b["id"], "score": fit.calibrated(b["x"].to_numpy(float))})
 
-    return shapes(docs, model.ratio, id_col, text_col).mapInPandas(run, f"id {kind}, score double").withColumnsRenamed({"id": id_col})
+    return evidence(docs, model.ratio, id_col, text_col).mapInPandas(run, f"id {kind}, score double").withColumnsRenamed({"id": id_col})

@@ -422,3 +422,24 @@ def test_model_adds_disguised_spans_in_real_texts(spark):
     plain = sum(len(more) for _, more in pii.all_spans(texts, net))
     print("disguised spans added:", hit, "of", len(planted), "; spans added to the texts as they are:", plain)
     assert hit >= 0.6 * len(planted) and plain <= 3
+
+
+def test_toxicity_recall_on_held_out_rows(spark):
+    s, y = held(spark, "/root/testdata/sf0.1", "toxic", 5, 0, lambda d, l: toxicity.score(d, toxicity.train(d, l, ~quality.held_out("doc_id", 5, 0))))
+    print("toxicity: AUC", auc(s, y), "found", (s[y == 1] >= 0.5).mean(), "false", (s[y == 0] >= 0.5).mean())
+    assert auc(s, y) > 0.96 and (s[y == 1] >= 0.5).mean() > 0.85 and (s[y == 0] >= 0.5).mean() < 0.02
+
+
+def test_toxicity_score_equals_the_plain_formula(spark, monkeypatch):
+    """Windows, word lists and joins give what a dictionary of all ratios gives, text by text."""
+    monkeypatch.setattr(toxicity, "WINDOW_CHARS", 3000)
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = toxicity.train(docs, labels, F.lit(True))
+    ratio = {r.unit: r.ratio for r in model.ratio.table.collect()}
+    got = {r.id: r.x for r in toxicity.evidence(docs, model.ratio, "doc_id", "text").collect()}
+    for r in docs.collect():
+        _, unit, _ = toxicity.units([r.text])
+        each = [sum(ratio.get(int(u), 0.0) for u in row) for row in unit]
+        want = float(np.log(np.mean(np.exp(each)))) if each else 0.0
+        assert abs(got[r.doc_id] - want) < 1e-4, r.doc_id
+    assert set(got) == {r.doc_id for r in docs.collect()}
