@@ -1,13 +1,19 @@
-"""Benchmark decontamination: BM25 over test items with block-max pruning, then overlap checks.
+"""Benchmark decontamination: BM25 over test items with block-max WAND, then overlap checks.
 
 Test items are the indexed side, training passages the queries. An item's threshold is the least
 score a passage can have that holds the asked share of the item's five-word shingles, so nothing
 above the share is lost: with S distinct shingles at most m = floor((1 - share) S) word positions
-can be gone, hence at most the m largest term impacts. Passages are overlapping word windows over
-the whole text, three times as long as the longest item and one such length apart, so an item lies
-in one window even with as many foreign words mixed in. Items are ordered by length into blocks;
-for each passage, blocks whose summed block-max impacts stay under their lowest threshold are
-skipped, the others scored item by item.
+can be gone, hence at most the m largest term impacts.
+
+As in WAND, an item's terms are taken from the strongest on: a passage that reaches the threshold
+must hold enough of the first ones (its pivot terms), since all the others together can't make up
+for them. Only pivot terms have postings, by block of items with the largest impact in the block;
+blocks whose sums stay under what any of their items needs are skipped, the items of the others
+scored in full. Postings are sparse: their size follows the items' words.
+
+A passage of an item is a window three times as long as the item, and one such length on starts
+the next, so an item lies in one window even with as many foreign words mixed in, and what is found
+depends on the item alone. Candidates are searched in wider windows that hold every such passage.
 """
 
 from __future__ import annotations
@@ -26,8 +32,12 @@ SHINGLE = 5
 SHARE = 0.8
 K1, B = 1.2, 0.75
 BLOCK = 4
+#: Share of an item's threshold that terms without postings may add up to.
+PIVOT = 0.5
 #: Most characters and items of one index slice; larger benchmarks take a pass per slice.
 SLICE_CHARS, SLICE_ITEMS = 8_000_000, 20_000
+#: Sums held at once while passages are matched with blocks.
+CELLS = 2_000_000
 
 
 def words(text: str | None) -> list[str]:
@@ -61,44 +71,67 @@ def part_overlap(part: list[str], have: list[str], have_shingles: set[tuple[str,
     return len(s & have_shingles) / len(s)
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, .. of ``size[0]`` numbers, then those of the next."""
+    total = int(size.sum())
+    return np.arange(total) - np.repeat(np.cumsum(size) - size - start, size)
+
+
 class Index:
-    """Inverted index of one slice of items: impacts by term and item, block maxima, thresholds."""
+    """Inverted index of one slice of items: sparse block maxima of pivot terms, impacts, thresholds."""
 
     def __init__(self, items: list[tuple[int, str | None]], share: float = SHARE):
         rows = sorted(((i, words(t), t) for i, t in items if words(t)), key=lambda x: len(x[1]))
         self.ids = [i for i, _, _ in rows]
-        self.shingles = [shingles(w) for _, w, _ in rows]
+        self.words = [w for _, w, _ in rows]
         self.parts = [split_item(t) for _, _, t in rows]
-        self.longest = max((len(w) for _, w, _ in rows), default=1)
-        mean = sum(len(w) for _, w, _ in rows) / max(1, len(rows))
+        self.longest = max((len(w) for w in self.words), default=1)
+        mean = sum(map(len, self.words)) / max(1, len(rows))
         df: dict[str, int] = {}
-        for _, w, _ in rows:
+        for w in self.words:
             for x in set(w):
                 df[x] = df.get(x, 0) + 1
         self.term = {x: k for k, x in enumerate(df)}
         idf = {x: log(1 + (len(rows) - n + 0.5) / (n + 0.5)) for x, n in df.items()}
-        n_block = -(-len(rows) // BLOCK)
-        self.block_max = np.zeros((len(df), n_block), dtype=np.float32)
-        self.postings: list[dict[int, float]] = []
-        self.threshold = np.zeros(len(rows))
-        for k, (_, w, _) in enumerate(rows):
+        self.impacts: list[dict[int, float]] = []
+        self.threshold, need = np.zeros(len(rows)), np.zeros(len(rows))
+        maxima: dict[tuple[int, int], float] = {}
+        for k, w in enumerate(self.words):
             tf: dict[str, int] = {}
             for x in w:
                 tf[x] = tf.get(x, 0) + 1
             imp = {self.term[x]: idf[x] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean)) for x, n in tf.items()}
-            self.postings.append(imp)
-            lost = int((1 - share) * len(self.shingles[k]) + 1e-9)
-            self.threshold[k] = sum(imp.values()) - sum(sorted(imp.values(), reverse=True)[:lost]) - 1e-3
-            for t, v in imp.items():
-                self.block_max[t, k // BLOCK] = max(self.block_max[t, k // BLOCK], v)
-        self.block_low = np.array([self.threshold[b * BLOCK : (b + 1) * BLOCK].min() for b in range(n_block)], dtype=np.float32)
+            self.impacts.append(imp)
+            lost = int((1 - share) * len(shingles(w)) + 1e-9)
+            strongest = sorted(imp.items(), key=lambda x: -x[1])
+            self.threshold[k] = sum(imp.values()) - sum(v for _, v in strongest[:lost]) - 1e-3
+            rest = sum(imp.values())
+            for t, v in strongest:
+                if rest <= PIVOT * self.threshold[k]:
+                    break
+                rest -= v
+                at = (t, k // BLOCK)
+                maxima[at] = max(maxima.get(at, 0.0), v)
+            need[k] = self.threshold[k] - rest - 1e-3
+        self.n_block = -(-len(rows) // BLOCK)
+        self.need = np.array([need[b * BLOCK : (b + 1) * BLOCK].min() for b in range(self.n_block)])
+        # postings by term: blocks and their largest impacts; a term's run starts at first[term]
+        order = sorted(maxima)
+        term = np.array([t for t, _ in order], dtype=np.int64)
+        self.block, self.top = np.array([b for _, b in order], dtype=np.int32), np.array([maxima[x] for x in order])
+        self.first = np.searchsorted(term, np.arange(len(df) + 1))
+
+    def size(self) -> int:
+        """Bytes of the postings."""
+        return self.block.nbytes + self.top.nbytes + self.first.nbytes
 
     def search(self, texts: list[str | None], share: float = SHARE) -> list[tuple[int, int, float, float, float, float]]:
-        """(text number, item id, score, overlap, question overlap, answer overlap), best window each."""
+        """(text number, item id, score, overlap, question overlap, answer overlap), best passage each."""
         found: dict[tuple[int, int], tuple] = {}
         if not self.ids:
             return []
-        step, get = self.longest, self.term.get
+        # wide windows of three steps hold each passage of every item: 3 longest <= 2 steps
+        step, get = -(-3 * self.longest // 2), self.term.get
         all_words = [words(t) for t in texts]
         n = np.array([len(w) for w in all_words], dtype=np.int64)
         term = np.fromiter(map(get, chain.from_iterable(all_words), repeat(-1)), dtype=np.int64, count=int(n.sum()))
@@ -107,7 +140,7 @@ class Index:
         chunks = -(-n // step)
         n_win = np.maximum(chunks - 2, (n > 0).astype(np.int64))
         base = np.cumsum(n_win) - n_win
-        hit = term >= 0
+        hit = (term >= 0) & (self.first[term + 1] > self.first[term])
         term, doc, chunk = term[hit], doc[hit], (pos // step)[hit]
         keys = []
         for back in range(3):
@@ -115,34 +148,49 @@ class Index:
             ok = (w >= 0) & (w < n_win[doc])
             keys.append((base[doc[ok]] + w[ok]) * len(self.term) + term[ok])
         key = np.unique(np.concatenate(keys))
-        if not len(key):
-            return []
         win, term = key // len(self.term), key % len(self.term)
-        cut = np.flatnonzero(np.r_[True, win[1:] != win[:-1]])
-        for lo in range(0, len(cut), 4096):  # bounds the gathered rows
-            a, z = cut[lo], cut[lo + 4096] if lo + 4096 < len(cut) else len(win)
-            bound = np.add.reduceat(self.block_max[term[a:z]], cut[lo : lo + 4096] - a, axis=0)
-            for x, b in zip(*np.nonzero(bound >= self.block_low)):
-                s = cut[lo + x]
-                e = cut[lo + x + 1] if lo + x + 1 < len(cut) else len(win)
-                terms = term[s:e].tolist()
-                d = int(np.searchsorted(base, win[s], side="right") - 1)
-                sh = None
+        per = max(1, CELLS // self.n_block)
+        for lo in range(0, int(win[-1]) + 1 if len(win) else 0, per):
+            a, z = np.searchsorted(win, (lo, lo + per))
+            size = self.first[term[a:z] + 1] - self.first[term[a:z]]
+            at = _ranges(self.first[term[a:z]], size)
+            cell = np.repeat(win[a:z] - lo, size) * self.n_block + self.block[at]
+            bound = np.bincount(cell, weights=self.top[at], minlength=0)
+            some = np.flatnonzero(bound > 0)
+            some = some[bound[some] >= self.need[some % self.n_block]]
+            last, have = -1, None
+            for c in some.tolist():
+                w, b = lo + c // self.n_block, c % self.n_block
+                if w != last:
+                    last = w
+                    d = int(np.searchsorted(base, w, side="right") - 1)
+                    first = int(w - base[d]) * step
+                    have = all_words[d][first : first + 3 * step]
+                    terms, sh = {get(x) for x in have}, None
                 for k in range(b * BLOCK, min((b + 1) * BLOCK, len(self.ids))):
-                    p = self.postings[k]
-                    score = sum(p[t] for t in terms if t in p)
-                    if score < self.threshold[k]:
+                    if sum(v for t, v in self.impacts[k].items() if t in terms) < self.threshold[k]:
                         continue
+                    mine = shingles(self.words[k])
                     if sh is None:
-                        first = int(win[s] - base[d]) * step
-                        have = all_words[d][first : first + 3 * step]
                         sh = shingles(have)
-                    over = len(self.shingles[k] & sh) / len(self.shingles[k])
-                    if over >= share and over > found.get((d, k), (0, 0))[1]:
-                        qa = [part_overlap(y, have, sh) for y in self.parts[k]]
-                        found[d, k] = (score, over, *qa)
+                    if len(mine & sh) < share * len(mine) and len(self.words[k]) >= SHINGLE and len(have) >= SHINGLE:
+                        continue
+                    self._passages(d, k, all_words[d], first, len(have), share, mine, found)
         return [(d, self.ids[k], *v) for (d, k), v in sorted(found.items())]
 
+    def _passages(self, d: int, k: int, text: list[str], first: int, wide: int, share: float, mine: set, found: dict) -> None:
+        """The best passage of item ``k`` that starts in a wide window of the text, if it reaches the share."""
+        size = len(self.words[k])
+        last = max(-(-len(text) // size) - 3, 0)
+        for p in range(-(-first // size), min(last, (first + wide - 1) // size) + 1):
+            have = text[p * size : (p + 3) * size]
+            sh = shingles(have)
+            over = len(mine & sh) / len(mine)
+            if over >= share and over > found.get((d, k), (0, 0))[1]:
+                terms = {self.term.get(x) for x in have}
+                score = sum(v for t, v in self.impacts[k].items() if t in terms)
+                found[d, k] = (score, over, *(part_overlap(y, have, sh) for y in self.parts[k]))
+
 
 def index_slices(items: DataFrame, id_col: str, text_col: str):
     """The items in slices of checked size, by ranges of id; null ids take part under null."""
@@ -155,10 +203,11 @@ def index_slices(items: DataFrame, id_col: str, text_col: str):
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
-    """Rows (id_col, item_id, score, overlap, question_overlap, answer_overlap).
+    """Rows (id_col, item_id, score, overlap, question_overlap, answer_overlap, verified).
 
     One row per document row and test item of which at least ``share`` of the five-word shingles
-    stand in one passage; the values are those of the best passage. Words are lower-cased runs of
+    stand in one passage; the values are those of the best passage. ``verified`` names the parts
+    that the passage holds to that share: question, answer, both or neither. Words are lower-cased runs of
     letters, digits and underscores. Questions and answers under five words overlap by 1 where they
     stand in the passage as a whole, else by 0. Null and empty texts match nothing; null ids stay null;
     repeated rows and items give repeated matches. Items are read to the driver in slices of a
@@ -182,6 +231,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         kind = docs.schema[id_col].dataType.simpleString()
         part = src.mapInPandas(run, f"id {kind}, item long, score double, overlap double, question_overlap double, answer_overlap double")
         out = part if out is None else out.unionByName(part)
+    q, a = F.col("question_overlap") >= share, F.col("answer_overlap") >= share
+    out = out.withColumn("verified", F.when(q & a, "both").when(q, "question").when(a, "answer").otherwise("neither"))
     return out.withColumnsRenamed({"id": id_col, "item": item_id})
 
 

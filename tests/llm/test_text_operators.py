@@ -443,3 +443,50 @@ def test_toxicity_score_equals_the_plain_formula(spark, monkeypatch):
         want = float(np.log(np.mean(np.exp(each)))) if each else 0.0
         assert abs(got[r.doc_id] - want) < 1e-4, r.doc_id
     assert set(got) == {r.doc_id for r in docs.collect()}
+
+
+def plain_passages(texts, items):
+    """All items against all passages of their own length."""
+    want = {}
+    for d, t in texts:
+        have = decontam.words(t)
+        for i, x in items:
+            w = decontam.words(x)
+            s = decontam.shingles(w)
+            last = max(-(-len(have) // len(w)) - 3, 0) if w else -1
+            best = max((len(s & decontam.shingles(have[a * len(w) : (a + 3) * len(w)])) / len(s) for a in range(last + 1)), default=0) if s and have else 0
+            if best >= 0.8:
+                want[d, i] = round(best, 9)
+    return want
+
+
+@pytest.mark.parametrize("slice_items", [1, 7, 20_000])
+def test_passages_depend_on_the_item_alone(spark, monkeypatch, slice_items):
+    monkeypatch.setattr(decontam, "SLICE_ITEMS", slice_items)
+    rng = random.Random(31)
+    items = [(i, prose(rng, rng.choice([5, 6, 9, 20, 60, 150]))) for i in range(24)]
+    texts = []
+    for i in range(50):
+        w = []
+        for _ in range(rng.randint(0, 3)):
+            got = items[rng.randrange(24)][1].split()
+            for at in range(rng.randrange(3)):  # foreign words mixed in
+                got.insert(rng.randrange(len(got)), "foreign")
+            w += prose(rng, rng.randint(1, 200)).split() + got
+        texts.append((i, " ".join(w + prose(rng, rng.randint(1, 60)).split())))
+    docs = docs_frame(spark, texts).withColumn("item_id", F.lit("mine")).withColumn("item", F.lit(0)).withColumn("score", F.lit("s"))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1)).withColumn("id", F.lit(2))
+    if slice_items == 1:
+        docs, texts, bench, items = docs.where("doc_id < 20"), texts[:20], bench.where("item_id < 4"), items[:4]
+    got = {(r.doc_id, r.item_id): round(r.overlap, 9) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == plain_passages(texts, items) and got
+    assert decontam.drop_contaminated(docs, bench).columns == docs.columns
+
+
+def test_index_of_many_items_is_sparse():
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = ["".join(rng.choice(letters) for _ in range(6)) for _ in range(40_000)]
+    index = decontam.Index([(i, " ".join(rng.choice(vocabulary) for _ in range(40))) for i in range(20_000)])
+    assert index.size() < 20_000 * 40 * 20
+    assert [x[1] for x in index.search([" ".join(index.words[123]), "nothing of it"])] == [index.ids[123]]
