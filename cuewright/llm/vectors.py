@@ -6,15 +6,16 @@ enters a list if it beats the list's last entry. After each round a fixed sample
 compared with all vectors; rounds go on until the share of its links that the graph connects is
 high enough. Nodes whose whole list lies above the threshold (saturated) may have links that no
 list has room for: they are compared with all other saturated nodes of their label, block against
-block, and the components that such links join are merged. If the audit is unmet after that, the
-job warns. Links at the threshold form components, and in each component every pair is compared in double precision, block against
+block, and the components that such links join are merged. If the audit is unmet after that, all
+nodes of a label are compared so, and nothing is missed. The recall that the graph reached is
+logged. Links at the threshold form components, and in each component every pair is compared in double precision, block against
 block, so link counts inside a component are exact. Pairs are counted where they meet; no group
 ever lists all its pairs.
 """
 
 from __future__ import annotations
 
-import warnings
+import logging
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, partitions
 from .components import connected_components
 
+log = logging.getLogger(__name__)
+
 COSINE = 0.98
 K = 10
+#: Most entries of a saturated node's list; links that it has no room for are found block by block.
 LONGEST = 40
 TREES = 4
 CELL = 48
@@ -35,12 +39,15 @@ ROUNDS = 6
 RECALL = 1.0
 AUDIT = 200
 BLOCK = 1024
+#: Most crowded cells that are broadcast (about 40 bytes each); more are joined by shuffle.
+CROWDED = 100_000
 
 
 def nodes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     """Rows (id, label, v), one per input row: v has unit length in double precision.
 
-    Where a row can link with nothing, v is null.
+    Where a row can link with nothing, v is null. Vectors link only with those of their own length:
+    it is part of the label, and shorter ones are filled with zeros to the longest.
     """
     x = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.transform(vec_col, lambda x: x.cast("double")).alias("raw"))
     top = F.aggregate("raw", F.lit(0.0), lambda s, a: F.greatest(s, F.abs(a)))
@@ -49,7 +56,12 @@ def nodes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> Data
     x = x.select("id", "label", F.when(usable, F.col("raw")).alias("raw")).withColumn("top", top)
     x = x.select("id", "label", F.when(F.col("top") > 0, F.transform("raw", lambda a: a / F.col("top"))).alias("raw"))
     x = x.withColumn("norm", F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, a: s + a * a)))
-    return x.select("id", "label", F.transform("raw", lambda a: a / F.col("norm")).alias("v"))
+    n = F.size("raw")
+    return x.select("id", F.concat_ws(":", n.cast("string"), "label").alias("label"), F.transform("raw", lambda a: a / F.col("norm")).alias("v"))
+
+
+def filled(all_nodes: DataFrame, dim: int) -> DataFrame:
+    return all_nodes.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("v"))))
 
 
 def _matrix(col) -> np.ndarray:
@@ -98,8 +110,10 @@ def first_graph(reps: DataFrame, dim: int, seed: int = 5) -> DataFrame:
 
     x = reps.join(sizes, "label").select("id", "label", "v", "n").mapInPandas(cells, "tree int, label string, cell long, id long, v array<double>")
     # a crowded cell is dealt to chunks: it holds near copies, whose chains the rounds join
-    w = x.groupBy("tree", "label", "cell").agg(F.count("*").alias("m"))
-    x = x.join(w, ["tree", "label", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("m") / (4 * CELL))).cast("int"))
+    w = x.groupBy("tree", "label", "cell").agg(F.count("*").alias("m")).where(F.col("m") > 4 * CELL)
+    w = F.broadcast(w) if w.limit(CROWDED + 1).count() <= CROWDED else w
+    x = x.join(w, ["tree", "label", "cell"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    x = x.withColumn("chunk", F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("m") / (4 * CELL))).cast("int"))
 
     def best(g):
         ids, x = g["id"].to_numpy(), _matrix(g["v"])
@@ -122,7 +136,8 @@ def _trim(edges: DataFrame, sizes: DataFrame | None) -> DataFrame:
     e = e.withColumn("rank", F.row_number().over(w))
     if sizes is None:
         return e.where(F.col("rank") <= K).select("u", "v", "sim")
-    e = e.join(sizes, "u", "left")
+    # the fixed bound comes first, so that a hub's candidates are cut before they are shuffled
+    e = e.where(F.col("rank") <= max(K, LONGEST)).join(sizes, "u", "left")
     return e.where(F.col("rank") <= F.coalesce("k", F.lit(K))).select("u", "v", "sim")
 
 
@@ -177,14 +192,19 @@ def audited(truth: DataFrame, roots: DataFrame) -> tuple[int, int]:
     return truth.join(a, "a", "left").join(b, "b", "left").agg(F.count("*"), F.coalesce(F.sum((F.col("ra") == F.col("rb")).cast("int")), F.lit(0))).first()
 
 
-def saturated_links(graph: DataFrame, reps: DataFrame, roots: DataFrame, cosine: float) -> DataFrame:
-    """Distinct (u, v): roots of components with a link between saturated nodes of one label.
+def saturated(graph: DataFrame, cosine: float) -> DataFrame:
+    """Nodes (id) whose whole list is links, so that there may be more."""
+    full = graph.groupBy("u").agg(F.min("sim").alias("low"), F.count("*").alias("n")).where((F.col("low") >= cosine) & (F.col("n") >= K))
+    return full.select(F.col("u").alias("id"))
+
+
+def links_across(reps: DataFrame, roots: DataFrame, cosine: float) -> DataFrame:
+    """Distinct (u, v): roots of components with a link between nodes of one label, all compared block by block.
 
-    A node whose list is full of links may have more; all such nodes of a label are compared, block by block.
+    A node without a component is its own.
     """
-    full = graph.groupBy("u").agg(F.min("sim").alias("low"), F.count("*").alias("n")).where((F.col("low") >= cosine) & (F.col("n") >= K))
-    x = reps.join(full.select(F.col("u").alias("id")), "id").join(roots.withColumnRenamed("node", "id"), "id").select("label", "id", "root", "v")
-    # a label with one component of saturated nodes has nothing to join
+    x = reps.join(roots.withColumnRenamed("node", "id"), "id", "left").select("label", "id", F.coalesce("root", "id").alias("root"), "v")
+    # a label with one component has nothing to join
     m = x.groupBy("label").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     x = x.join(m, "label").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -237,16 +257,17 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     Rows link when their labels are equal and not null and their cosine in double precision is at
     least ``cosine``. Null, empty, zero and non-finite vectors (and rows without an id) link with
     nothing and are their own component. ``kept`` marks the smallest id of a component. Vectors of
-    one table share one length. Repeated ids count as one row each in links, and a repeated id
+    different lengths don't link. Repeated ids count as one row each in links, and a repeated id
     keeps all its rows. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
     s = Scratch(spark, "vectors")
-    all_nodes = s.keep(nodes(vectors, id_col, vec_col, label_col))
-    reps = s.keep(all_nodes.where(F.col("v").isNotNull()).groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
-    one = reps.select(F.size("v").alias("d")).first()
-    if one is None:
+    all_nodes = nodes(vectors, id_col, vec_col, label_col)
+    one = all_nodes.agg(F.max(F.size("v")).alias("d")).first()
+    if (one.d or 0) < 1:
         return all_nodes.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    all_nodes = s.keep(filled(all_nodes, one.d))
+    reps = s.keep(all_nodes.where(F.col("v").isNotNull()).groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     graph = s.keep(_trim(first_graph(reps, one.d), None))
     truth = s.keep(audit_links(reps))
     roots = None
@@ -266,12 +287,17 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         n, got = audited(truth, roots)
         if got >= RECALL * n:
             break
-    across = s.keep(saturated_links(graph, reps, roots, cosine))
-    if across.limit(1).count():
-        roots = s.keep(connected_components(edges.select("u", "v").unionByName(across), "u", "v", s))
-        n, got = audited(truth, roots)
-    if got < RECALL * n:
-        warnings.warn(f"near_duplicates: {n - got} of {n} audited links are not joined after {ROUNDS} rounds")
+    log.info("near_duplicates: %d of %d audited links are joined by the graph", got, n)
+    # saturated nodes first; if the audit is still unmet, all of a label
+    for some in (reps.join(saturated(graph, cosine), "id"), reps):
+        across = s.keep(links_across(some, roots, cosine))
+        if across.limit(1).count():
+            edges = edges.select("u", "v").unionByName(across)
+            roots = s.keep(connected_components(edges, "u", "v", s))
+            n, got = audited(truth, roots)
+        if got >= RECALL * n:
+            break
+    log.info("near_duplicates: %d of %d audited links are joined", got, n)
     counts = s.keep(count_links(reps, roots, cosine))
     low = roots.groupBy("root").agg(F.min("node").alias("component_id"))
     member = reps.join(roots.withColumnRenamed("node", "id"), "id", "left").join(low, "root", "left").join(counts, "id", "left")

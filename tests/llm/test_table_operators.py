@@ -411,3 +411,29 @@ def test_open_pages_against_brute_force(spark):
             texts[host, h] = "\n\n".join(kept)
     assert got == {i: texts[int(u[8]), h] for i, u, h in rows}
     assert any(texts[int(u[8]), h].count("\n\n") + 1 < h.count("<p>") for _, u, h in rows)
+
+
+def test_vectors_are_exact_where_the_rounds_fall_short(spark, monkeypatch, caplog):
+    for name, value in (("ROUNDS", 1), ("K", 1), ("LONGEST", 1), ("TREES", 1), ("CELL", 2), ("BLOCK", 16)):
+        monkeypatch.setattr(vectors, name, value)
+    caplog.set_level("INFO", logger=vectors.__name__)
+    r = np.random.default_rng(12)
+    rows = []
+    for c in range(10):
+        base = r.normal(size=12)
+        for _ in range(12):
+            rows.append((len(rows), [float(x) for x in base + r.normal(size=12) * 0.1], c % 2))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, vectors.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect()))
+    assert got == sorted(plain_vectors(rows))
+    said = [x.getMessage() for x in caplog.records if "audited links" in x.getMessage()]
+    first, last = (list(map(int, re.findall(r"\d+", x))) for x in (said[0], said[-1]))
+    assert first[0] < first[1] and last[0] == last[1]
+
+
+def test_vectors_of_different_lengths_do_not_link(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.0, 0.0], 0), (3, [2.0, 0.0], 0), (4, [], 0), (5, [1.0], 0), (6, None, 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (0, 4), 5: (0, 5), 6: (0, 6)}
+    none = spark.createDataFrame([(4, [], 0), (6, None, 0)], "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: r.n_links for r in vectors.near_duplicates(none).collect()} == {4: 0, 6: 0}
