@@ -42,3 +42,16 @@ def gain_to(wave: Column, rms_db: float = -23.0, peak_db: float = -1.0) -> Colum
     p, r = peak(wave), F.sqrt(mean_square(wave))
     g = F.lit(10 ** (rms_db / 20)) / r
     return F.when(r > 0, F.least(g, F.lit(10 ** (peak_db / 20)) / p))
+
+
+def pcm_faults(wave: Column, rate: Column, channels: Column, encoding: Column, samples: int = 1920, hertz: int = 24_000) -> Column:
+    """Faults of a PCM unit: 24 kHz mono in a known encoding, of the fixed length, finite and within [-1, 1]."""
+    from cuewright.functions.checks import failed
+
+    whole = F.forall(wave, lambda a: ~F.isnan(a) & (F.abs(a) <= 1))
+    return failed(rate=rate == hertz, channels=channels == 1, encoding=encoding.isin("f32", "s16"), length=F.size(wave) == samples, range=whole)
+
+
+def from_s16(wave: Column) -> Column:
+    """16-bit samples as floats in [-1, 1)."""
+    return F.transform(wave, lambda a: a / 32768.0)

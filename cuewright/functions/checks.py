@@ -51,7 +51,7 @@ def reroot(path: Column, prefixes: dict[str, str]) -> Column:
         inside = path.contains(old + "/")
         out = F.when(inside & ~_starts_any(path, prefixes), F.replace(path, F.lit(old + "/"), F.lit(new + "/"))).otherwise(out)
     for old, new in ordered:
-        out = F.when((path == old) | path.startswith(old + "/"), F.concat(F.lit(new), F.substring(path, len(old) + 1, 1_000_000))).otherwise(out)
+        out = F.when((path == old) | path.startswith(old + "/"), F.concat(F.lit(new), F.substr(path, F.lit(len(old) + 1)))).otherwise(out)
     return out
 
 
@@ -67,3 +67,36 @@ def unsafe_member(path: Column) -> Column:
     steps = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
     low = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")), lambda a, s: F.struct((a["at"] + F.when(s == "..", -1).otherwise(1)).alias("at"), F.least(a["low"], a["at"] + F.when(s == "..", -1).otherwise(1)).alias("low")))
     return path.startswith("/") | (low["low"] < 0)
+
+
+def filled(c: Column) -> Column:
+    """True for a string that is not null and not blank."""
+    return F.coalesce(F.trim(c) != "", F.lit(False))
+
+
+def trajectory_faults(version: Column, known: str, *names: Column, labels: tuple[str, ...] = ("scale", "kind", "task")) -> Column:
+    """Faults of a trajectory's identity: another version, or one of its names missing."""
+    return failed(version=version == known, **{n: filled(c) for n, c in zip(labels, names)})
+
+
+def masked_range(values: Column, mask: Column, below: int) -> Column:
+    """True if every value whose mask is set lies in [0, below); unset ones may be anything. Lengths must agree."""
+    pairs = F.arrays_zip(values.alias("v"), mask.alias("m"))
+    inside = F.forall(pairs, lambda p: ~p["m"] | p["v"].between(0, below - 1))
+    return (F.size(values) == F.size(mask)) & F.coalesce(inside, F.lit(False))
+
+
+def unit_faults(mode: Column, codes: Column, code_mask: Column, tokens: Column, token_mask: Column, delta: Column, codebook: int = 2048, vocabulary: int = 940) -> Column:
+    """Faults of a unit: mode, codes and tokens in range where masked, a positive step in time."""
+    return failed(mode=mode.isin(0, 1), codes=masked_range(codes, code_mask, codebook), tokens=masked_range(tokens, token_mask, vocabulary), delta=delta > 0)
+
+
+def voice_faults(voice_id: Column, path: Column, actual: Column, recorded: Column) -> Column:
+    """Faults of a voice record: an id and a FLAC or WAV prompt are needed; a recorded hash must be the prompt's."""
+    suffix = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    return failed(id=filled(voice_id), suffix=suffix.isin("flac", "wav"), hash=recorded.isNull() | (recorded == actual))
+
+
+def stored_voice_name(voice_id: Column, path: Column, actual: Column) -> Column:
+    """``id-hash12.ext`` of a prompt's file."""
+    return F.concat(voice_id, F.lit("-"), F.substring(actual, 1, 12), F.lower(F.regexp_extract(path, r"(\.[A-Za-z0-9]+)$", 1)))

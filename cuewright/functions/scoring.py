@@ -14,14 +14,17 @@ def cer(target: Column, heard: Column) -> Column:
 
 
 def wer(target: Column, heard: Column) -> Column:
-    """Word error rate: a pair's words become private-use characters, so levenshtein counts words."""
+    """Word error rate: a pair's words become characters above the base plane, so levenshtein counts words.
+
+    Null for a pair of more than 983,040 different words, which have no characters left.
+    """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9']+"), F.lit(0))
     a, b = words(target), words(heard)
     both = F.array_distinct(F.concat(a, b))
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex((F.array_position(both, w) + 57343).cast("long")), 4, "0")), "UTF-16BE")
+    code = lambda w: F.decode(F.unhex(F.lpad(F.hex((F.array_position(both, w) + 0x1FFFF).cast("long")), 8, "0")), "UTF-32")
     as_text = lambda x: F.array_join(F.transform(x, code), "")
     rate = F.least(F.lit(1.0), F.levenshtein(as_text(a), as_text(b)) / F.greatest(F.size(a), F.lit(1)))
-    return F.when(F.size(both) <= 6400, rate)
+    return F.when(F.size(both) <= 983_040, rate)
 
 
 def interaction(speech: Column, latency: Column, efficiency: Column) -> Column:

@@ -72,3 +72,29 @@ def score_gate(df: DataFrame, metric: str, score: str, metrics: list[str], row_m
     want = df.sparkSession.createDataFrame([(m,) for m in metrics], f"{metric} string")
     x = want.join(have, metric, "left").select(metric, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean", F.lit(1.0)).alias("mean"), F.coalesce("worst", F.lit(1.0)).alias("worst"))
     return x.withColumn("passed", (F.col("worst") <= row_most) & (F.col("mean") <= mean_most))
+
+
+def voice_isolation(voices: DataFrame, voice: str, role: str, split: str, language: str, languages: list[str]) -> DataFrame:
+    """(gate, n, passed): one assistant voice in all, no user voice in two splits, every language with a user voice."""
+    said = voices.where(F.col(role) == "assistant").agg(F.count_distinct(voice).alias("n"))
+    users = voices.where(F.col(role) != "assistant")
+    shared = users.groupBy(voice).agg(F.count_distinct(split).alias("k")).where("k > 1").agg(F.count("*").alias("n"))
+    heard = users.where(F.col(language).isin(*languages)).agg((F.lit(len(languages)) - F.count_distinct(language)).alias("n"))
+    row = lambda df, gate, ok: df.select(F.lit(gate).alias("gate"), F.col("n").cast("long").alias("n"), ok.alias("passed"))
+    n = F.col("n")
+    return row(said, "assistant voices", n == 1).unionByName(row(shared, "shared user voices", n == 0)).unionByName(row(heard, "languages without a voice", n == 0))
+
+
+def tally(df: DataFrame, ok: Column, least: int = 100) -> DataFrame:
+    """(checked, failed, passed): passed if at least ``least`` rows were checked and none failed. Null is a failure."""
+    bad = F.count_if(~F.coalesce(ok, F.lit(False)))
+    return df.agg(F.count("*").alias("checked"), bad.alias("failed"), ((F.count("*") >= least) & (bad == 0)).alias("passed"))
+
+
+def streaks(df: DataFrame, key: str, order: list[str], idle: str, most: int = 100) -> DataFrame:
+    """(key, longest, passed): the longest run of rows in order where ``idle`` holds, and whether it stays under ``most``."""
+    from cuewright.operators.layout import mode_runs
+
+    runs = mode_runs(df, key, order, idle).where(idle).groupBy(key, "run").agg(F.count("*").alias("k"))
+    x = df.select(key).distinct().join(runs.groupBy(key).agg(F.max("k").alias("k")), key, "left")
+    return x.select(key, F.coalesce("k", F.lit(0)).alias("longest"), (F.coalesce("k", F.lit(0)) < most).alias("passed"))

@@ -89,3 +89,35 @@ def update_from(df: DataFrame, fresh: DataFrame, key: str, column: str) -> DataF
 def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def lock_faults(catalog: DataFrame, lock: DataFrame, key: str, version: str, digest: str) -> DataFrame:
+    """(key, fault) where a source lock differs from its catalog: keys of one side only, another version, no hash."""
+    a = catalog.select(key, F.col(version).alias("__a"), F.lit(1).alias("__in_a"))
+    b = lock.select(key, F.col(version).alias("__b"), F.col(digest).alias("__h"), F.lit(1).alias("__in_b"))
+    j = a.join(b, key, "full_outer")
+    why = (
+        F.when(F.col("__in_b").isNull(), "not locked").when(F.col("__in_a").isNull(), "not in catalog")
+        .when(~F.col("__a").eqNullSafe(F.col("__b")), "version").when(F.coalesce(F.col("__h"), F.lit("")) == "", "no hash")
+    )
+    return j.select(key, why.alias("fault")).where("fault is not null")
+
+
+def lock_archives(lock: DataFrame, key: str, archives: str, own: str) -> DataFrame:
+    """One row per archive of a lock's records; a record without archives is its own."""
+    each = F.when(F.size(F.coalesce(F.col(archives), F.array().cast("array<string>"))) > 0, F.col(archives)).otherwise(F.array(F.col(own)))
+    return lock.select(key, F.posexplode(each).alias("archive_no", "archive"))
+
+
+def hash_faults(lock: DataFrame, found: DataFrame, key: str, expected: str, actual: str) -> DataFrame:
+    """(key, fault) of archives that weren't found or whose hash isn't the expected one."""
+    j = lock.select(key, expected).join(found.select(key, actual), key, "left")
+    why = F.when(F.col(actual).isNull(), "missing").when(~F.lower(actual).eqNullSafe(F.lower(expected)), "different")
+    return j.select(key, why.alias("fault")).where("fault is not null")
+
+
+def receipt_faults(receipts: DataFrame, metrics: DataFrame, key: str, loudness: str, digest: str, low: float = -24.0, high: float = -22.0) -> DataFrame:
+    """(key, fault) of loudness receipts: no metrics, metrics of another hash, or loudness outside the bounds."""
+    j = receipts.select(key, F.col(digest).alias("__want"), loudness).join(metrics.select(key, F.col(digest).alias("__have")), key, "left")
+    why = F.when(F.col("__have").isNull(), "no metrics").when(~F.col("__have").eqNullSafe(F.col("__want")), "hash").when(~F.coalesce(F.col(loudness).between(low, high), F.lit(False)), "loudness")
+    return j.select(key, why.alias("fault")).where("fault is not null")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +10,44 @@ from pyspark.sql import functions as F
 from cuewright.functions.clock import FRAME, RATE, align_up
 
 
+def _blocks(df: DataFrame, number: str, block: str) -> DataFrame:
+    """``block``: about equal ranges of the column ``number``, as many as there are shuffle partitions.
+
+    Only the bounds, approximate quantiles, reach the driver; equal numbers share a block.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = df.agg(F.percentile_approx(number, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0]
+    splits = [float("-inf"), *sorted({float(b) for b in bounds or ()}), float("inf")]
+    return Bucketizer(splits=splits, inputCol=number, outputCol=block, handleInvalid="keep").transform(df)
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, down: bool = False) -> DataFrame:
+    """``out``: the sum of ``value`` over the rows of the same keys that come before in ``order``.
+
+    Works for few keys of any size: rows are cut into ranges of the first, numeric order column,
+    ranges are summed, their prefix sums (keys x ranges rows) are joined back, and what is left is
+    a window in one range of one key. ``down`` turns the first order column round. Rows whose first
+    order column is null come last.
+    """
+    x = df.withColumn("__run_v", value).withColumn("__run_x", F.coalesce(F.col(order[0]).cast("double") * (-1 if down else 1), F.lit(float("inf"))))
+    x = _blocks(x, "__run_x", "__run_b")
+    sums = x.groupBy(*keys, "__run_b").agg(F.sum("__run_v").alias("__run_s"))
+    w = W.partitionBy(*keys).orderBy("__run_b").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("__run_before", F.coalesce(F.sum("__run_s").over(w), F.lit(0)))
+    small = sums.select("__run_before", *(F.col(k).alias(f"__run_k{i}") for i, k in enumerate([*keys, "__run_b"])))
+    same = F.lit(True)
+    for i, k in enumerate([*keys, "__run_b"]):
+        same = same & F.col(k).eqNullSafe(F.col(f"__run_k{i}"))
+    y = x.join(small, same, "left").drop(*(c for c in small.columns if c != "__run_before"))
+    w = W.partitionBy(*keys, "__run_b").orderBy("__run_x", *order[1:]).rowsBetween(W.unboundedPreceding, -1)
+    return y.withColumn(out, F.col("__run_before") + F.coalesce(F.sum("__run_v").over(w), F.lit(0))).drop("__run_v", "__run_x", "__run_b", "__run_before")
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """``out``: the place of each row among those of its keys, from 0. The order must have no ties."""
+    return running(df, keys, order, F.lit(1).cast("long"), out)
+
+
 def dialogue_timeline(turns: DataFrame, plan: str = "plan_id", turn: str = "turn", role: str = "role", samples: str = "samples", frame: int = FRAME) -> DataFrame:
     """start_sample and end_sample of every turn.
 
@@ -65,10 +104,18 @@ def sparse_index(df: DataFrame, key: str, order: list[str], valid: str) -> DataF
 
 def interleave(df: DataFrame, split: str, category: str, order: list[str], known: list[str]) -> DataFrame:
     """``ordinal`` within each split: one of each known category in turn, unknown ones last in input order."""
-    rank = F.array_position(F.array(*map(F.lit, known)), F.col(category))
-    x = df.withColumn("__rank", rank).withColumn("__n", F.when(rank > 0, F.row_number().over(W.partitionBy(split, category).orderBy(*order))))
-    w = W.partitionBy(split).orderBy(F.col("__rank") == 0, F.col("__n"), F.when(F.col("__rank") > 0, F.col("__rank")), *order)
-    return x.withColumn("ordinal", F.row_number().over(w) - 1).drop("__rank", "__n")
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, known)), F.col(category)), F.lit(0))
+    x = df.withColumn("__rank", rank)
+    # unknown categories count as one
+    x = numbered(x.withColumn("__one", F.when(F.col("__rank") > 0, F.col("__rank")).otherwise(0)), [split, "__one"], order, "__n")
+    sizes = x.groupBy(split).agg(*(F.count_if(F.col("__one") == k).alias(f"__c{k}") for k in range(len(known) + 1)))
+    x = x.join(sizes, split)
+    # of each known category come the rows of earlier turns, and of this turn those of smaller rank
+    before = [F.least(F.col(f"__c{k}"), F.col("__n") + F.when(F.lit(k) < F.col("__rank"), 1).otherwise(0)) for k in range(1, len(known) + 1)]
+    total = lambda cols: sum(cols, F.lit(0).cast("long"))
+    known_rows = total([F.col(f"__c{k}") for k in range(1, len(known) + 1)])
+    ordinal = F.when(F.col("__rank") > 0, total(before)).otherwise(known_rows + F.col("__n"))
+    return x.withColumn("ordinal", ordinal).drop("__rank", "__one", "__n", *(f"__c{k}" for k in range(len(known) + 1)))
 
 
 def capped(df: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
@@ -96,8 +143,7 @@ def assemble_bursts(tokens: DataFrame, key: str, order: list[str], token: str, e
 
 def shard_ids(df: DataFrame, split: str, order: list[str], size: str, most: int) -> DataFrame:
     """``shard``: total size of the rows before, in order, divided by the most a shard holds."""
-    w = W.partitionBy(split).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return df.withColumn("shard", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / most))
+    return running(df, [split], order, F.col(size), "__sum").withColumn("shard", F.floor(F.col("__sum") / most)).drop("__sum")
 
 
 def next_cursor(df: DataFrame, shard: str, sample: str, unit: str) -> DataFrame:
@@ -120,8 +166,9 @@ def boundary_jump(df: DataFrame, key: str, order: str, wave: str) -> DataFrame:
 
     Chunks of one key follow each other by ``order``; the last has no next chunk and gives no row.
     """
-    w = W.partitionBy(key).orderBy(order)
-    x = df.select(key, order, F.transform(wave, lambda v: v.cast("double")).alias("a")).withColumn("b", F.lead("a").over(w)).where("b is not null")
+    x = numbered(df.select(key, order), [key], [order], "__n").join(df.select(key, order, F.transform(wave, lambda v: v.cast("double")).alias("a")), [key, order])
+    nxt = x.select(key, (F.col("__n") - 1).alias("__n"), F.col("a").alias("b"))
+    x = x.join(nxt, [key, "__n"]).drop("__n")
     steps = lambda c: F.zip_with(F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))), lambda p, q: F.abs(p - q))
     s = F.array_sort(F.concat(steps(F.col("a")), steps(F.col("b"))))
     pos = (F.size("s") - 1) * F.lit(0.95)
@@ -130,3 +177,42 @@ def boundary_jump(df: DataFrame, key: str, order: str, wave: str) -> DataFrame:
     jump = F.abs(F.element_at("b", 1) - F.element_at("a", -1))
     x = x.withColumn("s", s)
     return x.select(key, order, (20 * F.log10(F.greatest(jump, F.lit(1e-8)) / F.greatest(p95, F.lit(1e-8)))).alias("jump_db"))
+
+
+def screen_faults(df: DataFrame, key: str, ticks: str, frames: str, n_ticks: str) -> DataFrame:
+    """(key, faults) of sparse screens: repeated ticks, ticks and frames of unequal length, ticks outside the episode."""
+    from cuewright.functions.checks import failed
+
+    t = F.col(ticks)
+    why = failed(unique=F.size(F.array_distinct(t)) == F.size(t), length=F.size(t) == F.size(frames), range=F.forall(t, lambda x: x.between(0, F.col(n_ticks) - 1)))
+    return df.select(key, why.alias("faults")).where(F.size("faults") > 0)
+
+
+def in_global_order(df: DataFrame, *order: str) -> DataFrame:
+    """Rows in one order over all files: range partitions, each sorted."""
+    return df.orderBy(*order)
+
+
+def assemble_plans(ids: DataFrame, index: str, templates: DataFrame, intents: int) -> DataFrame:
+    """One row per turn of a text plan: plan_id, turn, role, language, duration_class, text.
+
+    Plan i speaks English if i is a multiple of five, else Chinese; i mod 20 gives its duration class
+    and six turns from twelve on, else two; intents go round. ``templates`` has (language, intent,
+    text), a small table.
+    """
+    i, k = F.col(index), F.col(index) % 20
+    x = ids.select(
+        i.alias("i"), F.concat(F.lit("plan-"), F.lpad(i.cast("string"), F.greatest(F.length(i.cast("string")), F.lit(6)), F.lit("0"))).alias("plan_id"),
+        F.when(i % 5 == 0, "en").otherwise("zh").alias("language"), (i % intents).cast("int").alias("intent"),
+        F.when(k < 8, "short").when(k < 16, "medium").otherwise("long").alias("duration_class"), F.when(k >= 12, 6).otherwise(2).alias("n_turns"),
+    )
+    x = x.join(F.broadcast(templates), ["language", "intent"]).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("n_turns") - 1)))
+    role = F.when(F.col("turn") % 2 == 0, "user").otherwise("assistant")
+    return x.select("plan_id", "turn", role.alias("role"), "language", "duration_class", F.concat_ws(" ", "text", (F.col("turn") + 1).cast("string"), F.col("i").cast("string")).alias("text"))
+
+
+def seeded_order(df: DataFrame, ordinal: str, seed: int, out: str) -> DataFrame:
+    """``out``: the place of each row in a shuffle fixed by the seed: the order of the hash of seed and ordinal."""
+    h = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(ordinal).cast("string")), 256)
+    first = F.conv(F.substring(h, 1, 13), 16, 10).cast("long")
+    return numbered(df.withColumn("__h", first).withColumn("__all", F.lit(0)).withColumn("__text", h), ["__all"], ["__h", "__text", ordinal], out).drop("__h", "__all", "__text")

@@ -7,14 +7,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cuewright.operators.layout import running
+
 DIMS = ["category", "language", "split"]
 
 
 def roll_up(df: DataFrame, value: str, dims: list[str] = DIMS) -> DataFrame:
     """Sums by all dimensions, by each one and in total, in one pass of grouping sets."""
-    df.createOrReplaceTempView("__quota_rows")
-    sets = ", ".join([f"({', '.join(dims)})", *(f"({d})" for d in dims), "()"])
-    return df.sparkSession.sql(f"SELECT {', '.join(dims)}, grouping_id({', '.join(dims)}) AS level, sum({value}) AS seconds, count(*) AS n FROM __quota_rows GROUP BY GROUPING SETS ({sets})")
+    sets = [[F.col(d) for d in dims], *([F.col(d)] for d in dims), []]
+    g = df.groupingSets(sets, *(F.col(d) for d in dims))
+    return g.agg(F.grouping_id(*dims).alias("level"), F.sum(value).alias("seconds"), F.count("*").alias("n"))
 
 
 def dense_report(df: DataFrame, targets: DataFrame, value: str, dims: list[str] = DIMS) -> DataFrame:
@@ -39,26 +41,44 @@ def allocate(df: DataFrame, group: list[str], order: str, low: str, high: str, t
 
     ``feasible`` is false where the target lies outside the group's bounds; such groups get null.
     """
-    w = W.partitionBy(*group)
     x = df.withColumn("__t", target).withColumn("__cap", F.col(high) - F.col(low))
-    x = x.withColumn("__lo", F.sum(low).over(w)).withColumn("__hi", F.sum(high).over(w)).withColumn("__all", F.sum("__cap").over(w))
+    sums = x.groupBy(*group).agg(F.sum(low).alias("__lo"), F.sum(high).alias("__hi"), F.sum("__cap").alias("__all"), F.max(order).alias("__end"))
+    x = x.join(sums, group)
     share = F.col(low) + F.when(F.col("__all") > 0, (F.col("__t") - F.col("__lo")) * F.col("__cap") / F.col("__all")).otherwise(0.0)
-    x = x.withColumn("__share", share).withColumn("__last", F.row_number().over(w.orderBy(F.desc(order))) == 1)
-    fix = F.col("__t") - F.sum("__share").over(w)
+    x = x.withColumn("__share", share).withColumn("__last", F.col(order) == F.col("__end"))
+    x = x.join(x.groupBy(*group).agg(F.sum("__share").alias("__given")), group)
     ok = F.col("__t").between(F.col("__lo"), F.col("__hi"))
-    seconds = F.round(F.col("__share") + F.when(F.col("__last"), fix).otherwise(0.0), 6)
+    seconds = F.round(F.col("__share") + F.when(F.col("__last"), F.col("__t") - F.col("__given")).otherwise(0.0), 6)
     x = x.withColumn("seconds", seconds).withColumn("feasible", ok)
-    return x.withColumn("seconds", F.when(F.col("feasible"), F.col("seconds"))).drop("__t", "__cap", "__lo", "__hi", "__all", "__share", "__last")
+    return x.withColumn("seconds", F.when(F.col("feasible"), F.col("seconds"))).drop("__t", "__cap", "__lo", "__hi", "__all", "__end", "__share", "__last", "__given")
+
 
+def waterfill(df: DataFrame, group: list[str], order: list[str], capacity: str, amount: Column, down: bool = False) -> DataFrame:
+    """``taken``: the amount is poured into rows in order, each up to its capacity; ``short`` is what is left.
+
+    ``down`` turns the first order column round. Groups may be of any size.
+    """
+    x = running(df.withColumn("__amount", amount), group, order, F.col(capacity), "__before", down)
+    x = x.withColumn("taken", F.least(F.col(capacity), F.greatest(F.lit(0), F.col("__amount") - F.col("__before"))))
+    x = x.join(df.groupBy(*group).agg(F.sum(capacity).alias("__all")), group)
+    return x.withColumn("short", F.greatest(F.lit(0), F.col("__amount") - F.col("__all"))).drop("__amount", "__before", "__all")
 
-def waterfill(df: DataFrame, group: list[str], order: list, capacity: str, amount: Column) -> DataFrame:
-    """``taken``: the amount is poured into rows in order, each up to its capacity; ``short`` is what is left."""
-    w = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(capacity).over(w), F.lit(0))
-    x = df.withColumn("__amount", amount)
-    x = x.withColumn("taken", F.least(F.col(capacity), F.greatest(F.lit(0), F.col("__amount") - before)))
-    x = x.withColumn("short", F.greatest(F.lit(0), F.col("__amount") - F.sum(capacity).over(W.partitionBy(*group))))
-    return x.drop("__amount")
+
+def transfer(rows: DataFrame, group: list[str], order: list[str], give: str, room: str) -> DataFrame:
+    """``given`` and ``received``: what rows of a group have over goes to those with room, first come first filled.
+
+    The amount moved in a group is the smaller of all it can give and all it has room for; both sides
+    are filled in order. What a group has left over or open is in ``over`` and ``open``.
+    """
+    sums = rows.groupBy(*group).agg(F.sum(give).alias("__give"), F.sum(room).alias("__room"))
+    moved = F.least("__give", "__room")
+    x = rows.join(sums, group)
+    x = running(x, group, order, F.col(give), "__g")
+    x = running(x, group, order, F.col(room), "__r")
+    part = lambda cap, before: F.least(F.col(cap), F.greatest(F.lit(0), moved - F.col(before)))
+    x = x.withColumn("given", part(give, "__g")).withColumn("received", part(room, "__r"))
+    x = x.withColumn("over", F.col("__give") - moved).withColumn("open", F.col("__room") - moved)
+    return x.drop("__give", "__room", "__g", "__r")
 
 
 def best_subset(hist: list[tuple[int, int]], target: int, tolerance: float = 0.02) -> dict[int, int] | None:

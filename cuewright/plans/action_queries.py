@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuewright.functions import actions
@@ -75,9 +76,11 @@ def p23_safety_gate(spark, d):
     return e.select("event_id", v.alias("violation"))
 
 
-@query(f"""WITH {UNITS_SQL}, x AS (SELECT *, lag(ts) OVER (PARTITION BY session_id ORDER BY event_id) AS p FROM units) SELECT event_id FROM x WHERE ts <= p""")
+@query(f"""WITH {UNITS_SQL}, x AS (SELECT event_id, hour, lag(hour) OVER (PARTITION BY session_id ORDER BY event_id) AS p FROM (SELECT *, date_trunc('hour', ts) AS hour FROM units)) SELECT event_id FROM x WHERE hour <= p""")
 def w4_increasing_time(spark, d):
-    return layout.not_increasing(units(spark, d), "session_id", ["event_id"], "ts").select("event_id")
+    """Units whose hour is not later than that of the unit before."""
+    x = units(spark, d).withColumn("hour", F.date_trunc("hour", "ts"))
+    return layout.not_increasing(x, "session_id", ["event_id"], "hour").select("event_id")
 
 
 @query(f"WITH {UNITS_SQL} SELECT event_id, revision::BIGINT AS revision, CASE WHEN event_type = 'view' THEN revision - 1 ELSE -1 END::BIGINT AS screen_index FROM units")
@@ -100,8 +103,8 @@ e AS (SELECT *, coalesce(sum((tok = 1)::INT) OVER (PARTITION BY user_id ORDER BY
 SELECT user_id, ev::BIGINT AS event, array_to_string(list(tok ORDER BY event_id, pos), ' ') AS tokens FROM e GROUP BY user_id, ev HAVING list_contains(list(tok), 1)""")
 def w12_burst_assembly(spark, d):
     t = tokens(spark, d)
-    last = t.groupBy("user_id").agg(F.max("event_id").alias("last"))
-    x = t.join(last, "user_id").select("user_id", "event_id", "last", F.posexplode("tokens").alias("pos", "tok"))
+    last = F.max("event_id").over(W.partitionBy("user_id"))
+    x = t.withColumn("last", last).select("user_id", "event_id", "last", F.posexplode("tokens").alias("pos", "tok"))
     x = x.where(~((F.col("user_id") % 3 == 0) & (F.col("tok") == 1) & (F.col("event_id") == F.col("last"))))
     x = layout.assemble_bursts(x, "user_id", ["event_id", "pos"], "tok")
     return x.select("user_id", "event", _text(F.col("tokens")).alias("tokens"))
@@ -164,18 +167,24 @@ def st1_ordered_gate(spark, d):
     return x.select("event_id", F.col("unit_index").alias("next_index"), "accepted")
 
 
-@query()
+@query(f"""WITH RECURSIVE {UNITS_SQL}, u AS (SELECT session_id, event_id, revision, unit_index + (event_id % 9 = 0)::INT AS unit_index, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS k FROM units),
+r(session_id, k, want, rev) AS (SELECT DISTINCT session_id, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM u
+  UNION ALL SELECT r.session_id, u.k, CASE WHEN unit_index = want AND revision >= rev THEN want + 1 ELSE want END, CASE WHEN unit_index = want AND revision >= rev THEN revision ELSE rev END::BIGINT FROM r JOIN u ON u.session_id = r.session_id AND u.k = r.k + 1)
+SELECT u.session_id, unit_index::BIGINT AS unit_index, revision::BIGINT AS revision, event_id, unit_index = want AND revision >= rev AS accepted FROM u JOIN r ON r.session_id = u.session_id AND r.k = u.k - 1""")
 def st1_ordered_gate_rejects(spark, d):
     """Every ninth event has lost its place: what follows it is refused until the place comes."""
     u = units(spark, d).select("session_id", "unit_index", "revision", "event_id").withColumn("unit_index", F.when(F.col("event_id") % 9 == 0, F.col("unit_index") + 1).otherwise(F.col("unit_index")))
     return sessions.gate_batch(u)
 
 
-@query(f"""WITH {UNITS_SQL} SELECT session_id, count(*) AS units, bool_and(event_type <> 'error') AS complete FROM units GROUP BY session_id HAVING bool_and(event_type <> 'error' OR unit_index % 2 = 0)""")
+@query("""WITH r AS (SELECT l_orderkey AS group_id, l_linenumber AS rollout_id, l_quantity / 50.0::DOUBLE AS task FROM lineitem WHERE l_returnflag <> 'R' AND l_discount > 0),
+g AS (SELECT *, count(*) OVER w AS n, avg(task) OVER w AS mu, stddev_pop(task) OVER w AS sd FROM r WINDOW w AS (PARTITION BY group_id))
+SELECT group_id, rollout_id, n::BIGINT AS group_size, round(CASE WHEN n >= 2 AND sd > 1e-6 THEN (task - mu) / (sd + 1e-6) ELSE 0 END, 4) AS advantage FROM g""")
 def st7_complete_rollouts(spark, d):
-    ok = (F.col("event_type") != "error") | (F.col("unit_index") % 2 == 0)
-    x = units(spark, d).groupBy("session_id").agg(F.count("*").alias("units"), F.bool_and(F.col("event_type") != "error").alias("complete"), F.bool_and(ok).alias("keep"))
-    return x.where("keep").drop("keep")
+    """Rollouts with a refused unit (no discount, or returned) are left out, not scored low; the others' advantages."""
+    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").alias("rollout_id"), (F.col("l_quantity") / 50.0).alias("task"), ((F.col("l_returnflag") != "R") & (F.col("l_discount") > 0)).alias("complete"))
+    x = layout.normalised_advantage(x.where("complete"), "group_id", "task")
+    return x.select("group_id", "rollout_id", "group_size", F.round("advantage", 4).alias("advantage"))
 
 
 @query("SELECT date_trunc('day', ts) AS day, count(*) AS n, round(quantile_cont(value, 0.95), 6) AS p95, count(*) FILTER (event_type = 'error') AS dropped FROM events GROUP BY ALL")

@@ -60,8 +60,8 @@ SELECT event_id, CASE WHEN k < 8 THEN 'train' WHEN k = 8 THEN 'validation' ELSE
 def p6_first_appearance_split(spark, d):
     e = table(spark, d, "events")
     first = e.groupBy("user_id").agg(F.min("event_id").alias("pos"))
-    k = (F.row_number().over(W.orderBy("pos")) - 1) % 10  # one row per speaker
-    split = first.select("user_id", F.when(k < 8, "train").when(k == 8, "validation").otherwise("test").alias("split"))
+    k = F.col("k") % 10
+    split = layout.numbered(first.withColumn("all", F.lit(0)), ["all"], ["pos"], "k").select("user_id", F.when(k < 8, "train").when(k == 8, "validation").otherwise("test").alias("split"))
     return e.join(split, "user_id").select("event_id", "split")
 
 
@@ -175,7 +175,7 @@ def w9_waterfill(spark, d):
 @query(f"WITH {ITEMS_SQL}, c AS (SELECT item_id, category, language, split, n_chars // 100 AS cap FROM items) SELECT item_id, least(cap, greatest(0, 500 - coalesce(sum(cap) OVER (PARTITION BY category, language, split ORDER BY cap DESC, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS taken FROM c")
 def w16_tail_trim(spark, d):
     x = source_items(spark, d).withColumn("cap", F.floor(F.col("n_chars") / 100))
-    return quotas.waterfill(x, ["category", "language", "split"], [F.desc("cap"), "item_id"], "cap", F.lit(500)).select("item_id", F.col("taken").cast("long").alias("taken"))
+    return quotas.waterfill(x, ["category", "language", "split"], ["cap", "item_id"], "cap", F.lit(500), down=True).select("item_id", F.col("taken").cast("long").alias("taken"))
 
 
 @query(f"WITH {LAYOUT_SQL} SELECT plan_id, max((end_sample + 1919) // 1920 + CASE WHEN role = 'assistant' THEN 1 ELSE 0 END)::BIGINT AS min_ticks FROM laid GROUP BY plan_id")
@@ -236,9 +236,9 @@ def j3_holdout_exclusion(spark, d):
     return joins.exclude_overlapping(x, used, "doc_id", "ids", "u").select("doc_id")
 
 
-@query(f"WITH {ITEMS_SQL} SELECT split, count(*) AS overlap FROM items WHERE item_id % 10 = 0 AND item_id IN (SELECT doc_id FROM labels) GROUP BY split")
+@query(f"WITH {ITEMS_SQL} SELECT split, count(*) AS overlap FROM items WHERE item_id IN (SELECT doc_id FROM labels) GROUP BY split")
 def j4_holdout_overlap(spark, d):
-    x = source_items(spark, d).where("item_id % 10 = 0")
+    x = source_items(spark, d)
     return x.join(table(spark, d, "labels").select(F.col("doc_id").alias("item_id")), "item_id", "left_semi").groupBy("split").agg(F.count("*").alias("overlap"))
 
 
@@ -308,9 +308,10 @@ def o2_hash_ordered_sample(spark, d):
     return layout.capped(x, ["lang"], ["h", "doc_id"], 25).select("doc_id", "lang")
 
 
-@query("SELECT source, n FROM (SELECT source, count(*) AS n FROM documents WHERE doc_id % 7 = 0 GROUP BY source) ORDER BY source LIMIT 3")
+@query("SELECT source, n FROM (SELECT source, count(*) AS n FROM documents WHERE length(trim(text, ' ')) < 300 GROUP BY source) ORDER BY source LIMIT 3")
 def o3_first_offenders(spark, d):
-    return table(spark, d, "documents").where("doc_id % 7 = 0").groupBy("source").agg(F.count("*").alias("n")).orderBy("source").limit(3)
+    """The first three sources with texts under 300 characters."""
+    return table(spark, d, "documents").where(F.length(F.trim("text")) < 300).groupBy("source").agg(F.count("*").alias("n")).orderBy("source").limit(3)
 
 
 @query(f"WITH {ITEMS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY language, split ORDER BY item_id) AS k FROM items WHERE trim(text, ' ') <> '') SELECT language, split, item_id FROM r WHERE k = 1")
@@ -339,9 +340,9 @@ def x2_set_equality(spark, d):
     return diff.agg((F.count("*") == 0).alias("equal_sets"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 10 = 0 INTERSECT SELECT doc_id FROM labels")
+@query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
 def x3_intersection(spark, d):
-    return table(spark, d, "documents").where("doc_id % 10 = 0").select("doc_id").intersect(table(spark, d, "labels").select("doc_id"))
+    return table(spark, d, "documents").select("doc_id").intersect(table(spark, d, "labels").select("doc_id"))
 
 
 @query("SELECT doc_id, 'missing' AS side FROM (SELECT doc_id FROM documents WHERE doc_id % 13 <> 0 EXCEPT SELECT doc_id FROM documents WHERE doc_id % 19 <> 0) UNION ALL SELECT doc_id, 'extra' FROM (SELECT doc_id FROM documents WHERE doc_id % 19 <> 0 EXCEPT SELECT doc_id FROM documents WHERE doc_id % 13 <> 0)")
@@ -364,8 +365,7 @@ def x6_distinct_shards(spark, d):
 
 @query(f"WITH {ITEMS_SQL} SELECT row_number() OVER (PARTITION BY split ORDER BY item_id) - 1 AS ordinal, split, item_id FROM items")
 def s11_split_manifest(spark, d):
-    w = W.partitionBy("split").orderBy("item_id")
-    return source_items(spark, d).select((F.row_number().over(w) - 1).alias("ordinal"), "split", "item_id")
+    return layout.numbered(source_items(spark, d).select("split", "item_id"), ["split"], ["item_id"], "ordinal")
 
 
 @query(f"WITH {ITEMS_SQL} SELECT concat_ws(' ', count(*) || ' items,', count(DISTINCT session) || ' sessions,', count(DISTINCT language) || ' languages,', count(*) FILTER (split = 'train') || ' for training') AS card FROM items")
@@ -408,7 +408,7 @@ INTENTS = {"greet": 30, "plan": 25, "fix": 20, "read": 15, "stop": 7}
 
 @query("""WITH n AS (SELECT count(*) AS n FROM documents), w(intent, pct, rank) AS (VALUES ('greet', 30, 0), ('plan', 25, 1), ('fix', 20, 2), ('read', 15, 3), ('stop', 7, 4)),
 b AS (SELECT intent, rank, n * pct // 100 AS k FROM w, n), s AS (SELECT sum(k) AS have FROM b),
-p AS (SELECT (have + i) % 5 AS rank, count(*) AS extra FROM s, n, (SELECT unnest(range(2000)) AS i) WHERE have + i < n GROUP BY 1)
+p AS (SELECT (have + i) % 5 AS rank, count(*) AS extra FROM s, n, (SELECT unnest(range(n)) AS i FROM n) WHERE have + i < n GROUP BY 1)
 SELECT intent, (k + coalesce(extra, 0))::BIGINT AS n FROM b LEFT JOIN p USING (rank)""")
 def p14_intent_expansion(spark, d):
     """Shares of the plan count by intent, rounded down; the rest goes round the intents from where the list stands."""

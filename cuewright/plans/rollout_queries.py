@@ -151,11 +151,20 @@ def w13_boundary_jump(spark, d):
     return x.select("label", "vec_id", F.round("jump_db", 4).alias("jump_db"))
 
 
-@query("""WITH x AS (SELECT doc_id, regexp_replace(left(text, 200), '[^一-鿿A-Za-z0-9]', '', 'g') AS a, regexp_replace(replace(left(text, 200), 'e', 'a'), '[^一-鿿A-Za-z0-9]', '', 'g') AS b FROM documents)
-SELECT doc_id, round(least(1.0::DOUBLE, levenshtein(a, b) / greatest(length(a), 1)::DOUBLE), 6) AS cer FROM x""")
+@query("""WITH x AS (SELECT conv_id, turn, regexp_replace(text, '[^一-鿿A-Za-z0-9]', '', 'g') AS a, regexp_replace(replace(text, 'e', 'a'), '[^一-鿿A-Za-z0-9]', '', 'g') AS b FROM conversations)
+SELECT conv_id, turn, round(least(1.0::DOUBLE, levenshtein(a, b) / greatest(length(a), 1)::DOUBLE), 6) AS cer FROM x""")
 def p25_character_errors(spark, d):
-    a = F.substring("text", 1, 200)  # an utterance
-    return table(spark, d, "documents").select("doc_id", F.round(scoring.cer(a, F.replace(a, F.lit("e"), F.lit("a"))), 6).alias("cer"))
+    """Whole turns as utterances; what is heard has each e for an a."""
+    a = F.col("text")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.round(scoring.cer(a, F.replace(a, F.lit("e"), F.lit("a"))), 6).alias("cer"))
+
+
+@query("""WITH x AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM conversations)
+SELECT conv_id, turn, round(least(1.0::DOUBLE, len(list_filter(w, lambda y: y = 'the')) / greatest(len(w), 1)::DOUBLE), 6) AS wer FROM x""")
+def p25_word_errors(spark, d):
+    """Whole turns; what is heard has lost every ``the``, so each one is an error."""
+    heard = F.regexp_replace(F.lower("text"), r"(?<![a-z0-9'])the(?![a-z0-9'])", " ")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.round(scoring.wer(F.col("text"), heard), 6).alias("wer"))
 
 
 @query("WITH s AS (SELECT l_shipdate::DATE::VARCHAR AS metric, l_discount AS score FROM lineitem WHERE l_orderkey % 2 = 0), m(metric) AS (VALUES ('R'), ('N'), ('Z')), h AS (SELECT l_returnflag AS metric, count(*) AS n, avg(l_discount) AS mean, max(l_discount) AS worst FROM lineitem GROUP BY 1) SELECT metric, coalesce(n, 0) AS n, round(coalesce(mean, 1.0), 6) AS mean, coalesce(worst, 1.0) AS worst, coalesce(worst, 1.0) <= 0.2 AND coalesce(mean, 1.0) <= 0.08 AS passed FROM m LEFT JOIN h USING (metric)")

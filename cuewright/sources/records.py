@@ -82,3 +82,31 @@ def generated_units(spark: SparkSession, episodes: int, units: int, codebook: in
     x = spark.range(episodes).select(F.col("id").alias("episode_id"), F.explode(F.sequence(F.lit(0), F.lit(units - 1))).alias("unit_index"))
     code = F.transform(F.sequence(F.lit(0), F.lit(codebooks - 1)), lambda q: ((F.col("episode_id") % 5) * 7 + F.col("unit_index") * 3 + q) % codebook)
     return x.select("episode_id", "unit_index", code.alias("speech_codes"), (F.col("unit_index") % 4 == 2).alias("click"), (F.col("unit_index") % 3 != 1).alias("screen_valid"))
+
+
+def audio_rows(df: DataFrame, audio: str = "audio") -> tuple[DataFrame, DataFrame]:
+    """(rows with ``bytes``, ``path`` and ``sha256``, rejects) of a table with embedded audio: struct of bytes and path.
+
+    Rows whose bytes are missing or empty are rejects. Parquet is read a row group at a time by Spark.
+    """
+    raw, rest = F.col(f"{audio}.bytes"), [c for c in df.columns if c != audio]
+    ok = F.coalesce(F.octet_length(raw) > 0, F.lit(False))
+    good = df.where(ok).select(*rest, raw.alias("bytes"), F.col(f"{audio}.path").alias("path"), F.sha2(raw, 256).alias("sha256"))
+    return good, df.where(~ok).select(*rest, F.col(f"{audio}.path").alias("path"))
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares; a local one only where none is set, as in tests."""
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def latest_by_name(df: DataFrame, key: str, path: str) -> DataFrame:
+    """(key, path): the checkpoint whose name comes last."""
+    return df.groupBy(key).agg(F.max(path).alias(path))
