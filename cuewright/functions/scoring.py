@@ -19,12 +19,17 @@ def wer(target: Column, heard: Column) -> Column:
     Null for a pair of more than 983,040 different words, which have no characters left.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9']+"), F.lit(0))
-    a, b = words(target), words(heard)
-    both = F.array_distinct(F.concat(a, b))
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex((F.array_position(both, w) + 0x1FFFF).cast("long")), 8, "0")), "UTF-32")
-    as_text = lambda x: F.array_join(F.transform(x, code), "")
-    rate = F.least(F.lit(1.0), F.levenshtein(as_text(a), as_text(b)) / F.greatest(F.size(a), F.lit(1)))
-    return F.when(F.size(both) <= 983_040, rate)
+    # bound once: what stands in an inner lambda is evaluated for every word
+    pair = F.struct(words(target).alias("a"), words(heard).alias("b"))
+    with_all = F.transform(F.array(pair), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.array_distinct(F.concat(p["a"], p["b"])).alias("all")))
+
+    def rate(p):
+        code = lambda w: F.decode(F.unhex(F.lpad(F.hex((F.array_position(p["all"], w) + 0x1FFFF).cast("long")), 8, "0")), "UTF-32")
+        as_text = lambda x: F.array_join(F.transform(x, code), "")
+        r = F.least(F.lit(1.0), F.levenshtein(as_text(p["a"]), as_text(p["b"])) / F.greatest(F.size(p["a"]), F.lit(1)))
+        return F.when(F.size(p["all"]) <= 983_040, r)
+
+    return F.get(F.transform(with_all, rate), F.lit(0))
 
 
 def interaction(speech: Column, latency: Column, efficiency: Column) -> Column:

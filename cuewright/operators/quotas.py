@@ -27,7 +27,7 @@ def dense_report(df: DataFrame, targets: DataFrame, value: str, dims: list[str]
 
 def quota_targets(spark, total: float, categories: dict[str, float], languages: dict[str, float], splits: dict[str, float]) -> DataFrame:
     """The dense product of three small domains with their shares."""
-    side = lambda name, d: spark.createDataFrame([(k, float(v)) for k, v in d.items()], f"{name} string, {name}_share double")
+    side = lambda name, d: spark.createDataFrame([(k, float(v)) for k, v in d.items()], f"{name} string, {name}_share double").coalesce(1)
     x = side("category", categories).crossJoin(side("language", languages)).crossJoin(side("split", splits))
     return x.select("category", "language", "split", (F.lit(total) * F.col("category_share") * F.col("language_share") * F.col("split_share")).alias("target_seconds"))
 
