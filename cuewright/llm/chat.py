@@ -99,9 +99,15 @@ def read_back(formatted: Column) -> Column:
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """Per conversation, digests of what can be read back from the formatted text and its mask."""
+    """Per conversation, digests of what can be read back from the formatted text and its examples.
+
+    The loss text is read from whole examples: all preceding turns as context, then the reply; what
+    follows the context is trained.
+    """
     f = format_conversations(turns)
-    loss = prefix_target_examples(f, with_context=False).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("example_no", unescape(F.col("target")).alias("t")))).alias("x"))
+    examples = prefix_target_examples(f).select("conv_id", "example_no", F.length("context").alias("prefix"), F.concat("context", "target").alias("example"))
+    reply = unescape(F.substr("example", F.col("prefix") + 1))
+    loss = examples.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("example_no", reply.alias("t")))).alias("x"))
     loss = loss.select(F.col("conv_id").alias("c"), F.array_join(F.transform("x", lambda s: s["t"]), "").alias("loss"))
     back = f.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), read_back(F.col("formatted")).alias("turns"))
     text = F.coalesce("loss", F.lit(""))

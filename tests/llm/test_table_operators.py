@@ -437,3 +437,19 @@ def test_vectors_of_different_lengths_do_not_link(spark):
     assert got == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (0, 4), 5: (0, 5), 6: (0, 6)}
     none = spark.createDataFrame([(4, [], 0), (6, None, 0)], "vec_id long, embedding array<double>, label int")
     assert {r.vec_id: r.n_links for r in vectors.near_duplicates(none).collect()} == {4: 0, 6: 0}
+
+
+def test_examples_hold_every_preceding_turn(spark):
+    """Context and target of each example read back to the turns before the reply and the reply itself."""
+    df = table(spark, SF, "conversations")
+    turns = {}
+    for r in sorted(df.collect(), key=lambda r: (r.conv_id, r.turn, r.role, r.text)):
+        turns.setdefault(r.conv_id, []).append((r.role, r.text))
+    x = chat.prefix_target_examples(chat.format_conversations(df))
+    whole = F.concat("context", "target", F.lit(chat.END))
+    got = {(r.conv_id, r.example_no): [(t.role, t.text) for t in r.t] for r in x.select("conv_id", "example_no", chat.read_back(whole).alias("t")).collect()}
+    want = {}
+    for c, rows in turns.items():
+        for k, i in enumerate(i for i, (role, _) in enumerate(rows) if role == "assistant"):
+            want[c, k] = rows[: i + 1]
+    assert got == want and got
