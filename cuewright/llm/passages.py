@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, partitions, slices
 from .components import connected_components
-from .simhash import spanning
 
 WORD = re.compile(r"\w+")
 NEWLINE = re.compile("\n")
@@ -34,7 +33,10 @@ MIN_WORDS = 15
 REACH = 4
 #: 1 - (1 - 0.8**2)**6: a pair of lines at the threshold shares a band 99.8 times in 100.
 BANDS, ROWS = 6, 2
-BUCKET = 256
+#: Lines of a bucket that one task compares; larger buckets are compared block against block.
+BUCKET = 20_000
+#: Groups of up to this size are compared pair by pair, without an index.
+FEW = 24
 SLICE_CHARS = 1_000_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -160,12 +162,14 @@ def units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.mapInPandas(run, UNIT)
 
 
-def line_links(u: DataFrame, docs: DataFrame, id_col: str, text_col: str, s: Scratch) -> DataFrame:
+def line_links(u: DataFrame, docs: DataFrame, id_col: str, text_col: str, s: Scratch, used: list[DataFrame] | None = None) -> DataFrame:
     """Edges (a, b) of line hashes that keep the components of the Jaccard >= 0.8 graph.
 
     Lines that share a band with a different line are read again for their shingles. Buckets are
-    cut to blocks of at most BUCKET lines and every pair of blocks is compared, so large buckets
-    spread and no bucket lists its pairs.
+    cut to blocks of about BUCKET lines and every pair of blocks is compared, so large buckets
+    spread. Within a task pairs meet through their rarest shingles, and lines that are joined
+    already aren't compared again, so no bucket lists its pairs. Scratch tables that the edges are
+    read from are added to ``used``.
     """
     lines = s.keep(u.where("is_line").groupBy("h").agg(F.min(F.struct("doc_id", "start", "end")).alias("at"), F.first("bands").alias("bands")))
     banded = lines.select("h", F.explode("bands").alias("band"))
@@ -188,6 +192,8 @@ def line_links(u: DataFrame, docs: DataFrame, id_col: str, text_col: str, s: Scr
             yield pd.DataFrame({"h": pd.array(keep, dtype="int64"), "shingles": out})
 
     sh = s.keep(span.mapInPandas(shingle, "h long, shingles array<long>").dropDuplicates(["h"]))
+    if used is not None:
+        used += [lines, hits, sh]
     x = hits.join(sh, "h").withColumn("blocks", F.ceil(F.col("n") / BUCKET).cast("int"))
     x = x.withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -198,17 +204,79 @@ def line_links(u: DataFrame, docs: DataFrame, id_col: str, text_col: str, s: Scr
     return dealt.mapInPandas(_linked, "a long, b long")
 
 
+def prefixes(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The rarest shingles of each set, so many that two sets at the threshold share one of them."""
+    flat = np.concatenate(sets)
+    size = np.array([len(x) for x in sets])
+    _, inv, count = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.lexsort((inv, count[inv], np.repeat(np.arange(len(sets)), size)))
+    rare = inv[order]
+    first = np.cumsum(size) - size
+    keep = size - np.ceil(JACCARD * size - 1e-9).astype(np.int64) + 1
+    return [rare[a : a + k] for a, k in zip(first, keep)]
+
+
 def block_links(hs: list[int], own: list[int], sets: list[np.ndarray], one: bool) -> tuple[list[int], list[int]]:
-    """Pairs of a block (``one``) or across two blocks whose shingle sets reach the Jaccard threshold."""
+    """Links that join all lines of a block (``one``) or across two blocks as Jaccard at the threshold does.
+
+    A line is compared with those before it that share one of its rarest shingles, component by
+    component, and with no more of a component once it is joined to it: alike lines cost one
+    comparison each, and no link that would join two components is missed.
+    """
     left, right = [], []
-    order = sorted(range(len(hs)), key=lambda k: len(sets[k]))
-    for p, a in enumerate(order):
-        for b in order[p + 1 :]:
-            if len(sets[a]) < JACCARD * len(sets[b]):
-                break
-            if (one or own[a] != own[b]) and jaccard(sets[a], sets[b]) >= JACCARD:
-                left.append(hs[a])
-                right.append(hs[b])
+    root = list(range(len(hs)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def alike(x: int, y: int) -> bool:
+        n, m = len(sets[x]), len(sets[y])
+        return min(n, m) >= JACCARD * max(n, m) and jaccard(sets[x], sets[y]) >= JACCARD
+
+    def join(x: int, y: int):
+        left.append(hs[x])
+        right.append(hs[y])
+        root[find(x)] = find(y)
+
+    if len(hs) <= FEW:
+        for x in range(len(hs)):
+            for y in range(x):
+                if (one or own[x] != own[y]) and find(x) != find(y) and alike(x, y):
+                    join(x, y)
+        return left, right
+    full = [k for k in range(len(hs)) if len(sets[k])]
+    keys = dict(zip(full, prefixes([sets[k] for k in full]))) if full else {}
+    # per shingle and block, members by component; a component's root is looked up when it is read
+    seen: dict[tuple[int, int], dict[int, list[int]]] = {}
+    sides = sorted(set(own))
+    other = {a: b for a, b in zip(sides, sides[::-1])}
+    for x in full:
+        tried: set[int] = set()
+        for key in keys[x].tolist():
+            place = (key, 0 if one else other[own[x]])
+            held = seen.get(place)
+            if not held:
+                continue
+            if any(find(r) != r for r in held):
+                merged: dict[int, list[int]] = {}
+                for r, members in held.items():
+                    merged.setdefault(find(r), []).extend(members)
+                held = seen[place] = merged
+            for r, members in held.items():
+                if find(r) == find(x):
+                    continue
+                for y in members:
+                    if y not in tried:
+                        tried.add(y)
+                        if alike(x, y):
+                            join(x, y)
+                            break
+        for key in keys[x].tolist():
+            held = seen.setdefault((key, 0 if one else own[x]), {})
+            held.setdefault(find(x), []).append(x)
     return left, right
 
 
@@ -235,10 +303,8 @@ def _linked(batches):
                     right.append(hs[lo + 1])
             elif hi - lo >= 2:
                 p, q = block_links(hs[lo:hi], own[lo:hi], sets[lo:hi], one)
-                if p:
-                    p, q = spanning(np.array(p), np.array(q))
-                    left += p.tolist()
-                    right += q.tolist()
+                left += p
+                right += q
         rest = rest.iloc[cut[done] :]
         yield pd.DataFrame({"a": np.array(left, np.int64), "b": np.array(right, np.int64)})
 
@@ -261,7 +327,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     s = Scratch(spark, "passages")
     u = s.keep(units(docs, id_col, text_col))
-    roots = connected_components(line_links(u, docs, id_col, text_col, s), "a", "b", s)
+    used: list[DataFrame] = []
+    roots = s.keep(connected_components(line_links(u, docs, id_col, text_col, s, used), "a", "b", s))
+    s.drop(*used)
     groups = u.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     linked = groups.join(roots.withColumnsRenamed({"node": "h"}), "h").groupBy("root").agg(F.min("lo").alias("rlo"), F.max("hi").alias("rhi"))
     member = roots.join(linked, "root").select(F.col("node").alias("h"), F.col("rlo").alias("lo"), F.col("rhi").alias("hi"))

@@ -490,3 +490,77 @@ def test_index_of_many_items_is_sparse():
     index = decontam.Index([(i, " ".join(rng.choice(vocabulary) for _ in range(40))) for i in range(20_000)])
     assert index.size() < 20_000 * 40 * 20
     assert [x[1] for x in index.search([" ".join(index.words[123]), "nothing of it"])] == [index.ids[123]]
+
+
+def joined_groups(n, pairs):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    groups = {}
+    for x in range(n):
+        groups.setdefault(find(x), []).append(x)
+    return sorted(map(sorted, groups.values()))
+
+
+@pytest.mark.parametrize("one", [True, False])
+def test_block_links_join_what_all_pairs_join(one):
+    r = np.random.default_rng(14)
+    for _ in range(25):
+        sets, own = [], []
+        for c in range(6):
+            base = r.choice(80, int(r.integers(10, 40)), replace=False)
+            for _ in range(int(r.integers(1, 15))):
+                s = set(base.tolist())
+                for _ in range(int(r.integers(0, 5))):
+                    s.discard(int(r.choice(base)))
+                    s.add(int(r.integers(0, 90)))
+                sets.append(np.array(sorted(s), dtype=np.int64))
+                own.append(int(r.integers(3, 5)))
+        order = r.permutation(len(sets))
+        sets, own = [sets[k] for k in order], [own[k] for k in order]
+        want = [(a, b) for a in range(len(sets)) for b in range(a) if (one or own[a] != own[b]) and passages.jaccard(sets[a], sets[b]) >= 0.8]
+        a, b = passages.block_links(list(range(len(sets))), own, sets, one)
+        assert joined_groups(len(sets), zip(a, b)) == joined_groups(len(sets), want)
+        assert all(passages.jaccard(sets[x], sets[y]) >= 0.8 for x, y in zip(a, b)) and len(a) < len(sets)
+
+
+@pytest.mark.parametrize("words", [20, 60])
+def test_a_bucket_of_template_lines_takes_about_linear_time(words):
+    """Lines that differ in a number: apart at 20 words, all alike at 60; either way no pair list."""
+    r = np.random.default_rng(2)
+    common = r.integers(0, 2**62, words - 4 - 5)
+    sets = [np.unique(np.r_[common, r.integers(0, 2**62, 5)]) for _ in range(20_000)]
+    start = time.monotonic()
+    a, b = passages.block_links(list(range(len(sets))), [0] * len(sets), sets, True)
+    assert len(a) == (0 if words == 20 else len(sets) - 1)
+    assert time.monotonic() - start < 20
+
+
+def test_line_links_against_all_pairs(spark):
+    """Components of lines by banding equal those of every pair of lines at the threshold."""
+    rng = random.Random(17)
+    lines = []
+    for _ in range(25):
+        base = prose(rng, rng.randint(16, 60)).split()
+        for _ in range(rng.randint(1, 5)):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = prose(rng, 1)
+            lines.append(" ".join(w))
+    docs = docs_frame(spark, [(i, t) for i, t in enumerate(lines)])
+    u = passages.units(docs, "doc_id", "text")
+    from cuewright.llm.common import Scratch
+
+    at = {r.h: r.doc_id for r in u.where("is_line").collect()}
+    got = [(at[r.a], at[r.b]) for r in passages.line_links(u, docs, "doc_id", "text", Scratch(spark, "test")).collect()]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in lines]
+    same = [(a, b) for a in range(len(lines)) for b in range(a) if lines[a] == lines[b]]
+    want = [(a, b) for a in range(len(lines)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert joined_groups(len(lines), got + same) == joined_groups(len(lines), want)
