@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -173,3 +174,37 @@ def trim_plan(cells: pd.DataFrame, ticks: int) -> dict[str, int]:
         cut[best[1]] += 1
         now[best[1]] -= 1
     return {b: n for b, n in zip(cells["bucket"], cut) if n}
+
+
+def trim_splits(cells: DataFrame, splits: list[str]) -> DataFrame:
+    """(category, language, split, cut): ticks to trim from each cell so that splits come down to their targets.
+
+    ``cells`` has category, language, split, ticks, target and capacity, one row a cell; only this
+    small table enters Python. Splits are taken in order. Each tick goes to the cell of the split
+    where the summed squared relative error of cell, category and language falls most (what is
+    trimmed from earlier splits counts), ties to the lesser names. A split without enough capacity
+    is trimmed as far as it goes. Time grows with the ticks trimmed, one step over the split's cells each.
+    """
+
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["category", "language", "split"]).reset_index(drop=True)
+        now, want, room = (g[c].to_numpy(float) for c in ("ticks", "target", "capacity"))
+        cut = np.zeros(len(g), np.int64)
+        sides = [np.arange(len(g)), *(g[c].factorize()[0] for c in ("category", "language"))]
+        have, goal = [np.bincount(s, now) for s in sides], [np.bincount(s, want) for s in sides]
+        for split in splits:
+            at = np.flatnonzero(g["split"] == split)
+            for _ in range(max(0, int(now[at].sum() - want[at].sum()))):
+                free = at[cut[at] < room[at]]
+                if not len(free):
+                    break
+                # (h - 1 - w)^2 - (h - w)^2 = 1 - 2 (h - w)
+                gain = sum((1 - 2 * (h[s[free]] - w[s[free]])) / np.maximum(w[s[free]], 1.0) ** 2 for s, h, w in zip(sides, have, goal))
+                k = free[np.argmin(gain)]
+                cut[k] += 1
+                for s, h in zip(sides, have):
+                    h[s[k]] -= 1
+        return g[["category", "language", "split"]].assign(cut=cut)
+
+    x = cells.select("category", "language", "split", "ticks", "target", "capacity", F.lit(0).alias("all"))
+    return x.groupBy("all").applyInPandas(solve, "category string, language string, split string, cut long")

@@ -24,6 +24,6 @@ def query(sql: str | None = None):
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from cuewright.plans import action_queries, audit_queries, curation_queries, record_queries, rollout_queries  # noqa: F401
+    from cuewright.plans import action_queries, audit_queries, curation_queries, job_queries, record_queries, rollout_queries  # noqa: F401
 
     return QUERIES, ORACLES

@@ -80,22 +80,29 @@ def content_hashes(members: DataFrame) -> DataFrame:
 def write_shards(members: DataFrame, shard: str, folder: str) -> DataFrame:
     """Write members (``shard`` number, sample_key, member, data) as tar files; returns (path, samples, bytes).
 
-    Each shard is built by one task and must fit in it: number the shards by size first
-    (``layout.shard_ids``). ``folder`` must be a path that every executor can write to.
+    Shard 7 is the one file in ``folder/shard=000007.tar/``; read_members takes the glob ``folder/*.tar``.
+    Spark's writer stores and commits the files, so ``folder`` may lie in any store and a lost task
+    leaves nothing behind; its line end after the archive's closing blocks is not read. Each shard is
+    built by one task and must fit in it, under 2 GB: number the shards by size first
+    (``layout.shard_ids``).
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        import os
-
-        g = g.sort_values(["sample_key", "member"])
-        path = os.path.join(folder, f"shard-{int(g['shard'].iloc[0]):06d}.tar")
-        os.makedirs(folder, exist_ok=True)
-        with tarfile.open(f"{path}.part", "w") as tar:
-            for key, member, data in zip(g["sample_key"], g["member"], g["data"]):
-                info = tarfile.TarInfo(f"{key}.{member}")
-                info.size = len(data)
-                tar.addfile(info, io.BytesIO(data))
-        os.replace(f"{path}.part", path)
-        return pd.DataFrame({"path": [path], "samples": [g["sample_key"].nunique()], "bytes": [int(g["data"].map(len).sum())]})
-
-    return members.select(F.col(shard).alias("shard"), "sample_key", "member", "data").groupBy("shard").applyInPandas(run, "path string, samples long, bytes long")
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as tar:
+            for _, r in g.sort_values(["sample_key", "member"]).iterrows():
+                info = tarfile.TarInfo(f"{r['sample_key']}.{r['member']}")
+                info.size = len(r["data"])
+                tar.addfile(info, io.BytesIO(r["data"]))
+        return pd.DataFrame({"shard": [f"{int(g['shard'].iloc[0]):06d}.tar"], "tar": [out.getvalue()]})
+
+    x = members.select(F.col(shard).alias("shard"), "sample_key", "member", "data")
+    x.groupBy("shard").applyInPandas(run, "shard string, tar binary").select("shard", F.col("tar").cast("string")).write.partitionBy("shard").text(folder)
+    path = F.concat(F.lit(f"{folder}/shard="), F.lpad(F.col("shard").cast("string"), 6, "0"), F.lit(".tar"))
+    return x.groupBy("shard").agg(F.count_distinct("sample_key").alias("samples"), F.sum(F.octet_length("data")).alias("bytes")).select(path.alias("path"), "samples", "bytes")
+
+
+def archive_utterances(members: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """(utterance_id, text, data): sounds of an archive that have a transcript; others on either side give nothing."""
+    sounds = members.where("member = 'wav'").select(F.element_at(F.split("sample_key", "/"), -1).alias("utterance_id"), "data")
+    return transcripts.join(sounds, "utterance_id")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 import __spark_entry__ as entry
 from cuewright import queries
 from cuewright.functions import actions, audio, checks, clock, hashing, scoring
-from cuewright.operators import adapters, aggregates, joins, layout, quotas
+from cuewright.operators import adapters, aggregates, joins, layout, quotas, stages
 from cuewright.plans.tables import units
 from cuewright.sources import records, shards
 from cuewright.streaming import sessions
@@ -276,6 +276,71 @@ def test_shards_round_trip(spark, tmp_path):
     assert {r.sample_key: r.content_sha256 for r in shards.content_hashes(m).collect()} == want
 
 
+def test_shards_keep_any_bytes(spark, tmp_path):
+    raw = bytes(range(256)) * 50 + b"\n\n"
+    df = spark.createDataFrame([(i, f"a/k{i}", "wav", bytearray(raw[i:])) for i in range(3)], "shard int, sample_key string, member string, data binary")
+    assert {r.bytes for r in shards.write_shards(df, "shard", str(tmp_path / "t")).collect()} == {len(raw) - i for i in range(3)}
+    m = shards.read_members(spark, str(tmp_path / "t" / "*.tar"))
+    assert {r.sample_key: bytes(r.data) for r in m.collect()} == {f"a/k{i}": raw[i:] for i in range(3)}
+    lines = spark.createDataFrame([("k0", "x"), ("k9", "y")], "utterance_id string, text string")
+    assert [(r.utterance_id, r.text) for r in shards.archive_utterances(m, lines).collect()] == [("k0", "x")]
+
+
+def plain_trim(cells, splits):
+    """One tick after the other, all errors summed anew."""
+    now, cut = [c["ticks"] for c in cells], [0] * len(cells)
+
+    def error():
+        total = 0.0
+        for dims in (("category", "language", "split"), ("category",), ("language",)):
+            groups = {}
+            for c, n in zip(cells, now):
+                g = groups.setdefault(tuple(c[d] for d in dims), [0, 0])
+                g[0], g[1] = g[0] + n, g[1] + c["target"]
+            total += sum(((n - t) / max(t, 1.0)) ** 2 for n, t in groups.values())
+        return total
+
+    for split in splits:
+        at = [i for i, c in enumerate(cells) if c["split"] == split]
+        for _ in range(max(0, sum(now[i] - cells[i]["target"] for i in at))):
+            best = None
+            for i in (i for i in at if cut[i] < cells[i]["capacity"]):
+                now[i] -= 1
+                key = (round(error(), 12), *(cells[i][d] for d in ("category", "language")))
+                now[i] += 1
+                best = min(best, (key, i)) if best else (key, i)
+            if best is None:
+                break
+            cut[best[1]] += 1
+            now[best[1]] -= 1
+    return cut
+
+
+def test_trim_splits_against_plain_steps(spark):
+    rng = random.Random(8)
+    for _ in range(4):
+        cells = [{"category": c, "language": g, "split": s, "ticks": rng.randint(20, 70), "target": rng.randint(15, 50), "capacity": rng.randint(0, 20)} for c in "abc" for g in ("en", "zh") for s in ("test", "train")]
+        got = quotas.trim_splits(spark.createDataFrame(pd.DataFrame(cells)), ["train", "test"]).collect()
+        have = {(r.category, r.language, r.split): r.cut for r in got}
+        assert [have[c["category"], c["language"], c["split"]] for c in cells] == plain_trim(cells, ["train", "test"])
+
+
+def test_stages_take_up_finished_tables(spark, tmp_path):
+    calls = []
+
+    def spec(n):
+        return [("a", lambda t: calls.append("a") or spark.range(n)), ("b", lambda t: calls.append("b") or t["a"].where("id > 1"))]
+
+    first, ran = stages.prepare(spark, str(tmp_path), {"n": 4}, spec(4))
+    assert ran == ["a", "b"] and first["b"].count() == 2
+    assert stages.prepare(spark, str(tmp_path), {"n": 4}, spec(4))[1] == [] and calls == ["a", "b"]
+    part = next(p for p in tmp_path.iterdir() if p.name.startswith("b-"))
+    (part / "_SUCCESS").unlink()  # as if the job had been lost half way
+    assert stages.prepare(spark, str(tmp_path), {"n": 4}, spec(4))[1] == ["b"]
+    other, ran = stages.prepare(spark, str(tmp_path), {"n": 5}, spec(5))
+    assert ran == ["a", "b"] and other["b"].count() == 3
+
+
 # ---- streams
 
 
