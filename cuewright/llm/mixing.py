@@ -88,15 +88,18 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, id_col
 ORACLE_SQL = """
 WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 w AS (SELECT source, n, pow(n::DOUBLE, 0.5) AS raw FROM n),
-r AS (SELECT source, 1.0::DOUBLE * (raw / (SELECT sum(raw) FROM w)) * (SELECT sum(n) FROM w)::DOUBLE / n AS rate FROM w),
+a AS (SELECT source, 1.0::DOUBLE * (raw / (SELECT sum(raw) FROM w)) * (SELECT sum(n) FROM w)::DOUBLE / n AS rate FROM w),
+r AS (SELECT source, greatest(ceil(rate / 200), 1)::BIGINT AS draws, rate / greatest(ceil(rate / 200), 1) AS rate FROM a),
 cdf(source, rate, k, p, c) AS (
   SELECT source, rate, 0, exp(-rate), exp(-rate) FROM r
   UNION ALL
-  SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < 120),
-u AS (SELECT doc_id, source, text, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM documents),
-m AS (SELECT u.doc_id, u.source, u.text, count(*) AS copies FROM u JOIN cdf ON u.source = cdf.source AND cdf.c <= u.u GROUP BY ALL),
-x AS (SELECT doc_id, source, text, unnest(range(copies)) AS copy_no FROM m)
-SELECT doc_id, source, copy_no::INTEGER AS copy_no, md5('17/' || doc_id::VARCHAR || '/' || copy_no::VARCHAR) AS shuffle_key, sha256(text) AS text_sha256 FROM x
+  SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 30)),
+t AS (SELECT r.source, any_value(draws) AS draws, list(c) AS cs FROM r JOIN cdf ON r.source IS NOT DISTINCT FROM cdf.source GROUP BY r.source),
+d AS (SELECT row_number() OVER () AS row, doc_id, source, text, coalesce(doc_id::VARCHAR, 'null') AS key FROM documents),
+u AS (SELECT row, key, source, cs, unnest(range(draws)) AS draw FROM d JOIN t USING (source) UNION ALL SELECT row, key, d.source, cs, unnest(range(draws)) FROM d, t WHERE d.source IS NULL AND t.source IS NULL),
+m AS (SELECT row, sum(len(list_filter(cs, lambda c: c <= ('0x' || substr(md5('17' || CASE WHEN draw > 0 THEN '.' || draw ELSE '' END || ':' || key), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0)))::BIGINT AS copies FROM u GROUP BY row),
+x AS (SELECT doc_id, source, text, key, unnest(range(copies)) AS copy_no FROM d JOIN m USING (row))
+SELECT doc_id, source, copy_no::INTEGER AS copy_no, md5('17/' || key || '/' || copy_no::VARCHAR) AS shuffle_key, sha256(text) AS text_sha256 FROM x
 """
 
 

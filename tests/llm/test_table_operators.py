@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +201,21 @@ def test_mixing_is_sorted_and_whole(spark):
     assert mixing.mix_sources(odd.limit(0)).count() == 0
 
 
+def test_mixing_sql_with_high_rates_null_sources_and_repeated_rows(spark):
+    duckdb = pytest.importorskip("duckdb")
+    n = 60_000
+    big = F.when(F.col("id") < 1, "rare").when(F.col("id") < 5, F.lit(None)).otherwise("common")
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), big.alias("source"), F.lit("t").alias("text"))
+    docs = docs.unionByName(docs.where("doc_id BETWEEN 3 AND 7")).unionByName(spark.createDataFrame([(None, "common", None)], "doc_id long, source string, text string"))
+    assert mixing.source_rates(docs).agg(F.max("rate")).first()[0] > mixing.MAX_RATE
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    key = lambda rows: Counter((None if pd.isna(r[0]) else int(r[0]), *(None if pd.isna(v) else v for v in r[1:])) for r in rows)
+    got = key(tuple(r) for r in mixing.query(docs).collect())
+    assert got == key(con.execute(f"SELECT doc_id, source, copy_no, shuffle_key, text_sha256 FROM ({mixing.ORACLE_SQL})").fetchall())
+    assert got and max(r[2] for r in got) > 200
+
+
 def test_mixing_rates_above_one_draw(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 40, "rare").otherwise("common").alias("source"))
     weights = {"rare": 9.0, "common": 1.0}
