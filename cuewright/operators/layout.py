@@ -2,45 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuewright.functions.clock import FRAME, RATE, align_up
-
-
-def _blocks(df: DataFrame, number: str, block: str) -> DataFrame:
-    """``block``: about equal ranges of the column ``number``, as many as there are shuffle partitions.
-
-    Only the bounds, approximate quantiles, reach the driver; equal numbers share a block.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = df.agg(F.percentile_approx(number, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0]
-    splits = [float("-inf"), *sorted({float(b) for b in bounds or ()}), float("inf")]
-    return Bucketizer(splits=splits, inputCol=number, outputCol=block, handleInvalid="keep").transform(df)
+from cuewright.sources.scratch import Scratch
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str, down: bool = False) -> DataFrame:
     """``out``: the sum of ``value`` over the rows of the same keys that come before in ``order``.
 
-    Works for few keys of any size: rows are cut into ranges of the first, numeric order column,
-    ranges are summed, their prefix sums (keys x ranges rows) are joined back, and what is left is
-    a window in one range of one key. ``down`` turns the first order column round. Rows whose first
-    order column is null come last.
+    Keys and order may have any type that Spark sorts, and any number of rows a key: rows are cut into
+    ranges of keys and order and kept with the number of their range, so that sums and windows
+    see the same cut. At most one key continues from one range into the next, so what has to be added
+    is at most a row a range, and is broadcast. ``down`` turns the first order column round. Rows whose first
+    order column is null come last. Rows that are equal in all order columns share a range and
+    follow each other in no fixed order.
     """
-    x = df.withColumn("__run_v", value).withColumn("__run_x", F.coalesce(F.col(order[0]).cast("double") * (-1 if down else 1), F.lit(float("inf"))))
-    x = _blocks(x, "__run_x", "__run_b")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.col(order[0]).desc_nulls_last() if down else F.col(order[0]).asc_nulls_last()
+    cut = df.withColumn("__run_v", value).repartitionByRange(n, *(F.col(k) for k in keys), first, *(F.col(c) for c in order[1:]))
+    x = Scratch(df.sparkSession, "running").keep(cut.withColumn("__run_b", F.spark_partition_id()))
     sums = x.groupBy(*keys, "__run_b").agg(F.sum("__run_v").alias("__run_s"))
     w = W.partitionBy(*keys).orderBy("__run_b").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("__run_before", F.coalesce(F.sum("__run_s").over(w), F.lit(0)))
+    sums = sums.withColumn("__run_before", F.sum("__run_s").over(w)).where("__run_before is not null")
     small = sums.select("__run_before", *(F.col(k).alias(f"__run_k{i}") for i, k in enumerate([*keys, "__run_b"])))
     same = F.lit(True)
     for i, k in enumerate([*keys, "__run_b"]):
         same = same & F.col(k).eqNullSafe(F.col(f"__run_k{i}"))
-    y = x.join(small, same, "left").drop(*(c for c in small.columns if c != "__run_before"))
-    w = W.partitionBy(*keys, "__run_b").orderBy("__run_x", *order[1:]).rowsBetween(W.unboundedPreceding, -1)
-    return y.withColumn(out, F.col("__run_before") + F.coalesce(F.sum("__run_v").over(w), F.lit(0))).drop("__run_v", "__run_x", "__run_b", "__run_before")
+    y = x.join(F.broadcast(small), same, "left").drop(*(c for c in small.columns if c != "__run_before"))
+    w = W.partitionBy(*keys, "__run_b").orderBy(first, *order[1:]).rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0)
+    return y.withColumn(out, F.coalesce("__run_before", zero) + F.coalesce(F.sum("__run_v").over(w), zero)).drop("__run_v", "__run_b", "__run_before")
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
@@ -214,5 +208,4 @@ def assemble_plans(ids: DataFrame, index: str, templates: DataFrame, intents: in
 def seeded_order(df: DataFrame, ordinal: str, seed: int, out: str) -> DataFrame:
     """``out``: the place of each row in a shuffle fixed by the seed: the order of the hash of seed and ordinal."""
     h = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(ordinal).cast("string")), 256)
-    first = F.conv(F.substring(h, 1, 13), 16, 10).cast("long")
-    return numbered(df.withColumn("__h", first).withColumn("__all", F.lit(0)).withColumn("__text", h), ["__all"], ["__h", "__text", ordinal], out).drop("__h", "__all", "__text")
+    return numbered(df.withColumn("__h", h), [], ["__h", ordinal], out).drop("__h")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuewright.functions.hashing import json_text
+from cuewright.sources.scratch import shared_folder
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
@@ -96,15 +99,8 @@ def audio_rows(df: DataFrame, audio: str = "audio") -> tuple[DataFrame, DataFram
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a local one only where none is set, as in tests."""
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that the cluster shares."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def latest_by_name(df: DataFrame, key: str, path: str) -> DataFrame:

@@ -469,3 +469,30 @@ def test_gate_over_batches_of_one_session(spark):
     df = df.withColumn("unit_index", F.when(F.col("event_id") == 20_001, 0).otherwise(F.col("unit_index")))
     got = sessions.gate_batch(df).groupBy("session_id", "accepted").count().collect()
     assert {(r.session_id, r.accepted): r["count"] for r in got} == {(0, True): 12_500, (1, True): 10_000, (1, False): 2_500}
+
+
+@pytest.mark.parametrize("down", [False, True])
+def test_running_takes_any_sortable_key(spark, down):
+    """Places equal those of a plain sort: 64-bit, string, decimal, time and mixed keys, nulls, ties in the first column."""
+    import datetime
+    import decimal
+
+    rng = random.Random(5)
+    rows = [
+        (rng.choice(["a", "b", None]), (1 << 60) + i, "".join(rng.choice("abcé") for _ in range(3)) + str(i), decimal.Decimal((1 << 70) + i), datetime.datetime(2026, 1, 1) + datetime.timedelta(microseconds=i), rng.choice([None, 1, 2]))
+        for i in range(200)
+    ]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, big long, word string, dec decimal(38,0), at timestamp, tie int")
+    for order in (["big"], ["word"], ["dec"], ["at"], ["tie", "word"]):
+        got = {(r["k"], r["big"]): r["place"] for r in layout.running(df, ["k"], order, F.lit(1).cast("long"), "place", down).collect()}
+        at = [df.columns.index(c) for c in order]
+        for k in ("a", "b", None):
+            mine = [r for r in rows if r[0] == k]
+            mine.sort(key=lambda r: [r[i].encode() if isinstance(r[i], str) else r[i] for i in at[1:]])
+            mine.sort(key=lambda r: r[at[0]].encode() if isinstance(r[at[0]], str) else r[at[0]] if r[at[0]] is not None else 0, reverse=down)
+            mine.sort(key=lambda r: r[at[0]] is None)
+            assert [got[k, r[1]] for r in mine] == list(range(len(mine))), order
+    everything = layout.numbered(df, [], ["big"], "place").collect()
+    assert all(r["place"] == r["big"] - (1 << 60) for r in everything)
+    assert layout.numbered(df.limit(0), ["k"], ["big"], "place").count() == 0
