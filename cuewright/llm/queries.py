@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_text, mixing, passages, pii, quality, simhash, toxicity, vectors
+from . import chat, decontam, html_text, mixing, passages, permuterm, pii, quality, simhash, toxicity, vectors
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op10_chat_format(spark, sf_dir):
     return chat.digests(c.unionByName(extra))
 
 
+def op13_spelling_variants(spark, sf_dir):
+    return permuterm.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_private_data": op1_private_data,
     "op2_repeated_passages": op2_repeated_passages,
@@ -69,6 +73,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: Chat: roles and texts straight from the table; the formatted length by the template's rule.
@@ -85,4 +90,4 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
-ORACLES = {"op4_near_vectors": vectors.ORACLE_SQL, "op8_mix_sources": mixing.ORACLE_SQL, "op10_chat_format": CHAT_SQL}
+ORACLES = {"op4_near_vectors": vectors.ORACLE_SQL, "op8_mix_sources": mixing.ORACLE_SQL, "op10_chat_format": CHAT_SQL, "op13_spelling_variants": permuterm.ORACLE_SQL}
