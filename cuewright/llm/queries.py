@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_text, mixing, passages, permuterm, pii, quality, simhash, toxicity, vectors
+from . import chat, decontam, html_text, mixing, passages, permuterm, pii, quality, resample, simhash, toxicity, vectors
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op10_chat_format(spark, sf_dir):
     return chat.digests(c.unionByName(extra))
 
 
+def op11_importance_resample(spark, sf_dir):
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_spelling_variants(spark, sf_dir):
     return permuterm.variants(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
+    "op11_importance_resample": op11_importance_resample,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -90,4 +95,4 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
-ORACLES = {"op4_near_vectors": vectors.ORACLE_SQL, "op8_mix_sources": mixing.ORACLE_SQL, "op10_chat_format": CHAT_SQL, "op13_spelling_variants": permuterm.ORACLE_SQL}
+ORACLES = {"op4_near_vectors": vectors.ORACLE_SQL, "op8_mix_sources": mixing.ORACLE_SQL, "op10_chat_format": CHAT_SQL, "op11_importance_resample": resample.ORACLE_SQL, "op13_spelling_variants": permuterm.ORACLE_SQL}
