@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_text, mixing, passages, permuterm, pii, quality, resample, simhash, toxicity, vectors
+from . import chat, decontam, html_text, mixing, passages, permuterm, pii, quality, resample, secrets, simhash, toxicity, vectors
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op11_importance_resample(spark, sf_dir):
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_secrets(spark, sf_dir):
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark, sf_dir):
     return permuterm.variants(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
     "op11_importance_resample": op11_importance_resample,
+    "op12_secrets": op12_secrets,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
