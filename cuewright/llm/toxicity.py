@@ -3,19 +3,20 @@
 A word is a path of units: its prefixes of three to eight letters, the word, then the word after
 its predecessor. For each class k a unit's probability below its parent is
 (max(c_k(u) - D, 0) + D T_k(parent) P(u | parent)) / c_k(parent), where T_k counts the parent's
-distinct children in the class and P is the class-free share: between the first prefix and the
-word by continuation counts (distinct predecessors of the words below a unit), at both ends by
-pooled counts. Rare expressions lean on what both classes share, and units new to a parent say
+distinct children in the class and P is the class-free share: from the first prefix to the
+word by continuation counts (distinct predecessors of the words below a unit), at the highest order, the word
+after its predecessor, by pooled counts. Rare expressions lean on what both classes share, and units new to a parent say
 nothing.
 
 A toxic text is ordinary but for some expressions at places not known. So its likelihood against
 the ordinary one is normalised by length as the mean over its words of the ratio of the two
 models, and the score is the logarithm of that mean under a calibration of two numbers. The mean
-of logarithms instead dilutes a few strong words in a long text until nothing is left of them.
+of logarithms instead dilutes a few strong words in a long text until nothing is left of them, and the
+best passage's mean lets one rare word decide (README).
 
 Counts and ratios are Spark tables by the full 64-bit unit and grow with the input. To score,
-texts are read in windows: a window asks the ratio table once for each of its different units, and
-the answers meet the window's words, sent as numbers into its word list. Only class totals and
+texts are read in windows, which are written once: a window asks the ratio table for each of its different
+units, and the answers meet the window's words, kept as places in its word list. Only class totals and
 calibration rows reach the driver.
 """
 
@@ -150,20 +151,22 @@ def log_mean_ratio(r: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     return np.where(size > 0, np.log(np.maximum(np.bincount(d, weights=np.exp(r), minlength=n), 1e-300) / np.maximum(size, 1)), 0.0)
 
 
-def evidence(docs: DataFrame, ratio: Ratios, id_col: str, text_col: str) -> DataFrame:
-    """(id, x), one row per input row: the log of the mean over the text's words of toxic over ordinary likelihood."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def _codes(n: int, bodies: list) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, place in the window's word list) of all words of a window."""
+    u = zstandard.ZstdDecompressor()
+    seq = [np.frombuffer(u.decompress(z), np.uint16 if n <= 1 << 16 else np.uint32) for z in bodies]
+    return np.repeat(np.arange(len(seq)), [len(x) for x in seq]), np.concatenate(seq).astype(np.int64) if seq else np.zeros(0, np.int64)
 
-    def asked(batches):
-        for no, _, texts in windows(batches, WINDOW_CHARS):
-            d, code, listed = words_of(texts)
-            if listed:
-                key = _hash_words(listed)
-                unit = np.unique(np.r_[key.ravel(), pair_units(d, key[code, -1])])
-                yield pd.DataFrame({"window": no, "unit": unit.view(np.int64)})
 
-    def sent(batches):
+def _keys(n: int, names: bytes) -> np.ndarray:
+    return _hash_words(zstandard.ZstdDecompressor().decompress(names).decode("utf-8", "surrogatepass").split("\n")) if n else np.zeros((0, PAIR), np.uint64)
+
+
+def read_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(window, n, names, ids, bodies): a row a window of texts, with its n different words and each text as places among them."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
         z = zstandard.ZstdCompressor(level=3)
         for no, ids, texts in windows(batches, WINDOW_CHARS):
             d, code, listed = words_of(texts)
@@ -171,43 +174,51 @@ def evidence(docs: DataFrame, ratio: Ratios, id_col: str, text_col: str) -> Data
             cut = np.searchsorted(d, np.arange(len(texts) + 1))
             body = [z.compress(code[a:e].astype(wide).tobytes()) for a, e in zip(cut, cut[1:])]
             names = z.compress("\n".join(listed).encode("utf-8", "surrogatepass"))
-            yield pd.DataFrame({"window": no, "n": len(listed), "id": pd.Series([None, *ids], dtype=object), "body": [names, *body]})
+            yield pd.DataFrame({"window": [no], "n": [len(listed)], "names": [names], "ids": [ids], "bodies": [body]})
+
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInPandas(run, f"window long, n int, names binary, ids array<{kind}>, bodies array<binary>")
+
+
+def evidence(docs: DataFrame, ratio: Ratios, id_col: str, text_col: str) -> DataFrame:
+    """(id, x), one row per input row: the log of the mean over the text's words of toxic over ordinary likelihood.
+
+    Windows are cut once and written; questions and texts both come from that table, so neither the
+    input's partitions, nor its order, nor a task that runs again can part them.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    held = Scratch(docs.sparkSession, "toxicity").keep(read_windows(docs, id_col, text_col))
+
+    def asked(batches):
+        for b in batches:
+            for no, n, names, bodies in zip(b["window"], b["n"], b["names"], b["bodies"]):
+                if n:
+                    key, (d, code) = _keys(n, names), _codes(n, bodies)
+                    unit = np.unique(np.r_[key.ravel(), pair_units(d, key[code, -1])])
+                    yield pd.DataFrame({"window": no, "unit": unit.view(np.int64)})
 
     def answered(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        u = zstandard.ZstdDecompressor()
-        if not len(texts):
-            return pd.DataFrame({"id": [], "x": []})
-        n = int(texts["n"].iloc[0])
-        names = texts["n"].index[texts["first"]][0]
-        listed = u.decompress(texts["body"][names]).decode("utf-8", "surrogatepass").split("\n") if n else []
-        rows = texts[~texts["first"]]
-        seq = [np.frombuffer(u.decompress(z), np.uint16 if n <= 1 << 16 else np.uint32) for z in rows["body"]]
-        d = np.repeat(np.arange(len(seq)), [len(s) for s in seq])
-        if n and len(d):
+        if len(texts) != 1:
+            raise ValueError(f"{len(texts)} rows of one window and {len(answers)} answers")
+        n, bodies, ids = int(texts["n"].iloc[0]), list(texts["bodies"].iloc[0]), texts["ids"].iloc[0]
+        d, code = _codes(n, bodies)
+        r = np.zeros(len(d))
+        if len(d) and len(answers):
             order = np.argsort(answers["unit"].to_numpy())
-            unit, value = answers["unit"].to_numpy()[order], answers["ratio"].to_numpy()[order]
+            unit, value = answers["unit"].to_numpy()[order], answers["ratio"].to_numpy(float)[order]
 
             def get(k):
-                at = np.minimum(np.searchsorted(unit, k), max(0, len(unit) - 1))
-                return np.where(unit[at] == k, value[at], 0.0) if len(unit) else np.zeros(len(k))
+                at = np.minimum(np.searchsorted(unit, k), len(unit) - 1)
+                return np.where(unit[at] == k, value[at], 0.0)
 
-            key, code = _hash_words(listed), np.concatenate(seq).astype(np.int64)
+            key = _keys(n, texts["names"].iloc[0])
             path = sum(get(key[:, j].view(np.int64)) for j in range(PAIR))
             r = path[code] + get(pair_units(d, key[code, -1]).view(np.int64))
-        else:
-            r = np.zeros(len(d))
-        return pd.DataFrame({"id": rows["id"].to_numpy(dtype=object), "x": log_mean_ratio(r, d, len(seq))})
+        return pd.DataFrame({"id": pd.Series(list(ids), dtype=object), "x": log_mean_ratio(r, d, len(bodies))})
 
-    ask = src.select("text", F.lit(0).alias("id")).mapInPandas(asked, "window long, unit long")
+    ask = held.select("window", "n", "names", "bodies").mapInPandas(asked, "window long, unit long")
     answers = ask.join(ratio.table, "unit").select("window", "unit", F.col("ratio").cast("float").alias("ratio"))
-    texts = src.mapInPandas(lambda b: _marked(sent(b)), f"window long, n int, first boolean, id {kind}, body binary")
-    return texts.groupBy("window").cogroup(answers.groupBy("window")).applyInPandas(answered, f"id {kind}, x double")
-
-
-def _marked(frames):
-    """The first row of each frame holds the window's word list."""
-    for f in frames:
-        yield f.assign(first=np.arange(len(f)) == 0)[["window", "n", "first", "id", "body"]]
+    return held.groupBy("window").cogroup(answers.groupBy("window")).applyInPandas(answered, f"id {kind}, x double")
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -253,10 +264,10 @@ def count_units(marked: DataFrame) -> DataFrame:
 
 
 def continuations(counts: DataFrame) -> DataFrame:
-    """(unit, cont): distinct predecessors of the words below each unit from the second level to the word."""
+    """(unit, cont): distinct predecessors of the words below each unit from the first prefix to the word."""
     up = counts.where(F.col("level") == PAIR).groupBy(F.col("parent").alias("unit")).agg(F.count("*").alias("cont"))
     out = up
-    for level in range(PAIR - 1, 1, -1):
+    for level in range(PAIR - 1, 0, -1):
         rows = counts.where(F.col("level") == level).select("unit", "parent")
         up = rows.join(up, "unit").groupBy(F.col("parent").alias("unit")).agg(F.sum("cont").alias("cont"))
         out = out.unionByName(up)
@@ -270,16 +281,16 @@ def ratios(counts: DataFrame, without: str = "side") -> tuple[Ratios, np.ndarray
     """
     take = (lambda k: F.col(k)) if without else (lambda k: F.col(k) + F.col(f"side_{k}"))
     c = counts.select("unit", "parent", "level", *(take(k).cast("double").alias(k) for k in ("toxic", "plain"))).where(F.col("toxic") + F.col("plain") > 0)
-    inner = F.col("level").between(1, PAIR - 1)
+    inner = F.col("level") < PAIR
     m = c.where(inner).join(continuations(c), "unit").unionByName(c.where(~inner).withColumn("cont", F.col("toxic") + F.col("plain")))
-    sums = [F.sum(k).alias(f"{k}_n") for k in ("toxic", "plain")] + [F.sum((F.col(k) > 0).cast("int")).alias(f"{k}_kinds") for k in ("toxic", "plain")]
+    sums = [F.sum(k).alias(f"{k}_n") for k in ("toxic", "plain")] + [F.sum(F.least(F.col(k), F.lit(DISCOUNT))).alias(f"{k}_held") for k in ("toxic", "plain")]
     below = m.groupBy("parent").agg(*sums, F.sum("cont").alias("cont_n"))
     root = c.where(F.col("level") == 0).agg(F.sum("toxic"), F.sum("plain")).first()
     share = F.col("cont") / F.col("cont_n")
 
     def p(k):
-        held = F.greatest(F.col(k) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"{k}_kinds") * share
-        return F.when(F.col(f"{k}_n") > 0, held / F.col(f"{k}_n")).otherwise(share)
+        mass = F.greatest(F.col(k) - DISCOUNT, F.lit(0.0)) + F.col(f"{k}_held") * share
+        return F.when(F.col(f"{k}_n") > 0, mass / F.col(f"{k}_n")).otherwise(share)
 
     r = F.least(F.greatest(F.log(p("toxic") / p("plain")), F.lit(-8.0)), F.lit(8.0))
     return Ratios(m.join(below, "parent").select("unit", r.alias("ratio"))), np.array([x or 0.0 for x in root])

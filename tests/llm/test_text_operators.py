@@ -345,7 +345,8 @@ def test_unit_ratios_by_hand(spark):
     assert n.tolist() == [4, 5]
     _, slot, parent = toxicity.units(["bad good words"])
     assert (parent[:, 0] == -1).all() and (parent[:, 1:] == slot[:, :-1]).all()
-    c, t, p = np.array([2.0, 0.0]), np.array([3.0, 3.0]), 2 / 9  # "bad": toxic 2 of 4; children: bad, wor, her | goo, wor, her
+    # "bad": toxic 2 of 4; children: bad, wor, her | goo, wor, her; distinct predecessors: bad 2, words 2, here 1, good 2
+    c, t, p = np.array([2.0, 0.0]), np.array([3.0, 3.0]), 2 / 7
     want = np.log(((c - 0.9).clip(0) + 0.9 * t * p) / n)
     assert abs(r[slot[0, 0]] - (want[0] - want[1])) < 1e-5
     assert r[slot[0, 0]] > 0 > r[slot[1, 0]] and abs(r[slot[2, 0]]) < 0.5
@@ -371,8 +372,8 @@ def test_continuations_by_hand(spark):
     counts = toxicity.count_units(packed.join(spark.createDataFrame([(i, y, False) for i, _, y in rows], "id long, y int, side boolean"), "id"))
     cont = {r.unit: r.cont for r in toxicity.continuations(counts).collect()}
     _, unit, _ = toxicity.units(["abcd abce abcf"])
-    for level in range(1, toxicity.PAIR):  # abcd follows nothing, xy and pq; abce and abcf follow xy
-        assert [cont[u] for u in unit[:, level].tolist()] == [3, 1, 1]
+    for level in range(toxicity.PAIR):  # abcd follows nothing, xy and pq; abce and abcf follow xy
+        assert [cont[u] for u in unit[:, level].tolist()] == ([3, 1, 1] if level else [5, 5, 5])  # all begin with abc
 
 
 @pytest.mark.parametrize("which", [quality, toxicity])
@@ -445,6 +446,17 @@ def test_toxicity_score_equals_the_plain_formula(spark, monkeypatch):
     assert set(got) == {r.doc_id for r in docs.collect()}
 
 
+def test_toxicity_scores_do_not_hang_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "WINDOW_CHARS", 5000)
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = toxicity.train(docs, labels, F.lit(True))
+    want = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    joined = docs.join(labels.select("doc_id"), "doc_id", "left")
+    for other in (docs.repartition(7), docs.repartition(5, "lang"), docs.orderBy(F.rand(3)), joined):
+        got = {r.doc_id: r.score for r in toxicity.score(other, model).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
 def plain_passages(texts, items):
     """All items against all passages of their own length."""
     want = {}
