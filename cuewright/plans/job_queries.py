@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,30 +88,68 @@ def episode_members(spark, d):
     return x.select(F.floor(F.col("conv_id") / 100).alias("shard"), F.concat(F.lit("ep"), "conv_id").alias("sample_key"), m.alias("m")).select("shard", "sample_key", "m.*")
 
 
-def written(spark, members, name: str, only: tuple[str, ...] = ()):
+def written(spark, members, name: str, only: tuple[str, ...] = (), max_bytes: int = 16_000):
+    """Members written as small shards and read again."""
     path = records.shared_path(spark, name)
-    shards.write_shards(members, "shard", path)
+    shards.write_samples(members, path, max_bytes=max_bytes)
     return shards.read_members(spark, f"{path}/*.tar", only)
 
 
 @query("""WITH c AS (SELECT DISTINCT conv_id, 'ep' || conv_id AS sample_key, conv_id // 100 AS shard FROM conversations)
 SELECT sample_key, member, (dense_rank() OVER (ORDER BY shard) - 1)::INT AS shard_index, (dense_rank() OVER (PARTITION BY shard ORDER BY sample_key) - 1)::INT AS sample_index FROM c, (VALUES ('note'), ('timeline.json')) m(member)""")
 def s7_shard_positions(spark, d):
-    return shards.with_position(written(spark, episode_members(spark, d), "tars")).select("sample_key", "member", "shard_index", "sample_index")
+    """Numbered shards, a braced pattern that names some twice: each is read once, at its place in the order of paths."""
+    path = records.shared_path(spark, "tars")
+    shards.write_shards(episode_members(spark, d), "shard", path)
+    m = shards.read_members(spark, f"{path}/{{*.tar,0000*.tar}}")
+    return m.select("sample_key", "member", "shard_index", "sample_index")
+
+
+UNIT_ARRAYS = {
+    "timestamp_ms": ("timeline.npz", "timestamp_ms", "long"), "speech_mode": ("timeline.npz", "speech_mode", "int"),
+    "speech_codes": ("codes.npz", "speech_codes", "array<int>"), "action_tokens": ("timeline.npz", "action_tokens", "array<int>"),
+}
 
 
 @query("""WITH c AS (SELECT conv_id, role, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
-SELECT 'ep' || conv_id AS sample_key, i::INT AS unit_index, i * 80 AS timestamp_ms, 80 AS delta_ms, (role = 'assistant')::INT AS speech_mode, (n % 32) || ' ' || (n % 7) AS codes, (i + 8) || ' 1' AS tokens FROM c""")
+SELECT 'ep' || conv_id AS sample_key, i::INT AS unit_index, i * 80 AS timestamp_ms, (role = 'assistant')::INT AS speech_mode, (n % 32) || ' ' || (n % 7) AS codes, (i + 8) || ' 1' AS tokens FROM c""")
 def s8_unit_rows(spark, d):
-    u = shards.decode_units(written(spark, episode_members(spark, d), "units", ("timeline.json",)))
+    """Units packed into numeric array members, written as shards and decoded again."""
+    at = W.partitionBy("conv_id").orderBy("turn")
+    n, i = F.coalesce(F.length("text"), F.lit(0)), F.row_number().over(at) - 1
+    u = table(spark, d, "conversations").select(
+        F.concat(F.lit("ep"), "conv_id").alias("key"), i.alias("i"), (i * 80).cast("long").alias("timestamp_ms"), (F.col("role") == "assistant").cast("int").alias("speech_mode"),
+        F.array(n % 32, n % 7).alias("speech_codes"), F.array(i + 8, F.lit(1)).alias("action_tokens"),
+    )
+    m = shards.pack_units(u, "key", "i", ["timestamp_ms", "speech_mode", "action_tokens"]).unionByName(shards.pack_units(u, "key", "i", ["speech_codes"], "codes.npz"))
+    got = shards.decode_units(written(spark, m, "units"), UNIT_ARRAYS).where("error IS NULL")
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
-    return u.select("sample_key", "unit_index", "timestamp_ms", "delta_ms", "speech_mode", text("speech_codes").alias("codes"), text("action_tokens").alias("tokens"))
+    return got.select("sample_key", "unit_index", "timestamp_ms", "speech_mode", text("speech_codes").alias("codes"), text("action_tokens").alias("tokens"))
 
 
-@query("SELECT (conv_id // 100)::VARCHAR AS shard, count(DISTINCT conv_id) AS samples FROM conversations GROUP BY 1")
+@query("""WITH c AS (SELECT conv_id, turn, role, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
+j AS (SELECT conv_id, count(*) AS units, '{"timestamp_ms":[' || string_agg((i * 80)::VARCHAR, ',' ORDER BY turn) || '],"delta_ms":[' || string_agg('80', ',' ORDER BY turn) || '],"speech_mode":[' || string_agg((role = 'assistant')::INT::VARCHAR, ',' ORDER BY turn)
+  || '],"speech_codes":[' || string_agg('[' || n % 32 || ',' || n % 7 || ']', ',' ORDER BY turn) || '],"action_tokens":[' || string_agg('[' || i + 8 || ',1]', ',' ORDER BY turn) || ']}' AS line FROM c GROUP BY conv_id)
+SELECT 'ep' || conv_id AS sample_key, units, units * 80 AS duration_ms, 2 AS members, strlen('note ep' || conv_id) - 2 + strlen(line) AS bytes, sha256('notenote ' || conv_id || 'timeline.json' || line) AS content_sha256, true AS within FROM j""")
 def s9_shard_manifest(spark, d):
-    x = shards.write_shards(episode_members(spark, d), "shard", records.shared_path(spark, "tars"))
-    return x.select(F.regexp_extract("path", "shard=0*([0-9]+)[.]tar", 1).alias("shard"), "samples")
+    """Shards that roll at 4,000 bytes or three samples: their manifest, and whether every shard kept to that and lists its samples."""
+    m = episode_members(spark, d).join(table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("units")).select(F.concat(F.lit("ep"), "conv_id").alias("sample_key"), "units", (F.col("units") * 80).alias("duration_ms")), "sample_key")
+    listed, files = shards.write_samples(m.drop("shard"), records.shared_path(spark, "rolled"), max_bytes=4_000, max_samples=3, tasks=2)
+    per = listed.groupBy("shard").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"), F.max_by("bytes", "sample_index").alias("last"))
+    ok = (F.col("n") == F.col("samples")) & (F.col("n") <= 3) & (F.col("total") == F.col("bytes")) & (F.col("total") - F.col("last") < 4_000)
+    shard_ok = files.join(per, "shard", "left").select("shard", F.coalesce(ok, F.lit(False)).alias("within"))
+    return listed.join(shard_ok, "shard", "left").select("sample_key", "units", "duration_ms", F.col("members").cast("int").alias("members"), "bytes", "content_sha256", F.coalesce("within", F.lit(False)).alias("within"))
+
+
+@query("""SELECT 'ep' || conv_id AS sample_key, CASE WHEN conv_id % 5 = 0 THEN 'repeated' WHEN conv_id % 5 = 1 THEN 'extra' WHEN conv_id % 5 = 2 THEN 'missing' ELSE 'different' END AS fault
+FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 5 < 4""")
+def s7_shard_identity(spark, d):
+    """Samples of shards against a manifest that lists some twice, leaves some out, and has others' hashes or samples of no shard."""
+    k = F.regexp_extract("sample_key", "([0-9]+)", 1).cast("long") % 5
+    m = episode_members(spark, d)
+    got = shards.content_hashes(written(spark, m.where(k != 2), "identity"))
+    listed = shards.content_hashes(m).where(k != 1).withColumn("content_sha256", F.when(k == 3, "none").otherwise(F.col("content_sha256"))).withColumn("n", F.explode(F.sequence(F.lit(1), F.when(k == 0, 2).otherwise(1)))).drop("n")
+    return shards.identity_faults(got, listed)
 
 
 @query("SELECT 'note' || conv_id AS sample_key, sha256('notenote ' || conv_id) AS content_sha256 FROM (SELECT DISTINCT conv_id FROM conversations)")

@@ -1,73 +1,147 @@
-"""Tar shards of episodes: reading and writing them, unit rows and content hashes.
-
-A sample is a run of members with one stem. Reading takes one input partition per shard; only
-members named in the ``members`` option are kept. Files are reached through Spark, so a shard may
-lie in any store: the bytes come from ``binaryFile``.
-"""
+"""Tar shards of episodes: reading and writing them, unit rows, array members and content hashes."""
 
 from __future__ import annotations
 
 import io
 import json
-import tarfile
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pyspark.sql.pandas.types import to_arrow_schema
 
-MEMBER = "shard string, sample_index int, sample_key string, member string, data binary"
+from cuewright.operators.layout import numbered
+from cuewright.sources.tars import MAX_BYTES, MAX_SAMPLES, TarShards
 
 
 def read_members(spark: SparkSession, path: str, members: tuple[str, ...] = ()) -> DataFrame:
-    """Members of all shards under ``path`` (a glob): shard, sample_index, sample_key, member, data.
+    """Members of all shards that match ``path`` (braces and wildcards): shard, shard_index, sample_index, sample_key, member, data.
 
-    Samples are numbered in the order of their first member. Folders and links give nothing. A
-    shard is one row of Spark's binary reader, so it must stay under 2 GB.
+    Shards are ordered by path; samples are numbered in their order in a shard, whose members must stand together.
+    Folders and links give nothing. Members that neither ``members`` nor a filter on ``member`` asks for are not read;
+    for the filter this enables the session's ``spark.sql.python.filterPushdown.enabled``.
     """
+    spark.dataSource.register(TarShards)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    r = spark.read.format("tar_shards").option("pushdown", "true")
+    return (r.option("members", ",".join(members)) if members else r).load(path)
 
-    def walk(batches):
-        for b in batches:
-            for name, content in zip(b["path"], b["content"]):
-                rows, seen = [], {}
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for m in tar:
-                        if not m.isfile():
-                            continue
-                        folder, _, base = m.name.rpartition("/")
-                        stem, _, ext = base.partition(".")
-                        key = f"{folder}/{stem}" if folder else stem
-                        at = seen.setdefault(key, len(seen))
-                        if not members or ext in members:
-                            rows.append((name, at, key, ext, tar.extractfile(m).read()))
-                yield pd.DataFrame(rows, columns=["shard", "sample_index", "sample_key", "member", "data"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(walk, MEMBER)
+
+def write_samples(members: DataFrame, folder: str, max_bytes: int = MAX_BYTES, max_samples: int = MAX_SAMPLES, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Write members (sample_key, member, data, and columns for the manifest) as tar shards; returns (manifest, shards).
+
+    A shard is closed once it has reached ``max_bytes`` of data or ``max_samples``. The manifest has a row a sample, with
+    the further columns of its first member, its shard, place, size and content_sha256: SHA-256 of names and
+    bytes of the members in order. ``shards`` has shard, samples, bytes. A job that fails leaves no file.
+    """
+    spark = members.sparkSession
+    spark.dataSource.register(TarShards)
+    n = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = members.drop("shard").repartition(n, "sample_key").sortWithinPartitions("sample_key", "member")
+    x.write.format("tar_shards").option("max_bytes", max_bytes).option("max_samples", max_samples).mode("append").save(folder)
+    return spark.read.json(f"{folder}/manifest-*.jsonl"), committed(spark, folder)
 
 
 def with_position(members: DataFrame) -> DataFrame:
-    """``shard_index``: rank of the shard's path among the distinct ones (a small table)."""
-    paths = members.select("shard").distinct()
-    rank = paths.agg(F.sort_array(F.collect_set("shard")).alias("all")).select(F.posexplode("all").alias("shard_index", "shard"))
-    return members.join(rank, "shard")
+    """``shard_index``: rank of the shard's path among the distinct ones, for members of several reads."""
+    rank = numbered(members.select("shard").distinct(), [], ["shard"], "shard_index").withColumn("shard_index", F.col("shard_index").cast("int"))
+    return members.drop("shard_index").join(rank, "shard")
+
 
+#: Columns of a unit: the member, the array in it (none for an .npy member) and the Spark type of one unit's entry.
+TIMELINE = {
+    "timestamp_ms": ("timeline.json", "timestamp_ms", "long"), "delta_ms": ("timeline.json", "delta_ms", "int"), "speech_mode": ("timeline.json", "speech_mode", "int"),
+    "speech_codes": ("timeline.json", "speech_codes", "array<int>"), "action_tokens": ("timeline.json", "action_tokens", "array<int>"),
+}
 
-UNITS = "sample_key string, unit_index int, timestamp_ms long, delta_ms int, speech_mode int, speech_codes array<int>, action_tokens array<int>"
 
+def _loaded(member: str, data: bytes) -> dict:
+    if member.endswith("json"):
+        return json.loads(data)
+    x = np.load(io.BytesIO(data), allow_pickle=False)
+    return {None: x} if isinstance(x, np.ndarray) else dict(x)
 
-def decode_units(members: DataFrame) -> DataFrame:
-    """One row per unit from samples' ``timeline.json`` members (arrays by field)."""
+
+def _column(x, kind: pa.DataType) -> pa.Array:
+    """An Arrow column of a list or array whose first axis are the units; further axes become lists."""
+    if not isinstance(x, np.ndarray):
+        return pa.array(x, kind)
+    if x.ndim == 1:
+        return pa.array(x).cast(kind)
+    inner = _column(x.reshape(-1, *x.shape[2:]), kind.value_type)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), inner)
+
+
+def decode_units(members: DataFrame, columns: dict[str, tuple[str, str | None, str]] = TIMELINE) -> DataFrame:
+    """One row per unit: sample_key, unit_index, ``columns`` from array members (.json, .npz, .npy), and error.
+
+    ``members`` as ``read_members`` gives them, a sample's members together: arrays are taken as whole Arrow
+    columns, without a shuffle. A sample that lacks an array or whose arrays differ in length gives one row with its error.
+    """
+    spec = ", ".join(f"`{c}` {t}" for c, (_, _, t) in columns.items())
+    schema = f"sample_key string, unit_index int, {spec}, error string"
+    kinds = to_arrow_schema(T._parse_datatype_string(schema))
+    wanted = {m for m, _, _ in columns.values()}
+
+    def rows(key, got):
+        why, out, n = None, [], 0
+        try:
+            found = {m: _loaded(m, d) for m, d in got.items()}
+            out = [_column(found[m][a], kinds.field(c).type) for c, (m, a, _) in columns.items()]
+            n = len(out[0])
+            if any(len(c) != n for c in out):
+                why = "arrays of different lengths: " + ", ".join(f"{c} {len(x)}" for c, x in zip(columns, out))
+        except (KeyError, ValueError, TypeError, pa.ArrowException) as e:
+            why = f"{type(e).__name__}: {e}"
+        if why:
+            out, n = [pa.nulls(1, kinds.field(c).type) for c in columns], 1
+        index = pa.nulls(1, pa.int32()) if why else pa.array(np.arange(n, dtype=np.int32))
+        return pa.RecordBatch.from_arrays([pa.array([key] * n), index, *out, pa.array([why] * n, pa.string())], schema=kinds)
 
     def run(batches):
+        key, got = None, {}
         for b in batches:
-            rows = []
-            for key, data in zip(b["sample_key"], b["data"]):
-                t = json.loads(data)
-                for i, stamp in enumerate(t["timestamp_ms"]):
-                    rows.append((key, i, stamp, t["delta_ms"][i], t["speech_mode"][i], t["speech_codes"][i], t["action_tokens"][i]))
-            yield pd.DataFrame(rows, columns=["sample_key", "unit_index", "timestamp_ms", "delta_ms", "speech_mode", "speech_codes", "action_tokens"])
+            for shard, k, m, d in zip(*(b.column(c) for c in ("shard", "sample_key", "member", "data"))):
+                at = (shard.as_py(), k.as_py())
+                if at != key:
+                    if key is not None:
+                        yield rows(key[1], got)
+                    key, got = at, {}
+                got[m.as_py()] = d.as_py()
+        if key is not None:
+            yield rows(key[1], got)
+
+    return members.where(F.col("member").isin(*wanted)).select("shard", "sample_key", "member", "data").mapInArrow(run, schema)
 
-    return members.where("member = 'timeline.json'").select("sample_key", "data").mapInPandas(run, UNITS)
+
+def pack_units(units: DataFrame, key: str, order: str, arrays: list[str], member: str = "timeline.npz") -> DataFrame:
+    """(sample_key, member, data): unit rows of each ``key`` as one member of numeric arrays, units in ``order``.
+
+    Lists must have one length within a sample. An episode's units fit in a task.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g, out = g.sort_values("order"), io.BytesIO()
+        np.savez_compressed(out, **{c: np.stack(g[c].to_numpy()) if g[c].dtype == object else g[c].to_numpy() for c in arrays})
+        return pd.DataFrame({"sample_key": [str(g["key"].iloc[0])], "member": [member], "data": [out.getvalue()]})
+
+    return units.select(F.col(key).cast("string").alias("key"), F.col(order).alias("order"), *arrays).groupBy("key").applyInPandas(run, "sample_key string, member string, data binary")
+
+
+def identity_faults(hashes: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(sample_key, fault): samples of shards that are repeated, not in the manifest, missing from it, or of other content.
+
+    Both sides have sample_key and content_sha256. Keys are counted on either side in one pass over their union.
+    """
+    side = lambda df, a, b: df.select("sample_key", "content_sha256", F.lit(a).alias("in_shard"), F.lit(b).alias("in_list"))
+    x = side(hashes, 1, 0).unionByName(side(manifest, 0, 1))
+    x = x.groupBy("sample_key").agg(F.sum("in_shard").alias("a"), F.sum("in_list").alias("b"), F.min("content_sha256").alias("lo"), F.max("content_sha256").alias("hi"))
+    fault = F.when((F.col("a") > 1) | (F.col("b") > 1), "repeated").when(F.col("b") == 0, "extra").when(F.col("a") == 0, "missing").when(F.col("lo") != F.col("hi"), "different")
+    return x.select("sample_key", fault.alias("fault")).where("fault is not null")
 
 
 def content_hashes(members: DataFrame) -> DataFrame:
@@ -78,28 +152,22 @@ def content_hashes(members: DataFrame) -> DataFrame:
 
 
 def write_shards(members: DataFrame, shard: str, folder: str) -> DataFrame:
-    """Write members (``shard`` number, sample_key, member, data) as tar files; returns (path, samples, bytes).
+    """Write members (``shard`` number, sample_key, member, data) as one tar file a number; returns (path, samples, bytes).
 
-    Shard 7 is the one file in ``folder/shard=000007.tar/``; read_members takes the glob ``folder/*.tar``.
-    Spark's writer stores and commits the files, so ``folder`` may lie in any store and a lost task
-    leaves nothing behind; its line end after the archive's closing blocks is not read. Each shard is
-    built by one task and must fit in it, under 2 GB: number the shards by size first
-    (``layout.shard_ids``).
+    Shard 7 is ``folder/000007.tar``. A shard is streamed by one task, so it may be larger than the task's memory.
     """
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w") as tar:
-            for _, r in g.sort_values(["sample_key", "member"]).iterrows():
-                info = tarfile.TarInfo(f"{r['sample_key']}.{r['member']}")
-                info.size = len(r["data"])
-                tar.addfile(info, io.BytesIO(r["data"]))
-        return pd.DataFrame({"shard": [f"{int(g['shard'].iloc[0]):06d}.tar"], "tar": [out.getvalue()]})
-
-    x = members.select(F.col(shard).alias("shard"), "sample_key", "member", "data")
-    x.groupBy("shard").applyInPandas(run, "shard string, tar binary").select("shard", F.col("tar").cast("string")).write.partitionBy("shard").text(folder)
-    path = F.concat(F.lit(f"{folder}/shard="), F.lpad(F.col("shard").cast("string"), 6, "0"), F.lit(".tar"))
-    return x.groupBy("shard").agg(F.count_distinct("sample_key").alias("samples"), F.sum(F.octet_length("data")).alias("bytes")).select(path.alias("path"), "samples", "bytes")
+    spark = members.sparkSession
+    spark.dataSource.register(TarShards)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = members.select(F.col(shard).cast("long").alias("shard"), "sample_key", "member", "data").repartition(n, "shard").sortWithinPartitions("shard", "sample_key", "member")
+    x.write.format("tar_shards").mode("append").save(folder)
+    return committed(spark, folder).select(F.concat(F.lit(f"{folder}/"), "shard").alias("path"), "samples", "bytes")
+
+
+def committed(spark: SparkSession, folder: str) -> DataFrame:
+    """(shard, samples, bytes) of the shards that finished jobs have left in ``folder``."""
+    entry = T.StructType([T.StructField("shard", T.StringType()), T.StructField("samples", T.LongType()), T.StructField("bytes", T.LongType())])
+    return spark.read.schema(entry).option("multiLine", True).option("pathGlobFilter", "committed-*.json").json(f"{folder}/committed-*.json")
 
 
 def archive_utterances(members: DataFrame, transcripts: DataFrame) -> DataFrame:

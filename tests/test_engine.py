@@ -15,7 +15,7 @@ from cuewright import queries
 from cuewright.functions import actions, audio, checks, clock, hashing, scoring
 from cuewright.operators import adapters, aggregates, joins, layout, quotas, stages
 from cuewright.plans.tables import units
-from cuewright.sources import records, shards
+from cuewright.sources import records, shards, tars
 from cuewright.streaming import sessions
 
 SF = "/root/testdata/sf0.001"
@@ -496,3 +496,66 @@ def test_running_takes_any_sortable_key(spark, down):
     everything = layout.numbered(df, [], ["big"], "place").collect()
     assert all(r["place"] == r["big"] - (1 << 60) for r in everything)
     assert layout.numbered(df.limit(0), ["k"], ["big"], "place").count() == 0
+
+
+def test_shards_roll_and_leave_nothing_behind_on_failure(spark, tmp_path):
+    rows = [(f"s{i:03d}", m, bytearray(bytes([i]) * (10 + i)), i) for i in range(60) for m in ("a.bin", "b.bin")]
+    df = spark.createDataFrame(rows, "sample_key string, member string, data binary, units int").repartition(3)
+    path = str(tmp_path / "t")
+    listed, files = shards.write_samples(df, path, max_bytes=300, max_samples=4, tasks=3)
+    got = {r["sample_key"]: r for r in listed.collect()}
+    for i in range(60):
+        r = got[f"s{i:03d}"]
+        assert r["units"] == i and r["bytes"] == 2 * (10 + i) and r["content_sha256"] == hashlib.sha256(b"a.bin" + bytes([i]) * (10 + i) + b"b.bin" + bytes([i]) * (10 + i)).hexdigest()
+    sizes = {r["shard"]: (r["samples"], r["bytes"]) for r in files.collect()}
+    assert len(sizes) >= 15 and sum(n for n, _ in sizes.values()) == 60 and all(n <= 4 for n, _ in sizes.values())
+    assert sorted(p.name for p in (tmp_path / "t").glob("*.tar")) == sorted(sizes) and not (tmp_path / "t" / "_temporary").exists()
+    shards.write_samples(df.withColumn("sample_key", F.concat(F.lit("more"), "sample_key")), path)  # a second job adds to the first
+    assert shards.read_members(spark, f"{path}/*.tar").select("sample_key").distinct().count() == 120
+    wrong = spark.createDataFrame([*rows, (None, "a.bin", bytearray(b"x"), 0)], df.schema)
+    with pytest.raises(Exception, match="needs a sample key"):
+        shards.write_samples(wrong, str(tmp_path / "u"), tasks=2)
+    assert not (tmp_path / "u").exists() or not [p for p in (tmp_path / "u").rglob("*") if p.is_file()]
+
+
+def test_reader_projects_members_and_expands_braces(spark, tmp_path):
+    assert tars.braces("a{1,2}-{08..10}.tar") == [f"a{i}-{j}.tar" for i in (1, 2) for j in ("08", "09", "10")]
+    assert tars.braces("{q}/{x,{y,z}}") == ["{q}/x", "{q}/y", "{q}/z"] and tars.braces("plain") == ["plain"]
+    df = spark.createDataFrame([(i, f"k{i}", m, bytearray(b"d")) for i in range(4) for m in ("a", "b")], "shard int, sample_key string, member string, data binary")
+    path = str(tmp_path / "t")
+    shards.write_shards(df, "shard", path)
+    some = shards.read_members(spark, f"{path}/{{000000,000001,00000*}}.tar")
+    assert some.select("shard").distinct().count() == 4 and some.rdd.getNumPartitions() == 4
+    assert {(r["sample_key"], r["shard_index"]) for r in shards.read_members(spark, f"{path}/00000{{2..3}}.tar", ("a",)).collect()} == {("k2", 0), ("k3", 1)}
+    x = shards.read_members(spark, f"{path}/*.tar").where("member = 'a'")
+    assert x.count() == 4 and "(member#" in (plan := x._jdf.queryExecution().executedPlan().toString()) and "= a" not in plan  # the reader answers it
+    assert spark.read.format("tar_shards").load(f"{path}/*.tar").where("member = 'a'").count() == 4
+    with pytest.raises(Exception, match="no shard matches"):
+        shards.read_members(spark, f"{path}/none*.tar").count()
+
+
+def test_array_members_decode_by_column(spark, tmp_path):
+    import io
+
+    import numpy as np
+
+    def npz(**a):
+        out = io.BytesIO()
+        np.savez(out, **a)
+        return bytearray(out.getvalue())
+
+    def npy(a):
+        out = io.BytesIO()
+        np.save(out, a)
+        return bytearray(out.getvalue())
+
+    codes = np.arange(24, dtype=np.uint16).reshape(3, 4, 2)
+    rows = [("good", "timeline.npz", npz(t=np.array([0, 80, 160]), mask=np.array([[True, False]] * 3))), ("good", "codes.npy", npy(codes)), ("good", "mic.flac", bytearray(b"...")),
+            ("short", "timeline.npz", npz(t=np.array([0, 80]), mask=np.ones((2, 2), bool))), ("short", "codes.npy", npy(codes)), ("lacks", "timeline.npz", npz(t=np.array([0])))]
+    m = spark.createDataFrame(rows, "sample_key string, member string, data binary")
+    spec = {"t": ("timeline.npz", "t", "long"), "mask": ("timeline.npz", "mask", "array<boolean>"), "codes": ("codes.npy", None, "array<array<int>>")}
+    shards.write_samples(m, str(tmp_path / "t"), tasks=1)
+    got = shards.decode_units(shards.read_members(spark, str(tmp_path / "t" / "*.tar")), spec).collect()
+    good = sorted((r for r in got if r["error"] is None), key=lambda r: r["unit_index"])
+    assert [(r["t"], r["mask"], r["codes"]) for r in good] == [(80 * i, [True, False], codes[i].tolist()) for i in range(3)]
+    assert {r["sample_key"]: r["error"].split(":")[0] for r in got if r["error"]} == {"short": "arrays of different lengths", "lacks": "KeyError"}
