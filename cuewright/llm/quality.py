@@ -1,7 +1,7 @@
 """Quality scores by positive-unlabelled learning with the non-negative unbiased risk.
 
-A logistic model over binned shape features is fitted to trusted positives and unlabelled web
-text. The class prior comes from the data: with any scorer, the share of unlabelled rows above a
+A logistic model over binned shape features and hashed character n-grams is fitted to trusted positives and
+unlabelled web text: all documents but the trusted positives, whatever labels they may have. The class prior comes from the data: with any scorer, the share of unlabelled rows above a
 cut is at least the prior times the share of positives above it, so the smallest ratio over cuts
 (on rows that did not fit the scorer) bounds the prior and meets it where the classes part.
 """
@@ -28,13 +28,24 @@ _CLASS = np.zeros(128, dtype=np.int64)
 for _c in range(128):
     _CLASS[_c] = 1 if chr(_c).islower() else 2 if chr(_c).isupper() else 3 if chr(_c).isdigit() else 4 if chr(_c) == "\n" else 5 if chr(_c).isspace() else 6
 N_CLASS = 8 + 128
-NAMES = 24
+NAMES = 22
+#: Buckets of hashed runs of three characters; each holds its share of a text's runs against an even one, scaled and cut off.
+GRAMS, GRAM_SCALE, GRAM_TOP = 256, 0.25, 1.0
+
+
+def grams(x: np.ndarray) -> np.ndarray:
+    """A text's runs of three code points by hash bucket."""
+    if len(x) < 3:
+        return np.zeros(GRAMS)
+    x = x.astype(np.uint64)
+    h = ((x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1]) * np.uint64(0xBF58476D1CE4E5B9) + x[2:]) * np.uint64(0x94D049BB133111EB)
+    return np.minimum(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=GRAMS) * (GRAM_SCALE * GRAMS / len(h)), GRAM_TOP)
 
 
 def features(text: str | None) -> np.ndarray:
-    """Shape numbers of a whole text; no word identities, so no language or topic. Empty: zeros."""
+    """Shape numbers of a whole text, then its character n-grams. Empty: zeros."""
     text = text or ""
-    out = np.zeros(NAMES)
+    out = np.zeros(NAMES + GRAMS)
     w = text.split()
     n, nw = len(text), len(w)
     if not nw:
@@ -54,9 +65,10 @@ def features(text: str | None) -> np.ndarray:
     loud = sum(map(str.isupper, w)) / nw
     plain = sum(map(str.isalnum, w)) / nw
     raw = text.encode("utf-8", "surrogatepass")
-    out[:] = [
+    out[NAMES:] = grams(x)
+    out[:NAMES] = [
         np.log1p(nw), np.log1p(n), n / nw, kind[1] / n, kind[2] / n, kind[3] / n, kind[4] / n,
-        kind[6] / n, symbols[0] / n, symbols[1] / n, symbols[2:].sum() / n, c[ord("!")] / n, c[ord("|")] / n,
+        kind[6] / n, symbols[0] / n, symbols[1] / n, symbols[2:].sum() / n,
         rep, fresh.mean(), fresh.min(), pairs, ends, odd, loud, plain,
         len(set(lines)) / len(lines), len(joined) / nw, len(zlib.compress(raw, 1)) / len(raw),
     ]
@@ -75,37 +87,55 @@ class Model:
 
 
 def encode(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Each feature as 0/1 steps: 1 where it is above an edge."""
-    return (x[:, :, None] > edges[None]).reshape(len(x), -1).astype(np.float32)
+    """Each shape number as 0/1 steps: 1 where it is above an edge; n-grams as they are."""
+    return np.concatenate([(x[:, :NAMES, None] > edges[None]).reshape(len(x), -1), x[:, NAMES:]], axis=1, dtype=np.float32)
 
 
 def _edges(x: np.ndarray) -> np.ndarray:
     q = np.r_[0.001, 0.004, 0.01, 0.03, np.linspace(0.1, 0.9, BINS - 8), 0.97, 0.99, 0.996, 0.999]
-    return np.quantile(x, q, axis=0).T
+    return np.quantile(x[:, :NAMES], q, axis=0).T
+
+
+def _sig(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def risk(xp: np.ndarray, xu: np.ndarray, w: np.ndarray, b: float, prior: float) -> tuple[float, float]:
+    """The two parts of the unbiased risk under logistic loss: prior * R_p(+), and R_u(-) - prior * R_p(-)."""
+    loss = lambda z: np.mean(np.logaddexp(0, z))
+    zp, zu = xp @ w + b, xu @ w + b
+    return prior * loss(-zp), loss(zu) - prior * loss(zp)
+
+
+def risk_gradient(xp: np.ndarray, xu: np.ndarray, w: np.ndarray, b: float, prior: float) -> np.ndarray:
+    """Direction of descent for (w, b): the gradient of both parts; where the second is negative, minus its own alone."""
+    sp, su = _sig(xp @ w + b), _sig(xu @ w + b)
+    if risk(xp, xu, w, b, prior)[1] >= 0:
+        gp, gu = -prior * np.ones_like(sp) / len(sp), su / len(su)  # prior * (s - 1) - prior * s
+    else:  # undo overfitting of the unlabelled part
+        gp, gu = prior * sp / len(sp), -su / len(su)
+    return np.r_[xp.T @ gp + xu.T @ gu, gp.sum() + gu.sum()]
 
 
-def _fit(p: np.ndarray, u: np.ndarray, prior: float, nonneg: bool, steps: int = 1000, rate: float = 0.03, l2: float = 1e-4, seed: int = 3):
-    """Adam on the risk prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), or on plain P against U."""
+def _fit(p: np.ndarray, u: np.ndarray, prior: float, nonneg: bool, steps: int = 1000, rate: float = 0.03, l2: float = 0.01, seed: int = 3):
+    """Adam on the risk prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), or on plain P against U; the mean of the second half's steps."""
     rng, d = np.random.default_rng(seed), p.shape[1]
-    w, b, m, v = np.zeros(d, np.float32), 0.0, np.zeros(d + 1), np.zeros(d + 1)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    w, b, m, v, total = np.zeros(d, np.float32), 0.0, np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     for t in range(1, steps + 1):
         xp, xu = p[rng.integers(0, len(p), 1024)], u[rng.integers(0, len(u), 1024)]
-        sp, su = sig(xp @ w + b), sig(xu @ w + b)
         if nonneg:
-            # logistic loss: d/dz of log(1+e^-z) is s - 1, of log(1+e^z) is s
-            neg = np.mean(-np.log(1 - su + 1e-12)) - prior * np.mean(-np.log(1 - sp + 1e-12))
-            if neg >= 0:
-                gp, gu = -prior * np.ones_like(sp) / len(sp), su / len(su)
-            else:  # undo overfitting of the unlabelled part
-                gp, gu = prior * sp / len(sp), -su / len(su)
+            g = risk_gradient(xp, xu, w, b, prior)
         else:
-            gp, gu = (sp - 1) / len(sp), su / len(su)
-        g = np.r_[xp.T @ gp + xu.T @ gu + l2 * w, gp.sum() + gu.sum()]
+            gp, gu = (_sig(xp @ w + b) - 1) / len(xp), _sig(xu @ w + b) / len(xu)
+            g = np.r_[xp.T @ gp + xu.T @ gu, gp.sum() + gu.sum()]
+        g[:-1] += l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = (w - step[:-1]).astype(np.float32), float(b - step[-1])
-    return w, b
+        if 2 * t > steps:
+            total += np.r_[w, b]
+    mean = total / (steps - steps // 2)
+    return mean[:-1].astype(np.float32), float(mean[-1])
 
 
 def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
@@ -118,9 +148,9 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
-    """A model from feature rows; with no positives or no unlabelled rows it scores 0.5 throughout."""
+    """A model from feature rows; without positives, or where every document is one, it scores 0.5 throughout."""
     if not len(positive) or not len(unlabelled):
-        return Model(np.zeros((NAMES, BINS)), np.zeros(NAMES * BINS, np.float32), 0.0, 0.5)
+        return Model(np.zeros((NAMES, BINS)), np.zeros(NAMES * BINS + GRAMS, np.float32), 0.0, 0.5)
     edges = _edges(np.concatenate([positive, unlabelled]))
     p, u = encode(positive, edges), encode(unlabelled, edges)
     w, b = _fit(p[::2], u[::2], 0.5, nonneg=False, steps=600)
@@ -135,22 +165,21 @@ def feature_rows(df: DataFrame, text_col: str) -> np.ndarray:
                 yield pd.DataFrame({"f": [features(t).tolist() for t in b["text"]]})
 
     rows = df.select(F.col(text_col).cast("string").alias("text")).mapInPandas(run, "f array<double>").toPandas()
-    return np.array(rows["f"].tolist(), dtype=float).reshape(-1, NAMES)
+    return np.array(rows["f"].tolist(), dtype=float).reshape(-1, NAMES + GRAMS)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on labelled positives where ``learn`` holds and on rows without a label.
+    """Fit on labelled positives where ``learn`` holds and on all other documents as unlabelled ones.
 
-    Both parts are read through a hash sample of about ``fit_rows`` rows at most; only their shape
-    numbers reach the driver. Labels of a repeated id count once, positive if any is.
+    Whether another row has a label, and which, plays no part. Both sides are read through a hash sample of about
+    ``fit_rows`` ids at most, one text an id (that of the smallest hash), so only so many rows of numbers reach the driver.
+    Labels of a repeated id count once, positive if any is.
     """
     marks = labels.where(learn & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__y"))
-    good = bounded_sample(marks.where(F.col("__y") == 1), id_col, fit_rows).select(id_col)
-    named = labels.select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    rest = bounded_sample(docs.select(id_col).join(named, id_col, "left_anti"), id_col, fit_rows).distinct()
-    pos = docs.select(id_col, text_col).join(good, id_col, "left_semi")
-    web = docs.select(id_col, text_col).join(rest, id_col, "left_semi")
-    return fit(feature_rows(pos, text_col), feature_rows(web, text_col))
+    good = marks.where(F.col("__y") == 1).select(id_col)
+    rest = docs.select(id_col).where(F.col(id_col).isNotNull()).distinct().join(good, id_col, "left_anti")
+    one = lambda ids: docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(bounded_sample(ids, id_col, fit_rows), id_col, "left_semi").groupBy(id_col).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return fit(feature_rows(one(good), "text"), feature_rows(one(rest), "text"))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,7 +189,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for b in batches:
-            x = np.array([features(t) for t in b["text"]]).reshape(-1, NAMES)
+            x = np.array([features(t) for t in b["text"]]).reshape(-1, NAMES + GRAMS)
             yield pd.DataFrame({"id": b["id"], "score": shared.value.score(x)})
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -179,6 +208,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     @F.pandas_udf("double")
     def value(text: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(np.array([features(t) for t in text]).reshape(-1, NAMES)))
+        return pd.Series(shared.value.score(np.array([features(t) for t in text]).reshape(-1, NAMES + GRAMS)))
 
     return docs.where(value(F.col(text_col).cast("string")) >= cut)

@@ -332,6 +332,41 @@ def test_toxicity_on_held_out_rows(spark):
     assert auc(s, y) > 0.85 and (s[y == 0] >= 0.5).mean() < 0.05
 
 
+def test_risk_and_its_gradient_against_a_plain_version():
+    """The unbiased risk by its formula, its gradient by differences, and the step back where the second part is negative."""
+    r, seen = np.random.default_rng(2), set()
+    for k in range(30):
+        xp, xu = r.normal(k % 3, 1, (40, 5)), r.normal(0, 1, (60, 5))
+        w, b, prior = r.normal(0, 0.3 * (1 + k % 4), 5), r.normal(), 0.3 + 0.6 * r.random()
+        p, u = 1 / (1 + np.exp(-(xp @ w + b))), 1 / (1 + np.exp(-(xu @ w + b)))
+        first, second = prior * np.mean(-np.log(p)), np.mean(-np.log(1 - u)) - prior * np.mean(-np.log(1 - p))
+        got = quality.risk(xp, xu, w, b, prior)
+        assert np.allclose(got, (first, second), atol=1e-6)
+        part = (lambda v: sum(quality.risk(xp, xu, v[:-1], v[-1], prior))) if second >= 0 else (lambda v: -quality.risk(xp, xu, v[:-1], v[-1], prior)[1])
+        at, eye = np.r_[w, b], np.eye(6) * 1e-5
+        want = [(part(at + e) - part(at - e)) / 2e-5 for e in eye]
+        assert np.allclose(quality.risk_gradient(xp, xu, w, b, prior), want, atol=1e-5)
+        seen.add(second >= 0)
+    assert seen == {True, False}
+
+
+def test_quality_whatever_share_is_labelled(spark):
+    """All, half or few rows labelled: held-out rows are told apart each time, and labels outside the learning rows change nothing."""
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    out = quality.held_out("doc_id", 4, 2)
+    full = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    half = full.unionByName(docs.join(labels, "doc_id", "left_anti").where(F.col("doc_id") % 3 == 0))
+    for d in (full, half, docs):
+        x = quality.score(d, quality.train(d, labels, ~out)).join(labels, "doc_id").where(out).toPandas()
+        s, y = x["score"].to_numpy(), x["quality"].to_numpy()
+        assert auc(s, y) > 0.98 and (s[y == 1] >= 0.7).mean() > 0.9 and (s[y == 0] >= 0.7).mean() < 0.05
+    a = quality.train(docs, labels, ~out)
+    b = quality.train(docs, labels.withColumn("quality", F.when(out, 1 - F.col("quality")).otherwise(F.col("quality"))).where(~out | (F.col("doc_id") % 2 == 0)), ~out)
+    assert np.array_equal(a.weights, b.weights) and a.prior == b.prior
+    many = full.limit(50).unionByName(full.limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(5000)))).drop("n").withColumn("text", F.concat("text", F.rand(1).cast("string"))))
+    assert quality.train(many, labels, F.lit(True)).weights is not None
+
+
 def test_prior_estimate():
     r = np.random.default_rng(0)
     assert abs(quality.estimate_prior(r.normal(2, 1, 4000), np.r_[r.normal(2, 1, 3200), r.normal(-2, 1, 800)]) - 0.8) < 0.03
