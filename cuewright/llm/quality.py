@@ -117,7 +117,7 @@ def risk_gradient(xp: np.ndarray, xu: np.ndarray, w: np.ndarray, b: float, prior
     return np.r_[xp.T @ gp + xu.T @ gu, gp.sum() + gu.sum()]
 
 
-def _fit(p: np.ndarray, u: np.ndarray, prior: float, nonneg: bool, steps: int = 1000, rate: float = 0.03, l2: float = 0.01, seed: int = 3):
+def _fit(p: np.ndarray, u: np.ndarray, prior: float, nonneg: bool, steps: int = 1000, rate: float = 0.03, l2: float = 0.003, seed: int = 3):
     """Adam on the risk prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), or on plain P against U; the mean of the second half's steps."""
     rng, d = np.random.default_rng(seed), p.shape[1]
     w, b, m, v, total = np.zeros(d, np.float32), 0.0, np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
