@@ -139,11 +139,15 @@ def _fit(p: np.ndarray, u: np.ndarray, prior: float, nonneg: bool, steps: int =
 
 
 def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Smallest ratio of unlabelled to positive mass over upper score ranges that hold half of the positives."""
-    cuts = np.quantile(p, np.linspace(0.0, 0.5, 41))
+    """Smallest ratio of unlabelled to positive mass over upper score ranges that hold half of the positives.
+
+    The unlabelled share counts with its standard error: the smallest of many noisy ratios lies too low, and under a
+    prior below the true one no document scores high.
+    """
     ratios = []
-    for c in cuts:
-        ratios.append(np.mean(u >= c) / max(1e-9, np.mean(p >= c)))
+    for c in np.quantile(p, np.linspace(0.0, 0.5, 41)):
+        above = np.mean(u >= c)
+        ratios.append((above + np.sqrt(above * (1 - above) / len(u))) / max(1e-9, np.mean(p >= c)))
     return float(np.clip(min(ratios), 0.02, 0.98))
 
 
@@ -165,7 +169,8 @@ def feature_rows(df: DataFrame, text_col: str) -> np.ndarray:
                 yield pd.DataFrame({"f": [features(t).tolist() for t in b["text"]]})
 
     rows = df.select(F.col(text_col).cast("string").alias("text")).mapInPandas(run, "f array<double>").toPandas()
-    return np.array(rows["f"].tolist(), dtype=float).reshape(-1, NAMES + GRAMS)
+    x = np.array(rows["f"].tolist(), dtype=float).reshape(-1, NAMES + GRAMS)
+    return x[np.lexsort(x.T)]  # the same fit in whatever order Spark gives the rows
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
