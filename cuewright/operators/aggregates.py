@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -61,9 +62,79 @@ def ratio_of_sums(df: DataFrame, key: str, parts: dict[str, tuple[str, str]], na
     return df.groupBy(key).agg(*out)
 
 
+def set_marks(df: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """(keys, n, mark_sum, mark_xor) of each key's members: equal for equal multisets in any order, one row a key.
+
+    Two 64-bit hashes a member, one summed, one xored, so that no list of members is ever gathered.
+    """
+    h = F.xxhash64(F.lit("sum"), member).cast("decimal(38,0)")
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(h).alias("mark_sum"), F.bit_xor(F.xxhash64(F.lit("xor"), member)).alias("mark_xor"))
+
+
+def set_differences(left: DataFrame, right: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """(keys, member, status): members on one side only, ``missing`` on the right or ``extra`` there.
+
+    Members are joined only for keys whose marks differ. Keys must not be null.
+    """
+    a, b = set_marks(left, keys, member), set_marks(right, keys, member)
+    same = a.join(b, [*keys, "n", "mark_sum", "mark_xor"]).select(*keys)
+    x, y = (df.select(*keys, member).join(same, keys, "left_anti") for df in (left, right))
+    lost = x.join(y, [*keys, member], "left_anti").withColumn("status", F.lit("missing"))
+    return lost.unionByName(y.join(x, [*keys, member], "left_anti").withColumn("status", F.lit("extra")))
+
+
+def rows_of_leaks(df: DataFrame, session: list[str], split: str) -> DataFrame:
+    """Rows whose session, all its parts given and not empty, stands in more than one split."""
+    whole = F.lit(True)
+    for c in session:
+        whole = whole & F.coalesce(F.col(c) != "", F.lit(False))
+    bad = df.where(whole).groupBy(*session).agg(F.min(split).alias("__a"), F.max(split).alias("__b")).where("__a <> __b").select(*session)
+    return df.join(bad, session, "left_semi")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], accuracy: int = 1000) -> DataFrame:
+    """(keys, n, a column a share): interpolated quantiles, exact, without all values of a key in one buffer.
+
+    A first pass keeps a mergeable sketch a key, whose ranks are off by at most 1 / ``accuracy``, and so gives bounds
+    between which the wanted places lie. A second pass counts what lies below and keeps only the distinct values between,
+    about 6 / ``accuracy`` of them. Nulls are left out; keys may be null.
+    """
+    margin, few = 3 / accuracy, F.col("n") < accuracy  # of few values all are kept: the margin is under a place
+    at = [(name, p, max(0.0, p - margin), min(1.0, p + margin)) for name, p in shares.items()]
+    x = df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null")
+    marks = F.percentile_approx("__v", [q for _, _, lo, hi in at for q in (lo, hi)], accuracy)
+    first = x.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), marks.alias("__q"))
+    bound = [
+        F.struct(
+            F.lit(name).alias("name"), F.lit(float(p)).alias("p"),
+            (F.col("__lo") if lo == 0.0 else F.when(few, F.col("__lo")).otherwise(F.least(F.get("__q", F.lit(2 * i)), F.get("__q", F.lit(2 * i + 1))))).alias("lo"),
+            (F.col("__hi") if hi == 1.0 else F.when(few, F.col("__hi")).otherwise(F.greatest(F.get("__q", F.lit(2 * i)), F.get("__q", F.lit(2 * i + 1))))).alias("hi"),
+        )
+        for i, (name, p, lo, hi) in enumerate(at)
+    ]
+    first = first.select("n", F.explode(F.array(*bound)).alias("b"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    y = x.join(first, same).where(F.col("__v") <= F.col("b.hi"))
+    kept = [f"__k{i}" for i in range(len(keys))]
+    y = y.groupBy(*kept, "b.name", "b.p", "n", F.when(F.col("__v") >= F.col("b.lo"), F.col("__v")).alias("__v")).agg(F.count("*").alias("__c"))
+    w = W.partitionBy(*kept, "name").orderBy(F.col("__v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    place = F.col("p") * (F.col("n") - 1)
+    y = y.withColumn("__to", F.sum("__c").over(w)).groupBy(*kept, "name", "p", "n")
+    y = y.agg(*(F.min(F.when(F.col("__to") > F.least(r, F.col("n") - 1), F.col("__v"))).alias(c) for c, r in (("__a", F.floor(place)), ("__b", F.floor(place) + 1))))
+    y = y.withColumn("__out", F.col("__a") + (F.col("__b") - F.col("__a")) * (place - F.floor(place)))
+    return y.groupBy(*kept, "n").agg(*(F.max(F.when(F.col("name") == name, F.col("__out"))).alias(name) for name in shares)).withColumnsRenamed(dict(zip(kept, keys)))
+
+
 def latency(df: DataFrame, ms: str, *keys: str) -> DataFrame:
-    g = df.groupBy(*keys) if keys else df.groupBy()
-    return g.agg(F.count("*").alias("n"), F.avg(ms).alias("mean_ms"), F.percentile(ms, F.lit(0.95)).alias("p95_ms"), F.max(ms).alias("max_ms"))
+    """(keys, n, mean_ms, p95_ms, max_ms): n counts all rows, the others those with a number."""
+    g = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(ms).alias("mean_ms"), F.max(ms).alias("max_ms"))
+    q = exact_quantiles(df, list(keys), ms, {"p95_ms": 0.95}).select("p95_ms", *(F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__j{i}"))
+    return g.join(q, same, "left").select(*keys, "n", "mean_ms", "p95_ms", "max_ms")
 
 
 def score_gate(df: DataFrame, metric: str, score: str, metrics: list[str], row_most: float = 0.20, mean_most: float = 0.08) -> DataFrame:

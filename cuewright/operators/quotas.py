@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cuewright.operators.layout import running
+from cuewright.operators.layout import numbered, running
 
 DIMS = ["category", "language", "split"]
 
@@ -82,33 +82,67 @@ def transfer(rows: DataFrame, group: list[str], order: list[str], give: str, roo
     return x.drop("__give", "__room", "__g", "__r")
 
 
-def best_subset(hist: list[tuple[int, int]], target: int, tolerance: float = 0.02) -> dict[int, int] | None:
+#: Largest number of ticks that a subset search keeps apart; beyond it ticks are measured in larger steps.
+MOST_TICKS = 100_000_000
+
+
+def _reach(parts: list[tuple[int, int]], top: int) -> int:
+    """Bit set of the totals up to ``top`` that some of the parts (size, place) make."""
+    seen, mask = 1, (1 << (top + 1)) - 1
+    for size, _ in parts:
+        if size <= top:
+            seen |= (seen << size) & mask
+    return seen
+
+
+def _bits(seen: int, top: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(seen.to_bytes(top // 8 + 1, "little"), np.uint8), bitorder="little")[: top + 1]
+
+
+def _chosen(parts: list[tuple[int, int]], total: int) -> list[int]:
+    """Places of parts that make exactly ``total``, which they can: the halves' bit sets tell how much either half gives."""
+    if total == 0:
+        return []
+    if len(parts) == 1:
+        return [parts[0][1]]
+    half = len(parts) // 2
+    left, right = (_bits(_reach(x, total), total) for x in (parts[:half], parts[half:]))
+    give = int(np.argmax(left & right[::-1]))
+    del left, right
+    return _chosen(parts[:half], give) + _chosen(parts[half:], total - give)
+
+
+def best_subset(hist: list[tuple[int, int]], target: int, tolerance: float = 0.02, most_ticks: int = MOST_TICKS) -> dict[int, int] | None:
     """How many of each tick value to take so that the total is nearest to the target, ties to the smaller.
 
-    ``hist`` has (ticks, count). Reachable totals are a bit set; counts are split in powers of two.
-    None if no reachable total is within the tolerance.
+    ``hist`` has (ticks, count). Counts are split in powers of two, reachable totals are bit sets, two at a time: the choice
+    is found by halving the parts, so memory doesn't grow with their number. None if no reachable total is
+    within the tolerance. Where the totals looked at exceed ``most_ticks``, values are rounded to steps of so many ticks that they
+    don't; the total is then nearest up to half a step a row taken.
     """
+    top = int(target * (1 + tolerance))
+    step = max(1, -(-top // most_ticks))
     items: list[tuple[int, int]] = []
+    value = {}
     for ticks, n in sorted(hist):
-        k = 1
-        while n > 0 and ticks > 0:
+        small, k = (ticks + step // 2) // step, 1
+        while n > 0 and small > 0:
             take = min(k, n)
-            items.append((ticks, take))
+            value[len(items)] = ticks
+            items.append((small, take))
             n -= take
             k *= 2
-    top = int(target * (1 + tolerance))
-    mask, seen = (1 << (top + 1)) - 1, [1]
-    for ticks, k in items:
-        seen.append((seen[-1] | seen[-1] << ticks * k) & mask)
-    best = next((t for d in range(int(target * tolerance) + 1) for t in (target - d, target + d) if 0 <= t <= top and seen[-1] >> t & 1), None)
-    if best is None:
+    goal, top, least = target / step, top // step, -(-int(np.ceil(target * (1 - tolerance))) // step)
+    parts = [(small * k, i) for i, (small, k) in enumerate(items)]
+    seen = _bits(_reach(parts, top), top)
+    ok = np.flatnonzero(seen[least:]) + least
+    if not len(ok):
         return None
+    best = int(ok[np.lexsort((ok, np.abs(ok - goal)))[0]])
+    del seen, ok
     out: dict[int, int] = {}
-    for i in range(len(items) - 1, -1, -1):
-        if not seen[i] >> best & 1:
-            ticks, k = items[i]
-            out[ticks] = out.get(ticks, 0) + k
-            best -= ticks * k
+    for i in _chosen(parts, best):
+        out[value[i]] = out.get(value[i], 0) + items[i][1]
     return out
 
 
@@ -131,49 +165,58 @@ def fit_buckets(rows: DataFrame, targets: DataFrame, bucket: str, ticks: str, or
     return x.where(F.col("__n") <= F.col("take")).drop("__n", "__b", "__t", "take")
 
 
-def choose_counts(low: list[float], high: list[float], have: list[int], target: float, want: int) -> tuple[int, ...] | None:
-    """Counts of three classes whose duration range holds the target: least (gap, count gap, midpoint gap)."""
-    best = None
-    for a in range(have[0] + 1):
-        for b in range(have[1] + 1):
-            for c in range(have[2] + 1):
-                n = (a, b, c)
-                lo, hi = sum(k * x for k, x in zip(n, low)), sum(k * x for k, x in zip(n, high))
-                gap = max(0.0, lo - target, target - hi)
-                key = (gap, abs(sum(n) - want), abs((lo + hi) / 2 - target), n)
-                if best is None or key < best:
-                    best = key
-    return best[3] if best else None
+#: fixed values: seconds that a plan of each class may last
+CLASS_BOUNDS = {"short": (4, 16), "medium": (16, 32), "long": (32, 60)}
 
 
-def trim_plan(cells: pd.DataFrame, ticks: int) -> dict[str, int]:
-    """How many ticks to trim from each bucket: each tick goes where squared error over targets falls most.
+def choose_counts(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, short, medium, long, attainable): how many plans of each class show screens, one row a feasible group.
 
-    ``cells`` has bucket, category, language, ticks, target and capacity.
+    ``groups`` has keys, n_short, n_medium, n_long, screen_target and group_target (seconds). The chosen plans' seconds must
+    leave the others able to fill the group. Best is the least distance of what can be attained from the target, then of the
+    count from a wished one, then of the middle of what can be attained. Rows are pairs of a short and a medium
+    count; for each the long counts that meet the target form an interval, so only its ends, their outer neighbours and
+    the count nearest to the wish are scored.
+    """
+    n = {c: F.col(f"n_{c}") for c in CLASS_BOUNDS}
+    lows, highs = ({c: b[i] for c, b in CLASS_BOUNDS.items()} for i in (0, 1))
+    total = lambda by, have: sum((have[c] * by[c] for c in by), F.lit(0))
+    goal, whole = F.col("screen_target"), F.col("group_target")
+    x = groups.select(
+        *keys, *(F.col(f"n_{c}") for c in CLASS_BOUNDS), goal, whole, (n["short"] + n["medium"] + n["long"]).alias("n"),
+        total(lows, n).alias("all_low"), total(highs, n).alias("all_high"),
+    ).where((F.col("all_low") <= whole) & (whole <= F.col("all_high")))
+    x = x.withColumn("wish", F.greatest(F.lit(1), F.bround(F.col("n") / 11).cast("long"), F.ceil(goal / 60)))
+    x = x.withColumn("short", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_short").cast("long")))).withColumn("medium", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_medium").cast("long"))))
+    low = lows["short"] * F.col("short") + lows["medium"] * F.col("medium")
+    high = highs["short"] * F.col("short") + highs["medium"] * F.col("medium")
+    # the screens' seconds reach up to min(high, whole - all_low + low) and down to max(low, whole - all_high + high)
+    first = F.ceil(F.greatest((goal - high) / highs["long"], (goal - whole + F.col("all_low") - low) / lows["long"]))
+    last = F.floor(F.least((goal - low) / lows["long"], (goal - whole + F.col("all_high") - high) / highs["long"]))
+    wished = F.col("wish") - F.col("short") - F.col("medium")
+    inside = F.least(F.greatest(wished, first), last)
+    # some plans, but not all, show screens
+    least, most = F.greatest(F.lit(0), 1 - F.col("short") - F.col("medium")), F.least(F.col("n_long"), F.col("n") - 1 - F.col("short") - F.col("medium"))
+    tries = F.array_distinct(F.transform(F.array(first - 1, first, last, last + 1, inside), lambda k: F.least(F.greatest(k, least), most).cast("long")))
+    x = x.where(least <= most).withColumn("long", F.explode(tries)).withColumn("count", F.col("short") + F.col("medium") + F.col("long"))
+    have = {c: F.col(c) for c in CLASS_BOUNDS}
+    low, high = total(lows, have), total(highs, have)
+    down, up = F.greatest(low, whole - F.col("all_high") + high), F.least(high, whole - F.col("all_low") + low)
+    x = x.withColumn("attainable", F.least(F.greatest(goal, down), up).cast("double"))
+    score = F.struct(F.abs(F.col("attainable") - goal).alias("gap"), F.abs(F.col("count") - F.col("wish")).alias("off"), F.abs((down + up) / 2 - goal).alias("middle"), "count", *CLASS_BOUNDS, "attainable")
+    return x.groupBy(*keys).agg(F.min(score).alias("best")).select(*keys, *(f"best.{c}" for c in CLASS_BOUNDS), "best.attainable")
+
+
+def screen_plans(plans: DataFrame, targets: DataFrame, keys: list[str], plan: str = "plan_id", cls: str = "duration_class") -> DataFrame:
+    """``plans`` with ``screen``: true for those of each group and class that come first by hash of their id.
+
+    ``targets`` has keys, screen_target and group_target. Plans of a group without feasible counts get null.
     """
-    now = cells["ticks"].astype(float).tolist()
-    cut = [0] * len(cells)
-    groups = [[[i] for i in range(len(cells))]]
-    for dim in ("category", "language"):
-        by = cells.groupby(dim, sort=False).indices
-        groups.append([list(by[v]) for v in cells[dim]])
-    target = cells["target"].astype(float).tolist()
-    for _ in range(ticks):
-        best = None
-        for i in range(len(cells)):
-            if cut[i] >= cells["capacity"].iloc[i]:
-                continue
-            gain = 0.0
-            for g in groups:
-                have, want = sum(now[j] for j in g[i]), sum(target[j] for j in g[i])
-                gain += ((have - 1 - want) ** 2 - (have - want) ** 2) / max(want, 1.0) ** 2
-            if best is None or (gain, i) < best:
-                best = (gain, i)
-        if best is None:
-            raise ValueError("no bucket can be trimmed further")
-        cut[best[1]] += 1
-        now[best[1]] -= 1
-    return {b: n for b, n in zip(cells["bucket"], cut) if n}
+    have = plans.groupBy(*keys).agg(*(F.count_if(F.col(cls) == c).alias(f"n_{c}") for c in CLASS_BOUNDS))
+    chosen = choose_counts(have.join(targets, keys), keys)
+    x = numbered(plans.withColumn("__h", F.sha2(F.col(plan).cast("string"), 256)), [*keys, cls], ["__h", plan], "__at")
+    take = F.element_at(F.create_map(*(v for c in CLASS_BOUNDS for v in (F.lit(c), F.col(c)))), F.col(cls))
+    return x.join(chosen, keys, "left").withColumn("screen", F.col("__at") < take).drop("__h", "__at", *CLASS_BOUNDS, "attainable")
 
 
 def trim_splits(cells: DataFrame, splits: list[str]) -> DataFrame:

@@ -162,8 +162,8 @@ def _bounded(spark, d):
 @query(f"WITH {ALLOC_SQL} SELECT item_id, round(low + (25.0::DOUBLE * count(*) OVER w - sum(low) OVER w) * (high - low) / sum(high - low) OVER w, 4) AS seconds FROM b WINDOW w AS (PARTITION BY language)")
 def w8_allocate_durations(spark, d):
     x = _bounded(spark, d)
-    n = F.count("*").over(W.partitionBy("language"))
-    return quotas.allocate(x, ["language"], "item_id", "low", "high", 25.0 * n).select("item_id", F.round("seconds", 4).alias("seconds"))
+    x = x.join(x.groupBy("language").agg(F.count("*").alias("n")), "language")
+    return quotas.allocate(x, ["language"], "item_id", "low", "high", 25.0 * F.col("n")).select("item_id", F.round("seconds", 4).alias("seconds"))
 
 
 @query(f"WITH {ALLOC_SQL} SELECT item_id, least((high - low)::BIGINT, greatest(0, 700 - coalesce(sum((high - low)::BIGINT) OVER (PARTITION BY language ORDER BY item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS taken FROM b")
@@ -394,13 +394,44 @@ def a3_session_leaks(spark, d):
     return aggregates.session_leaks(x, "language", "session", "split")
 
 
-@query("WITH t AS (SELECT sum(n_chars) // 4 AS target FROM documents) SELECT count(*) AS buckets FROM (SELECT DISTINCT lang FROM documents), t")
+@query("""WITH RECURSIVE x AS (SELECT lang, greatest(n_chars // 100, 1) AS ticks, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents),
+g AS (SELECT lang, sum(ticks)::BIGINT // 4 AS target FROM x GROUP BY lang),
+r(lang, k, total) AS (SELECT lang, 0::BIGINT, 0::BIGINT FROM g UNION SELECT * FROM (SELECT r.lang, x.k, unnest([r.total, r.total + x.ticks]) AS total FROM r JOIN x ON x.lang = r.lang AND x.k = r.k + 1) s WHERE total <= (SELECT floor(target * 1.02::DOUBLE) FROM g WHERE g.lang = s.lang))
+SELECT lang, arg_min(total, (abs(total - target), total)) AS chosen, target FROM (SELECT DISTINCT lang, total FROM r) JOIN g USING (lang) WHERE total >= ceil(target * 0.98::DOUBLE) GROUP BY lang, target""")
 def g1_quota_fit(spark, d):
-    """Buckets whose chosen subset comes within 2 % of a quarter of their ticks (all of them)."""
+    """The total nearest to a quarter of each bucket's ticks that a subset of its rows makes, within 2 %."""
     x = table(spark, d, "documents").select("doc_id", "lang", F.greatest(F.floor(F.col("n_chars") / 100), F.lit(1)).alias("ticks"))
     want = x.groupBy("lang").agg(F.floor(F.sum("ticks") / 4).alias("target"))
-    got = quotas.fit_buckets(x, want, "lang", "ticks", "doc_id").groupBy("lang").agg(F.sum("ticks").alias("chosen")).join(want, "lang")
-    return got.where(F.abs(F.col("chosen") - F.col("target")) <= 0.02 * F.col("target")).agg(F.count("*").alias("buckets"))
+    got = quotas.fit_buckets(x, want, "lang", "ticks", "doc_id").groupBy("lang").agg(F.sum("ticks").alias("chosen"))
+    return got.join(want, "lang").select("lang", "chosen", "target")
+
+
+G2_SQL = ITEMS_SQL + """, c AS (SELECT language, split, count(*) FILTER (item_id % 3 = 0) AS ns, count(*) FILTER (item_id % 3 = 1) AS nm, count(*) FILTER (item_id % 3 = 2) AS nl, count(*) AS n FROM items GROUP BY ALL),
+u AS (SELECT *, 4 * ns + 16 * nm + 32 * nl AS al, 16 * ns + 32 * nm + 60 * nl AS ah FROM c), v AS (SELECT *, (al + ah) // 2 AS whole, (al + ah) // 22 AS goal, greatest(1, round_even(n / 11.0::DOUBLE, 0)::BIGINT, ceil((al + ah) // 22 / 60.0::DOUBLE)::BIGINT) AS wish FROM u),
+k AS (SELECT v.*, s, m, l, 4 * s + 16 * m + 32 * l AS lo, 16 * s + 32 * m + 60 * l AS hi FROM v, unnest(range(ns + 1)) a(s), unnest(range(nm + 1)) b(m), unnest(range(nl + 1)) e(l) WHERE s + m + l BETWEEN 1 AND n - 1),
+f AS (SELECT *, greatest(lo, whole - ah + hi) AS down, least(hi, whole - al + lo) AS up FROM k), h AS (SELECT *, least(greatest(goal, down), up)::DOUBLE AS attainable FROM f WHERE down <= up),
+best AS (SELECT language, split, s AS short, m AS medium, l AS long, attainable FROM h QUALIFY row_number() OVER (PARTITION BY language, split ORDER BY abs(attainable - goal), abs(s + m + l - wish), abs((down + up) / 2.0::DOUBLE - goal), s + m + l, s, m) = 1)"""
+
+
+def _screen_groups(spark, d):
+    """Items as plans of three classes; each group is to fill the middle of its bounds, an eleventh of it with screens."""
+    x = source_items(spark, d).select("item_id", "language", "split", F.element_at(F.array(*map(F.lit, quotas.CLASS_BOUNDS)), (F.col("item_id") % 3 + 1).cast("int")).alias("duration_class"))
+    ends = [F.sum(F.element_at(F.create_map(*(F.lit(v) for c, b in quotas.CLASS_BOUNDS.items() for v in (c, b[i]))), F.col("duration_class"))) for i in (0, 1)]
+    t = x.groupBy("language", "split").agg((ends[0] + ends[1]).alias("both"))
+    return x, t.select("language", "split", F.floor(F.col("both") / 22).alias("screen_target"), F.floor(F.col("both") / 2).alias("group_target"))
+
+
+@query(f"WITH {G2_SQL} SELECT language, split, short, medium, long, attainable FROM best")
+def g2_class_counts(spark, d):
+    x, t = _screen_groups(spark, d)
+    n = x.groupBy("language", "split").agg(*(F.count_if(F.col("duration_class") == c).alias(f"n_{c}") for c in quotas.CLASS_BOUNDS))
+    return quotas.choose_counts(n.join(t, ["language", "split"]), ["language", "split"])
+
+
+@query(f"""WITH {G2_SQL}, r AS (SELECT item_id, language, split, item_id % 3 AS cls, row_number() OVER (PARTITION BY language, split, item_id % 3 ORDER BY sha256(item_id::VARCHAR), item_id) AS place FROM items)
+SELECT item_id, place <= CASE cls WHEN 0 THEN short WHEN 1 THEN medium ELSE long END AS screen FROM r LEFT JOIN best USING (language, split)""")
+def g2_screen_plans(spark, d):
+    return quotas.screen_plans(*_screen_groups(spark, d), ["language", "split"], "item_id").select("item_id", "screen")
 
 
 INTENTS = {"greet": 30, "plan": 25, "fix": 20, "read": 15, "stop": 7}
@@ -435,9 +466,28 @@ def j13_sparse_screens(spark, d):
 @query("""WITH m AS (SELECT source, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS h FROM documents GROUP BY source), r AS (SELECT source, CASE WHEN source = 'src3' THEN 'stale' ELSE h END AS h FROM m WHERE source <> 'src5')
 SELECT source, CASE WHEN r.h IS NULL THEN 'missing' ELSE 'different' END AS status FROM m LEFT JOIN r USING (source) WHERE m.h IS DISTINCT FROM r.h""")
 def j17_report_coverage(spark, d):
-    ids = table(spark, d, "documents").groupBy("source").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda i: i.cast("string")), ",")).alias("h"))
-    report = ids.where("source <> 'src5'").withColumn("h", F.when(F.col("source") == "src3", "stale").otherwise(F.col("h")))
-    return joins.compare_keyed(ids, report, "source", ["h"])
+    """Sources whose ids differ from a report's, told by order-free sums of two hashes an id."""
+    have = aggregates.set_marks(table(spark, d, "documents"), ["source"], "doc_id")
+    report = have.where("source <> 'src5'").withColumn("n", F.when(F.col("source") == "src3", F.col("n") + 1).otherwise(F.col("n")))
+    return joins.compare_keyed(have, report, "source", ["n", "mark_sum", "mark_xor"])
+
+
+@query("""WITH a AS (SELECT source, doc_id FROM documents WHERE doc_id % 13 <> 0), b AS (SELECT source, CASE WHEN doc_id % 17 = 0 AND source <> 'src1' THEN doc_id + 1000000 ELSE doc_id END AS doc_id FROM documents WHERE doc_id % 13 <> 0)
+SELECT coalesce(a.source, b.source) AS source, coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' ELSE 'extra' END AS status FROM a FULL JOIN b ON a.source = b.source AND a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL""")
+def a16_id_sets(spark, d):
+    """Ids that a plan and a manifest do not share, looked up only in the sources whose marks differ."""
+    x = table(spark, d, "documents").where(F.col("doc_id") % 13 != 0).select("source", "doc_id")
+    other = x.withColumn("doc_id", F.when((F.col("doc_id") % 17 == 0) & (F.col("source") != "src1"), F.col("doc_id") + 1_000_000).otherwise(F.col("doc_id")))
+    return aggregates.set_differences(x, other, ["source"], "doc_id")
+
+
+@query("""WITH m AS (SELECT doc_id, 'd' || doc_id % 40 AS device, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE 's' || doc_id % 70 END AS session, CASE WHEN doc_id % 280 < 210 THEN 'train' ELSE 'test' END AS split FROM documents),
+b AS (SELECT device, session FROM m WHERE session IS NOT NULL GROUP BY ALL HAVING count(DISTINCT split) > 1) SELECT doc_id FROM m JOIN b USING (device, session)""")
+def s6_session_leaks(spark, d):
+    """Manifest rows whose device and session stand in more than one split; rows without a session count nowhere."""
+    k = F.col("doc_id")
+    m = table(spark, d, "documents").select("doc_id", F.concat(F.lit("d"), k % 40).alias("device"), F.when(k % 9 != 0, F.concat(F.lit("s"), k % 70)).alias("session"), F.when(k % 280 < 210, "train").otherwise("test").alias("split"))
+    return aggregates.rows_of_leaks(m, ["device", "session"], "split").select("doc_id")
 
 
 @query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN source <> 'src1' AND doc_id % 6 = 0 THEN 'license' END, CASE WHEN doc_id % 50 < 2 THEN 'duplicate' END], lambda x: x IS NOT NULL), ',') AS faults

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -275,21 +277,69 @@ def g3_trim_totals(spark, d):
     return got.groupBy("split").agg(F.sum("cut").alias("trimmed"), F.bool_and(F.col("cut") <= F.col("capacity")).alias("within_capacity")).where("trimmed > 0")
 
 
-PREPARE = {"least_chars": 200, "version": 1}
+def _narrator():
+    """Speaks a recipe of n characters in 1 to 13 seconds; multiples of seven come out wrong."""
+
+    def call(recipe):
+        n = int(json.loads(recipe)["text"])
+        return f"say {n}", 0.5 if n % 7 == 0 else 0.1, 1.0 + n % 13
+
+    return call
+
+
+RECEIPT = "plan_id string, turn_id string, recipe_sha256 string, output string, score double, seconds double, attempts int"
 
 
-@query(f"""WITH {ITEMS_SQL}, k AS (SELECT * FROM items WHERE n_chars >= 200),
-m AS (SELECT *, CASE WHEN split = 'train' THEN 'pilot' ELSE 'canary' END AS dataset FROM k), l AS (SELECT session, dataset FROM m GROUP BY ALL), b AS (SELECT session FROM l GROUP BY session HAVING count(*) > 1)
-SELECT dataset, language, count(*) AS episodes, sum(n_chars)::BIGINT AS n_chars, (SELECT count(*) FROM b) AS shared_sessions, false AS ran_again FROM m GROUP BY dataset, language""")
+def turns_of(items):
+    """A turn and a plan for each item: its text is its number of characters."""
+    x = items.select(F.col("item_id").cast("string").alias("plan_id"), F.lit("t0").alias("turn_id"), F.col("n_chars").cast("string").alias("text"), "language")
+    return x, x.select("plan_id", F.sha2("text", 256).alias("recipe_sha256"))
+
+
+@query(f"""WITH {ITEMS_SQL}, x AS (SELECT item_id, n_chars AS n, item_id % 4 AS k FROM items)
+SELECT item_id::VARCHAR AS plan_id, CASE WHEN k = 3 THEN 'stale plan' WHEN n % 7 = 0 THEN 'score 0.5' END AS reason, CASE WHEN k < 3 AND n % 7 > 0 THEN CASE WHEN k = 0 THEN 'kept' ELSE 'say ' || n END END AS output,
+CASE WHEN k < 3 AND n % 7 > 0 THEN CASE WHEN k = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE + n % 13 END END AS seconds FROM x WHERE NOT (k = 0 AND n % 7 = 0)
+UNION ALL SELECT item_id::VARCHAR, 'score 0.5', NULL, NULL FROM x WHERE k = 0 AND n % 7 = 0""")
+def u2_generation_job(spark, d):
+    """Receipts with recipe hashes: valid ones are kept, some plans are gone, some contents fail twice."""
+    t, plans = turns_of(source_items(spark, d))
+    k = F.col("plan_id").cast("long") % 4
+    none = spark.createDataFrame([], RECEIPT)
+    recipe = {"text": "text", "language": "language"}
+    old, _ = adapters.generation_job(t.where(k == 0), plans, none, recipe, _narrator)
+    old = old.withColumn("output", F.lit("kept")).withColumn("seconds", F.lit(0.5))
+    got, refused = adapters.generation_job(t, plans.where(k != 3), old, recipe, _narrator)
+    null = lambda kind: F.lit(None).cast(kind)
+    return got.select("plan_id", null("string").alias("reason"), "output", "seconds").unionByName(refused.select("plan_id", "reason", null("string").alias("output"), null("double").alias("seconds")))
+
+
+@query(f"""WITH {ITEMS_SQL}, k AS (SELECT *, CASE WHEN split = 'train' THEN 'pilot' ELSE 'canary' END AS dataset FROM items WHERE n_chars >= 200 AND n_chars % 7 > 0),
+v AS (SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'en' ELSE 'zh' END AS language, count(*) AS voices FROM nation GROUP BY 1)
+SELECT dataset, language, count(*) AS episodes, sum(n_chars)::BIGINT AS n_chars, sum(ceil((1 + n_chars % 13) / 0.08::DOUBLE))::BIGINT AS units, max(voices) AS voices, false AS ran_again FROM k JOIN v USING (language) GROUP BY dataset, language""")
 def u5_prepare_job(spark, d):
-    """Inventory, manifest and audit of the smaller set first, then of the large one; a second run takes up all tables."""
+    """Fetched sources, inventory, voices, and for the smaller set first text, synthesis, manifest, audit and encoding; a second run takes up all tables."""
+    path = lambda n: f"{d}/{n}.parquet"
+    sources = {"documents": (source_items(spark, d).drop("text"), stages.source_digest(spark, path("documents"))), "nation": (table(spark, d, "nation"), stages.source_digest(spark, path("nation")))}
+    named = F.when(F.col("split") == "train", "pilot").otherwise("canary")
     spec = [
-        ("inventory", lambda t: source_items(spark, d).drop("text").where(F.col("n_chars") >= PREPARE["least_chars"])),
-        ("manifest", lambda t: t["inventory"].withColumn("dataset", F.when(F.col("split") == "train", "pilot").otherwise("canary"))),
-        *((name, lambda t, name=name: t["manifest"].where(F.col("dataset") == name).groupBy("dataset", "language").agg(F.count("*").alias("episodes"), F.sum("n_chars").alias("n_chars"))) for name in ("canary", "pilot")),
-        ("audit", lambda t: aggregates.leaks(t["manifest"], ["session"], "dataset").agg(F.count("*").alias("shared_sessions"))),
+        stages.Stage("inventory", lambda t: t["documents"].where("n_chars >= 200").withColumn("dataset", named), ["documents"], {"least_chars": 200}),
+        stages.Stage("voices", lambda t: t["nation"].groupBy(F.when(F.col("n_nationkey") % 2 == 0, "en").otherwise("zh").alias("language")).agg(F.count("*").alias("voices")), ["nation"]),
     ]
+
+    def speak(items):
+        turns, plans = turns_of(items)
+        return adapters.generation_job(turns, plans, spark.createDataFrame([], RECEIPT), {"text": "text", "language": "language"}, _narrator)[0]
+
+    for name in ("canary", "pilot"):
+        text, heard, manifest, codes = (f"{x}_{name}" for x in ("text", "synthesis", "manifest", "encoded"))
+        spec += [
+            stages.Stage(text, lambda t, name=name: t["inventory"].where(F.col("dataset") == name), ["inventory"], {"dataset": name}),
+            stages.Stage(heard, lambda t, text=text: speak(t[text]), [text], {"model": 1}),
+            stages.Stage(manifest, lambda t, text=text, heard=heard: t[text].drop("seconds").join(t[heard].select(F.col("plan_id").cast("long").alias("item_id"), "seconds"), "item_id"), [text, heard]),
+            stages.Stage(codes, lambda t, manifest=manifest: t[manifest].select("item_id", "language", F.ceil(F.col("seconds") / 0.08).alias("units")), [manifest], {"tick": 0.08}),
+            stages.Stage(f"audit_{name}", lambda t, manifest=manifest, codes=codes, name=name: t[manifest].join(t[codes].select("item_id", "units"), "item_id").groupBy("language").agg(F.count("*").alias("episodes"), F.sum("n_chars").alias("n_chars"), F.sum("units").alias("units")).join(t["voices"], "language").withColumn("dataset", F.lit(name)), [manifest, codes, "voices"]),
+        ]
     root = records.shared_path(spark, "prepare")
-    stages.prepare(spark, root, PREPARE, spec)
-    t, again = stages.prepare(spark, root, PREPARE, spec)
-    return t["canary"].unionByName(t["pilot"]).crossJoin(F.broadcast(t["audit"])).withColumn("ran_again", F.lit(bool(again)))
+    stages.prepare(spark, root, sources, spec)
+    run = stages.prepare(spark, root, sources, spec)
+    return run.tables["audit_canary"].unionByName(run.tables["audit_pilot"]).withColumn("ran_again", F.lit(bool(run.ran)))

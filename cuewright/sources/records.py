@@ -46,9 +46,10 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+def file_hashes(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(path, length, sha256) of files; one file is one row, so under 2 GB each."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
 def task_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -191,12 +191,64 @@ def test_allocation_and_waterfill(spark):
     assert [r.taken for r in got] == [5, 3, 0] and got[0].short == 0
 
 
-def test_small_solvers():
-    assert quotas.choose_counts([4, 16, 32], [16, 32, 60], [3, 3, 3], 40.0, 2) is not None
-    cells = pd.DataFrame({"bucket": ["a", "b"], "category": ["x", "y"], "language": ["en", "en"], "ticks": [100, 50], "target": [90, 50], "capacity": [20, 20]})
-    assert quotas.trim_plan(cells, 10) == {"a": 10}
-    with pytest.raises(ValueError):
-        quotas.trim_plan(cells, 50)
+def test_subset_search_keeps_two_bit_sets():
+    """A thousand parts and ten million totals: the total is the nearest one, and memory stays far under a set a part."""
+    import resource
+
+    rng = random.Random(8)
+    hist = [(rng.randint(1_000, 200_000), rng.randint(1, 4)) for _ in range(400)]
+    target = sum(t * n for t, n in hist) // 8
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = quotas.best_subset(hist, target)
+    assert sum(t * n for t, n in got.items()) == target and all(n <= sum(m for x, m in hist if x == t) for t, n in got.items())
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000
+    rough = quotas.best_subset(hist, target, most_ticks=100_000)
+    step = -(-int(target * 1.02) // 100_000)
+    assert abs(sum(t * n for t, n in rough.items()) - target) <= step / 2 * (sum(rough.values()) + 1)
+
+
+def plain_counts(n, goal, whole):
+    low, high = (4, 16, 32), (16, 32, 60)
+    sums = lambda by, k: sum(a * b for a, b in zip(by, k))
+    best, wish = None, max(1, round(sum(n) / 11), -(-goal // 60))
+    for k in itertools.product(*(range(x + 1) for x in n)):
+        down, up = max(sums(low, k), whole - sums(high, n) + sums(high, k)), min(sums(high, k), whole - sums(low, n) + sums(low, k))
+        if 1 <= sum(k) <= sum(n) - 1 and down <= up:
+            at = min(max(goal, down), up)
+            key = (abs(at - goal), abs(sum(k) - wish), abs((down + up) / 2 - goal), sum(k), k, at)
+            best = key if best is None or key < best else best
+    return None if best is None else (*best[4], float(best[5]))
+
+
+def test_class_counts_against_all_triples(spark):
+    rng, groups, want = random.Random(6), [], {}
+    for i in range(120):
+        n = tuple(rng.randrange(0, 9) for _ in range(3))
+        lo, hi = sum(a * b for a, b in zip(n, (4, 16, 32))), sum(a * b for a, b in zip(n, (16, 32, 60)))
+        whole, goal = rng.randint(lo - 5, hi + 5), rng.randint(0, hi + 20)
+        groups.append((i, *n, goal, whole))
+        if (best := plain_counts(n, goal, whole)) is not None:
+            want[i] = best
+    df = spark.createDataFrame(groups, "g int, n_short long, n_medium long, n_long long, screen_target long, group_target long")
+    got = {r["g"]: (r["short"], r["medium"], r["long"], r["attainable"]) for r in quotas.choose_counts(df, ["g"]).collect()}
+    assert got == want and len(want) > 60
+
+
+def test_exact_quantiles_against_sorted_values(spark):
+    rng, rows = random.Random(3), []
+    for key, n in (("a", 1), ("b", 2), ("c", 7), (None, 5_000), ("d", 20_000)):
+        rows += [(key, rng.choice([rng.gauss(0, 1), float(rng.randrange(5)), None] if key == "c" else [rng.gauss(0, 1), float(rng.randrange(5))])) for _ in range(n)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(6)
+    got = {r["k"]: r for r in aggregates.exact_quantiles(df, ["k"], "v", {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}).collect()}
+    for key in {k for k, _ in rows}:
+        v = sorted(x for k, x in rows if k == key and x is not None)
+        for name, p in (("p0", 0.0), ("p50", 0.5), ("p95", 0.95), ("p100", 1.0)):
+            at = p * (len(v) - 1)
+            a, b = v[int(at)], v[min(int(at) + 1, len(v) - 1)]
+            assert abs(got[key][name] - (a + (b - a) * (at - int(at)))) < 1e-12, (key, name)
+    everything = aggregates.exact_quantiles(df.drop("k"), [], "v", {"m": 0.5}).first()
+    v = sorted(x for _, x in rows if x is not None)
+    assert everything["n"] == len(v) and abs(everything["m"] - (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2) < 1e-12
 
 
 # ---- joins and aggregates
@@ -325,20 +377,125 @@ def test_trim_splits_against_plain_steps(spark):
         assert [have[c["category"], c["language"], c["split"]] for c in cells] == plain_trim(cells, ["train", "test"])
 
 
-def test_stages_take_up_finished_tables(spark, tmp_path):
-    calls = []
+def test_stages_rerun_only_what_hangs_on_a_change(spark, tmp_path):
+    """One changed file reruns the stages that read its source, and of those after them only the ones that get other rows."""
+    files = tmp_path / "files"
+    (files / "deep").mkdir(parents=True)
+    (files / "a.txt").write_text("1\n2\n3\n")
+    (files / "deep" / "b.txt").write_text("4\n")
+    (tmp_path / "voices.txt").write_text("x\n")
+    read = lambda p: spark.read.option("recursiveFileLookup", True).text(str(p)).select(F.trim("value").alias("v"))
+
+    def job(least=2):
+        sources = {n: (read(p), stages.source_digest(spark, str(p))) for n, p in (("items", files), ("voices", tmp_path / "voices.txt"))}
+        spec = [
+            stages.Stage("inventory", lambda t: t["items"].where(F.col("v") != ""), ["items"]),
+            stages.Stage("large", lambda t: t["inventory"].where(F.col("v").cast("int") >= least), ["inventory"], {"least": least}),
+            stages.Stage("voices_ready", lambda t: t["voices"].distinct(), ["voices"]),
+            stages.Stage("manifest", lambda t: t["large"].crossJoin(t["voices_ready"].withColumnRenamed("v", "voice")), ["large", "voices_ready"]),
+            stages.Stage("audit", lambda t: t["manifest"].agg(F.count("*").alias("n")), ["manifest"]),
+        ]
+        return stages.prepare(spark, str(tmp_path / "out"), sources, spec)
+
+    every = ["inventory", "large", "voices_ready", "manifest", "audit"]
+    first = job()
+    assert first.ran == every and first.tables["audit"].first()["n"] == 3
+    assert job().ran == []
+    (files / "a.txt").write_text("1\n\n2\n3\n")  # another file, equal inventory rows
+    assert job().ran == ["inventory"]
+    (files / "deep" / "b.txt").write_text("0\n")
+    assert job().ran == ["inventory", "large", "manifest", "audit"]
+    (tmp_path / "voices.txt").write_text("x\ny\n")
+    now = job()
+    assert now.ran == ["voices_ready", "manifest", "audit"] and now.tables["audit"].first()["n"] == 4
+    assert job(3).ran == ["large", "manifest", "audit"]
+    assert job().ran == []  # the earlier recipe's tables are still there
+    part = next(p for p in (tmp_path / "out").iterdir() if p.name.startswith("audit-") and not p.name.endswith(".digest"))
+    for p in (tmp_path / "out").iterdir():
+        if p.name.startswith("audit-") and (p / "_SUCCESS").exists() and not p.name.endswith(".digest"):
+            (p / "_SUCCESS").unlink()  # as if the job had been lost half way
+    assert job().ran == ["audit"] and part.exists()
+
+
+def test_digests_do_not_hang_on_order(spark):
+    df = spark.range(100).select("id", F.col("id").cast("string").alias("name"), F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    assert stages.rows_digest(df) == stages.rows_digest(df.repartition(7).orderBy(F.rand(1))) != stages.rows_digest(df.where("id < 99"))
+    assert stages.rows_digest(df.where("id > 5")) != stages.rows_digest(df.where("id > 5").unionByName(df.where("id = 9")))
+    a, b = (stages.roll_up(x, [], "name", "digest").first()["digest"] for x in (df, df.orderBy(F.rand(2))))
+    c = stages.roll_up(df.withColumn("name", F.when(F.col("id") == 3, "moved").otherwise(F.col("name"))), [], "name", "digest").first()["digest"]
+    assert a == b != c
+
+
+# ---- generation
+
+
+def counting(path, refuse=(), fail=()):
+    """A model that writes a line a call and a line a construction to ``path``."""
+
+    def factory():
+        with open(path, "a") as f:
+            f.write("made\n")
+
+        def call(text):
+            with open(path, "a") as f:
+                f.write(f"call {text}\n")
+            if any(x in text for x in fail):
+                raise ValueError(f"no {text}")
+            return f"say {text}", 0.9 if any(x in text for x in refuse) else 0.1
+
+        return call
 
-    def spec(n):
-        return [("a", lambda t: calls.append("a") or spark.range(n)), ("b", lambda t: calls.append("b") or t["a"].where("id > 1"))]
+    return factory
 
-    first, ran = stages.prepare(spark, str(tmp_path), {"n": 4}, spec(4))
-    assert ran == ["a", "b"] and first["b"].count() == 2
-    assert stages.prepare(spark, str(tmp_path), {"n": 4}, spec(4))[1] == [] and calls == ["a", "b"]
-    part = next(p for p in tmp_path.iterdir() if p.name.startswith("b-"))
-    (part / "_SUCCESS").unlink()  # as if the job had been lost half way
-    assert stages.prepare(spark, str(tmp_path), {"n": 4}, spec(4))[1] == ["b"]
-    other, ran = stages.prepare(spark, str(tmp_path), {"n": 5}, spec(5))
-    assert ran == ["a", "b"] and other["b"].count() == 3
+
+def test_generation_evaluates_each_content_once(spark, tmp_path):
+    log = tmp_path / "calls"
+    df = spark.createDataFrame([(f"k{i % 5}", f"t{i % 5}") for i in range(40)], "key string, text string").repartition(4)
+    cache = spark.createDataFrame([("k4", "old", 0.0)], "key string, output string, score double")
+    good, bad = adapters.generate(df, cache, counting(str(log), refuse=["t1"], fail=["t2"]), "key", "text")
+    for _ in range(2):  # any number of uses
+        assert {r["key"]: r["attempts"] for r in good.collect()} == {"k0": 1, "k3": 1, "k4": 0}
+        assert {r["key"]: (r["attempts"], r["error"]) for r in bad.collect()} == {"k1": (2, None), "k2": (2, "no t2")}
+        assert good.join(bad, "key").count() == 0
+    calls = [x for x in log.read_text().split("\n") if x.startswith("call")]
+    assert sorted(calls) == ["call t0", "call t1", "call t1", "call t2", "call t2", "call t3"]
+
+
+def test_generation_job_keeps_receipts_and_refuses_stale_plans(spark, tmp_path):
+    log = tmp_path / "calls"
+
+    def factory():
+        call = counting(str(log))()
+        return lambda recipe: (*call(json.loads(recipe)["text"]), {"brief": 0.1, "endless": 99.0}.get(json.loads(recipe)["text"], 2.0))
+
+    turns = spark.createDataFrame([("p1", "a", "hello", "v1"), ("p1", "b", "hello", "v1"), ("p2", "a", "brief", "v1"), ("p2", "b", "endless", "v2"), ("gone", "a", "hello", "v1"), ("p1", "c", "other", "v2")], "plan_id string, turn_id string, words string, voice string")
+    plans = spark.createDataFrame([("p1", "h1"), ("p2", "h2")], "plan_id string, recipe_sha256 string")
+    none = spark.createDataFrame([], "plan_id string, turn_id string, recipe_sha256 string, output string, score double, seconds double, attempts int")
+    recipe = {"text": "words", "voice": "voice"}
+    got, refused = adapters.generation_job(turns, plans, none, recipe, factory)
+    rows = {(r["plan_id"], r["turn_id"]): r for r in got.collect()}
+    assert set(rows) == {("p1", "a"), ("p1", "b"), ("p1", "c")} and rows["p1", "a"]["output"] == "say hello" and rows["p1", "a"]["seconds"] == 2.0
+    assert {(r["plan_id"], r["turn_id"]): r["reason"] for r in refused.collect()} == {("p2", "a"): "duration 0.1 s", ("p2", "b"): "duration 99 s", ("gone", "a"): "stale plan"}
+    assert log.read_text().count("call hello") == 1 and log.read_text().count("call brief") == 2
+    log.write_text("")
+    again, _ = adapters.generation_job(turns.where("plan_id = 'p1'"), plans, got, recipe, factory)
+    assert again.count() == 3 and "call" not in log.read_text()
+    changed, _ = adapters.generation_job(turns.where("plan_id = 'p1'"), plans.withColumn("recipe_sha256", F.lit("new")), got, recipe, factory)
+    assert changed.count() == 3 and log.read_text().count("call") == 2  # hello once, other once
+
+
+def test_encoder_is_made_once_a_partition(spark, tmp_path):
+    log = tmp_path / "made"
+
+    def factory():
+        with open(str(log), "a") as f:
+            f.write("made\n")
+        return lambda frame: [len(frame)] * 3
+
+    df = spark.createDataFrame([(e, i, [1.0] * 5) for e in range(50) for i in range(e % 4 + 1)], "e int, i int, w array<double>")
+    got = {r["e"]: (r["codes"], r["error"]) for r in adapters.encode_episodes(df, factory, "e", "i", "w", 4, most=18).collect()}
+    assert len(got) == 50 and got[0] == ([4] * 6, None) and got[3] == (None, "more than 18 codes")
+    assert log.read_text().count("made") <= 8
 
 
 # ---- streams
