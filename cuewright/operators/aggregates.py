@@ -156,10 +156,10 @@ def voice_isolation(voices: DataFrame, voice: str, role: str, split: str, langua
     return row(said, "assistant voices", n == 1).unionByName(row(shared, "shared user voices", n == 0)).unionByName(row(heard, "languages without a voice", n == 0))
 
 
-def tally(df: DataFrame, ok: Column, least: int = 100) -> DataFrame:
-    """(checked, failed, passed): passed if at least ``least`` rows were checked and none failed. Null is a failure."""
+def tally(df: DataFrame, ok: Column, *keys: str, least: int = 100) -> DataFrame:
+    """(keys, checked, failed, passed): passed if at least ``least`` rows were checked and none failed. Null is a failure."""
     bad = F.count_if(~F.coalesce(ok, F.lit(False)))
-    return df.agg(F.count("*").alias("checked"), bad.alias("failed"), ((F.count("*") >= least) & (bad == 0)).alias("passed"))
+    return df.groupBy(*keys).agg(F.count("*").alias("checked"), bad.alias("failed"), ((F.count("*") >= least) & (bad == 0)).alias("passed"))
 
 
 def streaks(df: DataFrame, key: str, order: list[str], idle: str, most: int = 100) -> DataFrame:

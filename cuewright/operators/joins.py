@@ -27,6 +27,26 @@ def pick_by_position(rows: DataFrame, pool: DataFrame, keys: list[str], index_co
     return x.join(ranked, [*keys, "__pos"]).drop("__pos", "__size")
 
 
+def pick_voices(turns: DataFrame, voices: DataFrame, index: str, splits: list[str], assistant: str = "assistant") -> DataFrame:
+    """``turns`` with ``voice`` and ``fault``: of the voices of a turn's role, language and split the one at ``index % size``.
+
+    ``voices`` has voice, language, role and split. A multilingual voice serves every language of the turns, a voice without
+    split every split, an assistant voice every language. Pools are ranked by voice once, and both joins are by
+    pool and place. A turn whose pool is empty keeps its row, with the fault ``no voice``.
+    """
+    spoken = turns.select(F.col("language").alias("__l")).distinct()
+    any_language = (F.col("language") == "multilingual") | (F.col("role") == assistant)
+    own = voices.where(~any_language).withColumn("__l", F.col("language"))
+    pool = own.unionByName(voices.where(any_language).crossJoin(spoken))  # languages are few
+    pool = pool.select("voice", "role", F.col("__l").alias("language"), F.explode(F.when(F.col("split").isNull(), F.array(*map(F.lit, splits))).otherwise(F.array("split"))).alias("split"))
+    keys = ["role", "language", "split"]
+    w = W.partitionBy(*keys)
+    ranked = pool.distinct().withColumn("__at", F.row_number().over(w.orderBy("voice")) - 1)
+    x = turns.join(ranked.groupBy(*keys).agg(F.count("*").alias("__size")), keys, "left").withColumn("__at", F.col(index) % F.col("__size"))
+    x = x.join(ranked, [*keys, "__at"], "left")
+    return x.withColumn("fault", F.when(F.col("__size").isNull(), "no voice")).drop("__at", "__size")
+
+
 def compare_keyed(a: DataFrame, b: DataFrame, key: str, values: list[str]) -> DataFrame:
     """Rows (key, status) for keys missing on a side or with unequal values; equal keys give none."""
     x = a.select(key, *(F.col(v).alias(f"a_{v}") for v in values), F.lit(1).alias("__a"))

@@ -61,14 +61,14 @@ def p6_first_appearance_split(spark, d):
     e = table(spark, d, "events")
     first = e.groupBy("user_id").agg(F.min("event_id").alias("pos"))
     k = F.col("k") % 10
-    split = layout.numbered(first.withColumn("all", F.lit(0)), ["all"], ["pos"], "k").select("user_id", F.when(k < 8, "train").when(k == 8, "validation").otherwise("test").alias("split"))
+    split = layout.numbered(first, [], ["pos"], "k").select("user_id", F.when(k < 8, "train").when(k == 8, "validation").otherwise("test").alias("split"))
     return e.join(split, "user_id").select("event_id", "split")
 
 
 @query("WITH s AS (SELECT source, (dense_rank() OVER (ORDER BY source) - 1) % 3 AS k FROM (SELECT DISTINCT source FROM documents)) SELECT doc_id, ['train', 'validation', 'test'][k + 1] AS split FROM documents JOIN s USING (source)")
 def p7_file_order_split(spark, d):
     x = table(spark, d, "documents")
-    names = x.select("source").distinct().withColumn("k", (F.row_number().over(W.orderBy("source")) - 1) % 3)
+    names = layout.numbered(x.select("source").distinct(), [], ["source"], "k").withColumn("k", F.col("k") % 3)
     return x.join(names, "source").select("doc_id", F.element_at(F.array(F.lit("train"), F.lit("validation"), F.lit("test")), (F.col("k") + 1).cast("int")).alias("split"))
 
 
@@ -242,12 +242,22 @@ def j4_holdout_overlap(spark, d):
     return x.join(table(spark, d, "labels").select(F.col("doc_id").alias("item_id")), "item_id", "left_semi").groupBy("split").agg(F.count("*").alias("overlap"))
 
 
-@query(f"""WITH {TURNS_SQL}, v AS (SELECT n_name, n_nationkey % 2 AS k, row_number() OVER (PARTITION BY n_nationkey % 2 ORDER BY n_name) - 1 AS pos, count(*) OVER (PARTITION BY n_nationkey % 2) AS size FROM nation)
-SELECT plan_id, turn, CASE WHEN role = 'assistant' THEN 'ASSISTANT' ELSE n_name END AS voice FROM turns JOIN v ON v.k = CASE WHEN language = 'en' THEN 0 ELSE 1 END AND pos = plan_id % size""")
+@query(f"""WITH {TURNS_SQL}, p AS (SELECT * REPLACE (['train', 'validation', 'test'][plan_id % 3 + 1] AS split) FROM turns),
+v AS (SELECT n_name AS voice, CASE WHEN n_nationkey % 5 = 4 THEN 'multilingual' WHEN n_nationkey % 2 = 0 THEN 'en' ELSE 'zh' END AS language, CASE WHEN n_nationkey = 7 THEN 'assistant' ELSE 'user' END AS role,
+  CASE WHEN n_nationkey = 7 THEN NULL WHEN n_nationkey % 3 = 0 THEN 'train' ELSE 'test' END AS split FROM nation),
+e AS (SELECT voice, role, l.language, s.split FROM v JOIN (SELECT DISTINCT language FROM turns) l ON v.language IN (l.language, 'multilingual') OR v.role = 'assistant' JOIN (VALUES ('train'), ('validation'), ('test')) s(split) ON v.split = s.split OR v.split IS NULL),
+r AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY role, language, split) AS size FROM e WINDOW w AS (PARTITION BY role, language, split ORDER BY voice)),
+k AS (SELECT DISTINCT role, language, split, size FROM r)
+SELECT plan_id, turn, r.voice, CASE WHEN k.size IS NULL THEN 'no voice' END AS fault FROM p LEFT JOIN k USING (role, language, split) LEFT JOIN r ON r.role = p.role AND r.language = p.language AND r.split = p.split AND r.pos = p.plan_id % k.size""")
 def j5_voice_pick(spark, d):
-    pool = table(spark, d, "nation").select("n_name", F.when(F.col("n_nationkey") % 2 == 0, "en").otherwise("zh").alias("language"))
-    x = joins.pick_by_position(plan_turns(spark, d), pool, ["language"], "plan_id", "n_name")
-    return x.select("plan_id", "turn", F.when(F.col("role") == "assistant", "ASSISTANT").otherwise(F.col("n_name")).alias("voice"))
+    """Voices of three languages, splits and roles, one of them the assistant; the validation split has no user voice."""
+    n = F.col("n_nationkey")
+    voices = table(spark, d, "nation").select(
+        F.col("n_name").alias("voice"), F.when(n % 5 == 4, "multilingual").when(n % 2 == 0, "en").otherwise("zh").alias("language"),
+        F.when(n == 7, "assistant").otherwise("user").alias("role"), F.when(n != 7, F.when(n % 3 == 0, "train").otherwise("test")).alias("split"),
+    )
+    turns = plan_turns(spark, d).withColumn("split", F.element_at(F.array(*map(F.lit, SPLITS)), (F.col("plan_id") % 3 + 1).cast("int")))
+    return joins.pick_voices(turns, voices, "plan_id", list(SPLITS)).select("plan_id", "turn", "voice", "fault")
 
 
 @query("SELECT l_suppkey AS item, l_linenumber AS line, l_orderkey AS ord, s_name AS license FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")

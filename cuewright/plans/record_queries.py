@@ -146,11 +146,7 @@ def a27_decode_tally(spark, d):
     x = tokens(spark, d)
     t = F.when((F.col("event_id") % 5 == 0) & (F.col("kind") == "TYPE"), F.slice("tokens", F.lit(1), F.size("tokens") - 1)).otherwise(F.col("tokens"))
     x = x.select("kind", actions.grammar_error(t).isNull().alias("ok"))
-    kinds = [aggregates.tally(x.where(F.col("kind") == k), F.col("ok")).select(F.lit(k).alias("kind"), "*") for k in ("NOOP", "CLICK", "TYPE", "WAIT", "CANCEL")]
-    out = kinds[0]
-    for k in kinds[1:]:
-        out = out.unionByName(k)
-    return out.where("checked > 0")
+    return aggregates.tally(x, F.col("ok"), "kind")
 
 
 @query("SELECT source || '/' || doc_id AS source_item_id, row_number() OVER (ORDER BY source || '/' || doc_id) - 1 AS place FROM documents")

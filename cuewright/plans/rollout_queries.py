@@ -122,6 +122,23 @@ def p26_normalisation_gain(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(audio.gain_to(F.col("embedding")), 6).alias("gain"))
 
 
+@query(f"""WITH {WAVE_SQL}, c AS (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 16000 WHEN 1 THEN 48000 ELSE 24000 END AS rate, CASE WHEN vec_id % 10 = 3 THEN list_transform(v, lambda x: 0.0::DOUBLE) WHEN vec_id % 4 = 0 THEN list_transform(range(len(v) // 2), lambda i: (v[2 * i + 1] + v[2 * i + 2]) / 2) ELSE v END AS m FROM w),
+r AS (SELECT vec_id, m, rate, round_even(len(m) * 24000 / rate::DOUBLE, 0)::BIGINT AS n FROM c),
+i AS (SELECT vec_id, list_transform(range(least(n, 80)), lambda t: m[least(t * rate // 24000, len(m) - 1) + 1] + (t * rate / 24000::DOUBLE - t * rate // 24000) * (m[least(t * rate // 24000 + 1, len(m) - 1) + 1] - m[least(t * rate // 24000, len(m) - 1) + 1])) AS x FROM r),
+g AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda a: a * a)) / len(x)) AS level, list_max(list_transform(x, lambda a: abs(a))) AS top FROM i)
+SELECT vec_id, CASE WHEN level > 1e-7 THEN len(x)::DOUBLE END AS samples, CASE WHEN level > 1e-7 THEN round(list_sum(x) * least(10 ** (-23.0::DOUBLE / 20) / level, 10 ** (-1.0::DOUBLE / 20) / top), 5) END AS total,
+CASE WHEN level > 1e-7 THEN round(top * least(10 ** (-23.0::DOUBLE / 20) / level, 10 ** (-1.0::DOUBLE / 20) / top), 5) END AS peak, CASE WHEN level <= 1e-7 THEN 'silent' END AS reason FROM g""")
+def p26_normalised_audio(spark, d):
+    """Vectors as waves at three rates, some in two channels, some silent, cut to 80 samples."""
+    k = F.col("vec_id")
+    x = table(spark, d, "embeddings").select("vec_id", F.when(k % 10 == 3, F.transform("embedding", lambda v: v * 0)).otherwise(F.col("embedding")).alias("wave"), F.when(k % 3 == 0, 16_000).when(k % 3 == 1, 48_000).otherwise(24_000).alias("rate"), F.when((k % 4 == 0) & (k % 10 != 3), 2).otherwise(1).alias("channels"))
+    good, bad = audio.normalise(x, "wave", "rate", "channels", seconds=80 / 24_000, kind="double")
+    w = F.col("normal")
+    good = good.select("vec_id", F.size(w).cast("double").alias("samples"), F.round(F.aggregate(w, F.lit(0.0), lambda a, b: a + b), 5).alias("total"), F.round(audio.peak(w), 5).alias("peak"), F.lit(None).cast("string").alias("reason"))
+    none = F.lit(None).cast("double")
+    return good.unionByName(bad.select("vec_id", none.alias("samples"), none.alias("total"), none.alias("peak"), "reason"))
+
+
 @query(f"""WITH {WAVE_SQL}, a AS (SELECT vec_id, list_max(list_transform(v, lambda x: abs(x))) AS p FROM w) SELECT a.vec_id, round(least(1.0::DOUBLE, 0.3::DOUBLE / greatest(a.p, b.p)), 6) AS factor FROM a JOIN a b ON b.vec_id = a.vec_id + 1""")
 def p27_joint_peak(spark, d):
     x = table(spark, d, "embeddings").select("vec_id", audio.peak(F.col("embedding")).alias("p"))
