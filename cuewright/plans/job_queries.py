@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from cuewright.functions import checks
 from cuewright.operators import adapters, aggregates, quotas, stages
-from cuewright.plans.tables import ITEMS_SQL, source_items, table
+from cuewright.plans.tables import ITEMS_SQL, UNITS_SQL, source_items, table, units
 from cuewright.queries import query
 from cuewright.sources import records, shards
 from cuewright.streaming import sessions
@@ -258,6 +258,19 @@ def st3_burst_stream(spark, d):
     return got.select("session_id", F.array_join(F.transform("tokens", lambda t: t.cast("string")), " ").alias("tokens"))
 
 
+@query(f"""WITH RECURSIVE {UNITS_SQL}, u AS (SELECT session_id, event_id, revision, event_type <> 'error' AS actuated, unit_index - (event_id % 13 = 0)::INT + (event_id % 17 = 0)::INT AS unit_index, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS k FROM units),
+r(session_id, k, want, rev) AS (SELECT DISTINCT session_id, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM u
+  UNION ALL SELECT r.session_id, u.k, CASE WHEN unit_index = want AND revision >= rev AND actuated THEN want + 1 ELSE want END, CASE WHEN unit_index = want AND revision >= rev AND actuated THEN revision ELSE rev END::BIGINT FROM r JOIN u ON u.session_id = r.session_id AND u.k = r.k + 1),
+w AS (SELECT u.*, CASE WHEN unit_index > want THEN 'gap' WHEN unit_index < want THEN 'repeated' WHEN revision < rev THEN 'revision' WHEN NOT actuated THEN 'actuation' END AS reason FROM u JOIN r ON r.session_id = u.session_id AND r.k = u.k - 1)
+SELECT session_id, event_id, unit_index::BIGINT AS unit_index, reason IS NULL AS accepted, reason FROM w""")
+def st5_unit_receipts_stream(spark, d):
+    """Units with repeated and lost places and failed actions, through the stateful stream: each leaves with its receipt."""
+    k = F.col("event_id")
+    u = units(spark, d).select("session_id", "event_id", (F.col("unit_index") - (k % 13 == 0).cast("int") + (k % 17 == 0).cast("int")).cast("long").alias("unit_index"), F.col("revision").cast("long").alias("revision"), (F.col("event_type") != "error").alias("actuated"), "ts")
+    got = streamed(spark, u, lambda x: sessions.receipts_stream(x, "ts"), "receipts")
+    return got.select("session_id", "event_id", "unit_index", "accepted", "reason")
+
+
 # ---- quotas and the whole job
 
 

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 GATE = "session_id long, unit_index long, revision long, event_id long, accepted boolean"
@@ -132,6 +133,85 @@ def first_units(units: DataFrame, time_col: str, keys: list[str], late: str = "1
     return units.withWatermark(time_col, late).dropDuplicatesWithinWatermark(keys)
 
 
+RECEIPTS = "session_id long, unit_index long, revision long, event_id long, accepted boolean, reason string"
+
+
+def receipt_rows(g: pd.DataFrame, at: int, revision: int) -> tuple[pd.DataFrame, int, int]:
+    """Every unit of sorted rows with its receipt, and the state after them.
+
+    A unit is refused as ``repeated`` below the next index, ``gap`` above it, ``revision`` where that falls, ``actuation`` where
+    the column ``actuated`` says that its action was not taken; only an accepted unit moves the state. Nulls are refused.
+    """
+    why = []
+    for i, r, done in zip(g["unit_index"].tolist(), g["revision"].tolist(), g["actuated"].tolist()):
+        bad = "gap" if i is None or i != i or i > at else "repeated" if i < at else "revision" if r is None or r != r or r < revision else None if done is True else "actuation"
+        if bad is None:
+            at, revision = at + 1, int(r)
+        why.append(bad)
+    out = g[["session_id", "unit_index", "revision", "event_id"]].copy()
+    return out.assign(accepted=[x is None for x in why], reason=pd.Series(why, index=out.index, dtype=object)), at, revision
+
+
+class OrderedUnits(StatefulProcessor):
+    """Two numbers a session, in a value state; a timer at the end of a session's silence clears them."""
+
+    def __init__(self, keep_ms: int = KEEP_MS):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("at", "next long, revision long, timer long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        part = pd.concat(list(rows)).sort_values("event_id")
+        at, revision, timer = self.state.get() if self.state.exists() else (0, 0, 0)
+        out, at, revision = receipt_rows(part, at, revision)
+        ends = max(int(part["at_ms"].max()), timerValues.getCurrentWatermarkInMs(), timer - self.keep_ms) + self.keep_ms
+        if ends != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(ends)
+        self.state.update((at, revision, ends))
+        yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def receipts_stream(units: DataFrame, time_col: str, late: str = "1 hour", keep_ms: int = KEEP_MS) -> DataFrame:
+    """Receipts of units of a stream: accepted and refused ones both leave it, with the reason.
+
+    ``units`` has session_id, unit_index, revision, event_id, actuated and a time column. Rows of a micro-batch are taken by
+    event_id; rows later than the watermark are dropped by Spark, and a session silent for ``keep_ms`` of event time starts anew.
+    The state lies in RocksDB, which Spark needs for value states and timers.
+    """
+    spark = units.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    x = units.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late).select("session_id", "unit_index", "revision", "event_id", "actuated", time_col, F.unix_millis(F.col(time_col)).alias("at_ms"))
+    return x.groupBy("session_id").transformWithStateInPandas(OrderedUnits(keep_ms), RECEIPTS, "append", "eventTime")
+
+
+def receipts_batch(units: DataFrame) -> DataFrame:
+    """The receipts over a table, each session in the order of event_id, read batch by batch."""
+
+    def run(batches):
+        session, at, revision = None, 0, 0
+        for b in batches:
+            s = b["session_id"].to_numpy()
+            cut = np.r_[0, np.flatnonzero(s[1:] != s[:-1]) + 1, len(s)] if len(s) else [0]
+            for lo, hi in zip(cut, cut[1:]):
+                if s[lo] != session:
+                    session, at, revision = s[lo], 0, 0
+                out, at, revision = receipt_rows(b.iloc[lo:hi], at, revision)
+                yield out
+
+    x = units.select("session_id", "unit_index", "revision", "event_id", "actuated")
+    return x.repartition("session_id").sortWithinPartitions("session_id", "event_id").mapInPandas(run, RECEIPTS)
+
+
 def unit_receipt_rows(units: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """Every unit with ``accepted``: the first row of its keys by ``order``; later ones are refused as duplicates."""
     n = F.row_number().over(W.partitionBy(*keys).orderBy(*order))

@@ -716,3 +716,41 @@ def test_array_members_decode_by_column(spark, tmp_path):
     good = sorted((r for r in got if r["error"] is None), key=lambda r: r["unit_index"])
     assert [(r["t"], r["mask"], r["codes"]) for r in good] == [(80 * i, [True, False], codes[i].tolist()) for i in range(3)]
     assert {r["sample_key"]: r["error"].split(":")[0] for r in got if r["error"]} == {"short": "arrays of different lengths", "lacks": "KeyError"}
+
+
+def test_receipts_of_late_repeated_and_expired_rows(spark, tmp_path):
+    """Batches of a stream: repeats and gaps leave with their reason, late rows not at all, a silent session starts anew."""
+    import datetime
+
+    at = lambda h, m=0: datetime.datetime(2026, 1, 1) + datetime.timedelta(hours=h, minutes=m)
+    cols = "session_id long, event_id long, unit_index long, revision long, actuated boolean, ts timestamp"
+    batches = [
+        [(1, 1, 0, 0, True, at(0)), (1, 2, 0, 0, True, at(0, 1)), (1, 3, 2, 0, True, at(0, 2)), (2, 4, 0, 5, True, at(0))],
+        [(1, 5, 1, 0, False, at(0, 3)), (1, 6, 1, 0, True, at(0, 4)), (2, 7, 1, 4, True, at(0, 5)), (2, 8, None, 4, True, at(0, 6))],
+        [(3, 9, 0, 0, True, at(60))],  # moves the watermark past the first sessions' silence
+        [(1, 10, 2, 0, True, at(1))],  # too late
+        [(1, 11, 2, 0, True, at(61)), (1, 12, 0, 0, True, at(61, 1))],
+    ]
+    src = tmp_path / "in"
+    src.mkdir()
+    run = sessions.receipts_stream(spark.readStream.schema(cols).parquet(str(src)), "ts", keep_ms=3600 * 1000)
+    q = run.writeStream.format("memory").queryName("t_receipts").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        for i, b in enumerate(batches):
+            spark.createDataFrame(b, cols).coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+            for f in (tmp_path / f"b{i}").glob("part-*"):
+                f.rename(src / f"{i}.parquet")
+            q.processAllAvailable()
+        got = {r["event_id"]: r["reason"] for r in spark.table("t_receipts").collect()}
+    finally:
+        q.stop()
+    assert got == {1: None, 2: "repeated", 3: "gap", 4: None, 5: "actuation", 6: None, 7: "revision", 8: "gap", 9: None, 11: "gap", 12: None}
+
+
+def test_receipts_stream_equals_batch(spark, tmp_path):
+    u = units(spark, SF).select("session_id", "event_id", (F.col("unit_index") - (F.col("event_id") % 13 == 0).cast("int")).cast("long").alias("unit_index"), F.col("revision").cast("long").alias("revision"), (F.col("event_type") != "error").alias("actuated"), "ts")
+    u.repartition(4).write.parquet(str(tmp_path / "in"))
+    run = sessions.receipts_stream(spark.readStream.schema(u.schema).parquet(str(tmp_path / "in")), "ts")
+    got = drain(run.writeStream.format("memory").queryName("t_receipts_all").option("checkpointLocation", str(tmp_path / "c")).start(), spark, "t_receipts_all")
+    key = lambda d: sorted(map(str, (tuple(r) for r in d.collect())))
+    assert key(got) == key(sessions.receipts_batch(u))
