@@ -1,11 +1,15 @@
 """Main text of web pages: structure first, and a host's repeated runs by suffix arrays.
 
 A page is cut into blocks at block-level marks. Blocks in menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments go by structure; a page with an
-article (or main part) keeps only what is in it. Articles of one host quote the same passages, so
-what repeats inside an article is kept. Pages without an article are judged by repetition: a
-block mostly covered by runs of RUN or more tokens that stand in MIN_PAGES distinct pages of the
-host is boilerplate; unique runs stay.
+notices, adverts, forms, scripts, styles and reader comments go by structure. What is left is weighed by
+text mass: the outermost articles and main parts, and what stands outside of them; the heaviest makes the page's text, so
+a teaser in an article mark doesn't stand for a story in a plain division.
+
+Names and marks only propose. What a host repeats decides on the rest, on every page: in an article the blocks of lesser
+divisions with a class or id of their own, which is where a template puts its parts, and on a page without one all blocks. A block
+mostly covered by runs of RUN or more tokens that stand in MIN_PAGES distinct pages of the
+host is boilerplate; unique runs stay. Paragraphs, headings and quotes that stand in the article's own flow are never judged by
+repetition, since articles of one host quote the same passages.
 
 The runs come from suffix arrays. A host's token streams may be larger than a task, so they are
 cut into stretches: all runs of RUN tokens whose least GRAM-gram hash is at one place form one
@@ -45,19 +49,25 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus feedback footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 
 #: Words that may stand beside one of NAMES in a class or id without giving it another meaning.
-BESIDE = frozenset("area bar block body bottom box container content desktop element foot global group head inline inner item items layout left link links list main mobile module outer page panel posts post primary region right row secondary section site slot small sticky top unit wrap wrapper".split())
+BESIDE = frozenset("article articles button buttons count feed form icon icons news optin reader readers stories story thread threads user users area bar block body bottom box container content desktop element foot global group head inline inner item items layout left link links list main mobile module outer page panel posts post primary region right row secondary section site slot small sticky top unit wrap wrapper".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 ENDS = {n: re.compile(rf"</{n}\s*>", re.I) for n in RAW}
 PART = re.compile(r"[^a-z0-9]+")
+SIZE = re.compile(r"v?\d+(?:x\d+)?")
+#: Divisions that can be a template's part of an article, if they have a class or id.
+DIVISIONS = frozenset("center dd details dialog div dl dt fieldset ol section table ul".split())
+OWN = re.compile(r"(?:^|[\s\"'])(?:class|id)\s*=\s*[\"']?[^\s\"'>]", re.I)
+#: What stands outside all articles is the page's text if it is so many times as heavy as the heaviest.
+OUTSIDE = 3
 
 
 def _named(value: str, inside: bool) -> bool:
     """Whether one class or id names an unwanted part: some word of NAMES, and nothing that means another."""
     parts = [x for x in PART.split(value) if x]
     hit = [x for x in parts if x in NAMES and not (inside and x == "header")]
-    return bool(hit) and all(x in NAMES or x in BESIDE or x.isdigit() for x in parts)
+    return bool(hit) and all(x in NAMES or x in BESIDE or SIZE.fullmatch(x) for x in parts)
 
 
 def _unwanted(name: str, attrs: str, inside: bool) -> bool:
@@ -75,14 +85,17 @@ def _unwanted(name: str, attrs: str, inside: bool) -> bool:
 
 
 class _Open:
-    """The open containers: (name, unwanted, in article, muted inline), with counts by name."""
+    """The open containers: (name, unwanted, box, part, muted inline), with counts by name.
+
+    ``box`` numbers the outermost article or main part, ``part`` the nearest division with a class or id in it; 0 is none.
+    """
 
     def __init__(self):
-        self.stack: list[tuple[str, bool, bool, bool]] = []
+        self.stack: list[tuple[str, bool, int, int, bool]] = []
         self.count: Counter[str] = Counter()
 
-    def push(self, name: str, bad: bool, inside: bool, muted: bool = False):
-        self.stack.append((name, bad, inside, muted))
+    def push(self, name: str, bad: bool, box: int, part: int, muted: bool = False):
+        self.stack.append((name, bad, box, part, muted))
         self.count[name] += 1
 
     def close(self, name: str) -> bool:
@@ -96,34 +109,44 @@ class _Open:
                 return True
 
     @property
-    def top(self) -> tuple[str, bool, bool, bool]:
-        return self.stack[-1] if self.stack else ("", False, False, False)
+    def top(self) -> tuple[str, bool, int, int, bool]:
+        return self.stack[-1] if self.stack else ("", False, 0, 0, False)
+
 
+Block = tuple[str, bool, int, int]
+
+
+class Page(list[Block]):
+    """A page's blocks; ``up`` has for every part the one around it (0: none), numbered from outside in."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
 
-def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
-    """(text, unwanted, in article) of the non-empty blocks of a whole page, in order.
+
+def blocks(page: str | None) -> Page:
+    """(text, unwanted, box, part) of the non-empty blocks of a whole page, in order.
 
     References are decoded, white space is one space, marks and comments give nothing. Unwanted
     inline parts leave their block whole. Unclosed and misplaced marks end with the nearest open
     container; any nesting takes linear time. Null and empty pages have no blocks.
     """
     page = page or ""
-    out: list[tuple[str, bool, bool]] = []
+    out = Page()
     at_ = _Open()
     text: list[str] = []
-    at = 0
+    at = numbers = 0
 
     def flush():
         if text:
             t = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if t:
-                _, bad, inside, _ = at_.top
-                out.append((t, bad, inside))
+                _, bad, box, part, _ = at_.top
+                out.append((t, bad, box, part))
 
     while at < len(page):
         lt = page.find("<", at)
-        muted = at_.top[3]
+        muted = at_.top[4]
         if lt != at and not muted:
             text.append(page[at : lt if lt >= 0 else len(page)])
         if lt < 0:
@@ -146,9 +169,9 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
             if m[1]:
                 at_.close(name)
             elif name not in VOID and not m[0].endswith("/>"):
-                if muted and at_.top[0] == name or m[3] and _unwanted(name, m[3], at_.top[2]):
-                    _, bad, inside, _ = at_.top
-                    at_.push(name, bad, inside, True)
+                if muted and at_.top[0] == name or m[3] and _unwanted(name, m[3], at_.top[2] > 0):
+                    _, bad, box, part, _ = at_.top
+                    at_.push(name, bad, box, part, True)
             continue
         if name in RAW and not m[1] and not m[0].rstrip(">").endswith("/"):
             # its content is no text; one that stands inside a block is cut out of it
@@ -163,10 +186,16 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
             at_.close("p")
         if name in VOID or name in DROP and m[0].endswith("/>"):
             continue
-        _, bad, inside, muted = at_.top
+        _, bad, box, part, muted = at_.top
         # a block in a muted inline part is unwanted as a whole
-        bad = bad or muted or _unwanted(name, m[3], inside)
-        at_.push(name, bad, inside or name in ("article", "main"))
+        bad = bad or muted or _unwanted(name, m[3], box > 0)
+        numbers += 1
+        if not box and name in ("article", "main"):
+            box = numbers
+        elif box and name in DIVISIONS and OWN.search(m[3]):
+            out.up[numbers] = part
+            part = numbers
+        at_.push(name, bad, box, part)
     flush()
     return out
 
@@ -252,27 +281,53 @@ def stretches(tokens: np.ndarray, run: int) -> list[tuple[int, int, int]]:
     return list(zip(cut.tolist(), ends.tolist(), least[cut].view(np.int64).tolist()))
 
 
-def stream_of(parts: list[tuple[str, bool, bool]], host: int) -> np.ndarray:
-    """Token hashes of the blocks outside kept articles, seeded by the host, so equal runs of two hosts never meet."""
-    words = [w for t, bad, inside in parts if bad or not inside for w in t.split()]
-    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), host) & 0xFFFFFFFF for w in words], dtype=np.uint32)
+KEEP, JUDGE, LEAVE = 0, 1, 2
 
 
-def in_article(parts: list[tuple[str, bool, bool]]) -> bool:
-    return any(inside and not bad for _, bad, inside in parts)
+def settle(page: Page) -> list[int]:
+    """Per block whether it is text (KEEP), isn't (LEAVE), or is for the host's runs to judge (JUDGE): it stands outside of
+    articles, or in a division that holds less than half of its article's text."""
+    mass: Counter[int] = Counter()
+    within: Counter[int] = Counter()
+    home: dict[int, int] = {}
+    for t, bad, box, part in page:
+        if not bad:
+            mass[box] += len(t)
+            within[part] += len(t)
+        home[part] = box
+    for part in sorted(page.up, reverse=True):
+        within[page.up[part]] += within[part]
+        home.setdefault(page.up[part], home.get(part, 0))
+    minor = {0: False}
+    for part in sorted(page.up):
+        minor[part] = minor[page.up[part]] or 2 * within[part] < mass[home.get(part, 0)]
+    best = max((n for b, n in mass.items() if b), default=0)
+    boxes = {b for b, n in mass.items() if b and 2 * n >= best} if best and mass[0] <= OUTSIDE * best else {0}
+    return [LEAVE if bad or box not in boxes else JUDGE if not box or minor[part] else KEEP for _, bad, box, part in page]
+
+
+def stream_of(parts: Page, host: int) -> np.ndarray:
+    """Token hashes of all blocks but the kept ones, seeded by the host, so equal runs of two hosts never meet."""
+    words = [w for (t, *_), how in zip(parts, settle(parts)) if how != KEEP for w in t.split()]
+    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), host) & 0xFFFFFFFF for w in words], dtype=np.uint32)
 
 
-def wanted_blocks(parts: list[tuple[str, bool, bool]]) -> list[tuple[str, int, int]]:
-    """(text, first token, tokens) of the wanted blocks of a page without an article."""
+def wanted_blocks(parts: Page) -> list[tuple[str, int, int]]:
+    """(text, first token in the stream, tokens) of the blocks that may be text; a kept one has no token."""
     out, at = [], 0
-    for t, bad, _ in parts:
-        n = t.count(" ") + 1
-        if not bad:
+    for (t, *_), how in zip(parts, settle(parts)):
+        n = 0 if how == KEEP else t.count(" ") + 1
+        if how != LEAVE:
             out.append((t, at, n))
         at += n
     return out
 
 
+def is_open(parts: Page) -> bool:
+    """Whether some block of the page is for the runs to judge."""
+    return JUDGE in settle(parts)
+
+
 def host_of(url):
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit(""))
 
@@ -320,7 +375,7 @@ def stretch_id(raw: bytes) -> int:
 
 
 def boilerplate(pages: DataFrame, url_col: str = "url", html_col: str = "html", run: int = RUN, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Rows (key, at): for pages without an article, by page key, where runs start that repeat on their host."""
+    """Rows (key, at): for pages with blocks to judge, by page key, where runs start that repeat on their host."""
     src = pages.select(F.xxhash64(host_of(F.col(url_col))).alias("host"), page_key(url_col, html_col).alias("key"), F.col(html_col).cast("string").alias("html"))
 
     def cut(batches):
@@ -348,7 +403,7 @@ def boilerplate(pages: DataFrame, url_col: str = "url", html_col: str = "html",
             ids, keys, at = [], [], []
             for host, key, page in zip(b["host"].tolist(), b["key"].tolist(), b["html"]):
                 parts = blocks(page)
-                if not in_article(parts):
+                if is_open(parts):
                     tok = stream_of(parts, host & 0xFFFFFFFFFFFFFFFF)
                     for a, z, _ in stretches(tok, run):
                         ids.append(stretch_id(tok[a:z].tobytes()))
@@ -369,17 +424,16 @@ def page_key(url_col: str, html_col: str):
 
 
 def kept_blocks(text: list[str], first: list[int], n: list[int], at, run: int = RUN) -> str:
-    """The wanted blocks of a page without an article that no repeated runs mostly cover."""
+    """The blocks of a page that may be text and that no repeated runs mostly cover; those without tokens aren't judged."""
     size = max([a + k for a, k in zip(first, n)], default=0)
     hit = [x["at"] + j for x in (at if at is not None else ()) for j in range(64) if x["starts"] >> j & 1]
     cover = np.r_[0, np.cumsum(covered_by(np.array([h for h in hit if h < size], dtype=np.int64), size + run, run))] if hit else None
     return "\n\n".join(t for t, a, k in zip(text, first, n) if cover is None or not k or cover[a + k] - cover[a] < COVER * k)
 
 
-def settled_text(parts: list[tuple[str, bool, bool]]) -> str:
-    """The text by structure alone: the article's blocks, or all wanted ones where there is none."""
-    article = in_article(parts)
-    return "\n\n".join(t for t, bad, inside in parts if not bad and (inside or not article))
+def settled_text(parts: Page) -> str:
+    """The text by structure alone: what may be text, whether or not a host repeats it."""
+    return "\n\n".join(t for (t, *_), how in zip(parts, settle(parts)) if how != LEAVE)
 
 
 def main_text(page: str | None) -> str:
@@ -391,7 +445,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
 
     Null and empty pages give an empty text. Repeated rows are judged alike. Columns named text
     or n_chars are replaced. An empty table gives an empty one. Html columns stay out of the result.
-    Pages with an article are read in place; only the blocks of the others meet their host's runs.
+    Pages without a block to judge are read in place; the others meet their host's runs.
     """
     runs = boilerplate(pages, url_col, html_col)
     rest = [c for c in pages.columns if c not in ("text", "n_chars", html_col)]
@@ -402,7 +456,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
         rows = []
         for page in h:
             parts = blocks(page)
-            wanted = [] if in_article(parts) else wanted_blocks(parts)
+            wanted = wanted_blocks(parts) if is_open(parts) else []
             rows.append((None, True, *map(list, zip(*wanted))) if wanted else (settled_text(parts), False, None, None, None))
         return pd.DataFrame(rows, columns=["text", "open", "blocks", "first", "n"])
 

@@ -46,6 +46,38 @@ def test_structure_rules():
     assert html_text.main_text("plain &eacute;") == "plain é"
 
 
+@pytest.mark.parametrize("name", ["comment-thread", "user-comments", "cookie-notice-v2", "ad-slot-300x250", "related-articles", "newsletter-optin", "share-buttons"])
+def test_named_parts_of_an_article_go(name):
+    page = f"<article><h1>T</h1><p>{'word ' * 40}</p><div class='{name}'><p>gone</p></div><p>end</p></article>"
+    assert html_text.main_text(page) == f"T\n\n{('word ' * 40).strip()}\n\nend"
+
+
+def test_the_heaviest_part_is_the_text():
+    story = ("a story of many words " * 20).strip()
+    assert html_text.main_text(f"<div><p>{story}</p></div><article><p>teaser</p></article>") == story
+    assert html_text.main_text(f"<main><p>{story}</p></main><article><p>teaser</p></article>") == story
+    assert html_text.main_text(f"<main><article><p>{story}</p></article><p>more</p></main>") == f"{story}\n\nmore"
+    assert html_text.main_text(f"<p>by line</p><article><p>{story}</p></article>") == story
+    assert html_text.main_text(f"<article><p>{story}</p></article><article><p>{story} too</p></article>") == f"{story}\n\n{story} too"
+
+
+def test_runs_judge_the_parts_of_articles(spark):
+    """A template's text in divisions of any name goes, quotes that articles share stay, and so does a division that is most of the text."""
+    rng, words = random.Random(4), "river stone light field house winter paper green sound small early north".split()
+    say = lambda n: " ".join(rng.choice(words) + rng.choice(words) for _ in range(n))
+    chrome, quote = say(20), say(25)
+    rows, want = [], {}
+    for i in range(12):
+        a, b, own = say(60), say(40), say(15)
+        host = "one.example" if i % 2 else "two.example"
+        body = f"<h1>{a[:30]}</h1><p>{a}</p><p>{quote}</p><div class='xq7'><p>{chrome}</p></div><div class='xq8'><p>{own}</p></div><p>{b}</p>"
+        rows.append((i, f"https://{host}/{i}", f"<nav>menu</nav><article><div id=c>{body}</div></article>" if i % 3 == 0 else f"<article>{body}</article>"))
+        want[i] = "\n\n".join([a[:30], a, quote, own, b])
+    rows += [(20, "https://alone.example/", f"<article><p>{say(50)}</p><div class='xq7'><p>{chrome}</p></div></article>"), (21, None, None)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert {i: got[i] for i in want} == want and chrome in got[20] and got[21] == ""
+
+
 def test_repeated_runs_by_brute_force():
     r = random.Random(1)
     for _ in range(60):
