@@ -93,7 +93,7 @@ def encode(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 def _edges(x: np.ndarray) -> np.ndarray:
     q = np.r_[0.001, 0.004, 0.01, 0.03, np.linspace(0.1, 0.9, BINS - 8), 0.97, 0.99, 0.996, 0.999]
-    return np.quantile(x[:, :NAMES], q, axis=0).T
+    return np.quantile(x, q, axis=0).T
 
 
 def _sig(z: np.ndarray) -> np.ndarray:
@@ -117,12 +117,12 @@ def risk_gradient(xp: np.ndarray, xu: np.ndarray, w: np.ndarray, b: float, prior
     return np.r_[xp.T @ gp + xu.T @ gu, gp.sum() + gu.sum()]
 
 
-def _fit(p: np.ndarray, u: np.ndarray, prior: float, nonneg: bool, steps: int = 1000, rate: float = 0.03, l2: float = 0.003, seed: int = 3):
+def _fit(p: np.ndarray, u: np.ndarray, edges: np.ndarray, prior: float, nonneg: bool, steps: int = 1000, rate: float = 0.03, l2: float = 0.003, seed: int = 3):
     """Adam on the risk prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)), or on plain P against U; the mean of the second half's steps."""
-    rng, d = np.random.default_rng(seed), p.shape[1]
+    rng, d = np.random.default_rng(seed), edges.size + GRAMS
     w, b, m, v, total = np.zeros(d, np.float32), 0.0, np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     for t in range(1, steps + 1):
-        xp, xu = p[rng.integers(0, len(p), 1024)], u[rng.integers(0, len(u), 1024)]
+        xp, xu = (encode(x[rng.integers(0, len(x), 1024)], edges) for x in (p, u))  # only a batch is ever encoded
         if nonneg:
             g = risk_gradient(xp, xu, w, b, prior)
         else:
@@ -155,22 +155,25 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     """A model from feature rows; without positives, or where every document is one, it scores 0.5 throughout."""
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros((NAMES, BINS)), np.zeros(NAMES * BINS + GRAMS, np.float32), 0.0, 0.5)
-    edges = _edges(np.concatenate([positive, unlabelled]))
-    p, u = encode(positive, edges), encode(unlabelled, edges)
-    w, b = _fit(p[::2], u[::2], 0.5, nonneg=False, steps=600)
-    prior = estimate_prior(p[1::2] @ w + b, u[1::2] @ w + b) if len(p) > 1 and len(u) > 1 else 0.5
-    return Model(edges, *_fit(p, u, prior, nonneg=True), prior)
+    p, u = positive, unlabelled
+    edges = _edges(np.concatenate([p[:, :NAMES], u[:, :NAMES]]))
+    w, b = _fit(p[::2], u[::2], edges, 0.5, nonneg=False, steps=600)
+    value = lambda x: np.concatenate([encode(x[i : i + 1024], edges) @ w + b for i in range(0, len(x), 1024)])
+    prior = estimate_prior(value(p[1::2]), value(u[1::2])) if len(p) > 1 and len(u) > 1 else 0.5
+    return Model(edges, *_fit(p, u, edges, prior, nonneg=True), prior)
 
 
 def feature_rows(df: DataFrame, text_col: str) -> np.ndarray:
+    """A row of 4-byte numbers a text, in an order of their own: the same fit in whatever order Spark gives the rows."""
+
     def run(batches):
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"f": [features(t).tolist() for t in b["text"]]})
+                yield pd.DataFrame({"f": [features(t).astype(np.float32).tobytes() for t in b["text"]]})
 
-    rows = df.select(F.col(text_col).cast("string").alias("text")).mapInPandas(run, "f array<double>").toPandas()
-    x = np.array(rows["f"].tolist(), dtype=float).reshape(-1, NAMES + GRAMS)
-    return x[np.lexsort(x.T)]  # the same fit in whatever order Spark gives the rows
+    rows = df.select(F.col(text_col).cast("string").alias("text")).mapInPandas(run, "f binary").toPandas()
+    raw = sorted(rows["f"].tolist())
+    return np.frombuffer(b"".join(raw), np.float32).reshape(-1, NAMES + GRAMS)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Model:
