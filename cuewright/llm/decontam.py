@@ -19,6 +19,8 @@ depends on the item alone. Candidates are searched in wider windows that hold ev
 from __future__ import annotations
 
 import re
+from collections import Counter
+from dataclasses import dataclass
 from itertools import chain, repeat
 from math import log
 
@@ -27,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 WORD = re.compile(r"\w+")
 SHINGLE = 5
 SHARE = 0.8
@@ -36,6 +40,8 @@ BLOCK = 4
 PIVOT = 0.5
 #: Most characters and items of one index slice; larger benchmarks take a pass per slice.
 SLICE_CHARS, SLICE_ITEMS = 8_000_000, 20_000
+#: Least share of a question's shingles that a passage of its item must hold to be a leak: the answer alone isn't one.
+QUESTION = 0.5
 #: Sums held at once while passages are matched with blocks.
 CELLS = 2_000_000
 
@@ -77,22 +83,33 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(size) - size - start, size)
 
 
+@dataclass
+class Corpus:
+    """What BM25 needs of all items, whatever the slice: their number, mean length, and in how many each word stands."""
+
+    n: int
+    mean: float
+    df: dict[str, int]
+
+
+def corpus_of(items: list[tuple[int, str | None]]) -> Corpus:
+    all_words = [w for w in (words(t) for _, t in items) if w]
+    return Corpus(len(all_words), sum(map(len, all_words)) / max(1, len(all_words)), Counter(x for w in all_words for x in set(w)))
+
+
 class Index:
     """Inverted index of one slice of items: sparse block maxima of pivot terms, impacts, thresholds."""
 
-    def __init__(self, items: list[tuple[int, str | None]], share: float = SHARE):
+    def __init__(self, items: list[tuple[int, str | None]], share: float = SHARE, corpus: Corpus | None = None):
+        corpus = corpus or corpus_of(items)
         rows = sorted(((i, words(t), t) for i, t in items if words(t)), key=lambda x: len(x[1]))
         self.ids = [i for i, _, _ in rows]
         self.words = [w for _, w, _ in rows]
         self.parts = [split_item(t) for _, _, t in rows]
         self.longest = max((len(w) for w in self.words), default=1)
-        mean = sum(map(len, self.words)) / max(1, len(rows))
-        df: dict[str, int] = {}
-        for w in self.words:
-            for x in set(w):
-                df[x] = df.get(x, 0) + 1
-        self.term = {x: k for k, x in enumerate(df)}
-        idf = {x: log(1 + (len(rows) - n + 0.5) / (n + 0.5)) for x, n in df.items()}
+        mean, df = corpus.mean, corpus.df
+        self.term = {x: k for k, x in enumerate(dict.fromkeys(x for w in self.words for x in w))}
+        idf = {x: log(1 + (corpus.n - df[x] + 0.5) / (df[x] + 0.5)) for x in self.term}
         self.impacts: list[dict[int, float]] = []
         self.threshold, need = np.zeros(len(rows)), np.zeros(len(rows))
         maxima: dict[tuple[int, int], float] = {}
@@ -119,7 +136,7 @@ class Index:
         order = sorted(maxima)
         term = np.array([t for t, _ in order], dtype=np.int64)
         self.block, self.top = np.array([b for _, b in order], dtype=np.int32), np.array([maxima[x] for x in order])
-        self.first = np.searchsorted(term, np.arange(len(df) + 1))
+        self.first = np.searchsorted(term, np.arange(len(self.term) + 1))
 
     def size(self) -> int:
         """Bytes of the postings."""
@@ -185,54 +202,86 @@ class Index:
         for p in range(-(-first // size), min(last, (first + wide - 1) // size) + 1):
             have = text[p * size : (p + 3) * size]
             sh = shingles(have)
-            over = len(mine & sh) / len(mine)
-            if over >= share and over > found.get((d, k), (0, 0))[1]:
-                terms = {self.term.get(x) for x in have}
-                score = sum(v for t, v in self.impacts[k].items() if t in terms)
-                found[d, k] = (score, over, *(part_overlap(y, have, sh) for y in self.parts[k]))
+            over = len(mine & sh) / len(mine) if size >= SHINGLE else part_overlap(self.words[k], have, sh)
+            if over >= share:
+                parts = [part_overlap(y, have, sh) for y in self.parts[k]]
+                old = found.get((d, k))
+                if old is None or (parts[0] >= QUESTION, over) > (old[2] >= QUESTION, old[1]):
+                    terms = {self.term.get(x) for x in have}
+                    found[d, k] = (sum(v for t, v in self.impacts[k].items() if t in terms), over, *parts)
 
 
-def index_slices(items: DataFrame, id_col: str, text_col: str):
-    """The items in slices of checked size, by ranges of id; null ids take part under null."""
+def slices_of(items: DataFrame, id_col: str, text_col: str):
+    """(corpus, rows) of each slice of checked size, by hash of id and text; null ids take part under null.
+
+    Word counts are those of all items. A benchmark of several slices is counted by Spark, and a slice asks for its
+    own words, so the driver holds one slice and its words at a time.
+    """
     x = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     n, chars = x.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     parts = max(1, -(-n // SLICE_ITEMS), -(-chars // SLICE_CHARS))
+    if parts == 1:
+        rows = [(r.i, r.t) for r in x.collect()]
+        yield corpus_of(rows), rows
+        return
+
+    def counted(batches):
+        for b in batches:
+            each = [words(t) for t in b["t"]]
+            rows = [(x, 1, 0, 0) for w in each for x in set(w)] + [("", 0, 1, len(w)) for w in each if w]  # no word is empty
+            yield pd.DataFrame(rows, columns=["word", "df", "n", "length"]).groupby("word", as_index=False).sum()
+
+    counts = x.select("t").mapInPandas(counted, "word string, df long, n long, length long").groupBy("word").agg(F.sum("df").alias("df"), F.sum("n").alias("n"), F.sum("length").alias("length"))
+    counts = Scratch(items.sparkSession, "decontam").keep(counts)
+    total = counts.where("word = ''").first()
+    number, length = (total.n, total.length) if total else (0, 0)
     for k in range(parts):
-        rows = x if parts == 1 else x.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
-        yield [(r.i, r.t) for r in rows.collect()]
+        part = x.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
+        rows = [(r.i, r.t) for r in part.collect()]
+        mine = items.sparkSession.createDataFrame([(w,) for w in {w for _, t in rows for w in words(t)}], "word string")
+        yield Corpus(number, length / max(1, number), {r.word: r.df for r in counts.join(mine, "word", "left_semi").collect()}), rows
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
     """Rows (id_col, item_id, score, overlap, question_overlap, answer_overlap, verified).
 
     One row per document row and test item of which at least ``share`` of the five-word shingles
-    stand in one passage; the values are those of the best passage. ``verified`` names the parts
-    that the passage holds to that share: question, answer, both or neither. Words are lower-cased runs of
-    letters, digits and underscores. Questions and answers under five words overlap by 1 where they
-    stand in the passage as a whole, else by 0. Null and empty texts match nothing; null ids stay null;
-    repeated rows and items give repeated matches. Items are read to the driver in slices of a
-    checked size, each broadcast once and run over all documents.
+    stand in one passage together with at least QUESTION of the question's; the values are those of the best passage.
+    ``verified`` names the parts that the passage holds to ``share``: question, answer, both or neither; an answer without its
+    question is no leak. Words are lower-cased runs of letters, digits and underscores. Items, questions and answers under five
+    words overlap by 1 where they stand in the passage as a whole, else by 0. Null and empty texts match nothing; null
+    ids stay null; repeated rows and items give repeated matches. Items are read to the driver in slices of a
+    checked size; each is broadcast, run over all documents and written before the next, so one index is held at a time, and
+    scores take their word counts from all items.
     """
-    out, spark = None, docs.sparkSession
+    spark, scratch, done = docs.sparkSession, None, []
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    for rows in index_slices(items, item_id, item_text):
-        shared = spark.sparkContext.broadcast(Index(rows, share))
+    kind = docs.schema[id_col].dataType.simpleString()
 
-        def run(batches, shared=shared):
-            index = shared.value
+    def matches(index):
+        def run(batches):
             for b in batches:
                 ids, texts = b["id"].to_numpy(dtype=object), b["text"].tolist()
                 for i in range(0, len(texts), 256):
-                    hits = index.search(texts[i : i + 256], share)
+                    hits = index.value.search(texts[i : i + 256], share)
                     if hits:
                         d, item, *rest = zip(*hits)
                         yield pd.DataFrame({"id": [ids[i + x] for x in d], "item": pd.array(item, dtype="Int64")} | dict(zip(("score", "overlap", "question_overlap", "answer_overlap"), rest)))
 
-        kind = docs.schema[id_col].dataType.simpleString()
-        part = src.mapInPandas(run, f"id {kind}, item long, score double, overlap double, question_overlap double, answer_overlap double")
-        out = part if out is None else out.unionByName(part)
+        return src.mapInPandas(run, f"id {kind}, item long, score double, overlap double, question_overlap double, answer_overlap double")
+
+    before = None
+    for corpus, rows in slices_of(items, item_id, item_text):
+        if before is not None:  # more than one slice: the last one's matches are written and its index let go
+            scratch = scratch or Scratch(spark, "decontam")
+            done.append(scratch.keep(matches(before)))
+            before.destroy()
+        before = spark.sparkContext.broadcast(Index(rows, share, corpus))
+    out = matches(before)
+    for part in done:
+        out = out.unionByName(part)
     q, a = F.col("question_overlap") >= share, F.col("answer_overlap") >= share
-    out = out.withColumn("verified", F.when(q & a, "both").when(q, "question").when(a, "answer").otherwise("neither"))
+    out = out.where(F.col("question_overlap") >= QUESTION).withColumn("verified", F.when(q & a, "both").when(q, "question").when(a, "answer").otherwise("neither"))
     return out.withColumnsRenamed({"id": id_col, "item": item_id})
 
 
