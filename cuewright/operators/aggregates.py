@@ -92,6 +92,24 @@ def rows_of_leaks(df: DataFrame, session: list[str], split: str) -> DataFrame:
     return df.join(bad, session, "left_semi")
 
 
+def manifest_report(manifest: DataFrame, stored: DataFrame, key: str, session: list[str], split: str) -> DataFrame:
+    """(fault, n): rows of a manifest with a licence fault, a repeated key or a session in several splits, and keys that are
+    ``missing`` among the stored ones or ``extra`` there, one row a kind that occurs.
+
+    ``manifest`` has the columns that ``checks.licensed`` reads. Id sets are compared by marks of hash buckets first, so
+    that equal sets cost two sums and no join of ids.
+    """
+    from cuewright.functions.checks import licensed
+
+    twice = duplicate_keys(manifest, key).select(key)
+    named = lambda df, fault: df.select(F.lit(fault).alias("fault"))
+    bucket = lambda df: df.select(key, F.pmod(F.xxhash64(key), F.lit(4096)).alias("bucket"))
+    sets = set_differences(bucket(manifest), bucket(stored), ["bucket"], key).select(F.col("status").alias("fault"))
+    x = named(manifest.where(~licensed(manifest)), "license").unionByName(named(manifest.join(twice, key, "left_semi"), "duplicate"))
+    x = x.unionByName(named(rows_of_leaks(manifest, session, split), "session")).unionByName(sets)
+    return x.groupBy("fault").agg(F.count("*").alias("n"))
+
+
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], accuracy: int = 1000) -> DataFrame:
     """(keys, n, a column a share): interpolated quantiles, exact, without all values of a key in one buffer.
 

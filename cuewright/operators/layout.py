@@ -182,6 +182,18 @@ def screen_faults(df: DataFrame, key: str, ticks: str, frames: str, n_ticks: str
     return df.select(key, why.alias("faults")).where(F.size("faults") > 0)
 
 
+def assign_tasks(groups: DataFrame, tasks: DataFrame, order: list[str], update: str, group: str, per_update: int, seed: int) -> DataFrame:
+    """``groups`` with the columns of their task and ``seed``: the tasks in ``order`` go round over updates and groups.
+
+    Group g of update u gets task (u * per_update + g) mod the number of tasks, and the seed seed + 1000 u + g. Tasks may be many: they
+    are numbered in ranges and joined by their place.
+    """
+    listed = numbered(tasks, [], order, "__task")
+    n = tasks.agg(F.count("*").alias("__n"))  # one row
+    x = groups.crossJoin(F.broadcast(n)).withColumn("__task", (F.col(update) * per_update + F.col(group)) % F.col("__n"))
+    return x.join(listed, "__task").withColumn("seed", seed + F.col(update) * 1000 + F.col(group)).drop("__task", "__n")
+
+
 def in_global_order(df: DataFrame, *order: str) -> DataFrame:
     """Rows in one order over all files: range partitions, each sorted."""
     return df.orderBy(*order)
@@ -200,7 +212,7 @@ def assemble_plans(ids: DataFrame, index: str, templates: DataFrame, intents: in
         F.when(i % 5 == 0, "en").otherwise("zh").alias("language"), (i % intents).cast("int").alias("intent"),
         F.when(k < 8, "short").when(k < 16, "medium").otherwise("long").alias("duration_class"), F.when(k >= 12, 6).otherwise(2).alias("n_turns"),
     )
-    x = x.join(F.broadcast(templates), ["language", "intent"]).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("n_turns") - 1)))
+    x = x.join(templates, ["language", "intent"]).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("n_turns") - 1)))
     role = F.when(F.col("turn") % 2 == 0, "user").otherwise("assistant")
     return x.select("plan_id", "turn", role.alias("role"), "language", "duration_class", F.concat_ws(" ", "text", (F.col("turn") + 1).cast("string"), F.col("i").cast("string")).alias("text"))
 

@@ -123,10 +123,13 @@ def p35_memory_chunks(spark, d):
     return units(spark, d).groupBy("session_id", F.floor(F.col("unit_index") / 20).alias("chunk")).agg(F.count("*").alias("units"))
 
 
-@query("SELECT event_id, ((event_id // 10) * 10 + event_id % 10) % 150 AS task, 7 + (event_id // 10) * 1000 + event_id % 10 AS seed FROM events")
+@query("""WITH t AS (SELECT p_name AS task, row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS at, count(*) OVER () AS n FROM part WHERE p_partkey % 5 = 0)
+SELECT event_id, task, 7 + (event_id // 10) * 1000 + event_id % 10 AS seed FROM events JOIN t ON t.at = ((event_id // 10) * 10 + event_id % 10) % t.n""")
 def p36_task_assignment(spark, d):
-    u, g = F.floor(F.col("event_id") / 10), F.col("event_id") % 10
-    return table(spark, d, "events").select("event_id", ((u * 10 + g) % 150).alias("task"), (7 + u * 1000 + g).alias("seed"))
+    """Ten groups an update; tasks go round, in the order of their names."""
+    tasks = table(spark, d, "part").where("p_partkey % 5 = 0").select(F.col("p_name").alias("task"), "p_partkey")
+    x = table(spark, d, "events").select("event_id", F.floor(F.col("event_id") / 10).alias("update"), (F.col("event_id") % 10).alias("group"))
+    return layout.assign_tasks(x, tasks, ["task", "p_partkey"], "update", "group", 10, 7).select("event_id", "task", "seed")
 
 
 @query(f"""WITH {UNITS_SQL} SELECT event_id, array_to_string(list_filter([CASE WHEN NOT value > 0 OR value IS NULL THEN 'delta' END, CASE WHEN revision < 1 THEN 'revision' END, CASE WHEN coalesce(props, '') = '' THEN 'props' END], lambda x: x IS NOT NULL), ',') AS failed FROM units""")

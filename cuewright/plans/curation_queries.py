@@ -6,9 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuewright.functions import checks, clock, hashing
-from cuewright.operators import aggregates, joins, layout, quotas
+from cuewright.operators import aggregates, joins, layout, quotas, stages
 from cuewright.plans.tables import ITEMS_SQL, TURNS_SQL, plan_turns, source_items, table
 from cuewright.queries import query
+from cuewright.sources import records
 
 CATEGORIES = {"public_speech": 0.4, "adjacent_turns": 0.4, "screen_task": 0.2}
 LANGUAGES = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
@@ -305,6 +306,20 @@ def j14_cache_lookup(spark, d):
     return hit.select("doc_id", F.lit(True).alias("hit")).unionByName(miss.select("doc_id", F.lit(False).alias("hit")))
 
 
+@query("""SELECT source, bool_or(source IN ('src1', 'src4') AND doc_id % 6 = 0) AS changed FROM documents GROUP BY source
+UNION ALL SELECT '*', bool_or(source IN ('src1', 'src4') AND doc_id % 6 = 0) FROM documents""")
+def j18_digest_roll_up(spark, d):
+    """Digests of texts rolled up to manifests by source and to one report, before and after some texts of two sources changed."""
+    x = table(spark, d, "documents").select("source", "doc_id", "text")
+    new = x.withColumn("text", F.when(F.col("source").isin("src1", "src4") & (F.col("doc_id") % 6 == 0), F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")))
+
+    def levels(df):
+        m = stages.roll_up(df.select("source", "doc_id", F.coalesce(F.sha2("text", 256), F.lit("")).alias("sha")), ["source"], "doc_id", "sha")
+        return m.unionByName(stages.roll_up(m, [], "source", "digest").select(F.lit("*").alias("source"), "digest"))
+
+    return levels(x).join(levels(new).withColumnRenamed("digest", "after"), "source").select("source", (F.col("digest") != F.col("after")).alias("changed"))
+
+
 @query("SELECT doc_id, sha256(CASE WHEN doc_id % 6 = 0 THEN text || '!' ELSE text END) AS digest, doc_id % 6 = 0 AS changed FROM documents")
 def j18_hash_propagation(spark, d):
     x = table(spark, d, "documents")
@@ -378,6 +393,19 @@ def s11_split_manifest(spark, d):
     return layout.numbered(source_items(spark, d).select("split", "item_id"), ["split"], ["item_id"], "ordinal")
 
 
+@query(f"""WITH {ITEMS_SQL}, o AS (SELECT item_id, split, row_number() OVER (PARTITION BY split ORDER BY session, item_id) - 1 AS ordinal, row_number() OVER (ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END, session, item_id) - 1 AS place FROM items)
+SELECT 'all' AS manifest, place AS at, item_id, true AS in_order FROM o UNION ALL SELECT split, ordinal, item_id, true FROM o""")
+def s11_written_manifests(spark, d):
+    """Lines of the split manifests and the whole one, read back: the place each one tells, and whether its file has it in order."""
+    path = records.shared_path(spark, "manifests")
+    records.write_manifests(source_items(spark, d).select("item_id", "session", "split", "n_chars"), "split", ["session", "item_id"], path, list(SPLITS))
+    field = lambda c: F.get_json_object("value", f"$.{c}").cast("long")
+    lines = lambda p, name, at: spark.read.text(p).select(name.alias("manifest"), field(at).alias("at"), field("item_id").alias("item_id"), F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("m"))
+    x = lines(f"{path}/all", F.lit("all"), "place").unionByName(lines(f"{path}/by", F.col("split"), "ordinal"))
+    before = F.lag("at").over(W.partitionBy("manifest", "f").orderBy("m"))
+    return x.select("manifest", "at", "item_id", F.coalesce(before < F.col("at"), F.lit(True)).alias("in_order"))
+
+
 @query(f"WITH {ITEMS_SQL} SELECT concat_ws(' ', count(*) || ' items,', count(DISTINCT session) || ' sessions,', count(DISTINCT language) || ' languages,', count(*) FILTER (split = 'train') || ' for training') AS card FROM items")
 def s13_data_card(spark, d):
     x = source_items(spark, d).agg(F.count("*").alias("n"), F.count_distinct("session").alias("s"), F.count_distinct("language").alias("l"), F.count_if(F.col("split") == "train").alias("t"))
@@ -386,9 +414,8 @@ def s13_data_card(spark, d):
 
 @query("""WITH g AS (SELECT doc_id AS episode, unnest(range(4)) AS unit FROM documents) SELECT episode, unit, ((episode % 5) * 7 + unit * 3 + 2 * 1) % 32 AS code, unit % 4 = 2 AS click, unit % 3 <> 1 AS screen FROM g""")
 def s17_generated_episodes(spark, d):
-    x = table(spark, d, "documents").select(F.col("doc_id").alias("episode"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("unit"))
-    code = ((F.col("episode") % 5) * 7 + F.col("unit") * 3 + 2) % 32
-    return x.select("episode", "unit", code.alias("code"), (F.col("unit") % 4 == 2).alias("click"), (F.col("unit") % 3 != 1).alias("screen"))
+    x = records.generated_units(table(spark, d, "documents"), "doc_id", 4, size=32)
+    return x.select(F.col("episode_id").alias("episode"), F.col("unit_index").cast("long").alias("unit"), F.col("speech_codes")[1][1].cast("long").alias("code"), "click", F.col("screen_valid").alias("screen"))
 
 
 @query(f"""WITH {ITEMS_SQL}, l AS (SELECT 'language' AS dimension, language AS value, split FROM items UNION ALL SELECT 'session', session, split FROM items)
@@ -491,6 +518,22 @@ def a16_id_sets(spark, d):
     return aggregates.set_differences(x, other, ["source"], "doc_id")
 
 
+@query("""WITH m AS (SELECT doc_id, CASE WHEN doc_id % 50 < 2 THEN doc_id // 50 ELSE doc_id + 1000000 END AS episode, source <> 'src1' AND doc_id % 6 = 0 AS unlicensed, 'd' || doc_id % 40 AS device, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE 's' || doc_id % 70 END AS session, CASE WHEN doc_id % 280 < 210 THEN 'train' ELSE 'test' END AS split FROM documents),
+b AS (SELECT device, session FROM m WHERE session IS NOT NULL GROUP BY ALL HAVING count(DISTINCT split) > 1), e AS (SELECT episode FROM m GROUP BY 1 HAVING count(*) > 1),
+s AS (SELECT CASE WHEN doc_id % 11 = 0 THEN episode + 5000000 ELSE episode END AS episode FROM m WHERE doc_id % 50 > 1)
+SELECT * FROM (SELECT 'license' AS fault, count(*) AS n FROM m WHERE unlicensed UNION ALL SELECT 'duplicate', count(*) FROM m JOIN e USING (episode) UNION ALL SELECT 'session', count(*) FROM m JOIN b USING (device, session)
+UNION ALL SELECT 'missing', count(*) FROM m WHERE episode NOT IN (SELECT episode FROM s) UNION ALL SELECT 'extra', count(*) FROM s WHERE episode NOT IN (SELECT episode FROM m)) WHERE n > 0""")
+def s6_manifest_report(spark, d):
+    """A manifest's faults by kind: licences, repeated episodes, sessions across splits, and ids that its shards lack or have over."""
+    k = F.col("doc_id")
+    m = table(spark, d, "documents").select(
+        "doc_id", F.when(F.col("source") == "src1", "synthetic").otherwise(F.col("source")).alias("source"), (k % 6 != 0).alias("redistribution_allowed"), F.lit("cc").alias("source_license"),
+        F.when(k % 50 < 2, F.floor(k / 50)).otherwise(k + 1_000_000).alias("episode"), F.concat(F.lit("d"), k % 40).alias("device"), F.when(k % 9 != 0, F.concat(F.lit("s"), k % 70)).alias("session"), F.when(k % 280 < 210, "train").otherwise("test").alias("split"),
+    )
+    stored = m.where(k % 50 > 1).select(F.when(k % 11 == 0, F.col("episode") + 5_000_000).otherwise(F.col("episode")).alias("episode"))
+    return aggregates.manifest_report(m, stored, "episode", ["device", "session"], "split")
+
+
 @query("""WITH m AS (SELECT doc_id, 'd' || doc_id % 40 AS device, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE 's' || doc_id % 70 END AS session, CASE WHEN doc_id % 280 < 210 THEN 'train' ELSE 'test' END AS split FROM documents),
 b AS (SELECT device, session FROM m WHERE session IS NOT NULL GROUP BY ALL HAVING count(DISTINCT split) > 1) SELECT doc_id FROM m JOIN b USING (device, session)""")
 def s6_session_leaks(spark, d):

@@ -153,9 +153,7 @@ def a27_decode_tally(spark, d):
 def o1_inventory_order(spark, d):
     """The inventory in the order of its item ids, cut to ranges; the place is the count of the ranges before."""
     x = table(spark, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_item_id"))
-    # the first six bytes give a number in the ids' own order
-    first = F.conv(F.rpad(F.substring(F.hex(F.col("source_item_id")), 1, 12), 12, "0"), 16, 10).cast("long")
-    x = layout.numbered(x.withColumn("first", first).withColumn("all", F.lit(0)), ["all"], ["first", "source_item_id"], "place")
+    x = layout.numbered(x, [], ["source_item_id"], "place")
     return layout.in_global_order(x.select("source_item_id", "place"), "source_item_id")
 
 

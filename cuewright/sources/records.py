@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuewright.functions.hashing import json_text
-from cuewright.sources.scratch import shared_folder
+from cuewright.operators.layout import numbered
+from cuewright.sources.scratch import Scratch, shared_folder
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
@@ -81,13 +82,32 @@ def transcripts(spark: SparkSession, path: str) -> DataFrame:
     return x.where((F.col("utterance_id") != "") & (F.col("text") != ""))
 
 
-def generated_units(spark: SparkSession, episodes: int, units: int, codebook: int = 2048, codebooks: int = 8) -> DataFrame:
-    """Deterministic episodes: code = (scenario * 7 + unit * 3 + frame + codebook) mod size."""
-    x = spark.range(episodes).select(F.col("id").alias("episode_id"), F.explode(F.sequence(F.lit(0), F.lit(units - 1))).alias("unit_index"))
-    code = F.transform(F.sequence(F.lit(0), F.lit(codebooks - 1)), lambda q: ((F.col("episode_id") % 5) * 7 + F.col("unit_index") * 3 + q) % codebook)
+def generated_units(episodes: DataFrame, key: str, units: int, frames: int = 2, codebooks: int = 8, size: int = 2048) -> DataFrame:
+    """Deterministic units of each episode: speech_codes[frame][codebook] = (key mod 5 * 7 + unit * 3 + frame + codebook) mod size."""
+    x = episodes.select(F.col(key).alias("episode_id"), F.explode(F.sequence(F.lit(0), F.lit(units - 1))).alias("unit_index"))
+    start = F.pmod(F.col("episode_id"), F.lit(5)) * 7 + F.col("unit_index") * 3
+    code = F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda f: F.transform(F.sequence(F.lit(0), F.lit(codebooks - 1)), lambda q: ((start + f + q) % size).cast("int")))
     return x.select("episode_id", "unit_index", code.alias("speech_codes"), (F.col("unit_index") % 4 == 2).alias("click"), (F.col("unit_index") % 3 != 1).alias("screen_valid"))
 
 
+def write_manifests(df: DataFrame, split: str, order: list[str], folder: str, splits: list[str]) -> None:
+    """Canonical lines in order: ``folder/by/split=<name>/`` for each split, with its ordinals, and ``folder/all/`` for all, with places.
+
+    The whole manifest has the splits in the order of ``splits``, each in its own. Lines go to files by ranges of their place,
+    each sorted, so files read by name give the order; no task holds a split.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scratch = Scratch(spark, "manifests")
+    rank = F.array_position(F.array(*map(F.lit, splits)), F.col(split))
+    x = numbered(numbered(df, [split], order, "ordinal").withColumn("__rank", rank), [], ["__rank", "ordinal"], "place").drop("__rank")
+    x = scratch.keep(x)
+    cut = x.repartitionByRange(n, "place").sortWithinPartitions("place")
+    cut.select(canonical_lines(x).alias("value")).write.mode("overwrite").text(f"{folder}/all")
+    cut.select(canonical_lines(x.drop("place")).alias("value"), F.col(split).alias("split")).write.mode("overwrite").partitionBy("split").text(f"{folder}/by")
+    scratch.drop()
+
+
 def audio_rows(df: DataFrame, audio: str = "audio") -> tuple[DataFrame, DataFrame]:
     """(rows with ``bytes``, ``path`` and ``sha256``, rejects) of a table with embedded audio: struct of bytes and path.
 
