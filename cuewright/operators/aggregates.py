@@ -92,6 +92,22 @@ def rows_of_leaks(df: DataFrame, session: list[str], split: str) -> DataFrame:
     return df.join(bad, session, "left_semi")
 
 
+def with_recipe(df: DataFrame, fields: list[str], out: str) -> DataFrame:
+    """``out``: SHA-256 of the canonical JSON of a plan's fields."""
+    from cuewright.functions.hashing import json_text
+
+    return df.withColumn(out, F.sha2(json_text(F.struct(*sorted(fields))), 256))
+
+
+def plan_faults(plans: DataFrame, fields: list[str], recipe: str = "recipe_sha256", plan: str = "plan_id", status: str = "status") -> DataFrame:
+    """Plans with ``faults``: not generated, a recipe hash that is not that of its fields (stale), an empty or a repeated id."""
+    from cuewright.functions.checks import failed
+
+    x = with_recipe(plans, fields, "__now").join(duplicate_keys(plans, plan).select(plan, F.lit(True).alias("__twice")), plan, "left")
+    why = failed(status=F.col(status) == "generated", stale=F.col(recipe) == F.col("__now"), empty=F.trim(plan) != "", repeated=F.col("__twice").isNull())
+    return x.withColumn("faults", why).where(F.size("faults") > 0).drop("__now", "__twice")
+
+
 def manifest_report(manifest: DataFrame, stored: DataFrame, key: str, session: list[str], split: str) -> DataFrame:
     """(fault, n): rows of a manifest with a licence fault, a repeated key or a session in several splits, and keys that are
     ``missing`` among the stored ones or ``extra`` there, one row a kind that occurs.

@@ -33,6 +33,22 @@ def a11_plan_set(spark, d):
     return p.agg(F.count("*").alias("plans"), zh.alias("zh"), F.count_if(F.col("n") > 2).alias("long_plans"), F.sum("empty").alias("empty_turns"), (zh * 5 == F.count("*") * 4).alias("mix_ok"))
 
 
+@query("""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 19 = 4 THEN ' ' WHEN doc_id % 23 = 5 THEN 'plan-' || (doc_id - 1) ELSE 'plan-' || doc_id END AS plan_id, CASE WHEN doc_id % 13 = 2 THEN 'draft' ELSE 'generated' END AS status, doc_id % 7 = 3 AS edited FROM documents),
+n AS (SELECT plan_id, count(*) AS n FROM p GROUP BY plan_id)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN status <> 'generated' THEN 'status' END, CASE WHEN edited THEN 'stale' END, CASE WHEN trim(plan_id, ' ') = '' THEN 'empty' END, CASE WHEN n > 1 THEN 'repeated' END], lambda x: x IS NOT NULL), ',') AS faults
+FROM p JOIN n USING (plan_id) WHERE status <> 'generated' OR edited OR trim(plan_id, ' ') = '' OR n > 1""")
+def a11_plan_faults(spark, d):
+    """Plans whose recipe was changed after it was hashed, that are drafts, or whose id is empty or not their own."""
+    k = F.col("doc_id")
+    x = table(spark, d, "documents").select(
+        "doc_id", F.when(k % 19 == 4, " ").when(k % 23 == 5, F.concat(F.lit("plan-"), k - 1)).otherwise(F.concat(F.lit("plan-"), k)).alias("plan_id"),
+        F.when(k % 13 == 2, "draft").otherwise("generated").alias("status"), "lang", "source", "n_chars",
+    )
+    x = aggregates.with_recipe(x, ["lang", "source", "n_chars"], "recipe_sha256")
+    x = x.withColumn("n_chars", F.when(k % 7 == 3, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
+    return aggregates.plan_faults(x, ["lang", "source", "n_chars"]).select("doc_id", F.array_join("faults", ",").alias("faults"))
+
+
 @query(f"WITH {TURNS_SQL} SELECT language, count(DISTINCT plan_id) AS plans, count(*) FILTER (role = 'assistant') AS replies FROM turns GROUP BY language")
 def a12_text_report(spark, d):
     return plan_turns(spark, d).groupBy("language").agg(F.count_distinct("plan_id").alias("plans"), F.count_if(F.col("role") == "assistant").alias("replies"))

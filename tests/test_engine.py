@@ -754,3 +754,49 @@ def test_receipts_stream_equals_batch(spark, tmp_path):
     got = drain(run.writeStream.format("memory").queryName("t_receipts_all").option("checkpointLocation", str(tmp_path / "c")).start(), spark, "t_receipts_all")
     key = lambda d: sorted(map(str, (tuple(r) for r in d.collect())))
     assert key(got) == key(sessions.receipts_batch(u))
+
+
+def test_normalised_waves_and_rejects(spark):
+    import math
+
+    import numpy as np
+
+    tone = [math.sin(i / 7) for i in range(480)]
+    rows = [(1, tone, 48_000, 1), (2, [x for v in tone for x in (v, -v)], 24_000, 2), (3, [x for v in tone for x in (v, v)], 24_000, 2), (4, [0.0] * 10, 24_000, 1), (5, [], 24_000, 1), (6, None, 24_000, 1), (7, [float("nan")], 24_000, 1), (8, tone, 0, 1), (9, tone[:3], 24_000, 2), (10, [1.0] + [0.0] * 9999, 24_000, 1), (11, tone, 8_000, 1)]
+    df = spark.createDataFrame(rows, "i int, w array<double>, r int, c int")
+    good, bad = audio.normalise(df, "w", "r", "c", seconds=0.05, kind="double")
+    got = {r["i"]: np.array(r["normal"]) for r in good.collect()}
+    assert {r["i"]: r["reason"] for r in bad.collect()} == {2: "silent", 4: "silent", 5: "empty", 6: "empty", 7: "not finite", 8: "rate or channels", 9: "rate or channels"}
+    assert {i: len(w) for i, w in got.items()} == {1: 240, 3: 480, 10: 1200, 11: 1200}
+    assert abs(np.sqrt(np.mean(got[3] ** 2)) - 10 ** (-23 / 20)) < 1e-9 and abs(np.abs(got[10]).max() - 10 ** (-1 / 20)) < 1e-9
+    assert np.allclose(got[1] / got[1][1], np.array(tone)[::2] / tone[2]) and np.allclose(got[11][3::3] / got[11][3], np.array(tone)[1:400] / tone[1])
+
+
+def test_voices_by_language_split_and_role(spark):
+    voices = spark.createDataFrame([("a", "en", "user", "train"), ("b", "multilingual", "user", "train"), ("c", "zh", "user", None), ("z", "en", "assistant", None)], "voice string, language string, role string, split string")
+    turns = spark.createDataFrame([(i, r, lang, s) for i in range(3) for r in ("user", "assistant") for lang in ("en", "zh") for s in ("train", "test")], "i int, role string, language string, split string")
+    got = {(r["i"], r["role"], r["language"], r["split"]): (r["voice"], r["fault"]) for r in joins.pick_voices(turns, voices, "i", ["train", "test"]).collect()}
+    assert len(got) == 24
+    for (i, role, language, split), (voice, fault) in got.items():
+        pool = ["z"] if role == "assistant" else {("en", "train"): ["a", "b"], ("zh", "train"): ["b", "c"], ("zh", "test"): ["c"], ("en", "test"): []}[language, split]
+        assert (voice, fault) == ((pool[i % len(pool)], None) if pool else (None, "no voice"))
+
+
+def test_id_sets_by_marks(spark):
+    a = spark.createDataFrame([("x", i) for i in range(50)] + [("y", i) for i in range(9)] + [("y", 3)], "k string, v int")
+    assert aggregates.set_differences(a, a.orderBy(F.rand(1)), ["k"], "v").count() == 0
+    b = a.where("not (k = 'x' and v = 7)").unionByName(spark.createDataFrame([("z", 1)], a.schema))
+    assert {tuple(r) for r in aggregates.set_differences(a, b, ["k"], "v").collect()} == {("x", 7, "missing"), ("z", 1, "extra")}
+
+
+def test_written_manifests_are_in_order(spark, tmp_path):
+    rows = [(f"i{i:04d}", ["train", "test"][i % 3 == 0], i * 7 % 101) for i in range(300)]
+    df = spark.createDataFrame(rows, "item string, split string, size int").repartition(5)
+    records.write_manifests(df, "split", ["size", "item"], str(tmp_path / "m"), ["train", "test"])
+    read = lambda p: [json.loads(x) for f in sorted(p.glob("part-*")) for x in f.read_text().splitlines()]
+    want = {s: [i for i, _, _ in sorted((r for r in rows if r[1] == s), key=lambda r: (r[2], r[0]))] for s in ("train", "test")}
+    for s in want:
+        got = read(tmp_path / "m" / "by" / f"split={s}")
+        assert [x["item"] for x in got] == want[s] and [x["ordinal"] for x in got] == list(range(len(got)))
+    got = read(tmp_path / "m" / "all")
+    assert [x["item"] for x in got] == want["train"] + want["test"] and [x["place"] for x in got] == list(range(300))
