@@ -37,7 +37,8 @@ CELL = 48
 CHUNK = 64
 ROUNDS = 6
 RECALL = 1.0
-AUDIT = 200
+#: Nodes that a first audit asks, links that it needs to tell a recall, and nodes that it asks at most for them.
+AUDIT, AUDIT_LINKS, AUDIT_MOST = 200, 100, 6_400
 BLOCK = 1024
 #: Most crowded cells that are broadcast (about 40 bytes each); more are joined by shuffle.
 CROWDED = 100_000
@@ -161,23 +162,37 @@ def refine(graph: DataFrame, reps: DataFrame) -> DataFrame:
     return _dealt(x, *keys).mapInPandas(_groups(join, keys), "u long, v long, sim double")
 
 
-def audit_links(reps: DataFrame, most: int = AUDIT) -> pd.DataFrame:
+def audit(reps: DataFrame, scratch: Scratch, cosine: float) -> tuple[DataFrame, int, bool]:
+    """(links, their number, whether they tell): links of sampled nodes by brute force, of twice as many nodes each time until
+    there are AUDIT_LINKS of them, all nodes were asked, or AUDIT_MOST were, which then tells nothing."""
+    n, most = reps.count(), AUDIT
+    while True:
+        truth = scratch.keep(audit_links(reps, n, most, cosine))
+        found = truth.count()
+        if found >= AUDIT_LINKS or most >= n:
+            return truth, found, True
+        if most >= AUDIT_MOST:
+            return truth, found, False
+        scratch.drop(truth)
+        most *= 2
+
+
+def audit_links(reps: DataFrame, n: int, most: int, cosine: float) -> DataFrame:
     """Links (a, b) of a fixed sample of nodes with all nodes of their label, by brute force.
 
-    The sample is a stated query set: at most about twice ``most`` vectors, broadcast in one block;
+    The sample is a stated query set: at most about twice ``most`` of the ``n`` vectors, broadcast in one block;
     a node's links are counted up to a thousand for the audit only.
     """
-    n = reps.count()
     rows = reps.where(F.pmod(F.xxhash64(F.lit("audit"), "id"), F.lit(max(1, n // most))) == 0).limit(2 * most).toPandas()
     if not len(rows):
-        return pd.DataFrame({"a": [], "b": []})
+        return reps.sparkSession.createDataFrame([], "a long, b long")
     shared = reps.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), rows["label"].to_numpy(), _matrix(rows["v"])))
 
     def run(batches):
         qi, ql, qv = shared.value
         for b in batches:
             if len(b):
-                hit = (_matrix(b["v"]) @ qv.T >= COSINE) & (b["label"].to_numpy()[:, None] == ql[None]) & (b["id"].to_numpy()[:, None] != qi[None])
+                hit = (_matrix(b["v"]) @ qv.T >= cosine) & (b["label"].to_numpy()[:, None] == ql[None]) & (b["id"].to_numpy()[:, None] != qi[None])
                 x, q = np.nonzero(hit)
                 yield pd.DataFrame({"a": qi[q], "b": b["id"].to_numpy()[x]})
 
@@ -251,9 +266,12 @@ def count_links(reps: DataFrame, roots: DataFrame, cosine: float) -> DataFrame:
     return rows.groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, report: dict | None = None) -> DataFrame:
     """One row per input row: id_col, n_links, component_id, kept.
 
+    ``report``, if given, gets the audited links, and the shares of them that the graph and the result join. An audit
+    that is unmet, or has too few links to tell, is followed by exact blocks of all nodes of a label.
+
     Rows link when their labels are equal and not null and their cosine in double precision is at
     least ``cosine``. Null, empty, zero and non-finite vectors (and rows without an id) link with
     nothing and are their own component. ``kept`` marks the smallest id of a component. Vectors of
@@ -269,7 +287,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     all_nodes = s.keep(filled(all_nodes, one.d))
     reps = s.keep(all_nodes.where(F.col("v").isNotNull()).groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     graph = s.keep(_trim(first_graph(reps, one.d), None))
-    truth = s.keep(audit_links(reps))
+    truth, _, tells = audit(reps, s, cosine)
     roots = None
     for _ in range(ROUNDS):
         edges = graph.where(F.col("sim") >= cosine)
@@ -288,6 +306,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         if got >= RECALL * n:
             break
     log.info("near_duplicates: %d of %d audited links are joined by the graph", got, n)
+    report = {} if report is None else report
+    report |= {"audited": n, "graph": got / n if n else None}
     # saturated nodes first; if the audit is still unmet, all of a label
     for some in (reps.join(saturated(graph, cosine), "id"), reps):
         across = s.keep(links_across(some, roots, cosine))
@@ -295,9 +315,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
             edges = edges.select("u", "v").unionByName(across)
             roots = s.keep(connected_components(edges, "u", "v", s))
             n, got = audited(truth, roots)
-        if got >= RECALL * n:
+        if got >= RECALL * n and tells:
             break
     log.info("near_duplicates: %d of %d audited links are joined", got, n)
+    report |= {"joined": got / n if n else None, "exact": not tells}
+    if got < 0.9 * n:
+        raise RuntimeError(f"only {got} of {n} audited links are joined")
     counts = s.keep(count_links(reps, roots, cosine))
     low = roots.groupBy("root").agg(F.min("node").alias("component_id"))
     member = reps.join(roots.withColumnRenamed("node", "id"), "id", "left").join(low, "root", "left").join(counts, "id", "left")

@@ -479,6 +479,21 @@ def test_vectors_are_exact_where_the_rounds_fall_short(spark, monkeypatch, caplo
     assert first[0] < first[1] and last[0] == last[1]
 
 
+def test_audit_with_few_links_asks_more_nodes_or_compares_all(spark, monkeypatch):
+    r = np.random.default_rng(15)
+    rows = [(i, [float(x) for x in r.normal(size=8)], 0) for i in range(300)]
+    rows += [(300 + k, [x * 1.001 for x in rows[40 * k][1][:7]] + [rows[40 * k][1][7]], 0) for k in range(5)]
+    df, want = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), sorted(plain_vectors(rows))
+    report = {}
+    got = vectors.near_duplicates(df, report=report)
+    assert sorted(map(tuple, got.select("vec_id", "n_links", "component_id", "kept").collect())) == want
+    assert report["audited"] == 10 and report["joined"] == 1.0 and not report["exact"]  # every node was asked
+    monkeypatch.setattr(vectors, "AUDIT", 20)
+    monkeypatch.setattr(vectors, "AUDIT_MOST", 40)
+    got = vectors.near_duplicates(df, report=report)
+    assert sorted(map(tuple, got.select("vec_id", "n_links", "component_id", "kept").collect())) == want and report["exact"]
+
+
 def test_vectors_of_different_lengths_do_not_link(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.0, 0.0], 0), (3, [2.0, 0.0], 0), (4, [], 0), (5, [1.0], 0), (6, None, 0)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
