@@ -100,4 +100,4 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
-ORACLES = {"op4_near_vectors": vectors.ORACLE_SQL, "op8_mix_sources": mixing.ORACLE_SQL, "op10_chat_format": CHAT_SQL, "op11_importance_resample": resample.ORACLE_SQL, "op13_spelling_variants": permuterm.ORACLE_SQL}
+ORACLES = {"op4_near_vectors": vectors.ORACLE_SQL, "op8_mix_sources": mixing.ORACLE_SQL, "op10_chat_format": CHAT_SQL, "op11_importance_resample": resample.ORACLE_SQL, "op12_secrets": secrets.ORACLE_SQL, "op13_spelling_variants": permuterm.ORACLE_SQL}

@@ -213,3 +213,38 @@ def digest(docs: DataFrame, allow: Iterable[str] = ()) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] != ADDED)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return x.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(say(base), 256).alias("base_sha256"), say(F.col("spans")).alias("spans"), count(ADDED).alias("n_added"))
+
+
+def _oracle() -> str:
+    """DuckDB SQL for ``digest``: places from the pieces between matches, every window counted afresh."""
+
+    def found(source: str, keys: str, text: str, pattern: str, group: str = "0") -> str:
+        q = pattern.replace("'", "''")
+        return f"""(SELECT {keys}, m[i + 1] AS hit, g[i + 1] AS part, coalesce(list_sum(list_transform(s[1:i + 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0) AS place
+FROM (SELECT *, unnest(range(len(m))) AS i FROM (SELECT {keys}, regexp_extract_all({text}, '{q}') AS m, regexp_extract_all({text}, '{q}', {group}) AS g, string_split_regex({text}, '{q}') AS s FROM {source})))"""
+
+    assign = ASSIGN.pattern.replace("([Pp]", "(?:[Pp]", 1)
+    kinds = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS kind, place::BIGINT AS a, (place + length(hit))::BIGINT AS b FROM {found('d', 'doc_id', 'text', p, g)} WHERE {ok}"
+        for k, (p, g, ok) in enumerate(((assign, "1", "length(part) >= 6"), (ACCESS.pattern, "0", "true"), (HEX.pattern, "0", "true")))
+    )
+    only = lambda c: f"length(regexp_replace(w, '[^{c}]', '', 'g'))"
+    high = " UNION ALL ".join(
+        f"""SELECT doc_id, c, a, r + j AS x FROM (SELECT *, substr(run, j + 1, {WINDOW}) AS w FROM (SELECT doc_id, c, a, place::BIGINT AS r, hit AS run, unnest(range(length(hit) - {WINDOW - 1})) AS j FROM {found('cand', 'doc_id, c, a', 'c', f'[{re.escape(k.letters)}]{{{WINDOW},}}')}))
+WHERE list_sum(list_transform(map_values(list_aggregate(string_split(w, ''), 'histogram')), lambda n: {WEIGHT}[n::BIGINT + 1])) <= {most_repeated(k.bits)} AND {only('0-9')} >= {k.digits} AND {only('A-Z')} >= {k.capitals} AND {only('a-z')} >= {k.small} AND {only('A-Za-z')} > 2"""
+        for k in CLASSES
+    )
+    harmless_sql = " OR ".join(f"regexp_matches(c, '{p}')" for p in (PLAIN[0].pattern, *(f"^(?:{p.pattern.removesuffix(chr(92) + 'Z')})$" for p in PLAIN[1:])))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), base AS MATERIALIZED ({kinds}),
+cand AS (SELECT doc_id, hit AS c, place::BIGINT AS a FROM {found('d', 'doc_id', 'text', '[A-Za-z0-9+/_.=-]{20,}')}),
+high AS (SELECT DISTINCT doc_id, c, a, x FROM ({high}) WHERE NOT ({harmless_sql})),
+edge AS (SELECT *, x > lag(x) OVER (PARTITION BY doc_id, a ORDER BY x) + {WINDOW} IS NOT FALSE AS fresh FROM high),
+isle AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id, a ORDER BY x) AS isle FROM edge),
+added AS (SELECT doc_id, 3 AS kind, (a + min(x))::BIGINT AS a, (a + max(x) + {WINDOW})::BIGINT AS b FROM isle GROUP BY doc_id, isle.a, isle),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM added e WHERE NOT EXISTS (SELECT 1 FROM base s WHERE s.doc_id = e.doc_id AND s.a < e.b AND e.a < s.b)),
+told AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || a || ':' || b AS said FROM every)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, sha256(coalesce(string_agg(said, ',' ORDER BY a, kind) FILTER (kind < 3), '')) AS base_sha256,
+coalesce(string_agg(said, ',' ORDER BY a, kind), '') AS spans, count(*) FILTER (kind = 3) AS n_added FROM d LEFT JOIN told USING (doc_id) GROUP BY d.doc_id"""
+
+
+ORACLE_SQL = _oracle()

@@ -332,6 +332,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     r = Ratios(scratch.keep(first[0].table))
     aside = F.broadcast(bounded_sample(marks.where("side"), id_col, calibrate_rows))  # its size is bounded
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(aside.withColumnRenamed(id_col, "id"), "id")
+    rows = rows.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("y").alias("y"))  # one text an id, however often it is repeated
     rows = evidence(rows.select("y", "text"), r, "y", "text").toPandas()
     model = Model(Ratios(scratch.keep(last[0].table)), last[1], calibrate(rows["x"].to_numpy(float), rows["id"].to_numpy(float)))
     scratch.drop(marks, counts, r.table)

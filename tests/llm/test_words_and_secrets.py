@@ -21,7 +21,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in rows], DOCS)
 
 
-@pytest.mark.parametrize("name", ["op11_importance_resample", "op13_spelling_variants"])
+@pytest.mark.parametrize("name", ["op11_importance_resample", "op12_secrets", "op13_spelling_variants"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
@@ -134,6 +134,21 @@ def test_base_spans_against_the_patterns():
         assert [(a, secrets.KINDS.index(k), b) for a, k, b in secrets.secret_spans(t) if k != secrets.ADDED] == plain_base(t), t
 
 
+def test_spans_equal_the_sql_on_random_keys():
+    """Pieces of patterns and random keys of all classes: every span, added ones too, is the one that SQL finds by counting each window."""
+    rng, letters = random.Random(2), [c.letters for c in secrets.CLASSES]
+    bits = ["password=", "PassWd: ", "secret", "=", "ghp_", " ", "AKIA" + "A1B2" * 4, "0123456789abcdef" * 2, "é", "İ", "\n", "example", "-", ".", "/", "the erin "]
+    piece = lambda: rng.choice(bits) if rng.random() < 0.7 else "".join(rng.choice(rng.choice(letters)) for _ in range(rng.randrange(15, 60))) if rng.random() < 0.2 else (lambda c: "".join(rng.choice(c) for _ in range(rng.randrange(15, 60))))(rng.choice(letters))
+    rows = [(i, "".join(piece() for _ in range(rng.randrange(0, 9)))) for i in range(300)] + [(1000, None)]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    got = {r[0]: r[5] for r in con.sql(secrets.ORACLE_SQL).fetchall()}
+    spans = {i: secrets.secret_spans(t) for i, t in rows}
+    assert got == {i: ",".join(f"{k}:{a}:{b}" for a, k, b in x) for i, x in spans.items()}
+    assert sum(k == secrets.ADDED for x in spans.values() for _, k, _ in x) > 50
+
+
 def test_windows_against_counting_afresh():
     rng = random.Random(4)
     for c in secrets.CLASSES:
