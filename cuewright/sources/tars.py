@@ -74,18 +74,19 @@ def expand(patterns: str) -> list[str]:
     """Sorted, distinct files of comma-free patterns with braces and wildcards (``*`` stays within a folder)."""
     found = set()
     for pattern in braces(patterns):
-        at, path = store(pattern)
-        prefix = pattern[: len(pattern) - len(path)] if pattern.endswith(path) else ""
-        if not re.search(r"[*?\[]", path):
-            if at.get_file_info(path).type == fs.FileType.File:
-                found.add(prefix + path)
+        wild = re.search(r"[*?\[]", pattern)
+        head = pattern[: wild.start()].rsplit("/", 1)[0] if wild else pattern
+        at, base = store(head or "/")
+        if not wild:
+            if at.get_file_info(base).type == fs.FileType.File:
+                found.add(pattern)
             continue
-        steps = path.split("/")
-        base = "/".join(steps[: next(i for i, s in enumerate(steps) if re.search(r"[*?\[]", s))]) or "/"
-        for f in at.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)):
-            mine = f.path.split("/")
-            if f.type == fs.FileType.File and len(mine) == len(steps) and all(fnmatch.fnmatchcase(a, b) for a, b in zip(mine, steps)):
-                found.add(prefix + f.path)
+        steps = pattern[len(head) :].strip("/").split("/")
+        # folders below are looked into only where the pattern has more than one step
+        for f in at.get_file_info(fs.FileSelector(base, recursive=len(steps) > 1, allow_not_found=True)):
+            mine = f.path[len(base.rstrip("/")) :].strip("/").split("/")
+            if f.type == fs.FileType.File and len(mine) == len(steps) and all(map(fnmatch.fnmatchcase, mine, steps)):
+                found.add("/".join([head, *mine]))
     return sorted(found)
 
 

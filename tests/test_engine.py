@@ -800,3 +800,14 @@ def test_written_manifests_are_in_order(spark, tmp_path):
         assert [x["item"] for x in got] == want[s] and [x["ordinal"] for x in got] == list(range(len(got)))
     got = read(tmp_path / "m" / "all")
     assert [x["item"] for x in got] == want["train"] + want["test"] and [x["place"] for x in got] == list(range(300))
+
+
+def test_patterns_name_files_once(tmp_path):
+    for x in ("a/1.tar", "a/2.tar", "b/1.tar", "b/c/3.tar", "x.tar"):
+        (tmp_path / x).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / x).touch()
+    d = str(tmp_path)
+    named = lambda p: [x.replace(d, "") for x in tars.expand(p)]
+    assert named(f"{d}/*.tar") == ["/x.tar"] and named(f"{d}/*/*.tar") == ["/a/1.tar", "/a/2.tar", "/b/1.tar"]
+    assert named(f"file://{d}/{{a,b}}/[12].tar") == ["file:///a/1.tar", "file:///a/2.tar", "file:///b/1.tar"]
+    assert named(f"{d}/{{x,x}}.tar") == ["/x.tar"] and named(f"{d}/none/*.tar") == []
