@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cuewright.functions.clock import FRAME, RATE, align_up
+from cuewright.functions.hashing import positional_split
 from cuewright.sources.scratch import Scratch
 
 
@@ -42,6 +43,12 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> Data
     return running(df, keys, order, F.lit(1).cast("long"), out)
 
 
+def split_by_place(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``split``: 80/10/10 by the place of each row among those of its keys, which must not be null."""
+    x = numbered(df, keys, order, "__place").join(df.groupBy(*keys).agg(F.count("*").alias("__n")), keys)
+    return x.withColumn("split", positional_split(F.col("__place"), F.col("__n"))).drop("__place", "__n")
+
+
 def dialogue_timeline(turns: DataFrame, plan: str = "plan_id", turn: str = "turn", role: str = "role", samples: str = "samples", frame: int = FRAME) -> DataFrame:
     """start_sample and end_sample of every turn.
 

@@ -51,6 +51,14 @@ def p3_valid_sha256(spark, d):
     return table(spark, d, "documents").select("doc_id", hashing.valid_sha256(bad).alias("digest"))
 
 
+@query("""SELECT doc_id, CASE WHEN i < n * 8 // 10 THEN 'train' WHEN i < n * 9 // 10 THEN 'validation' ELSE 'test' END AS split
+FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)""")
+def p5_split_by_place(spark, d):
+    """80/10/10 by place within each language, whatever the number of its documents."""
+    x = layout.split_by_place(table(spark, d, "documents").select("doc_id", "lang", "source"), ["lang"], ["source", "doc_id"])
+    return x.select("doc_id", "split")
+
+
 @query(f"WITH {ITEMS_SQL} SELECT split, count(*) AS n, min(item_id) AS first_id, max(item_id) AS last_id FROM items GROUP BY split")
 def p5_positional_split(spark, d):
     return source_items(spark, d).groupBy("split").agg(F.count("*").alias("n"), F.min("item_id").alias("first_id"), F.max("item_id").alias("last_id"))
