@@ -32,6 +32,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 WINDOW = 20
+#: Characters from which on a text is searched without a look at its words' lengths, with the same result.
+WHOLE = 1 << 20
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{20,}")
 
 
@@ -55,6 +57,8 @@ CLASSES = (
     CharClass("BASE36", _NUM + _UP, 3.5, 4, capitals=4),
     CharClass("base64", _NUM + _UP + _LOW + "+/_-", 3.75, 2, 2, 2),
 )
+#: 0 digits, 1 capitals, 2 small letters, 3 the others of the classes.
+KIND = {x: 0 if x in _NUM else 1 if x in _UP else 2 if x in _LOW else 3 for c in CLASSES for x in c.letters}
 SCALE = 1 << 30
 WEIGHT = [0, *(round(c * math.log2(c) * SCALE) for c in range(1, WINDOW + 1))]
 
@@ -67,13 +71,12 @@ def most_repeated(bits: float) -> int:
 def high_windows(s: str, c: CharClass) -> list[tuple[int, int]]:
     """Union of the windows of ``s``, all of its letters in the class, that count as random: (start, end)s."""
     counts, total, out, most = dict.fromkeys(s, 0), 0, [], most_repeated(c.bits)
-    kind = [0 if "0" <= x <= "9" else 1 if "A" <= x <= "Z" else 2 if "a" <= x <= "z" else 3 for x in s]
     kinds = [0, 0, 0, 0]
     for i, x in enumerate(s):
         n = counts[x]
         total += WEIGHT[n + 1] - WEIGHT[n]
         counts[x] = n + 1
-        kinds[kind[i]] += 1
+        kinds[KIND[x]] += 1
         if i + 1 < WINDOW:
             continue
         j = i + 1 - WINDOW
@@ -86,7 +89,7 @@ def high_windows(s: str, c: CharClass) -> list[tuple[int, int]]:
         n = counts[x]
         total += WEIGHT[n - 1] - WEIGHT[n]
         counts[x] = n - 1
-        kinds[kind[j]] -= 1
+        kinds[KIND[x]] -= 1
     return out
 
 
@@ -151,8 +154,8 @@ def secret_spans(text: str | None, allow: frozenset[str] = frozenset()) -> list[
     """(start, kind, end) by start, then kind as listed, the added kind last."""
     text = text or ""
     out = [(a, 0, b) for a, b in _assigned(text)]
-    # every other span lies in a long candidate, and that in a long word
-    if max(map(len, text.split()), default=0) >= WINDOW:
+    # every other span lies in a long candidate, and that in a long word; a huge text isn't split for that
+    if len(text) > WHOLE or max(map(len, text.split()), default=0) >= WINDOW:
         more = []
         for m in CANDIDATE.finditer(text):
             out += [(h.start(), 1, h.end()) for h in ACCESS.finditer(text, m.start(), m.end())]
