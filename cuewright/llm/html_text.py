@@ -121,6 +121,7 @@ class Page(list[Block]):
 
     def __init__(self):
         self.up: dict[int, int] = {}
+        self.how: list[int] | None = None  # what settle found
 
 
 def blocks(page: str | None) -> Page:
@@ -287,6 +288,8 @@ KEEP, JUDGE, LEAVE = 0, 1, 2
 def settle(page: Page) -> list[int]:
     """Per block whether it is text (KEEP), isn't (LEAVE), or is for the host's runs to judge (JUDGE): it stands outside of
     articles, or in a division that holds less than half of its article's text."""
+    if page.how is not None:
+        return page.how
     mass: Counter[int] = Counter()
     within: Counter[int] = Counter()
     home: dict[int, int] = {}
@@ -303,7 +306,8 @@ def settle(page: Page) -> list[int]:
         minor[part] = minor[page.up[part]] or 2 * within[part] < mass[home.get(part, 0)]
     best = max((n for b, n in mass.items() if b), default=0)
     boxes = {b for b, n in mass.items() if b and 2 * n >= best} if best and mass[0] <= OUTSIDE * best else {0}
-    return [LEAVE if bad or box not in boxes else JUDGE if not box or minor[part] else KEEP for _, bad, box, part in page]
+    page.how = [LEAVE if bad or box not in boxes else JUDGE if not box or minor[part] else KEEP for _, bad, box, part in page]
+    return page.how
 
 
 def stream_of(parts: Page, host: int) -> np.ndarray:
