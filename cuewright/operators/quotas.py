@@ -187,7 +187,10 @@ def choose_counts(groups: DataFrame, keys: list[str]) -> DataFrame:
         total(lows, n).alias("all_low"), total(highs, n).alias("all_high"),
     ).where((F.col("all_low") <= whole) & (whole <= F.col("all_high")))
     x = x.withColumn("wish", F.greatest(F.lit(1), F.bround(F.col("n") / 11).cast("long"), F.ceil(goal / 60)))
-    x = x.withColumn("short", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_short").cast("long")))).withColumn("medium", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_medium").cast("long"))))
+    x = x.withColumn("short", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_short").cast("long"))))
+    # groups are few: their short counts are dealt out before they are paired
+    x = x.repartition(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "short")
+    x = x.withColumn("medium", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_medium").cast("long"))))
     low = lows["short"] * F.col("short") + lows["medium"] * F.col("medium")
     high = highs["short"] * F.col("short") + highs["medium"] * F.col("medium")
     # the screens' seconds reach up to min(high, whole - all_low + low) and down to max(low, whole - all_high + high)
