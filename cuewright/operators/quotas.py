@@ -169,45 +169,116 @@ def fit_buckets(rows: DataFrame, targets: DataFrame, bucket: str, ticks: str, or
 CLASS_BOUNDS = {"short": (4, 16), "medium": (16, 32), "long": (32, 60)}
 
 
+#: Short counts that are looked at together by one call
+STRETCH = 16_384
+BEST = "gap double, off long, middle double, count long, short long, medium long, long long, attainable double"
+
+
+def _best_counts(short: np.ndarray, n_medium: int, n_long: int, n: int, goal: int, above: int, below: int, wish: int, unit: int) -> tuple | None:
+    """The best (gap, off, middle, count, short, medium, long, attainable) with one of these short counts; None if there is none.
+
+    Times are whole numbers of ``unit`` a second; ``above`` and ``below`` is what the group has over all lows and lacks to all highs.
+    For a count c = 7 q + r and a short count, the medium counts that keep the gap within g run from the largest of
+    four numbers to the least of four others, all linear in q: so the q with any are an interval, and no pair is spelled out.
+    """
+    lows, highs = (np.array([b[i] for b in CLASS_BOUNDS.values()]) for i in (0, 1))
+    (ls, lm, ll), (hs, hm, hl) = lows * unit, highs * unit
+    ceil = lambda a, b: -(-a // b)
+
+    def mediums(c, s, g):
+        """Bounds of the medium count: (lower ones), (upper ones)."""
+        low, high = ll * c - (ll - ls) * s, hl * c - (hl - hs) * s  # seconds without a medium one; each in a long one's place takes some off
+        zero = np.zeros_like(low)
+        return (
+            (ceil(low - goal - g, ll - lm), ceil(high - below - goal - g, hl - hm), zero, zero + c - s - n_long),
+            ((low + above - goal + g) // (ll - lm), (high - goal + g) // (hl - hm), zero + n_medium, zero + c - s),
+        )
+
+    r, period = np.arange(7)[:, None], 7
+    slopes = (ll * period // (ll - lm), hl * period // (hl - hm), 0, period)  # of both kinds of bounds
+
+    def periods(g):
+        """Least and greatest q by r and short count."""
+        lower, upper = mediums(r, short, g)
+        least, most = np.broadcast_to(ceil(1 - r, period), lower[0].shape).copy(), np.broadcast_to((n - 1 - r) // period, lower[0].shape).copy()
+        for i, a in zip(slopes, lower):
+            for k, b in zip(slopes, upper):
+                if i > k:
+                    np.minimum(most, (b - a) // (i - k), out=most)
+                elif i < k:
+                    np.maximum(least, ceil(a - b, k - i), out=least)
+                else:
+                    most[a > b] = least[a > b] - 1
+        return least, most
+
+    def meets(g):
+        least, most = periods(g)
+        return bool((least <= most).any())
+
+    gap, most_gap = 0, 0 if meets(0) else int(abs(goal) + above + below + hl * n)
+    if not meets(most_gap):
+        return None
+    while gap < most_gap:
+        g = (gap + most_gap) // 2
+        gap, most_gap = (gap, g) if meets(g) else (g + 1, most_gap)
+    least, most = periods(gap)
+    near = np.stack([np.clip((wish - r) // period + i, least, most) for i in (0, 1)]) * period + r
+    off = np.where(least <= most, np.abs(near - wish), np.iinfo(np.int64).max)
+    at = off == off.min()
+    c, s = near[at], np.broadcast_to(short, near.shape)[at]
+    lower, upper = mediums(c, s, gap)
+    first, last = np.maximum.reduce(lower), np.minimum.reduce(upper)
+
+    def ends(c, s, m):
+        low, high = ll * c - (ll - ls) * s - (ll - lm) * m, hl * c - (hl - hs) * s - (hl - hm) * m
+        return np.maximum(low, high - below), np.minimum(high, low + above)
+
+    # the sum of both ends falls with the medium count, so the best is next to where one of its four linear pieces meets the goal
+    low, high = ll * c - (ll - ls) * s, hl * c - (hl - hs) * s
+    dl, dh = ll - lm, hl - hm
+    roots = ((low + high - 2 * goal) // (dl + dh), (2 * low + above - 2 * goal) // (2 * dl), (2 * high - below - 2 * goal) // (2 * dh), (low + high + above - below - 2 * goal) // (dl + dh))
+    m = np.stack([np.clip(x + i, first, last) for x in roots for i in (0, 1)])
+    c, s = np.broadcast_to(c, m.shape), np.broadcast_to(s, m.shape)
+    down, up = ends(c, s, m)
+    middle = np.abs(down + up - 2 * goal)
+    at = middle == middle.min()
+    c, s, m, down, up = (x[at] for x in (c, s, m, down, up))
+    k = np.lexsort((m, s, c))[0]
+    attainable = min(max(goal, int(down[k])), int(up[k]))
+    return gap / unit, int(off.min()), int(middle.min()) / 2 / unit, int(c[k]), int(s[k]), int(m[k]), int(c[k] - s[k] - m[k]), attainable / unit
+
+
 def choose_counts(groups: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, short, medium, long, attainable): how many plans of each class show screens, one row a feasible group.
 
-    ``groups`` has keys, n_short, n_medium, n_long, screen_target and group_target (seconds). The chosen plans' seconds must
-    leave the others able to fill the group. Best is the least distance of what can be attained from the target, then of the
-    count from a wished one, then of the middle of what can be attained. Rows are pairs of a short and a medium
-    count; for each the long counts that meet the target form an interval, so only its ends, their outer neighbours and
-    the count nearest to the wish are scored.
+    ``groups`` has keys, n_short, n_medium, n_long, screen_target and group_target (seconds; fractions to a millionth). The chosen
+    plans' seconds must leave the others able to fill the group. Best is the least distance of what can be attained from the target,
+    then of the count from a wished one, then of the middle of what can be attained; ties go to the least count, short and medium
+    count. Rows are stretches of short counts; each finds its best at once, so work grows with a group's plans, not with their pairs.
     """
-    n = {c: F.col(f"n_{c}") for c in CLASS_BOUNDS}
-    lows, highs = ({c: b[i] for c, b in CLASS_BOUNDS.items()} for i in (0, 1))
-    total = lambda by, have: sum((have[c] * by[c] for c in by), F.lit(0))
-    goal, whole = F.col("screen_target"), F.col("group_target")
-    x = groups.select(
-        *keys, *(F.col(f"n_{c}") for c in CLASS_BOUNDS), goal, whole, (n["short"] + n["medium"] + n["long"]).alias("n"),
-        total(lows, n).alias("all_low"), total(highs, n).alias("all_high"),
-    ).where((F.col("all_low") <= whole) & (whole <= F.col("all_high")))
-    x = x.withColumn("wish", F.greatest(F.lit(1), F.bround(F.col("n") / 11).cast("long"), F.ceil(goal / 60)))
-    x = x.withColumn("short", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_short").cast("long"))))
-    # groups are few: their short counts are dealt out before they are paired
-    x = x.repartition(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "short")
-    x = x.withColumn("medium", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_medium").cast("long"))))
-    low = lows["short"] * F.col("short") + lows["medium"] * F.col("medium")
-    high = highs["short"] * F.col("short") + highs["medium"] * F.col("medium")
-    # the screens' seconds reach up to min(high, whole - all_low + low) and down to max(low, whole - all_high + high)
-    first = F.ceil(F.greatest((goal - high) / highs["long"], (goal - whole + F.col("all_low") - low) / lows["long"]))
-    last = F.floor(F.least((goal - low) / lows["long"], (goal - whole + F.col("all_high") - high) / highs["long"]))
-    wished = F.col("wish") - F.col("short") - F.col("medium")
-    inside = F.least(F.greatest(wished, first), last)
-    # some plans, but not all, show screens
-    least, most = F.greatest(F.lit(0), 1 - F.col("short") - F.col("medium")), F.least(F.col("n_long"), F.col("n") - 1 - F.col("short") - F.col("medium"))
-    tries = F.array_distinct(F.transform(F.array(first - 1, first, last, last + 1, inside), lambda k: F.least(F.greatest(k, least), most).cast("long")))
-    x = x.where(least <= most).withColumn("long", F.explode(tries)).withColumn("count", F.col("short") + F.col("medium") + F.col("long"))
-    have = {c: F.col(c) for c in CLASS_BOUNDS}
-    low, high = total(lows, have), total(highs, have)
-    down, up = F.greatest(low, whole - F.col("all_high") + high), F.least(high, whole - F.col("all_low") + low)
-    x = x.withColumn("attainable", F.least(F.greatest(goal, down), up).cast("double"))
-    score = F.struct(F.abs(F.col("attainable") - goal).alias("gap"), F.abs(F.col("count") - F.col("wish")).alias("off"), F.abs((down + up) / 2 - goal).alias("middle"), "count", *CLASS_BOUNDS, "attainable")
-    return x.groupBy(*keys).agg(F.min(score).alias("best")).select(*keys, *(f"best.{c}" for c in CLASS_BOUNDS), "best.attainable")
+    n = {c: F.col(f"n_{c}").cast("long") for c in CLASS_BOUNDS}
+    whole_numbers = all(groups.schema[c].dataType.typeName() in ("byte", "short", "integer", "long") for c in ("screen_target", "group_target"))
+    unit = 1 if whole_numbers else 1_000_000
+    total = lambda i: sum((n[c] * b[i] for c, b in CLASS_BOUNDS.items()), F.lit(0))
+    goal, whole = (F.round(F.col(c) * unit).cast("long") for c in ("screen_target", "group_target"))
+    x = groups.select(*keys, *(n[c].alias(f"n_{c}") for c in CLASS_BOUNDS), (n["short"] + n["medium"] + n["long"]).alias("n"), goal.alias("goal"), (whole - total(0) * unit).alias("above"), (total(1) * unit - whole).alias("below"))
+    x = x.where("above >= 0 and below >= 0 and goal is not null")
+    x = x.withColumn("wish", F.greatest(F.lit(1), F.bround(F.col("n") / 11).cast("long"), F.ceil(F.col("goal") / (60 * unit))))
+    x = x.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_short"), F.lit(STRETCH).cast("long"))))
+    # groups are few: their stretches are dealt out
+    x = x.repartition(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "start")
+    columns = ("start", "n_short", "n_medium", "n_long", "n", "goal", "above", "below", "wish")
+
+    @F.pandas_udf(BEST)
+    def best(*series: pd.Series) -> pd.DataFrame:
+        out = []
+        for start, n_short, *rest in zip(*(c.tolist() for c in series)):
+            out.append(_best_counts(np.arange(start, min(start + STRETCH, n_short + 1)), *rest, unit) or (None,) * 8)
+        return pd.DataFrame(out, columns=["gap", "off", "middle", "count", *CLASS_BOUNDS, "attainable"])
+
+    x = x.select(*keys, best(*columns).alias("best"))
+    x = x.groupBy(*keys).agg(F.min(F.when(F.col("best.gap").isNotNull(), F.col("best"))).alias("best")).where("best is not null")
+    return x.select(*keys, *(f"best.{c}" for c in CLASS_BOUNDS), "best.attainable")
 
 
 def screen_plans(plans: DataFrame, targets: DataFrame, keys: list[str], plan: str = "plan_id", cls: str = "duration_class") -> DataFrame:

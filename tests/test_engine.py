@@ -5,6 +5,7 @@ import itertools
 import json
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -234,6 +235,31 @@ def test_class_counts_against_all_triples(spark):
     assert got == want and len(want) > 60
 
 
+def test_class_counts_of_large_groups(spark):
+    """A million plans a class: pairs of counts can't be listed; stretches of short counts give what all triples give."""
+    big = (1_000_000, 1_000_001, 999_999)
+    lo, hi = sum(a * b for a, b in zip(big, (4, 16, 32))), sum(a * b for a, b in zip(big, (16, 32, 60)))
+    rng, groups, want = random.Random(9), [(-1, *big, (lo + hi) / 22, (lo + hi) / 2)], {}
+    for i in range(40):
+        n = tuple(rng.randrange(0, 14) for _ in range(3))
+        a, b = sum(a * b for a, b in zip(n, (4, 16, 32))), sum(a * b for a, b in zip(n, (16, 32, 60)))
+        whole, goal = rng.choice([a, b, rng.randint(a, b), (a + b) / 2]), rng.choice([0, b // 11, rng.randint(0, b + 40)]) + rng.choice([0, 0.5])
+        groups.append((i, *n, float(goal), float(whole)))
+        if (best := plain_counts(n, goal, whole)) is not None:
+            want[i] = best
+    df = spark.createDataFrame(groups, "g int, n_short long, n_medium long, n_long long, screen_target double, group_target double")
+    got = {r["g"]: (r["short"], r["medium"], r["long"], r["attainable"]) for r in quotas.choose_counts(df, ["g"]).collect()}
+    *k, at = got.pop(-1)
+    assert got == want and len(want) > 20
+    low, high = sum(a * b for a, b in zip(k, (4, 16, 32))), sum(a * b for a, b in zip(k, (16, 32, 60)))
+    down, up = max(low, (lo + hi) / 2 - hi + high), min(high, (lo + hi) / 2 - lo + low)
+    assert abs(at - (lo + hi) / 22) < 1e-6 and sum(k) == round(sum(big) / 11) and abs((down + up) / 2 - (lo + hi) / 22) <= 3
+    # short stretches of one group give the same as one
+    args = (40, 30, 110, 300, 900, 700, 10, 1)
+    whole = quotas._best_counts(np.arange(41), *args)
+    assert min(x for i in range(0, 41, 3) if (x := quotas._best_counts(np.arange(i, min(i + 3, 41)), *args))) == whole
+
+
 def test_exact_quantiles_against_sorted_values(spark):
     rng, rows = random.Random(3), []
     for key, n in (("a", 1), ("b", 2), ("c", 7), (None, 5_000), ("d", 20_000)):
