@@ -260,6 +260,18 @@ def test_class_counts_of_large_groups(spark):
     assert min(x for i in range(0, 41, 3) if (x := quotas._best_counts(np.arange(i, min(i + 3, 41)), *args))) == whole
 
 
+def test_screen_plans_of_a_large_group(spark):
+    plans = spark.range(90_000).select(F.col("id").alias("plan_id"), F.lit("g").alias("g"), F.element_at(F.array(*map(F.lit, quotas.CLASS_BOUNDS)), (F.col("id") % 3 + 1).cast("int")).alias("duration_class"))
+    low, high = 30_000 * 52, 30_000 * 108
+    t = spark.createDataFrame([("g", (low + high) // 22, (low + high) // 2)], "g string, screen_target long, group_target long")
+    got = quotas.screen_plans(plans, t, ["g"])
+    counts = quotas.choose_counts(t.selectExpr("*", "30000L n_short", "30000L n_medium", "30000L n_long"), ["g"]).first()
+    n = {r["duration_class"]: (r["n"], r["first"]) for r in got.where("screen").groupBy("duration_class").agg(F.count("*").alias("n"), F.max(F.sha2(F.col("plan_id").cast("string"), 256)).alias("first")).collect()}
+    assert {c: n.get(c, (0,))[0] for c in quotas.CLASS_BOUNDS} == {c: counts[c] for c in quotas.CLASS_BOUNDS} and sum(x for x, _ in n.values()) == round(90_000 / 11)
+    rest = got.where("not screen").groupBy("duration_class").agg(F.min(F.sha2(F.col("plan_id").cast("string"), 256)).alias("next")).collect()
+    assert all(r["duration_class"] not in n or n[r["duration_class"]][1] < r["next"] for r in rest)
+
+
 def test_exact_quantiles_against_sorted_values(spark):
     rng, rows = random.Random(3), []
     for key, n in (("a", 1), ("b", 2), ("c", 7), (None, 5_000), ("d", 20_000)):
