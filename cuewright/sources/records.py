@@ -104,7 +104,9 @@ def write_manifests(df: DataFrame, split: str, order: list[str], folder: str, sp
     x = scratch.keep(x)
     cut = x.repartitionByRange(n, "place").sortWithinPartitions("place")
     cut.select(canonical_lines(x).alias("value")).write.mode("overwrite").text(f"{folder}/all")
-    cut.select(canonical_lines(x.drop("place")).alias("value"), F.col(split).alias("split")).write.mode("overwrite").partitionBy("split").text(f"{folder}/by")
+    # rows come sorted by a split that is never null, as the writer wants them: a sort of its own would lose their order where it spills
+    by = x.withColumn("__split", F.coalesce(F.col(split).cast("string"), F.lit(""))).repartitionByRange(n, "place").sortWithinPartitions("__split", "place")
+    by.select(canonical_lines(x.drop("place")).alias("value"), F.col("__split").alias("split")).write.mode("overwrite").partitionBy("split").text(f"{folder}/by")
     scratch.drop()
 
 

@@ -840,6 +840,19 @@ def test_written_manifests_are_in_order(spark, tmp_path):
     assert [x["item"] for x in got] == want["train"] + want["test"] and [x["place"] for x in got] == list(range(300))
 
 
+def test_split_manifests_keep_their_order_where_sorts_spill(spark, tmp_path):
+    conf, name = spark._jsc.sc().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    df = spark.range(6_000).select(F.col("id").alias("item"), F.element_at(F.array(F.lit("train"), F.lit("test")), (F.col("id") % 2 + 1).cast("int")).alias("split"))
+    try:
+        conf.set(name, "100")
+        records.write_manifests(df, "split", ["item"], str(tmp_path / "m"), ["train", "test"])
+    finally:
+        conf.remove(name)
+    for s in ("train", "test"):
+        got = [json.loads(x)["ordinal"] for f in sorted((tmp_path / "m" / "by" / f"split={s}").glob("part-*")) for x in f.read_text().splitlines()]
+        assert got == list(range(3_000)), s
+
+
 def test_patterns_name_files_once(tmp_path):
     for x in ("a/1.tar", "a/2.tar", "b/1.tar", "b/c/3.tar", "x.tar"):
         (tmp_path / x).parent.mkdir(parents=True, exist_ok=True)
