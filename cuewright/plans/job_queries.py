@@ -108,25 +108,25 @@ def s7_shard_positions(spark, d):
 
 
 UNIT_ARRAYS = {
-    "timestamp_ms": ("timeline.npz", "timestamp_ms", "long"), "speech_mode": ("timeline.npz", "speech_mode", "int"),
+    "timestamp_ms": ("timeline.npz", "timestamp_ms", "long"), "delta_ms": ("timeline.npz", "delta_ms", "int"), "speech_mode": ("timeline.npz", "speech_mode", "int"),
     "speech_codes": ("codes.npz", "speech_codes", "array<int>"), "action_tokens": ("timeline.npz", "action_tokens", "array<int>"),
 }
 
 
 @query("""WITH c AS (SELECT conv_id, role, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
-SELECT 'ep' || conv_id AS sample_key, i::INT AS unit_index, i * 80 AS timestamp_ms, (role = 'assistant')::INT AS speech_mode, (n % 32) || ' ' || (n % 7) AS codes, (i + 8) || ' 1' AS tokens FROM c""")
+SELECT 'ep' || conv_id AS sample_key, i::INT AS unit_index, i * 80 AS timestamp_ms, 80 AS delta_ms, (role = 'assistant')::INT AS speech_mode, (n % 32) || ' ' || (n % 7) AS codes, (i + 8) || ' 1' AS tokens FROM c""")
 def s8_unit_rows(spark, d):
     """Units packed into numeric array members, written as shards and decoded again."""
     at = W.partitionBy("conv_id").orderBy("turn")
     n, i = F.coalesce(F.length("text"), F.lit(0)), F.row_number().over(at) - 1
     u = table(spark, d, "conversations").select(
-        F.concat(F.lit("ep"), "conv_id").alias("key"), i.alias("i"), (i * 80).cast("long").alias("timestamp_ms"), (F.col("role") == "assistant").cast("int").alias("speech_mode"),
+        F.concat(F.lit("ep"), "conv_id").alias("key"), i.alias("i"), (i * 80).cast("long").alias("timestamp_ms"), F.lit(80).alias("delta_ms"), (F.col("role") == "assistant").cast("int").alias("speech_mode"),
         F.array(n % 32, n % 7).alias("speech_codes"), F.array(i + 8, F.lit(1)).alias("action_tokens"),
     )
-    m = shards.pack_units(u, "key", "i", ["timestamp_ms", "speech_mode", "action_tokens"]).unionByName(shards.pack_units(u, "key", "i", ["speech_codes"], "codes.npz"))
-    got = shards.decode_units(written(spark, m, "units"), UNIT_ARRAYS).where("error IS NULL")
+    m = shards.pack_units(u, "key", "i", ["timestamp_ms", "delta_ms", "speech_mode", "action_tokens"]).unionByName(shards.pack_units(u, "key", "i", ["speech_codes"], "codes.npz"))
+    got = shards.decode_units(written(spark, m, "units"), UNIT_ARRAYS)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
-    return got.select("sample_key", "unit_index", "timestamp_ms", "speech_mode", text("speech_codes").alias("codes"), text("action_tokens").alias("tokens"))
+    return got.select("sample_key", "unit_index", "timestamp_ms", "delta_ms", "speech_mode", text("speech_codes").alias("codes"), text("action_tokens").alias("tokens"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, role, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),

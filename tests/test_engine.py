@@ -853,6 +853,12 @@ def test_split_manifests_keep_their_order_where_sorts_spill(spark, tmp_path):
         assert got == list(range(3_000)), s
 
 
+def test_unit_rows_have_all_columns_of_a_timeline(spark):
+    got = LOADED[0]["s8_unit_rows"](spark, SF)
+    assert got.columns == ["sample_key", "unit_index", "timestamp_ms", "delta_ms", "speech_mode", "codes", "tokens"]
+    assert {r["delta_ms"] for r in got.select("delta_ms").distinct().collect()} == {80}
+
+
 def test_patterns_name_files_once(tmp_path):
     for x in ("a/1.tar", "a/2.tar", "b/1.tar", "b/c/3.tar", "x.tar"):
         (tmp_path / x).parent.mkdir(parents=True, exist_ok=True)
