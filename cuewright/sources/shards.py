@@ -6,7 +6,6 @@ import io
 import json
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from cuewright.operators.layout import numbered
-from cuewright.sources.tars import MAX_BYTES, MAX_SAMPLES, TarShards
+from cuewright.sources.tars import BATCH_BYTES, BATCH_ROWS, MAX_BYTES, MAX_SAMPLES, TarShards
 
 
 def read_members(spark: SparkSession, path: str, members: tuple[str, ...] = ()) -> DataFrame:
@@ -102,7 +101,7 @@ def decode_units(members: DataFrame, columns: dict[str, tuple[str, str | None, s
         index = pa.nulls(1, pa.int32()) if why else pa.array(np.arange(n, dtype=np.int32))
         return pa.RecordBatch.from_arrays([pa.array([key] * n), index, *out, pa.array([why] * n, pa.string())], schema=kinds)
 
-    def run(batches):
+    def decoded(batches):
         key, got = None, {}
         for b in batches:
             for shard, k, m, d in zip(*(b.column(c) for c in ("shard", "sample_key", "member", "data"))):
@@ -115,21 +114,72 @@ def decode_units(members: DataFrame, columns: dict[str, tuple[str, str | None, s
         if key is not None:
             yield rows(key[1], got)
 
+    def run(batches):
+        held, n = [], 0
+        for b in decoded(batches):
+            held.append(b)
+            n += len(b)
+            if n >= BATCH_ROWS:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
     return members.where(F.col("member").isin(*wanted)).select("shard", "sample_key", "member", "data").mapInArrow(run, schema)
 
 
 def pack_units(units: DataFrame, key: str, order: str, arrays: list[str], member: str = "timeline.npz") -> DataFrame:
     """(sample_key, member, data): unit rows of each ``key`` as one member of numeric arrays, units in ``order``.
 
-    Lists must have one length within a sample. An episode's units fit in a task.
+    Lists must have one length within a sample. An episode's units fit in a task. Units are dealt by key and sorted; a task
+    reads its episodes as a stream of Arrow slices, one call for all of them.
     """
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g, out = g.sort_values("order"), io.BytesIO()
-        np.savez_compressed(out, **{c: np.stack(g[c].to_numpy()) if g[c].dtype == object else g[c].to_numpy() for c in arrays})
-        return pd.DataFrame({"sample_key": [str(g["key"].iloc[0])], "member": [member], "data": [out.getvalue()]})
+    def episodes(batches):
+        """(key, slices) of runs of one key, which may go on from one batch into the next."""
+        now, parts = None, []
+        for b in batches:
+            keys = b.column("key")
+            code = keys.dictionary_encode().indices.fill_null(-1).to_numpy()
+            cuts = np.r_[0, np.flatnonzero(code[1:] != code[:-1]) + 1, len(code)]
+            for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if start == end:
+                    continue
+                k = keys[start].as_py()
+                if parts and k != now:
+                    yield now, parts
+                    parts = []
+                now = k
+                parts.append(b.slice(start, end - start))
+        if parts:
+            yield now, parts
+
+    def stacked(parts, c):
+        x = [p.column(c) for p in parts]
+        if not pa.types.is_list(x[0].type):
+            return np.concatenate([v.to_numpy(zero_copy_only=False) for v in x])
+        size = np.unique(np.concatenate([v.value_lengths().to_numpy(zero_copy_only=False) for v in x]))
+        if len(size) != 1 or size[0] != size[0]:
+            raise ValueError(f"{c}: lists of different lengths")
+        return np.concatenate([v.flatten().to_numpy(zero_copy_only=False) for v in x]).reshape(-1, int(size[0])) if size[0] else np.zeros((sum(map(len, x)), 0))
 
-    return units.select(F.col(key).cast("string").alias("key"), F.col(order).alias("order"), *arrays).groupBy("key").applyInPandas(run, "sample_key string, member string, data binary")
+    def run(batches):
+        rows, size = [], 0
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([member] * len(rows), pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["sample_key", "member", "data"])
+        for key, parts in episodes(batches):
+            out = io.BytesIO()
+            np.savez_compressed(out, **{c: stacked(parts, c) for c in arrays})
+            rows.append((str(key), out.getvalue()))
+            size += len(rows[-1][1])
+            if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield batch()
+                rows, size = [], 0
+        if rows:
+            yield batch()
+
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = units.select(F.col(key).cast("string").alias("key"), F.col(order).alias("order"), *arrays).repartition(n, "key").sortWithinPartitions("key", F.col("order").asc_nulls_last())
+    return x.select("key", *arrays).mapInArrow(run, "sample_key string, member string, data binary")
 
 
 def identity_faults(hashes: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 A sample is a run of members with one stem. Writing streams each task's rows into shards that are closed
 once they have reached a size or a number of samples; nothing is visible until the job commits, which
 moves the finished shards into place and writes a marker with their names. Each task also leaves a manifest part with one line a
-sample. Reading takes one input partition a shard, passes over the file once and yields members as they come, so neither a
+sample. Reading deals runs of shards to tasks, passes over each file once and yields members as they come, so neither a
 shard nor a sample has to fit in a row. Files are opened by ``pyarrow.fs``: local paths and the stores it knows.
 """
 
@@ -28,6 +28,8 @@ MEMBERS = "shard string, shard_index int, sample_index int, sample_key string, m
 MAX_BYTES, MAX_SAMPLES = 1_000_000_000, 100_000
 #: Rows and bytes of an Arrow batch that a reader yields; a larger member stands alone.
 BATCH_ROWS, BATCH_BYTES = 1_000, 32 << 20
+#: A reading task takes shards up to so many bytes, each with what it costs to open it; but there are about so many tasks at least.
+TASK_BYTES, OPEN_BYTES, LEAST_TASKS = 128 << 20, 256 << 10, 32
 
 
 def store(path: str) -> tuple[fs.FileSystem, str]:
@@ -72,22 +74,28 @@ def _choices(body: str) -> list[str]:
 
 def expand(patterns: str) -> list[str]:
     """Sorted, distinct files of comma-free patterns with braces and wildcards (``*`` stays within a folder)."""
-    found = set()
+    return sorted(sizes(patterns))
+
+
+def sizes(patterns: str) -> dict[str, int]:
+    """The files that ``expand`` names with their sizes."""
+    found = {}
     for pattern in braces(patterns):
         wild = re.search(r"[*?\[]", pattern)
         head = pattern[: wild.start()].rsplit("/", 1)[0] if wild else pattern
         at, base = store(head or "/")
         if not wild:
-            if at.get_file_info(base).type == fs.FileType.File:
-                found.add(pattern)
+            f = at.get_file_info(base)
+            if f.type == fs.FileType.File:
+                found[pattern] = f.size
             continue
         steps = pattern[len(head) :].strip("/").split("/")
         # folders below are looked into only where the pattern has more than one step
         for f in at.get_file_info(fs.FileSelector(base, recursive=len(steps) > 1, allow_not_found=True)):
             mine = f.path[len(base.rstrip("/")) :].strip("/").split("/")
             if f.type == fs.FileType.File and len(mine) == len(steps) and all(map(fnmatch.fnmatchcase, mine, steps)):
-                found.add("/".join([head, *mine]))
-    return sorted(found)
+                found["/".join([head, *mine])] = f.size
+    return found
 
 
 def split_name(name: str) -> tuple[str, str]:
@@ -101,41 +109,53 @@ def split_name(name: str) -> tuple[str, str]:
 
 
 @dataclass
-class Shard(InputPartition):
-    path: str
-    index: int
+class Shards(InputPartition):
+    """Shards that one task reads in order, with their indexes."""
+
+    shards: list[tuple[str, int]]
 
 
 class TarReader(DataSourceReader):
-    """Members of the shards in ``path``; members not asked for are skipped, not read."""
+    """Members of the shards in ``path``; members not asked for are skipped, not read. Small shards that follow each other share a task."""
 
     def __init__(self, options: dict):
-        self.paths = expand(options["path"])
+        self.sizes = sizes(options["path"])
         names = options.get("members", "")
         self.members = set(names.split(",")) if names else None
-        if not self.paths:
+        if not self.sizes:
             raise FileNotFoundError(f"no shard matches {options['path']}")
 
     def partitions(self):
-        return [Shard(p, i) for i, p in enumerate(self.paths)]
-
-    def read(self, partition: Shard):
-        at, path = store(partition.path)
-        key, sample, rows, size = None, -1, [], 0
-        with at.open_input_file(path) as raw, tarfile.open(fileobj=raw, mode="r:") as tar:
-            while (m := tar.next()) is not None:
-                tar.members = []  # else the archive remembers each of its members
-                if not m.isfile():
-                    continue
-                stem, member = split_name(m.name)
-                if stem != key:
-                    key, sample = stem, sample + 1
-                if self.members is None or member in self.members:
-                    rows.append((partition.path, partition.index, sample, stem, member, tar.extractfile(m).read()))
-                    size += m.size
-                    if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
-                        yield _batch(rows)
-                        rows, size = [], 0
+        cost = [(p, size + OPEN_BYTES) for p, size in sorted(self.sizes.items())]
+        most = min(TASK_BYTES, sum(c for _, c in cost) / LEAST_TASKS)
+        out, room = [], 0.0
+        for i, (path, c) in enumerate(cost):
+            if not out or c > room:
+                out.append(Shards([]))
+                room = most
+            out[-1].shards.append((path, i))
+            room -= c
+        return out
+
+    def read(self, partition: Shards):
+        rows, size = [], 0
+        for name, index in partition.shards:
+            at, path = store(name)
+            key, sample = None, -1
+            with at.open_input_file(path) as raw, tarfile.open(fileobj=raw, mode="r:") as tar:
+                while (m := tar.next()) is not None:
+                    tar.members = []  # else the archive remembers each of its members
+                    if not m.isfile():
+                        continue
+                    stem, member = split_name(m.name)
+                    if stem != key:
+                        key, sample = stem, sample + 1
+                    if self.members is None or member in self.members:
+                        rows.append((name, index, sample, stem, member, tar.extractfile(m).read()))
+                        size += m.size
+                        if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                            yield _batch(rows)
+                            rows, size = [], 0
         if rows:
             yield _batch(rows)
 

@@ -859,6 +859,23 @@ def test_unit_rows_have_all_columns_of_a_timeline(spark):
     assert {r["delta_ms"] for r in got.select("delta_ms").distinct().collect()} == {80}
 
 
+def test_small_shards_share_tasks(spark, tmp_path):
+    """300 shards of a sample each, read by few tasks, at the places they have alone; units packed over small batches."""
+    units = spark.range(1_500).selectExpr("concat('k', lpad(cast(id % 300 as string), 3, '0')) key", "cast(-id as int) i", "cast(id as int) a", "array(cast(id as int), 7) b")
+    have = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        m = shards.pack_units(units, "key", "i", ["a", "b"]).select("*", F.substring("sample_key", 2, 3).cast("long").alias("shard"))
+        shards.write_shards(m, "shard", str(tmp_path / "t"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", have)
+    x = shards.read_members(spark, str(tmp_path / "t" / "*.tar"))
+    assert x.rdd.getNumPartitions() <= 40
+    assert {(r["sample_key"], r["shard_index"], r["sample_index"]) for r in x.select("sample_key", "shard_index", "sample_index").collect()} == {(f"k{i:03d}", i, 0) for i in range(300)}
+    got = shards.decode_units(x, {"a": ("timeline.npz", "a", "int"), "b": ("timeline.npz", "b", "array<int>")}).collect()
+    assert sorted((r["sample_key"], r["unit_index"], r["a"], tuple(r["b"]), r["error"]) for r in got) == [(f"k{k:03d}", u, v, (v, 7), None) for k in range(300) for u, v in enumerate(range(1_200 + k, -1, -300))]
+
+
 def test_patterns_name_files_once(tmp_path):
     for x in ("a/1.tar", "a/2.tar", "b/1.tar", "b/c/3.tar", "x.tar"):
         (tmp_path / x).parent.mkdir(parents=True, exist_ok=True)
