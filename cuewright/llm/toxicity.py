@@ -22,7 +22,10 @@ calibration rows reach the driver.
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -348,3 +351,270 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pd.DataFrame({"id": b["id"], "score": fit.calibrated(b["x"].to_numpy(float))})
 
     return evidence(docs, model.ratio, id_col, text_col).mapInPandas(run, f"id {kind}, score double").withColumnsRenamed({"id": id_col})
+
+
+# ---- one pass over a whole table: counts and texts meet in buckets of words
+
+#: A bucket has all words of some first prefixes, with all units below them: so many at least, and one more for each so many characters.
+LEAST_BUCKETS, BUCKET_CHARS = 12, 64_000_000
+#: Characters of texts that share one word list on their way to the buckets; a longer text stands alone.
+BLOCK_CHARS = 16_000_000
+_NONE = np.uint64(5)  # stands for the predecessor of a first word, as in pair_units
+
+
+def _squeeze(a: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes as the largest needs, byte by byte of all of them, compressed."""
+    wide = next(w for w in (1, 2, 4) if not len(a) or int(a.max()) < 1 << 8 * w)
+    planes = np.ascontiguousarray(a.astype(f"<u{wide}")).view(np.uint8).reshape(-1, wide).T
+    return bytes([wide]) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def _expand(z: bytes) -> np.ndarray:
+    wide = z[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(z[1:]), np.uint8).reshape(wide, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{wide}").ravel().astype(np.int64)
+
+
+def _names(listed: list[str]) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress("\n".join(listed).encode("utf-8", "surrogatepass"))
+
+
+def read_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(block, n, chars, ids, sizes, names, codes): a row a block of whole texts, their words as places in its word list, frequent ones first."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for no, ids, texts in windows(batches, BLOCK_CHARS):
+            d, code, listed = words_of(texts)
+            order = np.argsort(-np.bincount(code, minlength=len(listed)), kind="stable")
+            place = np.empty(len(listed), np.int64)
+            place[order] = np.arange(len(listed))
+            row = {"block": no, "n": len(listed), "chars": sum(len(t or "") for t in texts), "ids": ids, "sizes": _squeeze(np.bincount(d, minlength=len(ids)))}
+            yield pd.DataFrame([row | {"names": _names([listed[i] for i in order]), "codes": _squeeze(place[code])}])
+
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInPandas(run, f"block long, n int, chars long, ids array<{kind}>, sizes binary, names binary, codes binary")
+
+
+#: Bytes of a predecessor's hash; the pairs of one word are told apart by them.
+BEFORE_BYTES = 5
+#: Bytes of a bucket's compressed parts that a task keeps in memory between counting and scoring; more go to its temp folder.
+SPOOL = 64_000_000
+_PARTS = "bucket int, block long, names binary, befores binary, word binary, before binary, sizes binary, marks binary"
+
+
+def to_buckets(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Parts of blocks by bucket of their words, each bucket in one partition.
+
+    A part has the names of its words, the hashes of the words before them, places in both for each word of the texts, how many words each
+    text has in it, and the texts' marks: 0, or 1 and the bits of learning rows (toxic 1, side 2, calibration 4).
+    ``blocks`` has ``marks``, (place of the text, bits) of learning rows.
+    """
+
+    def run(batches):
+        for frame in batches:
+            for r in frame.itertuples(index=False):
+                if not r.n:
+                    continue
+                names = zstandard.ZstdDecompressor().decompress(r.names).decode("utf-8", "surrogatepass").split("\n")
+                key, code, sizes = _hash_words(names), _expand(r.codes), _expand(r.sizes)
+                mark = np.zeros(len(sizes), np.int64)
+                for m in r.marks if r.marks is not None else ():
+                    mark[m["at"]] = 1 + m["bits"]
+                marks = _squeeze(mark) if mark.any() else b""
+                text = np.repeat(np.arange(len(sizes)), sizes)
+                before = np.r_[r.n, code[:-1]]
+                before[np.r_[True, text[1:] != text[:-1]]] = r.n
+                hashes = np.r_[key[:, -1], _NONE].view(np.uint8).reshape(-1, 8)[:, :BEFORE_BYTES]
+                mine = (key[:, 0] % np.uint64(buckets)).astype(np.int64)[code]
+                order, out = np.argsort(mine, kind="stable"), []
+                cut = np.searchsorted(mine[order], np.arange(buckets + 1))
+                for k in np.flatnonzero(np.diff(cut)).tolist():
+                    x = order[cut[k] : cut[k + 1]]
+                    w, word = np.unique(code[x], return_inverse=True)
+                    b, place = np.unique(before[x], return_inverse=True)
+                    out.append((k, r.block, _names([names[i] for i in w]), hashes[b].tobytes(), _squeeze(word), _squeeze(place), _squeeze(np.bincount(text[x], minlength=len(sizes))), marks))
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in _PARTS.split(", ")])
+
+    rows = blocks.select("block", "n", "sizes", "names", "codes", "marks").mapInPandas(run, _PARTS)
+    return rows.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "block")
+
+
+def _words_and_pairs(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of the part's words by level, place of the word, pair unit) of a part."""
+    key = _hash_words(zstandard.ZstdDecompressor().decompress(row.names).decode("utf-8", "surrogatepass").split("\n"))
+    hashes = np.frombuffer(row.befores, np.uint8).reshape(-1, BEFORE_BYTES)
+    befores = np.pad(hashes, ((0, 0), (0, 8 - BEFORE_BYTES))).view(np.uint64).ravel()
+    word = _expand(row.word)
+    return key, word, _mix(befores[_expand(row.before)] * _M1 + key[word, -1]) + np.uint64(7)
+
+
+class Bucket:
+    """The counted units of a bucket: distinct pairs with their four counts, and the paths of their words."""
+
+    def __init__(self):
+        self.path, self.unit, self.word, self.n = np.zeros((0, PAIR), np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros((0, 4), np.int32)
+        self.new: list[tuple] = []
+        self.waiting = 0
+
+    def add(self, row) -> None:
+        """Count the words of a part's learning rows."""
+        if not row.marks:
+            return
+        key, word, unit = _words_and_pairs(row)
+        bits = np.repeat(_expand(row.marks), _expand(row.sizes)) - 1
+        at = np.flatnonzero(bits >= 0)
+        unit, first, inv = np.unique(unit[at], return_index=True, return_inverse=True)
+        n = np.bincount(inv * 4 + (1 - (bits[at] & 1)) + (bits[at] & 2), minlength=4 * len(unit)).reshape(-1, 4).astype(np.int32)
+        self.new.append((key[np.unique(word[at])], unit, key[word[at][first], -1], n))
+        self.waiting += len(unit)
+        if self.waiting > max(500_000, len(self.unit)):
+            self.merge()
+
+    def merge(self) -> None:
+        parts = [(self.path, self.unit, self.word, self.n), *self.new]
+        self.new, self.waiting = [], 0
+        path, unit, word, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        self.path = path[np.unique(path[:, -1], return_index=True)[1]]
+        self.unit, first, inv = np.unique(unit, return_index=True, return_inverse=True)
+        self.word = word[first]
+        self.n = np.stack([np.bincount(inv, n[:, i], minlength=len(first)).astype(np.int32) for i in range(4)], axis=1)
+
+    def _live(self, side: bool) -> tuple[np.ndarray, ...]:
+        """(pair units, their class counts, place of their words, paths) of what is counted, with or without the side."""
+        n = (self.n[:, :2] + self.n[:, 2:] if side else self.n[:, :2]).astype(float)
+        live = n.sum(axis=1) > 0
+        word, at = np.unique(self.word[live], return_inverse=True)
+        return self.unit[live], n[live], at, self.path[np.searchsorted(self.path[:, -1], word)]
+
+    def root(self, side: bool) -> np.ndarray:
+        """What the bucket adds to the root: words of both classes, first prefixes with words of each, continuations of all."""
+        unit, n, at, path = self._live(side)
+        first, inv = np.unique(path[at, 0], return_inverse=True)
+        have = [np.count_nonzero(np.bincount(inv, n[:, k], minlength=len(first))) for k in (0, 1)]
+        return np.array([*n.sum(axis=0), *have, len(unit)], float)
+
+    def ratios(self, side: bool, root: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(units in order, ratios) by level, the pairs last, as in the table of all ratios; ``root`` sums all buckets."""
+
+        def level(n, cont, sums, held, cont_n):
+            share = (cont / cont_n)[:, None]
+            p = np.where(sums > 0, (np.maximum(n - DISCOUNT, 0) + held * share) / np.maximum(sums, 1), share)
+            return np.clip(np.log(p[:, 0] / p[:, 1]), -8, 8)
+
+        def below(inv, size, n, cont):
+            """Sums over the units below each of ``size`` parents."""
+            each = lambda v: np.stack([np.bincount(inv, v[:, k], minlength=size) for k in (0, 1)], axis=1)
+            return each(n), each(np.minimum(n, DISCOUNT)), np.bincount(inv, cont, minlength=size)
+
+        unit, n, at, path = self._live(side)
+        sums, held, total = below(at, len(path), n, n.sum(axis=1))
+        out = [(unit, level(n, n.sum(axis=1), sums[at], held[at], total[at]))]
+        n, cont = sums, np.bincount(at, minlength=len(path)).astype(float)
+        for j in range(PAIR - 1, 0, -1):
+            parent, first, inv = np.unique(path[:, j - 1], return_index=True, return_inverse=True)
+            sums, held, total = below(inv, len(parent), n, cont)
+            order = np.argsort(path[:, j])
+            out.append((path[order, j], level(n, cont, sums[inv], held[inv], total[inv])[order]))
+            n, cont, path = sums, total, path[first]
+        out.append((path[:, 0], level(n, cont, root[:2], DISCOUNT * root[2:4], root[4])))
+        return out[::-1]
+
+
+def _look_up(table: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> np.ndarray:
+    unit, ratio = table
+    if not len(unit):
+        return np.zeros(len(key))
+    at = np.minimum(np.searchsorted(unit, key), len(unit) - 1)
+    return np.where(unit[at] == key, ratio[at], 0.0)
+
+
+def _likelihoods(levels: list, row) -> np.ndarray:
+    """Likelihood ratio of each word of a part."""
+    key, word, unit = _words_and_pairs(row)
+    path = sum(_look_up(levels[j], key[:, j]) for j in range(PAIR))
+    different, inv = np.unique(unit, return_inverse=True)
+    return np.exp(path[word] + _look_up(levels[PAIR], different)[inv])
+
+
+def score_all(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", calibrate_rows: int = CALIBRATE_ROWS) -> DataFrame:
+    """(id_col, score), one row per row of ``docs``: what ``score`` gives with the model that ``train`` gives for the same rows.
+
+    No table of units is made. Texts are read once, into blocks that are written; all units below a first prefix meet in one bucket, so a
+    bucket's task counts what its learning rows hold, computes their ratios, and sums likelihood ratios over the words of every text.
+    What ratios of first prefixes need of all buckets is summed by a job before. A task keeps the distinct counted pairs of its bucket
+    in memory; buckets grow in number with the input. Sums of a text over buckets, 4 bytes each, are added up by block.
+    """
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    scratch = Scratch(spark, "toxicity")
+    held = scratch.keep(read_blocks(docs, id_col, text_col))
+    chars = held.agg(F.sum("chars")).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, -(-chars // BUCKET_CHARS))
+
+    marks = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    marks = scratch.keep(marks.withColumn("side", F.pmod(F.xxhash64(F.lit("calibrate"), F.col("id")), F.lit(4)) == 0))
+    aside = scratch.keep(bounded_sample(marks.where("side"), "id", calibrate_rows).select("id", F.lit(4).alias("aside")))
+    bits = F.col("y") + F.when(F.col("side"), 2).otherwise(0) + F.coalesce("aside", F.lit(0))
+    bits = marks.join(F.broadcast(aside), "id", "left").select("id", bits.cast("byte").alias("bits"))  # the calibration rows are bounded
+    by_block = held.select("block", F.posexplode("ids").alias("at", "id")).join(bits, "id").groupBy("block").agg(F.collect_list(F.struct("at", "bits")).alias("marks"))
+    by_block = scratch.keep(by_block)
+    marked = held.join(by_block, "block", "left")
+
+    # one shuffle for both jobs: the second finds the files of the first
+    parts = to_buckets(held.join(by_block, "block", "left"), buckets).rdd
+
+    def roots(rows):
+        for _, part in groupby(rows, lambda r: r.bucket):
+            bucket = Bucket()
+            for row in part:
+                bucket.add(row)
+            bucket.merge()
+            yield np.r_[bucket.root(False), bucket.root(True)].tolist()
+
+    root = np.sum([np.zeros(10), *parts.mapPartitions(roots).collect()], axis=0).reshape(2, 5)
+
+    def sums(rows):
+        for no, part in groupby(rows, lambda r: r.bucket):
+            bucket, n = Bucket(), 0
+            with tempfile.SpooledTemporaryFile(max_size=SPOOL) as spool:
+                for row in part:
+                    bucket.add(row)
+                    pickle.dump(row, spool)
+                    n += 1
+                bucket.merge()
+                first, last = (bucket.ratios(side, root[int(side)]) for side in (False, True))
+                bucket = None
+                spool.seek(0)
+                for _ in range(n):
+                    row = pickle.load(spool)
+                    sizes = _expand(row.sizes)
+                    text, some = np.repeat(np.arange(len(sizes)), sizes), np.flatnonzero(sizes)
+                    mean = np.bincount(text, _likelihoods(last, row), minlength=len(sizes))[some].astype(np.float32)
+                    before = b""
+                    if row.marks and (aside := _expand(row.marks) > 4).any():
+                        x = np.bincount(text, _likelihoods(first, row), minlength=len(sizes))[some] * aside[some]
+                        before = zstandard.ZstdCompressor(level=3).compress(x.astype(np.float32).tobytes())
+                    yield row.block, no, _squeeze(np.diff(some, prepend=0)), mean.tobytes(), before
+
+    parts = spark.createDataFrame(parts.mapPartitions(sums), "block long, bucket int, some binary, last binary, first binary", verifySchema=False)
+
+    def whole(blocks: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        if len(blocks) != 1:
+            raise ValueError(f"{len(blocks)} rows of one block and {len(parts)} parts")
+        sizes = _expand(blocks["sizes"].iloc[0])
+        total, marked = np.zeros((2, len(sizes))), np.zeros(len(sizes), bool)
+        for r in parts.sort_values("bucket").itertuples(index=False):
+            at = np.cumsum(_expand(r.some))
+            total[1, at] += np.frombuffer(r.last, np.float32)
+            if r.first:
+                total[0, at] += np.frombuffer(zstandard.ZstdDecompressor().decompress(r.first), np.float32)
+        x = np.where(sizes > 0, np.log(np.maximum(total, 1e-300) / np.maximum(sizes, 1)), 0.0)
+        return pd.DataFrame({"id": pd.Series(list(blocks["ids"].iloc[0]), dtype=object), "x": x[1], "before": x[0]})
+
+    x = held.select("block", "ids", "sizes").groupBy("block").cogroup(parts.groupBy("block")).applyInPandas(whole, f"id {kind}, x double, before double")
+    x = scratch.keep(x)
+    fit = x.join(F.broadcast(marks.join(F.broadcast(aside), "id").select("id", "y")), "id").groupBy("id").agg(F.min("before").alias("x"), F.max("y").alias("y")).toPandas()
+    coef = [float(v) for v in calibrate(fit["x"].to_numpy(float), fit["y"].to_numpy(float))]
+    scratch.drop(held, marks, aside, by_block)
+    z = F.least(F.greatest(F.col("x") * coef[0] + coef[1], F.lit(-40.0)), F.lit(40.0))
+    return x.select(F.col("id").alias(id_col), (1 / (1 + F.exp(-z))).alias("score"))

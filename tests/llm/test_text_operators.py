@@ -5,6 +5,7 @@ import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cuewright.llm import decontam, passages, pii, quality, simhash, toxicity
+from cuewright.llm import decontam, passages, pii, quality, queries, simhash, toxicity
 from cuewright.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -522,6 +523,49 @@ def test_toxicity_scores_do_not_hang_on_partitions(spark, monkeypatch):
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
 
 
+def test_toxicity_in_one_pass_scores_as_the_tables_do(spark, monkeypatch):
+    """Buckets give what tables of all units give, whatever the blocks, buckets and partitions; rows of one id keep a score each."""
+    monkeypatch.setattr(toxicity, "BLOCK_CHARS", 20_000)
+    monkeypatch.setattr(toxicity, "SPOOL", 10_000)
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "..."), (-4, "word"), (None, "word word"), (-5, "word " * 3000)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(odd)
+    learn = F.col("doc_id") % 5 != 0
+    want = {(r.doc_id): r.score for r in toxicity.score(docs, toxicity.train(docs, labels, learn)).collect()}
+    for buckets, other in ((12, docs), (3, docs.repartition(7)), (40, docs.orderBy(F.rand(3)))):
+        monkeypatch.setattr(toxicity, "LEAST_BUCKETS", buckets)
+        got = toxicity.score_all(other, labels, learn).collect()
+        assert len(got) == docs.count() and {r.doc_id for r in got} == want.keys()
+        assert max(abs(r.score - want[r.doc_id]) for r in got) < 1e-4
+    assert len({round(v, 3) for v in want.values()}) > 50
+    twice = toxicity.score_all(docs.unionByName(docs), labels, learn)
+    assert twice.count() == 2 * docs.count() and twice.where("score is null").count() == 0
+    for l in (labels.limit(0), labels.where("toxic = 0")):
+        assert toxicity.score_all(docs, l, learn).where("score between 0 and 1").count() == docs.count()
+    assert toxicity.score_all(docs.limit(0), labels, learn).count() == 0
+
+
+def test_toxicity_query_makes_no_table_of_units(spark, tmp_path):
+    """What the query moves and writes stays under 1.5 times its texts, though most of their word pairs are new."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(4000)), i % 2) for i in range(120)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    written, keep = [], toxicity.Scratch.keep
+
+    def kept(self, df):
+        out = keep(self, df)
+        written.append(sum(f.stat().st_size for f in Path(out._scratch_path.removeprefix("file:")).iterdir()))
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity.Scratch, "keep", kept)
+        docs.write.parquet(str(tmp_path / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / "labels.parquet"))
+        assert queries.op5_toxicity(spark, str(tmp_path)).count() == 120
+    assert sum(written) < 0.75 * sum(len(t) for _, t, _ in rows)
+
+
 def plain_passages(texts, items):
     """All items against all passages of their own length."""
     want = {}
