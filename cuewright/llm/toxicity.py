@@ -15,7 +15,8 @@ of logarithms instead dilutes a few strong words in a long text until nothing is
 best passage's mean lets one rare word decide (README).
 
 Counts and ratios are Spark tables by the full 64-bit unit and grow with the input. To score,
-texts are read in windows, which are written once: a window asks the ratio table for each of its different
+texts are read in windows, which are written once (``score_all``, where learning rows and texts are one
+table, makes no such tables): a window asks the ratio table for each of its different
 units, and the answers meet the window's words, kept as places in its word list. Only class totals and
 calibration rows reach the driver.
 """
@@ -375,22 +376,40 @@ def _expand(z: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{wide}").ravel().astype(np.int64)
 
 
+def _codes_of(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, places in the order of their codes): places that come once have code 0 and stand last, in the order they come in."""
+    listed, first, inv, n = np.unique(place, return_index=True, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(n > 1)
+    often = often[np.argsort(-n[often], kind="stable")]
+    code = np.zeros(len(listed), np.int64)
+    code[often] = np.arange(1, len(often) + 1)
+    return code[inv], listed[np.r_[often, (once := np.flatnonzero(n == 1))[np.argsort(first[once])]]]
+
+
+def _places_of(code: np.ndarray, n: int) -> np.ndarray:
+    """Places in a list of ``n`` from codes."""
+    once = np.flatnonzero(code == 0)
+    place = code - 1
+    place[once] = np.arange(n - len(once), n)
+    return place
+
+
 def _names(listed: list[str]) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress("\n".join(listed).encode("utf-8", "surrogatepass"))
 
 
 def read_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, n, chars, ids, sizes, names, codes): a row a block of whole texts, their words as places in its word list, frequent ones first."""
+    """(block, n, chars, ids, sizes, names, codes): a row a block of whole texts, their words as codes of its word list, frequent ones first."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for no, ids, texts in windows(batches, BLOCK_CHARS):
             d, code, listed = words_of(texts)
-            order = np.argsort(-np.bincount(code, minlength=len(listed)), kind="stable")
-            place = np.empty(len(listed), np.int64)
-            place[order] = np.arange(len(listed))
+            code, order = _codes_of(code)
             row = {"block": no, "n": len(listed), "chars": sum(len(t or "") for t in texts), "ids": ids, "sizes": _squeeze(np.bincount(d, minlength=len(ids)))}
-            yield pd.DataFrame([row | {"names": _names([listed[i] for i in order]), "codes": _squeeze(place[code])}])
+            yield pd.DataFrame([row | {"names": _names([listed[i] for i in order]), "codes": _squeeze(code)}])
+            del d, code, listed, order, row
+            pa.default_memory_pool().release_unused()  # workers go on to the buckets
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInPandas(run, f"block long, n int, chars long, ids array<{kind}>, sizes binary, names binary, codes binary")
@@ -399,15 +418,15 @@ def read_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 #: Bytes of a predecessor's hash; the pairs of one word are told apart by them.
 BEFORE_BYTES = 5
 #: Bytes of a bucket's compressed parts that a task keeps in memory between counting and scoring; more go to its temp folder.
-SPOOL = 64_000_000
+SPOOL = 128_000_000
 _PARTS = "bucket int, block long, names binary, befores binary, word binary, before binary, sizes binary, marks binary"
 
 
 def to_buckets(blocks: DataFrame, buckets: int) -> DataFrame:
     """Parts of blocks by bucket of their words, each bucket in one partition.
 
-    A part has the names of its words, the hashes of the words before them, places in both for each word of the texts, how many words each
-    text has in it, and the texts' marks: 0, or 1 and the bits of learning rows (toxic 1, side 2, calibration 4).
+    A part has the names of its words, the hashes of the words before them, for each word of the texts its step from the text's last one in
+    the list of names and the code of the one before it, how many words each text has in it, and the texts' marks: 0, or 1 and the bits of learning rows (toxic 1, side 2, calibration 4).
     ``blocks`` has ``marks``, (place of the text, bits) of learning rows.
     """
 
@@ -417,7 +436,7 @@ def to_buckets(blocks: DataFrame, buckets: int) -> DataFrame:
                 if not r.n:
                     continue
                 names = zstandard.ZstdDecompressor().decompress(r.names).decode("utf-8", "surrogatepass").split("\n")
-                key, code, sizes = _hash_words(names), _expand(r.codes), _expand(r.sizes)
+                key, code, sizes = _hash_words(names), _places_of(_expand(r.codes), r.n), _expand(r.sizes)
                 mark = np.zeros(len(sizes), np.int64)
                 for m in r.marks if r.marks is not None else ():
                     mark[m["at"]] = 1 + m["bits"]
@@ -427,13 +446,15 @@ def to_buckets(blocks: DataFrame, buckets: int) -> DataFrame:
                 before[np.r_[True, text[1:] != text[:-1]]] = r.n
                 hashes = np.r_[key[:, -1], _NONE].view(np.uint8).reshape(-1, 8)[:, :BEFORE_BYTES]
                 mine = (key[:, 0] % np.uint64(buckets)).astype(np.int64)[code]
-                order, out = np.argsort(mine, kind="stable"), []
+                order, out = np.lexsort((code, text, mine)), []  # sums don't hang on the order in a text: sorted words take less space
                 cut = np.searchsorted(mine[order], np.arange(buckets + 1))
                 for k in np.flatnonzero(np.diff(cut)).tolist():
                     x = order[cut[k] : cut[k + 1]]
                     w, word = np.unique(code[x], return_inverse=True)
-                    b, place = np.unique(before[x], return_inverse=True)
-                    out.append((k, r.block, _names([names[i] for i in w]), hashes[b].tobytes(), _squeeze(word), _squeeze(place), _squeeze(np.bincount(text[x], minlength=len(sizes))), marks))
+                    new = np.r_[True, text[x][1:] != text[x][:-1]]
+                    step = np.where(new, word, np.diff(word, prepend=0))
+                    place, b = _codes_of(before[x])
+                    out.append((k, r.block, _names([names[i] for i in w]), hashes[b].tobytes(), _squeeze(step), _squeeze(place), _squeeze(np.bincount(text[x], minlength=len(sizes))), marks))
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in _PARTS.split(", ")])
 
     rows = blocks.select("block", "n", "sizes", "names", "codes", "marks").mapInPandas(run, _PARTS)
@@ -445,8 +466,12 @@ def _words_and_pairs(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = _hash_words(zstandard.ZstdDecompressor().decompress(row.names).decode("utf-8", "surrogatepass").split("\n"))
     hashes = np.frombuffer(row.befores, np.uint8).reshape(-1, BEFORE_BYTES)
     befores = np.pad(hashes, ((0, 0), (0, 8 - BEFORE_BYTES))).view(np.uint64).ravel()
-    word = _expand(row.word)
-    return key, word, _mix(befores[_expand(row.before)] * _M1 + key[word, -1]) + np.uint64(7)
+    step, sizes = _expand(row.word), _expand(row.sizes)
+    sizes = sizes[sizes > 0]
+    run = np.cumsum(step)
+    start = np.cumsum(sizes) - sizes
+    word = run - np.repeat(run[start] - step[start], sizes)
+    return key, word, _mix(befores[_places_of(_expand(row.before), len(befores))] * _M1 + key[word, -1]) + np.uint64(7)
 
 
 class Bucket:
@@ -468,7 +493,7 @@ class Bucket:
         n = np.bincount(inv * 4 + (1 - (bits[at] & 1)) + (bits[at] & 2), minlength=4 * len(unit)).reshape(-1, 4).astype(np.int32)
         self.new.append((key[np.unique(word[at])], unit, key[word[at][first], -1], n))
         self.waiting += len(unit)
-        if self.waiting > max(500_000, len(self.unit)):
+        if self.waiting > max(250_000, len(self.unit) // 2):
             self.merge()
 
     def merge(self) -> None:
